@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, quality, sharding, token_counts, url_filter
+from . import decontaminate, embedding_dedup, line_dedup, mixing, ngram_join, quality, sharding, token_counts, url_filter, warc
+from .common import new_path
 
 TOKENIZER = "piece_bpe_32k.model"
 TOKEN_LIMIT = 4096
@@ -25,6 +26,12 @@ def tokenizer(name: str = TOKENIZER) -> bytes:
         return f.read()
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = line_dedup.dedup(read(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_lines", "n_chunks", "removed_chunks", "removed_lines", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("kept_bytes"),
+                       F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("kept_crc32"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = token_counts.token_counts(read(spark, sf_dir, "documents"), tokenizer())
     return counts.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
@@ -34,10 +41,20 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_groups(read(spark, sf_dir, "documents"))
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(read(spark, sf_dir, "pages"), url_filter.default_rules())
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "warc")
+    warc.write(read(spark, sf_dir, "pages"), path)
+    return warc.read_captures(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def domain_of(source: Column) -> Column:
     """The tables have no domain: sources fall into four by the remainder of the number in their names."""
     return F.concat(F.lit("domain"), F.coalesce(F.expr("try_cast(regexp_extract(source, '([0-9]+)$', 1) as bigint) % 4").cast("string"), F.lit("")))
@@ -51,6 +68,10 @@ def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"), domain_of(F.col("source")), 1.0, MIX_WEIGHTS)
 
 
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_vectors(read(spark, sf_dir, "embeddings"))
+
+
 def op9_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select(
         "doc_id", "lang", "source", "n_chars", (F.coalesce(F.octet_length("text"), F.lit(0)) + 8).cast("long").alias("size"),
@@ -71,7 +92,8 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_counts, op3_decontamination, op5_url_filter, op7_source_mix, op9_hilbert_shards, op10_quality)}
+    return {f.__name__: f for f in (
+        op1_line_dedup, op2_token_counts, op3_decontamination, op4_ngram_join, op5_url_filter, op6_warc, op7_source_mix, op8_embedding_dedup, op9_hilbert_shards, op10_quality)}
 
 
 OP5_SQL = """
@@ -93,5 +115,55 @@ FROM fit
 """
 
 
+OP4_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM words
+), grams AS (
+  SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets
+), pairs AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) AS shared FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL
+), links AS (
+  SELECT a, b FROM pairs WHERE 100 * shared >= 75 * (na + nb - shared)
+), reach AS (
+  SELECT doc_id, doc_id AS other FROM documents UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON l.a = r.other
+), least AS (
+  SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, min(doc_id) OVER (PARTITION BY CASE WHEN len(s) = 0 THEN [CAST(doc_id AS VARCHAR)] ELSE list_sort(s) END, len(s) = 0) AS class_id, component_id
+FROM sets JOIN least USING (doc_id)
+"""
+
+OP6_SQL = """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+), q AS (
+  SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS top FROM p
+)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 1000 AND page_id < top THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 1000 AND page_id < top THEN top END AS refers_to
+FROM q
+"""
+
+OP8_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.9
+), reach AS (
+  SELECT vec_id, vec_id AS other FROM embeddings UNION SELECT r.vec_id, l.b FROM reach r JOIN links l ON l.a = r.other
+), least AS (
+  SELECT vec_id, min(other) AS component_id FROM reach GROUP BY vec_id
+), n AS (
+  SELECT a AS vec_id, count(*) AS n_links FROM links GROUP BY a
+)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept FROM least LEFT JOIN n USING (vec_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_url_filter": OP5_SQL}
+    return {"op4_ngram_join": OP4_SQL, "op5_url_filter": OP5_SQL, "op6_warc": OP6_SQL, "op8_embedding_dedup": OP8_SQL}
