@@ -96,7 +96,49 @@ class Model(NamedTuple):
     intercept: float
     rules: list[tuple[Rule, float]]
 
-    def score(df: DataFrame, model: Model, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    def score(self, stats: Column) -> Column:
+        """The compiled ensemble: a column between 0 and 1."""
+        z = F.lit(self.intercept)
+        for rule, weight in self.rules:
+            z = z + F.when(rule.column(stats), F.lit(weight)).otherwise(F.lit(0.0))
+        return F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
+
+
+def constant(share: float) -> Model:
+    share = min(max(share, 0.01), 0.99)
+    return Model(math.log(share / (1 - share)), [])
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "quality", max_labelled: int = MAX_LABELLED,
+        trees: int = 12, depth: int = 3, penalty: float = 0.002, seed: int = 17) -> Model:
+    """Fit on at most `max_labelled` labelled rows that have a document.
+
+    Labels other than 0 and 1 and null ids are left out; an id labelled twice counts by
+    its smaller label, one with several document rows by all of them. Without labelled
+    documents, or with labels of one kind, the model is a constant.
+    """
+    chosen = (labels.where(F.col(label).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min(label).cast("double").alias("label"))
+              .orderBy(F.xxhash64(id_col), id_col).limit(max_labelled))
+    chosen = table(chosen, "labelled")  # max_labelled rows of two numbers at most
+    known = with_stats(docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).join(F.broadcast(chosen.toDF("id", "label")), "id"), "text")
+    train = known.select("row.id", "row.label", array_to_vector("stats").alias("features"), "stats")
+    train = table(train.repartition(1).sortWithinPartitions("id", "stats"), "train")
+    n, ones = train.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0.0))).first()
+    if n == 0 or ones in (0, n):
+        drop(chosen), drop(train)
+        return constant(ones / n if n else 0.5)
+    forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, maxBins=128, minInstancesPerNode=max(2, n // 2000), featureSubsetStrategy="onethird", subsamplingRate=0.8, seed=seed).fit(train)
+    rules = rules_of(forest.toDebugString)
+    if not rules:
+        return constant(ones / n)
+    holds = F.array(*[r.column(F.col("stats")).cast("double") for r in rules])
+    lasso = LogisticRegression(elasticNetParam=1.0, regParam=penalty, maxIter=60, standardization=False).fit(train.select("label", array_to_vector(holds).alias("features")))
+    weights = [float(w) for w in lasso.coefficients.toArray()]
+    drop(chosen), drop(train)
+    return Model(float(lasso.intercept), [(r, w) for r, w in zip(rules, weights, strict=True) if w])
+
+
+def score(df: DataFrame, model: Model, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(id_col, score double) of each row of df. A null or empty text has a score too, that of all-zero statistics."""
     slim = df.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
     return with_stats(slim, "text").select(F.col("row.id").alias(id_col), model.score(F.col("stats")).alias("score"))
