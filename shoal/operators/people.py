@@ -8,13 +8,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def resolve_aliases(persons: DataFrame, spark_table=None, rounds: int = 32) -> DataFrame:
+def resolve_aliases(persons: DataFrame, rounds: int = 32) -> DataFrame:
     """(person_id, canonical_id) by following merged_into to its end, by pointer jumping.
 
     A cycle resolves to its smallest id: ids on it keep the least they have passed.
     """
     now = persons.select("person_id", F.coalesce("merged_into", "person_id").alias("at"), F.least("person_id", F.coalesce("merged_into", "person_id")).alias("least"))
-    for _ in range(rounds):
+    for _ in range(min(rounds, persons.count().bit_length() + 1)):  # a chain is passed in doublings
         hop = now.select(F.col("person_id").alias("k"), F.col("at").alias("next"), F.col("least").alias("least_there"))
         step = now.join(hop, F.col("at") == F.col("k"), "left").select(
             "person_id", "at", F.coalesce("next", "at").alias("next"), F.least("least", F.coalesce("least_there", "least")).alias("least"))
