@@ -82,6 +82,13 @@ def near_duplicate_groups(hashes: DataFrame, most: int, not_duplicate: DataFrame
     return hashes.select("id").join(components(edges).toDF("id", "rep"), "id", "left").select("id", F.coalesce("rep", "id").alias("rep"))
 
 
+def group_union(members: DataFrame) -> DataFrame:
+    """(id, rep) of manual groups (gid, id): groups that share a row are one; rep is the least id."""
+    least = members.groupBy("gid").agg(F.min("id").alias("b"))
+    edges = members.join(least, "gid").select(F.col("id").alias("a"), "b")
+    return members.select("id").distinct().join(components(edges).toDF("id", "rep"), "id", "left").select("id", F.coalesce("rep", "id").alias("rep"))
+
+
 def greedy_groups(ids: DataFrame, pairs: DataFrame) -> DataFrame:
     """(id, rep): each row joins the group of its first earlier match; rows in id order.
 

@@ -112,6 +112,14 @@ def i1_near_duplicate_groups(t: Tables) -> DataFrame:
     return G.near_duplicate_groups(h, 7, h.where("id % 11 = 0").select("id"), manual)
 
 
+@query("SELECT o_orderkey AS id, o_orderkey - o_orderkey % 12 + CASE WHEN o_orderkey % 12 >= 6 THEN 6 ELSE 0 END AS rep FROM orders WHERE o_orderkey % 12 IN (0, 1, 2, 3, 6, 7, 8)")
+def g5_group_union(t: Tables) -> DataFrame:
+    k = F.col("o_orderkey")
+    threes = t.read("orders").where((k / 3).cast("long") % 2 == 0).select((k / 3).cast("long").alias("gid"), k.alias("id"))
+    twos = t.read("orders").where(k % 12 == 2).select((-k - 1).alias("gid"), F.explode(F.array(k, k + 1)).alias("id"))
+    return G.group_union(threes.unionByName(twos))
+
+
 @query(NEAR + " SELECT a, b, round(sim, 6) AS sim FROM pairs WHERE sim > 0.97")
 def c9_cosine_join(t: Tables) -> DataFrame:
     return J.block_pairs(t.blocks, t.blocks, 0.97, strict=True).select("a", "b", r6("sim"))
