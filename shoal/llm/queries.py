@@ -148,6 +148,46 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
 FROM q
 """
 
+def _level(k: int, keys: list[str], given: str, weights: dict[str, int]) -> str:
+    """CTEs that share each parent's budget among the children of level k."""
+    on, up = ", ".join(keys), keys[:-1]
+    weight = " ".join(["CASE", keys[-1], *[f"WHEN '{n}' THEN {w}" for n, w in weights.items()], "ELSE 1 END"])
+    part = f"PARTITION BY {', '.join(up)}" if up else ""
+    order = f"{part} ORDER BY cap / w, {keys[-1]}"
+    joined = f"JOIN b{k - 1} USING ({', '.join(up)})" if up else ""
+    return f"""
+n{k} AS (SELECT {on}, CAST(sum(cap) AS BIGINT) AS cap, CAST({weight} AS DOUBLE) AS w FROM leaves GROUP BY {on}),
+g{k} AS (SELECT {on}, cap, w, {given} AS given FROM n{k} {joined}),
+f{k} AS (SELECT *, greatest(0, given - coalesce(sum(cap) OVER ({order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS lft, sum(w) OVER ({order} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS wl FROM g{k}),
+e{k} AS (SELECT *, cap * wl <= lft * w AS sated FROM f{k}),
+a{k} AS (SELECT *, first_value(CASE WHEN NOT sated THEN {{'lft': lft, 'wl': wl}} END IGNORE NULLS) OVER ({order} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS first_open FROM e{k}),
+b{k} AS (SELECT {on}, CASE WHEN sated THEN cap ELSE least(CAST(floor(first_open.lft * w / first_open.wl) AS BIGINT), cap) END AS budget FROM a{k}),"""
+
+
+OP7_SQL = (
+    r"""
+WITH d AS (
+  SELECT doc_id, 'domain' || coalesce(CAST(try_cast(regexp_extract(source, '([0-9]+)$', 1) AS BIGINT) % 4 AS VARCHAR), '') AS domain, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    len(regexp_extract_all(coalesce(text, ''), '[^ \t\n\x0B\f\r]+')) AS n_tokens FROM documents
+), leaves AS (
+  SELECT domain, lang, source, CAST(sum(n_tokens) AS BIGINT) AS tokens, CAST(4 * sum(n_tokens) AS BIGINT) AS cap FROM d GROUP BY ALL
+),"""
+    + _level(1, ["domain"], "(SELECT CAST(least(sum(tokens), sum(cap)) AS BIGINT) FROM leaves)", MIX_WEIGHTS[0])
+    + _level(2, ["domain", "lang"], "budget", MIX_WEIGHTS[1])
+    + _level(3, ["domain", "lang", "source"], "budget", MIX_WEIGHTS[2])
+    + """
+plan AS (
+  SELECT l.*, budget, CASE WHEN tokens > 0 THEN budget // tokens ELSE 1 END AS whole FROM leaves l JOIN b3 USING (domain, lang, source)
+), r AS (
+  SELECT doc_id, domain, lang, source, n_tokens, tokens AS leaf_tokens, budget AS leaf_budget, whole, budget - whole * tokens AS rest FROM d JOIN plan USING (domain, lang, source)
+), run AS (
+  SELECT *, sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY md5('0|' || whole || '|' || doc_id), doc_id, n_tokens ROWS UNBOUNDED PRECEDING) AS upto FROM r
+)
+SELECT doc_id, domain, lang, source, n_tokens, leaf_tokens, leaf_budget, unnest(range(whole)) AS epoch FROM r
+UNION ALL SELECT doc_id, domain, lang, source, n_tokens, leaf_tokens, leaf_budget, whole FROM run WHERE rest > 0 AND upto <= rest
+"""
+)
+
 OP8_SQL = """
 WITH RECURSIVE v AS (
   SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
@@ -166,4 +206,4 @@ SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_ngram_join": OP4_SQL, "op5_url_filter": OP5_SQL, "op6_warc": OP6_SQL, "op8_embedding_dedup": OP8_SQL}
+    return {"op4_ngram_join": OP4_SQL, "op5_url_filter": OP5_SQL, "op6_warc": OP6_SQL, "op7_source_mix": OP7_SQL, "op8_embedding_dedup": OP8_SQL}

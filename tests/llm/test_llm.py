@@ -413,7 +413,7 @@ def test_rules_of_a_forest():
     assert {r.conditions for r in quality.rules_of(said)} == {((3, False, 0.5),), ((1, True, 2.0), (3, False, 0.5)), ((1, False, 2.0), (3, False, 0.5)), ((3, True, 0.5),)}
 
 
-@pytest.mark.parametrize("name", ["op5_url_filter", "op6_warc", "op8_embedding_dedup", "op4_ngram_join"])
+@pytest.mark.parametrize("name", ["op7_source_mix", "op5_url_filter", "op6_warc", "op8_embedding_dedup", "op4_ngram_join"])
 def test_queries_equal_sql(spark, name):
     assert_same(queries.queries()[name](spark, SF), tables(SF), queries.oracle_sql()[name])
 
