@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shoal.functions.groups import in_turn
+
 
 def good_faces(faces: DataFrame, score: float = 0.65, side: float = 80, yaw: float = 40) -> DataFrame:
     """Faces (det_score, x1, y1, x2, y2, yaw) good enough to learn from."""
@@ -51,7 +53,7 @@ def non_max_suppression(boxes: DataFrame, score: float = 0.5, overlap: float = 0
                 left &= both / (w[k] * h[k] + w * h - both + 1e-7) <= overlap
         return pdf.iloc[kept][["image", "box_id"]]
 
-    return boxes.where(F.col("score") >= score).groupBy("image").applyInPandas(run, "image long, box_id long")
+    return in_turn(boxes.where(F.col("score") >= score), "image", run, "image long, box_id long")
 
 
 def similarity_transform(points: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shoal.functions import text as T
+from shoal.functions.groups import in_turn
 from shoal.functions.vectors import dot
 
 
@@ -111,7 +112,7 @@ def match_phrases(queries: DataFrame, phrases: DataFrame, most_words: int = 6) -
                 keep.append(row)
         return pd.DataFrame(keep, columns=pdf.columns)
 
-    return hits.groupBy("q").applyInPandas(take, "q string, phrase string, start int, words int")
+    return in_turn(hits, "q", take, "q string, phrase string, start int, words int")
 
 
 def parse_queries(queries: DataFrame, names: DataFrame, places: DataFrame) -> DataFrame:
