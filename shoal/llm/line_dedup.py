@@ -11,20 +11,24 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import drop, table
 
-#: Lines a border's condition looks at; one in DIVISOR such windows ends a chunk.
-WINDOW, DIVISOR = 2, 2
+#: One in DIVISOR windows of two lines ends a chunk.
+DIVISOR = 2
 LEAST, MOST = 2, 8
 #: Lines longer than this are cut at sentence ends, so a paragraph is several lines too.
 LONG_LINE = 200
 SENTENCE = re.compile(r"(?<=[.!?] )")
-MULTIPLIER = 0x9E3779B97F4A7C15
+MULTIPLIER, MASK = 0x9E3779B97F4A7C15, (1 << 64) - 1
+#: The bitmap that tells which chunks may be repeated: 2**26 bits.
+BITMAP_BITS = 26
 
 
 def lines_of(text: str) -> list[str]:
@@ -38,12 +42,11 @@ def lines_of(text: str) -> list[str]:
 
 def chunks(lines: list[str]) -> list[tuple[int, int]]:
     """(first line, line after the last) of the chunks, of LEAST to MOST lines; the last may be shorter."""
-    out, start = [], 0
-    hashes = [xxhash.xxh64_intdigest(x.strip().encode("utf-8", "surrogatepass")) for x in lines]
-    for i in range(len(lines)):
-        rolled = 0
-        for h in hashes[max(0, i - WINDOW + 1) : i + 1]:
-            rolled = (rolled * MULTIPLIER + h) & (2**64 - 1)
+    out, start, last = [], 0, 0
+    for i, line in enumerate(lines):
+        h = xxhash.xxh64_intdigest(line.strip().encode("utf-8", "surrogatepass"))
+        rolled = (last * MULTIPLIER + h) & MASK  # over this line and the one before
+        last = h
         size = i + 1 - start
         if size >= MOST or size >= LEAST and (rolled >> 40) % DIVISOR == 0:
             out.append((start, i + 1))
@@ -53,26 +56,67 @@ def chunks(lines: list[str]) -> list[tuple[int, int]]:
     return out
 
 
-def cut(with_text: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(id, text) -> the multi-line chunks of each text: (id, place, hash, and the bytes if asked for)."""
+def bit_of(h: np.ndarray) -> np.ndarray:
+    """A hash's place in the bitmap: its highest BITMAP_BITS bits."""
+    return (h.view(np.uint64) >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)
+
+
+def bitmap(repeated: DataFrame) -> np.ndarray:
+    """Which places of the bitmap the repeated hashes take: 8 MB, whatever the corpus; more hashes only pass more chunks on."""
+    word = F.shiftrightunsigned("hash", 64 - BITMAP_BITS + 3).alias("byte")
+    bit = F.expr(f"shiftleft(1, cast(shiftrightunsigned(hash, {64 - BITMAP_BITS}) & 7 as int))")
+    found = repeated.groupBy(word).agg(F.bit_or(bit).cast("int").alias("bits")).toArrow()
+    out = np.zeros(1 << BITMAP_BITS - 3, np.uint8)
+    out[found.column("byte").to_numpy()] = found.column("bits").to_numpy()
+    return out
+
+
+def may_repeat(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    at = bit_of(h)
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+
+def chunk_hashes(text: str) -> tuple[list[bytes], list[int], np.ndarray]:
+    """(bytes, places, hashes) of the multi-line chunks of a text."""
+    lines = lines_of(text)
+    spans = [(p, a, b) for p, (a, b) in enumerate(chunks(lines)) if b - a >= LEAST]
+    data = ["".join(lines[a:b]).strip().encode("utf-8", "surrogatepass") for _, a, b in spans]
+    return data, [p for p, _, _ in spans], np.array([xxhash.xxh64_intdigest(d) for d in data], np.uint64).view(np.int64)
+
+
+def cut(sent: Broadcast | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(id, text) -> the multi-line chunks of each text: (id, place, hash), or with a bitmap those that may be repeated, with their bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 ids, places, hashes, texts = [], [], [], []
                 for doc, text in zip(*(c.to_pylist() for c in batch.slice(start, 512).columns), strict=True):
-                    lines = lines_of(text or "")
-                    for place, (a, b) in enumerate(chunks(lines)):
-                        if b - a >= LEAST:
-                            data = "".join(lines[a:b]).strip().encode("utf-8", "surrogatepass")
-                            h = xxhash.xxh64_intdigest(data)
-                            ids.append(doc), places.append(place), hashes.append(h - (1 << 64) if h >> 63 else h), texts.append(data)
-                columns = [pa.array(ids, pa.int64()), pa.array(places, pa.int32()), pa.array(hashes, pa.int64())] + ([pa.array(texts, pa.binary())] if with_text else [])
+                    data, at, h = chunk_hashes(text or "")
+                    if sent is not None and at:
+                        keep = np.flatnonzero(may_repeat(sent.value, h)).tolist()
+                        data, at, h = [data[k] for k in keep], [at[k] for k in keep], h[keep]
+                        texts += data
+                    ids += [doc] * len(at)
+                    places += at
+                    hashes += h.tolist()
+                columns = [pa.array(ids, pa.int64()), pa.array(places, pa.int32()), pa.array(hashes, pa.int64())] + ([] if sent is None else [pa.array(texts, pa.binary())])
                 yield pa.RecordBatch.from_arrays(columns, names=["doc", "place", "hash", "chunk"][: len(columns)])
 
     return run
 
 
+def pick(sent: Broadcast, repeating: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The rows (id, text) that hold a chunk which may be repeated, or those that hold none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            some = [bool(t) and bool(may_repeat(sent.value, chunk_hashes(t)[2]).any()) for t in batch.column(1).to_pylist()]
+            yield batch.filter(pa.array([x == repeating for x in some], pa.bool_()))
+
+    return run
+
+
 def rebuild(names: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """(id, text, removed places) -> the text that is left, and counts."""
 
@@ -108,13 +152,17 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFram
     rows = df.select(F.col(id_col).cast("long").alias("doc"), F.col(text).cast("string").alias("text"))
     known = rows.where("doc is not null")
     at = F.struct("doc", "place")
-    found = known.mapInArrow(cut(False), "doc long, place int, hash long")
+    found = known.mapInArrow(cut(None), "doc long, place int, hash long")
     repeated = table(found.groupBy("hash").agg(F.min(at).alias("low"), F.max(at).alias("high")).where("low <> high").select("hash"), "repeated")
-    texts = known.mapInArrow(cut(True), "doc long, place int, hash long, chunk binary")
+    sent = df.sparkSession.sparkContext.broadcast(bitmap(repeated))
+    texts = known.mapInArrow(cut(sent), "doc long, place int, hash long, chunk binary")
     same = table(texts.join(repeated, "hash"), "repeated-chunks")
     first = same.groupBy("hash", "chunk").agg(F.min(at).alias("first"), F.max(at).alias("final")).where("first <> final")
     gone = same.join(first.select("hash", "chunk", "first"), ["hash", "chunk"]).where(at != F.col("first"))
     gone = table(gone.groupBy("doc").agg(F.sort_array(F.collect_set("place")).alias("gone")), "removed-chunks")
     drop(repeated), drop(same)
     names = [id_col, "text", "n_lines", "n_chunks", "removed_chunks", "removed_lines"]
-    return rows.join(gone, "doc", "left").mapInArrow(rebuild(names), f"`{id_col}` long, text string, n_lines int, n_chunks int, removed_chunks int, removed_lines int")
+    # Texts without a chunk that may be repeated stay where they are; only the others meet their removed chunks.
+    touched = rows.mapInArrow(pick(sent, True), "doc long, text string").join(gone, "doc", "left")
+    others = rows.mapInArrow(pick(sent, False), "doc long, text string").withColumn("gone", F.lit(None).cast("array<int>"))
+    return touched.unionByName(others).mapInArrow(rebuild(names), f"`{id_col}` long, text string, n_lines int, n_chunks int, removed_chunks int, removed_lines int")
