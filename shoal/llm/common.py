@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -47,6 +48,12 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of the shuffle files of finished steps now: the driver's collector tells Spark's cleaner what no plan holds."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def share(spark: SparkSession, made: Any) -> Broadcast:
     """Broadcast the state of an object of this package; shared() makes it anew in a task."""
     return spark.sparkContext.broadcast(vars(made))

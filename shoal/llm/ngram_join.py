@@ -8,9 +8,9 @@ pair that is left is verified once on the full sets.
 Rarity comes from a table of counters over all documents, of fixed size and indexed by
 hash; it decides the order (any order is right), never what is compared. Equal sets
 are one class from the start. Links are wanted for components, so pairs that are already
-connected need no more verification: two rounds join neighbours in size of each shared
-prefix shingle, one pair for each two components, and a last round takes every pair of a
-shared prefix shingle that still lies in two components. That last round is complete.
+connected need no more verification: first each class meets one hub, then all classes that
+share a prefix shingle with another component meet that component's classes, in blocks.
+That last step is complete and yields links only, however large a group of near copies is.
 
 A shingle is a 64-bit hash of its words, a class is a 128-bit hash of its shingles.
 """
@@ -21,47 +21,103 @@ import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, drop, table
-
-#: Shingle counters: 2**COUNTER_BITS of 4 bytes, sent in blocks.
-COUNTER_BITS, BLOCK_BITS = 20, 14
-MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
-#: Entries of a worker's word cache at most.
-CACHE_WORDS = 500_000
+from .common import connected_components, drop, release, table
+
+#: Shingle counters: 2**COUNTER_BITS, sent in blocks and broadcast as a byte each (16 MB).
+COUNTER_BITS, BLOCK_BITS = 24, 16
+MULTIPLIER, MIXER = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
+#: Classes a task remembers to have sent, at most.
+CACHE_CLASSES = 200_000
+#: Bytes of text whose words are hashed at once, unless one text is longer.
+SLICE_BYTES = 1 << 20
+#: Sets of a block in the last step, about.
+BLOCK_SETS = 512
 #: Bins of the suffix filter.
 BINS = 64
-#: Documents whose arrays are in work at once in a task.
+#: Rows whose arrays are in work at once in a task.
 SLICE = 512
 
 
-class WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh64_intdigest(word)
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        self[word] = h
-        return h
+def mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * MIXER
+    return h ^ (h >> np.uint64(29))
+
 
+class Hasher:
+    """Shingle sets of texts: A-Z are lower-cased, words are what ASCII blanks part.
 
-def shingles(text: str | None, width: int, hashes: WordHashes) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the word shingles; A-Z are lower-cased, words are what ASCII blanks part."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    w = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-    span = min(width, len(w))
-    out = np.full(len(w) - span + 1, span, np.uint64)
-    for k in range(span):
-        out = out * MULTIPLIER + w[k : k + len(out)]
-        out ^= out >> np.uint64(29)
-    out = (out ^ (out >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    return np.unique(out ^ (out >> np.uint64(30)))
+    A word's hash is the difference of two prefix sums of its bytes' values times powers
+    of an odd number, divided by the power at its start, all modulo 2**64; so the words
+    of many texts are hashed together.
+    """
+
+    def __init__(self, width: int):
+        self.width = width
+        rng = np.random.default_rng(20_240_607)
+        values = rng.integers(0, 1 << 64, 256, np.uint64)
+        values[65:91] = values[97:123]
+        self.values = values
+        self.base = int(rng.integers(0, 1 << 63)) * 2 + 1
+        self.blank = np.zeros(256, bool)
+        self.blank[[9, 10, 11, 12, 13, 32]] = True
+        self.powers = self.inverse = np.zeros(0, np.uint64)
+
+    def _grow(self, n: int) -> None:
+        if len(self.powers) < n:
+            n = 1 << (n - 1).bit_length()
+            self.powers, self.inverse = (np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(n - 1, x, np.uint64)])) for x in (self.base, pow(self.base, -1, 1 << 64)))
+
+    def sets(self, column: pa.Array) -> Iterator[np.ndarray]:
+        """The sorted distinct shingle hashes of each text of a column, in its order."""
+        column = column.cast(pa.large_binary())
+        if column.null_count:
+            column = column.fill_null(b"")
+        _, at, data = column.buffers()
+        at = np.frombuffer(at, np.int64)[column.offset : column.offset + len(column) + 1]
+        data = np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)
+        first = 0
+        while first < len(column):
+            last = max(first + 1, int(np.searchsorted(at, at[first] + SLICE_BYTES, "right")) - 1)
+            yield from self._slice(data[at[first] : at[last]], at[first : last + 1] - at[first])
+            first = last
+
+    def _slice(self, data: np.ndarray, at: np.ndarray) -> Iterator[np.ndarray]:
+        n = len(data)
+        self._grow(n + 1)
+        word = ~self.blank[data]
+        cut = np.zeros(n + 1, bool)  # a text begins here
+        cut[at] = True
+        cut[0] = cut[n] = True
+        begin = np.flatnonzero(word & (cut[:n] | ~np.concatenate([[False], word[: n - 1]]))) if n else np.zeros(0, np.int64)
+        end = np.flatnonzero(word & (cut[1:] | ~np.concatenate([word[1:], [False]]))) + 1 if n else begin
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(self.values[data] * self.powers[:n], out=sums[1:])
+        words = mixed((sums[end] - sums[begin]) * self.inverse[begin] + (end - begin).astype(np.uint64))
+        places = np.searchsorted(begin, at)
+        rolled = np.full(max(0, len(words) - self.width + 1), self.width, np.uint64)
+        for k in range(self.width):
+            rolled = rolled * MULTIPLIER + words[k : k + len(rolled)]
+            rolled ^= rolled >> np.uint64(29)
+        rolled = mixed(rolled)
+        for a, b in zip(places[:-1].tolist(), places[1:].tolist(), strict=True):
+            if b - a >= self.width:
+                s = np.sort(rolled[a : b - self.width + 1])
+                yield s[np.concatenate([[True], s[1:] != s[:-1]])]
+            elif b > a:  # the whole sequence, told from others by its length
+                h = np.full(1, b - a, np.uint64)
+                for k in range(a, b):
+                    h = h * MULTIPLIER + words[k]
+                    h ^= h >> np.uint64(29)
+                yield mixed(h)
+            else:
+                yield np.zeros(0, np.uint64)
 
 
 def signed(h: int) -> int:
@@ -74,45 +130,49 @@ def describe(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
     names = ["doc_id", "n", "k1", "k2", "block", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        counts = np.zeros(1 << COUNTER_BITS, np.int64)
-        some = False
+        hasher, counts = Hasher(width), None
         for batch in batches:
-            for start in range(0, batch.num_rows, SLICE):
-                part = batch.slice(start, SLICE)
-                sets = [shingles(t.as_py(), width, hashes) for t in part.column(1)]
-                counts += np.bincount((np.concatenate(sets) >> np.uint64(64 - COUNTER_BITS)).astype(np.int64), minlength=len(counts))
-                some = True
-                keys = [xxhash.xxh3_128_intdigest(s.tobytes()) for s in sets]
-                halves = [pa.array([signed(k >> 64) for k in keys], pa.int64()), pa.array([signed(k & (1 << 64) - 1) for k in keys], pa.int64())]
-                none = [pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary())]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int32()), *halves, *none], names=names)
-        if some:
-            blocks = np.minimum(counts, 2**32 - 1).astype(np.uint32).reshape(-1, 1 << BLOCK_BITS)
-            none = [pa.nulls(len(blocks), t) for t in (pa.int64(), pa.int32(), pa.int64(), pa.int64())]
-            data = pa.array([zlib.compress(b.tobytes(), 1) for b in blocks], pa.binary())
-            yield pa.RecordBatch.from_arrays([*none, pa.array(range(len(blocks)), pa.int32()), data], names=names)
+            sets, held = [], []
+            counts = np.zeros(1 << COUNTER_BITS, np.uint32) if counts is None else counts
+            for s in hasher.sets(batch.column(1)):
+                sets.append((len(s), xxhash.xxh3_128_intdigest(s.tobytes())))
+                held.append(s >> np.uint64(64 - COUNTER_BITS))
+                if len(held) == SLICE or len(sets) == batch.num_rows:
+                    places, n = np.unique(np.concatenate(held), return_counts=True)
+                    counts[places] += n.astype(np.uint32)
+                    held = []
+            halves = [pa.array([signed(k >> 64) for _, k in sets], pa.int64()), pa.array([signed(k & (1 << 64) - 1) for _, k in sets], pa.int64())]
+            none = [pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for n, _ in sets], pa.int32()), *halves, *none], names=names)
+        if counts is not None:
+            blocks = counts.reshape(-1, 1 << BLOCK_BITS)
+            for start in range(0, len(blocks), 32):
+                part = range(start, min(len(blocks), start + 32))
+                none = [pa.nulls(len(part), t) for t in (pa.int64(), pa.int32(), pa.int64(), pa.int64())]
+                data = pa.array([zlib.compress(blocks[b].tobytes(), 1) for b in part], pa.binary())
+                yield pa.RecordBatch.from_arrays([*none, pa.array(part, pa.int32()), data], names=names)
 
     return run
 
 
 def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sum counter blocks of a partition as they come: one array a block is held."""
+    """Sum counter blocks of a partition as they come (an array a block is held) and keep a byte of each: eight steps a doubling."""
     sums: dict[int, np.ndarray] = {}
     for batch in batches:
         for block, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            counts = np.frombuffer(zlib.decompress(data), np.uint32).astype(np.uint64)
-            sums[block] = sums[block] + counts if block in sums else counts
-    yield pa.RecordBatch.from_pydict({"block": pa.array(list(sums), pa.int32()), "counts": pa.array([zlib.compress(np.minimum(c, 2**32 - 1).astype(np.uint32).tobytes(), 1) for c in sums.values()], pa.binary())})
+            counts = np.frombuffer(zlib.decompress(data), np.uint32)
+            sums[block] = sums[block] + counts if block in sums else counts.astype(np.uint64)
+    levels = [np.minimum(255, 8 * np.log2(1.0 + c)).astype(np.uint8).tobytes() for c in sums.values()]
+    yield pa.RecordBatch.from_pydict({"block": pa.array(list(sums), pa.int32()), "levels": pa.array(levels, pa.binary())})
 
 
-def counters(described: DataFrame) -> np.ndarray:
-    """How often each hash bucket occurs over all documents: 4 MB, whatever the corpus."""
+def rarity(described: DataFrame) -> np.ndarray:
+    """How often each hash bucket occurs over all documents, as a byte: 16 MB, whatever the corpus."""
     blocks = described.where("block is not null").select("block", "counts")
-    summed = blocks.repartition(F.col("block")).mapInArrow(add_up, "block int, counts binary")
-    out = np.zeros((1 << COUNTER_BITS - BLOCK_BITS, 1 << BLOCK_BITS), np.uint32)
-    for block, data in summed.collect():
-        out[block] += np.frombuffer(zlib.decompress(data), np.uint32)
+    summed = blocks.repartition(F.col("block")).mapInArrow(add_up, "block int, levels binary")
+    out = np.zeros((1 << COUNTER_BITS - BLOCK_BITS, 1 << BLOCK_BITS), np.uint8)
+    for block, levels in summed.collect():
+        out[block] = np.frombuffer(levels, np.uint8)
     return out.ravel()
 
 
@@ -124,28 +184,30 @@ def prefixes(width: int, percent: int, sent: Broadcast) -> Callable[[Iterator[pa
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, counts, met = WordHashes(), sent.value, set()
+        hasher, levels, met = Hasher(width), sent.value, set()
+
+        def made(out: list[tuple[np.ndarray, int, int]]) -> pa.RecordBatch:
+            lengths = [len(o[0]) for o in out]
+            each = lambda k, t: pa.array(np.repeat(np.array([o[k] for o in out], t), lengths))
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[0] for o in out]).view(np.int64)), each(1, np.int64), each(2, np.int32),
+                                               pa.array(np.concatenate([np.arange(m, dtype=np.int32) for m in lengths]))], names=["hash", "key", "n", "pos"])
+
         for batch in batches:
-            for start in range(0, batch.num_rows, SLICE):
-                out = []
-                for t in batch.column(0).slice(start, SLICE):
-                    s = shingles(t.as_py(), width, hashes)
-                    n = len(s)
-                    key = xxhash.xxh3_128_intdigest(s.tobytes())
-                    if not n or key in met:  # copies in one task count once; those of other tasks meet in the join
-                        continue
-                    if len(met) >= CACHE_WORDS:
-                        met.clear()
-                    met.add(key)
-                    order = np.lexsort((s, counts[(s >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)]))
-                    most = n - -(-percent * n // 100) + 1
-                    out.append((s[order[:most]], signed(key >> 64), n, most))
-                if out:
-                    lengths = [o[3] for o in out]
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array(np.concatenate([o[0] for o in out]).view(np.int64)), pa.array(np.repeat(np.array([o[1] for o in out], np.int64), lengths)),
-                        pa.array(np.repeat(np.array([o[2] for o in out], np.int32), lengths)), pa.array(np.concatenate([np.arange(m, dtype=np.int32) for m in lengths])),
-                    ], names=["hash", "key", "n", "pos"])
+            out = []
+            for s in hasher.sets(batch.column(0)):
+                n, key = len(s), xxhash.xxh3_128_intdigest(s.tobytes())
+                if not n or key in met:  # copies in one task count once; those of other tasks meet in the join
+                    continue
+                if len(met) >= CACHE_CLASSES:
+                    met.clear()
+                met.add(key)
+                order = np.argsort(levels[(s >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)], kind="stable")  # s is sorted: ties by hash
+                out.append((s[order[: n - -(-percent * n // 100) + 1]], signed(key >> 64), n))
+                if len(out) == SLICE:
+                    yield made(out)
+                    out = []
+            if out:
+                yield made(out)
 
     return run
 
@@ -156,16 +218,25 @@ def bins(s: np.ndarray) -> np.ndarray:
 
 
 def sets_of(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(key, text) -> (key, bins, shingles) of the texts that are of the class the key names."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hasher = Hasher(width)
+
+        def made(out: list[tuple[int, bytes, bytes]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["key", "bins", "shingles"])
+
         for batch in batches:
-            for start in range(0, batch.num_rows, SLICE):
-                part = batch.slice(start, SLICE)
-                sets = [shingles(t.as_py(), width, hashes) for t in part.column(1)]
+            out = []
+            for key, s in zip(batch.column(0).to_pylist(), hasher.sets(batch.column(1)), strict=True):
                 # An id that repeats with other texts comes along with them; its class tells them apart.
-                same = [k == signed(xxhash.xxh3_128_intdigest(s.tobytes()) >> 64) for k, s in zip(part.column(0).to_pylist(), sets, strict=True)]
-                part, sets = part.filter(pa.array(same, pa.bool_())), [s for s, own in zip(sets, same, strict=True) if own]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([bins(s).tobytes() for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["key", "bins", "shingles"])
+                if signed(xxhash.xxh3_128_intdigest(s.tobytes()) >> 64) == key:
+                    out.append((key, bins(s).tobytes(), s.tobytes()))
+                if len(out) == SLICE:
+                    yield made(out)
+                    out = []
+            if out:
+                yield made(out)
 
     return run
 
@@ -216,52 +287,129 @@ def similar(pairs: DataFrame, sets: DataFrame, percent: int, name: str) -> DataF
 def enough(a_n: Column, b_n: Column, a_pos: Column, b_pos: Column, percent: int) -> Column:
     """Length and positional filter for two sets that share a shingle at these places of the common order."""
     need = F.ceil(F.lit(percent) * (a_n + b_n) / F.lit(100 + percent))
-    most = F.least(a_pos, b_pos) + 1 + F.least(a_n - a_pos, b_n - b_pos) - 1
+    most = F.least(a_pos, b_pos) + F.least(a_n - a_pos, b_n - b_pos)
     return (100 * F.least(a_n, b_n) >= percent * F.greatest(a_n, b_n)) & (most >= need)
 
 
-def rounds(shared: DataFrame, sets: DataFrame, percent: int, quick: int = 2) -> DataFrame:
+def index_prefix(n: Column, percent: int) -> Column:
+    """Length of the prefix of the shorter set of a pair that must meet the prefix of the longer one."""
+    return n - F.ceil(F.lit(2 * percent) * n / F.lit(100 + percent)) + 1
+
+
+def hub_links(shared: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """First links: each class with the hub it shares most prefix shingles with.
+
+    The hub of a shingle is the class whose prefix shingles are shared most in all: of near
+    copies the one nearest to all others.
+    """
+    sizes = shared.groupBy("hash").agg(F.count("*").alias("c"))
+    known = shared.join(sizes, "hash").groupBy("key").agg(F.sum("c").alias("fame"))
+    hubs = shared.join(known, "key").groupBy("hash").agg(F.max_by(F.struct("key", "n", "pos"), F.struct("fame", "key")).alias("hub"))
+    near = shared.join(hubs, "hash").where((F.col("key") != F.col("hub.key")) & enough(F.col("hub.n"), F.col("n"), F.col("hub.pos"), F.col("pos"), percent))
+    best = near.groupBy("key", F.col("hub.key").alias("hub")).agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("hub", F.struct("c", "hub")).alias("hub"))
+    pairs = table(best.select(F.least("key", "hub").alias("a"), F.greatest("key", "hub").alias("b")).distinct(), "pairs")
+    return similar(pairs, sets, percent, "links")
+
+
+def may_link(rows: DataFrame, percent: int) -> DataFrame:
+    """Rows (hash, key, n, pos, label, size) of classes that could still link beyond their component.
+
+    Only shingles of several components count, and a class needs so many of them: two sets
+    whose prefixes share c shingles share at most c and the longer remainder.
+    """
+    groups = rows.groupBy("hash").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("n").alias("n_lo"), F.max("n").alias("n_hi")).where("lo <> hi")
+    rows = rows.join(groups.drop("lo", "hi"), "hash")
+    own = rows.groupBy("key", "n").agg(F.count("*").alias("c"), F.min("n_lo").alias("n_lo"), F.max("n_hi").alias("n_hi"))
+    p, t = percent / (100 + percent), percent / 100
+    low, high = F.least(F.col("n"), F.greatest(F.col("n_lo"), t * F.col("n"))), F.greatest(F.col("n"), F.least(F.col("n_hi"), F.col("n") / t))
+    least = F.least(p * (F.col("n") + low) - t * F.col("n"), p * (F.col("n") + high) - t * high)
+    fit = own.where(F.col("c") >= least - 1e-6).select("key")
+    return rows.drop("n_lo", "n_hi").join(fit, "key", "left_semi")
+
+
+def check_block(percent: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+    """Verify a block of classes against a block of a component's: links (a, b)."""
+
+    def run(xs: pd.DataFrame, ys: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(xs) and len(ys):
+            two = [np.frombuffer(s, np.uint64) for s in ys["shingles"]]
+            lengths = np.array([len(s) for s in two])
+            every, owner = np.concatenate(two), np.repeat(np.arange(len(two)), lengths)
+            order = np.argsort(every, kind="stable")
+            every, owner = every[order], owner[order]
+            keys = ys["key"].to_numpy()
+            for x, data in zip(xs["x"], xs["shingles"], strict=True):
+                one = np.frombuffer(data, np.uint64)
+                lo, hi = np.searchsorted(every, one, "left"), np.searchsorted(every, one, "right")
+                n = hi - lo
+                at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+                both = np.bincount(owner[at], minlength=len(two))
+                fits = np.flatnonzero((100 * both >= percent * (len(one) + lengths - both)) & (both > 0))
+                out += [(min(x, k), max(x, k)) for k in keys[fits].tolist()]
+        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+
+    return run
+
+
+def last_links(shared: DataFrame, sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """All links between components: classes that share a prefix shingle with a component meet the whole of it, in blocks.
+
+    A pair is met from the smaller component. What a task holds is two blocks of sets.
+    """
+    sizes = labels.groupBy("component").agg(F.count("*").alias("size"))
+    named = labels.join(sizes, "component").select(F.col("node").alias("key"), F.col("component").alias("label"), "size")
+    rows = shared.join(named, "key", "left").withColumn("label", F.coalesce("label", "key")).withColumn("size", F.coalesce("size", F.lit(1)))
+    rows = table(may_link(rows, percent), "rows")
+    held = rows.groupBy("hash", "label", "size").agg(F.min("n").alias("n_lo"), F.max("n").alias("n_hi"), F.min("pos").alias("p_lo"))
+    x, y = rows.alias("x"), held.alias("y")
+    larger = F.struct("y.size", "y.label") > F.struct("x.size", "x.label")
+    long_enough = (100 * F.col("x.n") >= percent * F.col("y.n_lo")) & (100 * F.col("y.n_hi") >= percent * F.col("x.n"))
+    early = (F.col("x.pos") < index_prefix(F.col("x.n"), percent)) | (F.col("y.p_lo") < index_prefix(F.col("y.n_hi"), percent))
+    met = x.join(y, (F.col("x.hash") == F.col("y.hash")) & larger & long_enough & early).select(F.col("x.key").alias("x"), F.col("y.label").alias("label")).distinct()
+    met = table(met, "met")
+    drop(rows)
+    # Blocks of a component's sets, and of the classes that meet it.
+    split = met.groupBy("label").agg(F.ceil(F.count("*") / BLOCK_SETS).cast("int").alias("x_blocks"))
+    block = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    full = sets.select("key", "shingles")
+    wanted = split.join(sizes.select(F.col("component").alias("label"), "size"), "label", "left").select("label", "x_blocks", F.ceil(F.coalesce("size", F.lit(1)) / BLOCK_SETS).cast("int").alias("y_blocks"))
+    wanted = table(wanted, "wanted")
+    # Who goes where is settled on keys alone; the sets move once to each side.
+    xs = table(met.join(wanted, "label").withColumn("xb", block("x", "x_blocks")).withColumn("yb", spread("y_blocks")).select("label", "xb", "yb", "x"), "one-side")
+    ys = sets.select("key").join(named.select("key", "label"), "key", "left").withColumn("label", F.coalesce("label", "key")).join(wanted, "label")
+    ys = table(ys.withColumn("yb", block("key", "y_blocks")).withColumn("xb", spread("x_blocks")).select("label", "xb", "yb", "key"), "other-side")
+    xs, ys = xs.join(full.withColumnRenamed("key", "x"), "x"), ys.join(full, "key")
+    by = ["label", "xb", "yb"]
+    fresh = lambda df, *names: df.select(*[F.col(c).alias(c) for c in (*by, *names)])  # noqa: E731  # columns of their own, for the cogroup
+    links = fresh(xs, "x", "shingles").groupBy(*by).cogroup(fresh(ys, "key", "shingles").groupBy(*by)).applyInPandas(check_block(percent), "a long, b long")
+    return table(links, "links")
+
+
+def rounds(shared: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Components (node, component) of the classes in `shared` (hash, key, n, pos)."""
-    spark = shared.sparkSession
-    links = spark.createDataFrame([], "a long, b long")
-    labels = spark.createDataFrame([], "node long, component long")
-    tried = spark.createDataFrame([], "a long, b long")
+    links = hub_links(shared, sets, percent)
+    release(shared.sparkSession)
+    labels = connected_components(links)
+    more = last_links(shared, sets, labels, percent)
+    return connected_components(links.unionByName(more)) if not more.isEmpty() else labels
+
+
+def shared_prefixes(rows: DataFrame, width: int, percent: int, sent: Broadcast) -> DataFrame:
+    """(hash, key, n, pos) of the prefix shingles that several classes share."""
+    prefix = rows.select("text").mapInArrow(prefixes(width, percent, sent), "hash long, key long, n int, pos int")
+    # Under a hash, rows stand by class: a copy is the class before it, and a hash of one class joins nothing.
     w = Window.partitionBy("hash").orderBy("n", "key")
-    for r in range(quick + 1):
-        rows = shared.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("component", "key")).drop("component")
-        if r:
-            mixed = rows.groupBy("hash").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("hash")
-            rows = table(rows.join(mixed, "hash"), "mixed")
-        if r < quick:
-            # Neighbours in size under a shared prefix shingle, when they lie in different components.
-            before = F.lag(F.struct("key", "n", "pos", "label")).over(w)
-            near = rows.withColumn("p", before).where((F.col("p.label") != F.col("label")) & enough(F.col("p.n"), F.col("n"), F.col("p.pos"), F.col("pos"), percent))
-            near = near.select(F.least("key", "p.key").alias("a"), F.greatest("key", "p.key").alias("b"), F.least("label", "p.label").alias("la"), F.greatest("label", "p.label").alias("lb"))
-            counted = near.groupBy("la", "lb", "a", "b").agg(F.count("*").alias("c"))
-            best = counted.groupBy("la", "lb").agg(F.max_by(F.struct("a", "b", "c"), F.struct("c", "a", "b")).alias("x"))
-            if not r:  # then of all partners the one that shares most
-                best = best.groupBy("lb").agg(F.max_by("x", F.struct("x.c", "x.a")).alias("x"))
-            pairs = best.select("x.a", "x.b").distinct()
-        else:
-            # Whatever lies outside the commonest component of a shingle's group meets the whole group.
-            sizes = rows.groupBy("hash", "label").agg(F.count("*").alias("c"))
-            top = sizes.groupBy("hash").agg(F.max_by("label", F.struct("c", "label")).alias("top"))
-            few = rows.join(top, "hash").where("label <> top").drop("top")
-            x, y = few.alias("x"), rows.alias("y")
-            met = x.join(y, (F.col("x.hash") == F.col("y.hash")) & (F.col("x.label") != F.col("y.label"))
-                         & enough(F.col("x.n"), F.col("y.n"), F.col("x.pos"), F.col("y.pos"), percent))
-            pairs = met.select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct()
-        pairs = table(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        if pairs.isEmpty():
-            if r < quick:
-                continue
-            break
-        tried = tried.unionByName(pairs)
-        links = links.unionByName(similar(pairs, sets, percent, "links"))
-        labels = connected_components(links)
-        if r:
-            drop(rows)
-    return labels
+    beside = prefix.withColumn("last", F.lag("key").over(w)).withColumn("next", F.lead("key").over(w)).where("last is null or last <> key")
+    return table(beside.where("last is not null or next is not null").select("hash", "key", "n", "pos"), "shared")
+
+
+def sets_table(rows: DataFrame, shared: DataFrame, classes: DataFrame, width: int) -> DataFrame:
+    """(key, bins, shingles) of the classes that share a prefix shingle, each from its first document."""
+    wanted = shared.select("key").distinct().join(classes.groupBy(F.col("k1").alias("key")).agg(F.min("rep").alias("doc_id")), "key")
+    texts = rows.join(wanted, "doc_id").dropDuplicates(["doc_id", "key", "text"]).select("key", "text")
+    return table(texts.mapInArrow(sets_of(width), "key long, bins binary, shingles binary"), "sets")
 
 
 def jaccard_groups(df: DataFrame, percent: int = 75, width: int = 5, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -278,19 +426,14 @@ def jaccard_groups(df: DataFrame, percent: int = 75, width: int = 5, id_col: str
     spark = df.sparkSession
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     described = table(rows.mapInArrow(describe(width), "doc_id long, n int, k1 long, k2 long, block int, counts binary"), "described")
-    docs = described.where("block is null").select("doc_id", "n", "k1", "k2")
+    docs = table(described.where("block is null").select("doc_id", "n", "k1", "k2"), "docs")
     classes = table(docs.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep")), "classes")
-    sent = spark.sparkContext.broadcast(counters(described))
-    prefix = rows.select("text").mapInArrow(prefixes(width, percent, sent), "hash long, key long, n int, pos int")
-    # Under a hash, rows stand by class: a copy is the class before it, and a hash of one class joins nothing.
-    w = Window.partitionBy("hash").orderBy("n", "key")
-    last, first = F.lag("key").over(w), F.lead("key").over(w)
-    beside = prefix.withColumn("last", last).withColumn("next", first).where("last is null or last <> key")
-    beside = beside.where("last is not null or next is not null")
-    shared = table(beside.select("hash", "key", "n", "pos"), "shared")
-    wanted = shared.select("key").distinct().join(classes.groupBy(F.col("k1").alias("key")).agg(F.min("rep").alias("doc_id")), "key")
-    sets = rows.join(wanted, "doc_id").dropDuplicates(["doc_id", "key", "text"]).select("key", "text").mapInArrow(sets_of(width), "key long, bins binary, shingles binary")
-    sets = table(sets, "sets")
+    sent = spark.sparkContext.broadcast(rarity(described))
+    drop(described)
+    shared = shared_prefixes(rows, width, percent, sent)
+    release(spark)
+    sets = sets_table(rows, shared, classes, width)
+    release(spark)
     labels = rounds(shared, sets, percent)
     drop(shared), drop(sets)
     named = classes.join(labels.toDF("k1", "label"), "k1", "left").withColumn("label", F.coalesce("label", "k1"))
