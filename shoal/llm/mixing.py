@@ -19,8 +19,6 @@ from pyspark.sql import functions as F
 from .common import table
 
 LEVELS = ("domain", "lang", "source")
-#: Documents of a bucket of a leaf's seeded order, about; only one bucket a leaf is sorted.
-BUCKET_DOCS = 20_000
 #: Leaves whose plan is broadcast at most; beyond, the plan is joined by shuffle.
 BROADCAST_LEAVES = 100_000
 
@@ -91,11 +89,12 @@ def mix(df: DataFrame, domain: Column, budget: float, weights: Sequence[Mapping[
     plan = table(leaves.join(budgets(leaves, int(budget * total), [weight_of(c, w) for c, w in zip(LEVELS, weights, strict=True)]), list(LEVELS))
                  .withColumn("whole", F.when(F.col("tokens") > 0, F.floor(F.col("budget") / F.col("tokens"))).otherwise(1).cast("int"))
                  .withColumn("rest", F.col("budget") - F.col("whole") * F.col("tokens"))
-                 .withColumn("buckets", F.ceil(F.col("n_docs") / BUCKET_DOCS)), "mix-plan")
+                 .withColumn("buckets", F.ceil(F.sqrt("n_docs"))), "mix-plan")
     near = F.broadcast if n_leaves <= BROADCAST_LEAVES else (lambda x: x)
     order = F.md5(F.concat_ws("|", F.lit(seed), F.col("whole").cast("string"), F.col(id_col).cast("string")))
     rows = docs.join(near(plan.select(*LEVELS, "tokens", "budget", "whole", "rest", "buckets")), list(LEVELS)).withColumn("order", order)
-    # The seeded order is cut by its first 32 bits into even buckets; whole buckets are added up first.
+    # The seeded order is cut by its first 32 bits into as many buckets as each has documents, about:
+    # whole buckets are added up first, and only one bucket a leaf is sorted.
     rows = rows.withColumn("bucket", F.floor(F.conv(F.substring("order", 1, 8), 16, 10).cast("double") / F.lit(4294967296.0) * F.col("buckets")).cast("long"))
     sums = rows.groupBy(*LEVELS, "bucket").agg(F.sum("n_tokens").alias("n"), F.first("rest").alias("rest"))
     run = F.sum("n").over(Window.partitionBy(*LEVELS).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
