@@ -1,18 +1,21 @@
-"""Removal of repeated multi-line chunks with content-defined borders.
-
-Each line has a hash; a rolling hash over the last few line hashes ends a chunk where it
-meets a condition, so the same lines are cut alike wherever they stand in a text. Hashes
-find chunks that occur more than once anywhere; their bytes are compared before any but
-the first occurrence (by document, then place) is removed.
+"""Removal of repeated passages in chunks with content-defined borders.
+
+A text is a row of parts: its lines, long ones cut where a word's hash is below those of
+the words beside it. A chunk ends after a part whose hash is below those of the parts
+beside it. So a border depends on a few words around it and on nothing before them, and a
+passage is cut alike wherever it stands, but for its ends. Hashes find chunks that occur
+more than once anywhere; their bytes are compared before any but the first occurrence (by
+document, then place) is removed.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
@@ -20,40 +23,149 @@ from pyspark.sql import functions as F
 
 from .common import drop, table
 
-#: One in DIVISOR windows of two lines ends a chunk.
-DIVISOR = 2
-LEAST, MOST = 2, 8
-#: Lines longer than this are cut at sentence ends, so a paragraph is several lines too.
-LONG_LINE = 200
-SENTENCE = re.compile(r"(?<=[.!?] )")
-MULTIPLIER, MASK = 0x9E3779B97F4A7C15, (1 << 64) - 1
+#: A chunk is so many parts at least, about three on average.
+LEAST = 2
+#: A line that stands many times in a row has a border after each so many.
+RUN = 4
+#: Lines of more bytes than this are cut, into parts of 2 words at least, about three on average.
+LONG_LINE = 40
+#: Bytes up to this one are blanks.
+BLANK = 32
+#: Bytes of text in work at once, unless one text is longer.
+SLICE_BYTES = 1 << 20
+BASE, MIXER = 0x9E3779B97F4A7C15, np.uint64(0xBF58476D1CE4E5B9)
 #: The bitmap that tells which chunks may be repeated: 2**26 bits.
 BITMAP_BITS = 26
 
 
+def mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * MIXER
+    return h ^ (h >> np.uint64(29))
+
+
+LETTERS = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(BASE))
+#: Powers of BASE and of its inverse (modulo 2**64), as many as the longest slice so far took.
+POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def powers(n: int) -> list[np.ndarray]:
+    if len(POWERS[0]) < n:
+        for k, base in enumerate((BASE, pow(BASE, -1, 1 << 64))):
+            out = np.full(n, base, np.uint64)
+            out[0] = 1
+            POWERS[k] = np.multiply.accumulate(out)
+    return POWERS
+
+
+class Rolling:
+    """Hashes of any runs of bytes of `data`: the same for the same bytes, wherever they stand."""
+
+    def __init__(self, data: np.ndarray):
+        up, self.down = powers(len(data) + 1)
+        self.sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(LETTERS[data] * up[: len(data)], out=self.sums[1:])
+
+    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return mixed((self.sums[end] - self.sums[start]) * self.down[start])
+
+
+def below(h: np.ndarray) -> np.ndarray:
+    """Which hashes are below both of their neighbours; the two at the ends aren't."""
+    out = np.zeros(len(h), bool)
+    out[1:-1] = (h[1:-1] < h[:-2]) & (h[1:-1] < h[2:])
+    return out
+
+
+def alike(owner: np.ndarray, by: int) -> np.ndarray:
+    """Which entries have an owner that the entry `by` places on has too."""
+    out = np.zeros(len(owner), bool)
+    if by > 0:
+        out[:-by] = owner[:-by] == owner[by:]
+    else:
+        out[-by:] = owner[-by:] == owner[:by]
+    return out
+
+
+def firsts(owner: np.ndarray) -> np.ndarray:
+    return ~alike(owner, -1)
+
+
+def chunk_starts(h: np.ndarray, owner: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    """Which parts begin a chunk, by the hashes and texts of the parts and which are whole lines; no chunk is of one part, unless its text is."""
+    ends = below(h) & alike(owner, -1) & alike(owner, 2)
+    out = firsts(owner)
+    out[1:] |= ends[:-1]
+    again = ~firsts(h) & ~firsts(owner) & whole
+    again[1:] &= whole[:-1]
+    at = np.arange(len(h))
+    turn = at - np.maximum.accumulate(np.where(again, 0, at))
+    return out | again & (turn % RUN == 0) & alike(owner, 1)
+
+
+class Layout(NamedTuple):
+    """Parts and chunks of texts: where parts start, of which text each chunk is, its first part, its number of parts and its bytes but for blanks at the ends."""
+
+    part_start: np.ndarray
+    part_text: np.ndarray
+    text: np.ndarray
+    part: np.ndarray
+    size: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+
+
+def layout(data: np.ndarray, ends: np.ndarray) -> Layout:
+    """The layout of texts that stand one after the other in `data`, each up to its end. Texts of blanks have no parts."""
+    solid = data > BLANK
+    full = np.diff(ends, prepend=0) > 0
+    begun, done = solid.copy(), solid.copy()
+    begun[1:] &= ~solid[:-1]
+    done[:-1] &= ~solid[1:]
+    heads, tails = (ends - np.diff(ends, prepend=0))[full], ends[full] - 1
+    begun[heads], done[tails] = solid[heads], solid[tails]
+    start, end = np.flatnonzero(begun), np.flatnonzero(done) + 1
+    if not len(start):
+        none = np.zeros(0, np.int64)
+        return Layout(none, none, none, none, none, none, none)
+    rolling = Rolling(data)
+    text = np.searchsorted(ends, start, "right")
+    line = np.searchsorted(np.flatnonzero(data == 10), start) + text  # grows with lines and texts
+    fresh = firsts(line)
+    at = np.flatnonzero(fresh)
+    length = end[np.append(at[1:], len(start)) - 1] - start[at]
+    cut = below(rolling.of(start, end)) & alike(line, -2) & alike(line, 1) & (length > LONG_LINE)[np.cumsum(fresh) - 1]
+    word = np.flatnonzero(fresh | cut)
+    part_end = end[np.append(word[1:], len(start)) - 1]
+    part_start, part_text = start[word], text[word]
+    whole = fresh[word] & np.append(fresh[word][1:], True)
+    part = np.flatnonzero(chunk_starts(rolling.of(part_start, part_end), part_text, whole))
+    size = np.diff(np.append(part, len(word)))
+    return Layout(part_start, part_text, part_text[part], part, size, part_start[part], part_end[part + size - 1])
+
+
+def encoded(text: str) -> bytes:
+    return text.encode("utf-8", "surrogatepass")
+
+
 def lines_of(text: str) -> list[str]:
-    """A text's lines with their ends; long ones are cut after `. `, `! ` and `? `. The parts joined give the text."""
-    out: list[str] = []
-    for line in text.split("\n"):
-        out += SENTENCE.split(line + "\n") if len(line) > LONG_LINE else [line + "\n"]
-    out[-1] = out[-1][:-1]
-    return out if out[-1] else out[:-1]
+    """A text's parts, each with the blanks that follow it. The parts joined give the text."""
+    data = encoded(text)
+    at = [0, *layout(np.frombuffer(data, np.uint8), np.array([len(data)])).part_start[1:].tolist(), len(data)]
+    return [data[a:b].decode("utf-8", "surrogatepass") for a, b in zip(at, at[1:], strict=False)] if data else []
 
 
 def chunks(lines: list[str]) -> list[tuple[int, int]]:
-    """(first line, line after the last) of the chunks, of LEAST to MOST lines; the last may be shorter."""
-    out, start, last = [], 0, 0
-    for i, line in enumerate(lines):
-        h = xxhash.xxh64_intdigest(line.strip().encode("utf-8", "surrogatepass"))
-        rolled = (last * MULTIPLIER + h) & MASK  # over this line and the one before
-        last = h
-        size = i + 1 - start
-        if size >= MOST or size >= LEAST and (rolled >> 40) % DIVISOR == 0:
-            out.append((start, i + 1))
-            start = i + 1
-    if start < len(lines):
-        out.append((start, len(lines)))
-    return out
+    """(first part, part after the last) of the chunks of a text's parts."""
+    if not lines:
+        return []
+    bare = [encoded(x).strip(bytes(range(BLANK + 1))) for x in lines]
+    ends = np.cumsum([len(x) for x in bare])
+    h = Rolling(np.frombuffer(b"".join(bare), np.uint8)).of(np.append(0, ends[:-1]), ends)
+    breaks = np.array(["\n" in x for x in lines])
+    breaks[-1] = True
+    whole = breaks & np.append(True, breaks[:-1])
+    at = [*np.flatnonzero(chunk_starts(h, np.zeros(len(lines), int), whole)).tolist(), len(lines)]
+    return list(zip(at, at[1:], strict=False))
 
 
 def bit_of(h: np.ndarray) -> np.ndarray:
@@ -76,43 +188,44 @@ def may_repeat(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
 
-def chunk_hashes(text: str) -> tuple[list[bytes], list[int], np.ndarray]:
-    """(bytes, places, hashes) of the multi-line chunks of a text."""
-    lines = lines_of(text)
-    spans = [(p, a, b) for p, (a, b) in enumerate(chunks(lines)) if b - a >= LEAST]
-    data = ["".join(lines[a:b]).strip().encode("utf-8", "surrogatepass") for _, a, b in spans]
-    return data, [p for p, _, _ in spans], np.array([xxhash.xxh64_intdigest(d) for d in data], np.uint64).view(np.int64)
+def slices(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, bytes, ends) of runs of texts of about SLICE_BYTES; null counts as empty."""
+    column = column.fill_null("") if column.null_count else column
+    kind = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, kind)[column.offset : column.offset + len(column) + 1].astype(np.int64) if len(column) else np.zeros(1, np.int64)
+    data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+    row = 0
+    while row < len(column):
+        upto = max(row + 1, int(np.searchsorted(at, at[row] + SLICE_BYTES, "right")) - 1)
+        yield row, data[at[row] : at[upto]], at[row + 1 : upto + 1] - at[row]
+        row = upto
 
 
-def cut(sent: Broadcast | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(id, text) -> the multi-line chunks of each text: (id, place, hash), or with a bitmap those that may be repeated, with their bytes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                ids, places, hashes, texts = [], [], [], []
-                for doc, text in zip(*(c.to_pylist() for c in batch.slice(start, 512).columns), strict=True):
-                    data, at, h = chunk_hashes(text or "")
-                    if sent is not None and at:
-                        keep = np.flatnonzero(may_repeat(sent.value, h)).tolist()
-                        data, at, h = [data[k] for k in keep], [at[k] for k in keep], h[keep]
-                        texts += data
-                    ids += [doc] * len(at)
-                    places += at
-                    hashes += h.tolist()
-                columns = [pa.array(ids, pa.int64()), pa.array(places, pa.int32()), pa.array(hashes, pa.int64())] + ([] if sent is None else [pa.array(texts, pa.binary())])
-                yield pa.RecordBatch.from_arrays(columns, names=["doc", "place", "hash", "chunk"][: len(columns)])
-
-    return run
+def places(text: np.ndarray) -> np.ndarray:
+    """The place of each chunk in its text."""
+    fresh = firsts(text)
+    return np.arange(len(text)) - np.flatnonzero(fresh)[np.cumsum(fresh) - 1] if len(text) else text
 
 
-def pick(sent: Broadcast, repeating: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """The rows (id, text) that hold a chunk which may be repeated, or those that hold none."""
+def cut(sent: Broadcast | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(id, text) -> the hashes of the chunks of LEAST parts or more, or with a bitmap (id, place, hash, bytes) of those that may be repeated."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            some = [bool(t) and bool(may_repeat(sent.value, chunk_hashes(t)[2]).any()) for t in batch.column(1).to_pylist()]
-            yield batch.filter(pa.array([x == repeating for x in some], pa.bool_()))
+            for row, data, ends in slices(batch.column(1)):
+                found = layout(data, ends)
+                ok = found.size >= LEAST
+                raw, spans = data.tobytes(), list(zip(found.start[ok].tolist(), found.end[ok].tolist(), strict=True))
+                h = np.array([xxhash.xxh64_intdigest(raw[a:b]) for a, b in spans], np.uint64).view(np.int64)
+                if sent is None:
+                    yield pa.RecordBatch.from_arrays([pa.array(h)], names=["hash"])
+                    continue
+                keep = np.flatnonzero(may_repeat(sent.value, h))
+                docs = batch.column(0).take(pa.array(row + found.text[ok][keep]))
+                at = pa.array(places(found.text)[ok][keep], pa.int32())
+                texts = pa.array([raw[a:b] for a, b in (spans[k] for k in keep.tolist())], pa.binary())
+                yield pa.RecordBatch.from_arrays([docs, at, pa.array(h[keep]), texts], names=["doc", "place", "hash", "chunk"])
 
     return run
 
@@ -122,18 +235,32 @@ def rebuild(names: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                part = batch.slice(start, 512)
-                out = []
-                for text, gone in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
-                    lines = lines_of(text or "")
-                    spans = chunks(lines)
-                    gone = set(gone or ())
-                    removed = sum(b - a for p, (a, b) in enumerate(spans) if p in gone)
-                    left = "".join("".join(lines[a:b]) for p, (a, b) in enumerate(spans) if p not in gone) if gone else text
-                    out.append((left, len(lines), len(spans), len(gone), removed))
-                types = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32()]
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True))], names=names)
+            for row, data, ends in slices(batch.column(1)):
+                n = len(ends)
+                found = layout(data, ends)
+                n_chunks = np.bincount(found.text, minlength=n)
+                gone = batch.column(2).slice(row, n)
+                # Rows that share an id share its places, of which a row with another text may have fewer.
+                of = np.repeat(np.arange(n), gone.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+                place = gone.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+                fits = place < n_chunks[of]
+                of, place = of[fits], place[fits]
+                k = (np.cumsum(n_chunks) - n_chunks)[of] + place
+                # A chunk goes with the blanks after it, a text's first one also with those before it.
+                heads = ends - np.diff(ends, prepend=0)
+                begin = np.where(firsts(found.text), heads[found.text], found.start)
+                close = np.where(alike(found.text, 1), np.append(begin[1:], 0), ends[found.text])
+                away = np.zeros(len(data) + 1, np.int32)
+                np.add.at(away, begin[k], 1)
+                np.add.at(away, close[k], -1)
+                stay = np.cumsum(away)[:-1] == 0
+                left = np.concatenate([[0], np.cumsum(stay)])[np.concatenate([[0], ends])]
+                text = pa.Array.from_buffers(pa.large_string(), n, [None, pa.py_buffer(left.astype(np.int64).tobytes()), pa.py_buffer(data[stay].tobytes())]).cast(pa.string())
+                if batch.column(1).null_count:
+                    text = pc.if_else(batch.column(1).slice(row, n).is_null(), pa.scalar(None, pa.string()), text)
+                blank = (n_chunks == 0) & (ends > heads)  # texts of blanks: one part, one chunk
+                counts = [np.bincount(found.part_text, minlength=n) + blank, n_chunks + blank, np.bincount(of, minlength=n), np.bincount(of, found.size[k], n)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, n), text, *(pa.array(c.astype(np.int32)) for c in counts)], names=names)
 
     return run
 
@@ -141,28 +268,29 @@ def rebuild(names: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
 def dedup(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(id_col, text, n_lines, n_chunks, removed_chunks, removed_lines) of each row of df.
 
-    Of every chunk of at least LEAST lines that occurs more than once, over all texts,
+    Lines are counted in parts: lines of up to LONG_LINE bytes whole, others as they are
+    cut. Of every chunk of at least LEAST parts that occurs more than once, over all texts,
     the occurrence of the smallest (id, place) stays and the others go; chunks are the
-    same when their bytes are, blanks at their two ends aside. Null and empty texts stay
-    as they are. Ids are whole numbers; rows that repeat an id are one document of
-    which every row keeps its firsts; rows without an id neither lose nor cost
-    anything. Other columns are ignored, whatever their names. An empty table gives an
-    empty result.
+    same when their bytes are, blanks at their two ends aside. What is repeated stays only
+    near the ends of a passage, where chunks hold words of its neighbours, and where whole
+    lines of up to LONG_LINE bytes give it few parts. A line of a few words over and over
+    has no borders and is one piece; words are what stands between blanks (bytes up to 32).
+    Null and empty texts stay as they are. Ids are whole numbers; rows that repeat an id
+    are one document of which every row keeps its firsts; rows without an id neither lose
+    nor cost anything. Other columns are ignored, whatever their names. An empty table
+    gives an empty result.
     """
     rows = df.select(F.col(id_col).cast("long").alias("doc"), F.col(text).cast("string").alias("text"))
     known = rows.where("doc is not null")
     at = F.struct("doc", "place")
-    found = known.mapInArrow(cut(None), "doc long, place int, hash long")
-    repeated = table(found.groupBy("hash").agg(F.min(at).alias("low"), F.max(at).alias("high")).where("low <> high").select("hash"), "repeated")
+    repeated = known.mapInArrow(cut(None), "hash long").groupBy("hash").agg(F.count("*").alias("n")).where("n > 1")
     sent = df.sparkSession.sparkContext.broadcast(bitmap(repeated))
-    texts = known.mapInArrow(cut(sent), "doc long, place int, hash long, chunk binary")
-    same = table(texts.join(repeated, "hash"), "repeated-chunks")
-    first = same.groupBy("hash", "chunk").agg(F.min(at).alias("first"), F.max(at).alias("final")).where("first <> final")
-    gone = same.join(first.select("hash", "chunk", "first"), ["hash", "chunk"]).where(at != F.col("first"))
+    texts = table(known.mapInArrow(cut(sent), "doc long, place int, hash long, chunk binary"), "repeated-chunks")
+    first = texts.groupBy("hash", "chunk").agg(F.min(at).alias("first"), F.max(at).alias("final")).where("first <> final")
+    gone = texts.join(first.select("hash", "chunk", "first"), ["hash", "chunk"]).where(at != F.col("first"))
     gone = table(gone.groupBy("doc").agg(F.sort_array(F.collect_set("place")).alias("gone")), "removed-chunks")
-    drop(repeated), drop(same)
+    drop(texts)
     names = [id_col, "text", "n_lines", "n_chunks", "removed_chunks", "removed_lines"]
-    # Texts without a chunk that may be repeated stay where they are; only the others meet their removed chunks.
-    touched = rows.mapInArrow(pick(sent, True), "doc long, text string").join(gone, "doc", "left")
-    others = rows.mapInArrow(pick(sent, False), "doc long, text string").withColumn("gone", F.lit(None).cast("array<int>"))
-    return touched.unionByName(others).mapInArrow(rebuild(names), f"`{id_col}` long, text string, n_lines int, n_chunks int, removed_chunks int, removed_lines int")
+    # Rows without an id meet no removed chunks.
+    others = rows.where("doc is null").withColumn("gone", F.lit(None).cast("array<int>"))
+    return known.join(gone, "doc", "left").unionByName(others).mapInArrow(rebuild(names), f"`{id_col}` long, text string, n_lines int, n_chunks int, removed_chunks int, removed_lines int")

@@ -91,6 +91,32 @@ def test_line_dedup_compares_bytes(spark, monkeypatch):
     assert got[1] == "a\nb\nc\nd" and got[2] == "e\nf\ng\nh" and got[3] == ""
 
 
+def test_line_dedup_finds_passages_of_50_words(spark):
+    random.seed(5)
+    words = lambda n: [f"w{random.randrange(3000)}" for _ in range(n)]
+    rows, planted = [], {}
+    for k in range(150):
+        passage, step = words(random.randint(50, 100)), (1000, 20, 10, 5)[k % 4]
+        passage = ("\n" if step < 1000 else " ").join(" ".join(passage[i : i + step]) for i in range(0, len(passage), step))
+        for doc in (k, 1000 + k):  # other neighbours each time, within the line or on other lines
+            rows.append((doc, " ".join(words(25)) + (" " if k % 8 < 4 else "\n") + passage + (" " if k % 8 < 4 else "\n") + " ".join(words(25))))
+        planted[1000 + k] = len(passage.split())
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    removed = {d: planted[d] + 50 - len(got[d].split()) for d in planted}
+    assert min(removed.values()) > 0 and all(removed[d] <= n for d, n in planted.items())
+    assert sum(removed.values()) >= 0.7 * sum(planted.values())
+    assert all(got[d] == t for d, t in rows if d < 1000)
+
+
+def test_line_dedup_rows_without_borders(spark):
+    rows = [(1, "spam\n" * 40), (2, "one line\n" + "spam\n" * 40), (3, "\u00a0 x\ty " * 3), (4, None), (None, "spam\n" * 40), (5, "  "), (5, "spam\n" * 40)]
+    got = line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows)
+    left = {(r["doc_id"], r["n_lines"]): r["text"] for r in got}
+    assert left[(1, 40)].count("spam") <= 12 and left[(2, 41)].count("spam") <= 12 and left[(None, 40)] == "spam\n" * 40
+    assert left[(3, 1)] == rows[2][1] and left[(4, 0)] is None and left[(5, 1)] == "  "
+
+
 def test_token_counts(spark, docs, odd):
     import sentencepiece
 
