@@ -14,36 +14,65 @@ from shoal.llm.common import table
 
 LEAST_QUALITY = 0.3
 SHARDS = 24
+#: A row's key within a stage: a 64-bit hash of all its columns, so rows with no id or the same one are told apart.
+KEY = "_row"
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    return docs.withColumn(KEY, F.xxhash64(*docs.columns))
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts; it learns from the labels that aren't held out."""
+    """Documents that the quality classifier accepts; it learns from the labels that aren't held out.
+
+    Each row is judged by its own text, whatever its id.
+    """
     labels = queries.read(spark, sf_dir, "labels").where(~queries.held_out(F.col("doc_id")))
     return quality.keep(docs, quality.fit(docs, labels), LEAST_QUALITY)
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that links by n-grams: the one of the smallest id. Documents without an id stay."""
-    groups = ngram_join.jaccard_groups(docs)
-    dropped = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
+    """One document of each group that links by n-grams: the one of the smallest id.
+
+    Rows that repeat an id with texts that don't link are documents of their own; of
+    those of a group, or without any words, one stays. Documents without an id all stay,
+    and their texts still link others.
+    """
+    rows = keyed(docs)
+    groups = ngram_join.jaccard_groups(rows, id_col=KEY).select(KEY, "n_shingles", "component_id").distinct()
+    named = groups.join(rows.where("doc_id is not null").select(KEY, "doc_id").distinct(), KEY)
+    words = F.col("n_shingles") > 0
+    firsts = named.groupBy(F.when(words, F.col("component_id")).alias("group"), F.when(~words, F.col("doc_id")).alias("alone")).agg(F.min(F.struct("doc_id", KEY)).alias("first"))
+    kept = rows.join(table(firsts.select("first.*"), "firsts"), ["doc_id", KEY], "left_semi").dropDuplicates(["doc_id", KEY])
+    return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def decontaminate_(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
-    leaking = decontaminate.leaks(docs, queries.read(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(table(leaking, "leaking"), "doc_id", "left_anti").select(*docs.columns)
+    """Documents that hold no benchmark item. Each row is judged by its own text, with an id or without, repeated or not."""
+    rows = keyed(docs)
+    leaking = decontaminate.leaks(rows, queries.read(spark, sf_dir, "benchmark"), id_col=KEY).select(KEY).distinct()
+    return rows.join(table(leaking, "leaking"), KEY, "left_anti").select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mixture to target weights, as many tokens as there are; a document stands once for each epoch that takes it."""
-    taken = mixing.mix(docs, queries.domain_of(F.col("source")), 1.0, queries.MIX_WEIGHTS).select("doc_id")
-    return docs.join(taken, "doc_id").select(*docs.columns)
+    """The mixture to target weights, as many tokens as there are; a document stands once for each epoch that takes it.
+
+    Each row is mixed as a document of its own, with an id or without, repeated or not.
+    """
+    rows = keyed(docs)
+    taken = mixing.mix(rows, queries.domain_of(F.col("source")), 1.0, queries.MIX_WEIGHTS, id_col=KEY)
+    equal = rows.groupBy(KEY).agg(F.count("*").alias("_equal"))
+    taken = table(taken.groupBy(KEY).agg(F.count("*").cast("int").alias("_taken")).join(equal, KEY), "taken")
+    # Equal rows share a key and are taken together: one of them stands for all.
+    one = rows.join(taken.where("_equal = 1"), KEY).unionByName(rows.join(taken.where("_equal > 1"), KEY).dropDuplicates([KEY]))
+    return one.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_taken"))).select(*docs.columns)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Shards along a Hilbert curve over length, language and source; adds shard, slot and curve."""
+    """Shards along a Hilbert curve over length, language and source; adds shard, slot and curve.
+
+    Every row has a slot of its own, with an id or without, repeated or not.
+    """
     return sharding.shard(docs, SHARDS, ["n_chars"], ["lang", "source"], "doc_id")
 
 

@@ -464,3 +464,25 @@ def test_pipeline(spark):
     five = C.shard(spark, four, SF)
     assert five.count() == four.count() and ids(five) == ids(four)
     assert C.run(spark, SF).count() == five.count()
+
+
+def test_pipeline_null_and_repeated_ids(spark):
+    import corpus_pipeline as C
+
+    random.seed(9)
+    a, b, c, d, e = (" ".join(f"w{random.randrange(5000)}" for _ in range(30)) for _ in range(5))
+    leak = spark.read.parquet(f"{SF}/benchmark.parquet").where("length(text) > 100").orderBy("item_id").first()["text"]
+
+    def stage(f, *rows):
+        docs = common.table(spark.createDataFrame([(i, t, "en", "src1", 5) for i, t in rows], DOC), "stage")
+        out = f(spark, docs, SF)
+        assert out.columns[:5] == docs.columns
+        return sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str)
+
+    same = lambda *rows: sorted(rows, key=str)
+    got = stage(C.deduplicate, (1, a), (7, a), (7, b), (None, a), (None, c), (None, c), (8, d), (8, e), (8, e), (9, ""), (9, None), (None, ""))
+    assert [r for r in got if r[0] != 9] == same((1, a), (7, b), (None, a), (None, c), (None, c), (8, d), (8, e), (None, "")) and len(got) == 9
+    assert stage(C.decontaminate_, (None, leak), (None, a), (7, leak), (7, b), (8, leak)) == same((None, a), (7, b))
+    rows = [(None, a), (None, b), (None, b), (7, a), (7, c), (7, c), (8, d)]
+    assert stage(C.mix, *rows) == same(*rows)
+    assert stage(C.shard, *rows) == same(*rows)
