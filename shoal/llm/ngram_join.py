@@ -2,8 +2,9 @@
 
 A document is its set of word shingles. Shingles are ordered rarest first, so two sets
 that are similar enough share one in their short prefixes. Prefix shingles are joined
-on their hashes; length, positional and suffix filters cut the candidates, and each
-pair that is left is verified once on the full sets.
+on their hashes. In the hub step length, positional and suffix filters cut the candidates,
+and each pair that is left is verified once on the full sets; the last step compares whole
+blocks without the suffix and full positional filters, pairs that failed at their hub too.
 
 Rarity comes from a table of counters over all documents, of fixed size and indexed by
 hash; it decides the order (any order is right), never what is compared. Equal sets
@@ -11,6 +12,8 @@ are one class from the start. Links are wanted for components, so pairs that are
 connected need no more verification: first each class meets one hub, then all classes that
 share a prefix shingle with another component meet that component's classes, in blocks.
 That last step is complete and yields links only, however large a group of near copies is.
+Links within a component are neither all verified nor counted. A class of which no row has
+an id has no set to compare, so its text links nothing.
 
 A shingle is a 64-bit hash of its words, a class is a 128-bit hash of its shingles.
 """
