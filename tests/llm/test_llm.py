@@ -212,7 +212,9 @@ def brute_groups(rows, percent=75, width=5):
     return {doc: (len(sets[i]), least[find(i)]) for i, (doc, _) in enumerate(rows)}
 
 
-def test_jaccard_groups(spark, docs, odd):
+@pytest.mark.parametrize("shingles", [1 << 18, 600])  # of a block: all in one, and groups of near copies in many
+def test_jaccard_groups(spark, docs, odd, shingles, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK_SHINGLES", shingles)
     random.seed(4)
     words = [f"w{i}" for i in range(400)]
     base = [random.choice(words) for _ in range(90)]
@@ -230,6 +232,16 @@ def test_jaccard_groups(spark, docs, odd):
     assert ngram_join.jaccard_groups(none_of(docs)).count() == 0
 
 
+def test_texts_without_an_id_link_others(spark):
+    words = [f"w{i}" for i in range(64)]
+    between = [*words[:57], *"abcdefg"]  # 53 of 67 shingles with either end, which share 46 of 74
+    rows = [(1, " ".join(words)), (2, " ".join([*"tuvwxyz", *between[7:]])), (None, " ".join(between)), (None, " ".join(between))]
+    got = sorted((r["doc_id"] or 0, r["component_id"]) for r in ngram_join.jaccard_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(0, None), (0, None), (1, 1), (2, 1)]
+    apart = ngram_join.jaccard_groups(spark.createDataFrame(rows[:2], "doc_id long, text string")).collect()
+    assert sorted(r["component_id"] for r in apart) == [1, 2]
+
+
 def test_shingles_of_whole_texts():
     hasher = ngram_join.Hasher(5)
     text = " ".join(f"w{i}" for i in range(300_000))  # longer than a slice
