@@ -46,6 +46,8 @@ CHUNK_SHINGLES, PACK_SHINGLES = 1 << 20, 1 << 18
 EXACT = 128
 #: Shingles of the sets of a block, about.
 BLOCK_SHINGLES = 1 << 18
+#: Classes whose ids are sent to all tasks at most (40 MB); more of them are joined by a shuffle of the texts.
+BROADCAST_CLASSES = 1_000_000
 #: Bins of the suffix filter: the upper byte of a hash.
 BINS = 256
 
@@ -506,7 +508,10 @@ def linkable(census: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 def packs_of(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """The sets of the wanted classes in packs, each from its first document (or, if none has an id, from any)."""
     kind = "node long, k1 long, k2 long, shingles binary"
-    named = rows.join(wanted.where("rep is not null").select(F.col("rep").alias("doc_id"), "node", "k1", "k2"), "doc_id").select("node", "k1", "k2", "text").mapInArrow(sets_of(width), kind)
+    firsts = wanted.where("rep is not null").select(F.col("rep").alias("doc_id"), "node", "k1", "k2")
+    if wanted.count() <= BROADCAST_CLASSES:
+        firsts = F.broadcast(firsts)
+    named = rows.join(firsts, "doc_id").select("node", "k1", "k2", "text").mapInArrow(sets_of(width), kind)
     blank = F.lit(None).cast("long")
     nameless = rows.where("doc_id is null").select(blank.alias("node"), blank.alias("k1"), blank.alias("k2"), "text").mapInArrow(sets_of(width), kind)
     nameless = nameless.drop("node").join(wanted.where("rep is null").select("node", "k1", "k2"), ["k1", "k2"])
