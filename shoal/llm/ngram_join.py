@@ -45,7 +45,7 @@ CHUNK_SHINGLES, PACK_SHINGLES = 1 << 20, 1 << 18
 #: Below it, occurrences are told exactly.
 EXACT = 128
 #: Shingles of the sets of a block, about.
-BLOCK_SHINGLES = 1 << 18
+BLOCK_SHINGLES = 1 << 16
 #: Classes whose ids are sent to all tasks at most (40 MB); more of them are joined by a shuffle of the texts.
 BROADCAST_CLASSES = 1_000_000
 #: Bins of the suffix filter: the upper byte of a hash.
