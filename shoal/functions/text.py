@@ -7,9 +7,14 @@ from pyspark.sql import functions as F
 
 from .vectors import col
 
-#: English month names and words that carry no content in a search.
-MONTHS = ["january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december"]
-STOP_WORDS = ["a", "an", "the", "of", "in", "at", "on", "with", "and", "from", "to", "for", "photos", "photo", "pictures", "picture", "images", "image", "me", "my", "show", "find"]
+#: English month names with their numbers, and words that carry no content in a search.
+MONTHS = {
+    "january": 1, "february": 2, "march": 3, "april": 4, "may": 5, "june": 6, "july": 7, "august": 8, "september": 9, "october": 10, "november": 11, "december": 12,
+    "jan": 1, "feb": 2, "mar": 3, "apr": 4, "jun": 6, "jul": 7, "aug": 8, "sep": 9, "sept": 9, "oct": 10, "nov": 11, "dec": 12,
+}
+STOP_WORDS = [
+    "a", "an", "the", "of", "in", "on", "at", "with", "and", "to", "from", "me", "my", "show", "find", "search", "for", "taken", "photo", "photos", "pic", "pics", "picture", "pictures", "image", "images", "all",
+]
 
 
 def tokens(q: str | Column) -> Column:
@@ -32,10 +37,15 @@ def city_part(place: str | Column) -> Column:
     return F.lower(F.trim(F.substring_index(col(place), ",", 1)))
 
 
+def month_number(word: Column) -> Column:
+    """The number of a month's lower-case name or short name; null for other words."""
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in MONTHS.items() for x in pair]), word)
+
+
 def month_of(q: str | Column) -> Column:
-    """The number of the first whole-word month name of a text; null without one."""
-    name = F.regexp_extract(F.lower(col(q)), "\\b(" + "|".join(MONTHS) + ")\\b", 1)
-    return F.nullif(F.array_position(F.array(*map(F.lit, MONTHS)), name), F.lit(0).cast("long")).cast("int")
+    """The number of the first whole-word month name of a text, short names but `sept` included; null without one."""
+    names = "|".join(m for m in MONTHS if m != "sept")
+    return month_number(F.regexp_extract(F.lower(col(q)), f"\\b({names})\\b", 1))
 
 
 def year_of(q: str | Column) -> Column:
@@ -43,6 +53,12 @@ def year_of(q: str | Column) -> Column:
     return F.nullif(F.regexp_extract(col(q), "\\b((?:19|20)\\d\\d)\\b", 1), F.lit("")).cast("int")
 
 
+def month_year(q: str | Column) -> Column:
+    """Struct (year, month) of a text that names a month and a year; null without both."""
+    year, month = year_of(q), month_of(q)
+    return F.when(year.isNotNull() & month.isNotNull(), F.struct(year.alias("year"), month.alias("month")))
+
+
 def naive_iso(s: str | Column) -> Column:
     """An ISO time without its zone (dropped, not converted); null for anything else."""
     bare = F.regexp_replace(F.replace(col(s), F.lit("T"), F.lit(" ")), "(Z|[+-]\\d\\d:?\\d\\d)$", "")

@@ -50,7 +50,7 @@ def cosine(a: str | Column, b: str | Column) -> Column:
 def mean_renormalised(frames: str | Column) -> Column:
     """H4: mean of the non-empty vectors of a list, normalised; null without any."""
     full = F.filter(col(frames), lambda f: F.size(f) > 0)
-    total = F.aggregate(F.slice(full, 2, 10_000), F.element_at(full, 1), lambda s, f: F.zip_with(s, f, lambda x, y: x + y))
+    total = F.aggregate(F.slice(full, F.lit(2), F.size(full)), F.element_at(full, 1), lambda s, f: F.zip_with(s, f, lambda x, y: x + y))
     return F.when(F.size(full) > 0, l2_normalize(F.transform(total, lambda x: x / F.size(full))))
 
 
@@ -59,9 +59,11 @@ def hamming(a: str | Column, b: str | Column) -> Column:
     return F.bit_count(col(a).bitwiseXOR(col(b)))
 
 
-def sign_hash(v: str | Column, bits: int = 60) -> Column:
-    """A hash of the signs of the first components, most significant first."""
-    return F.aggregate(F.slice(col(v), 1, bits), F.lit(0).cast("long"), lambda h, x: h * 2 + (x > 0).cast("long"))
+def sign_hash(v: str | Column) -> Column:
+    """A hash of the signs of up to 64 components, most significant first; null for a longer vector, whose signs don't fit."""
+    v = col(v)
+    signs = F.aggregate(v, F.lit(0).cast("long"), lambda h, x: F.shiftleft(h, 1).bitwiseOR((x > 0).cast("long")))
+    return F.when(F.size(v) <= 64, signs)
 
 
 def best_of(frames: Column, query: Column) -> Column:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shoal.sources.shared import checkpointed
+
 
 def ratio(a: Column, b: Column) -> Column:
     """a / b, 0 where b is."""
@@ -48,11 +50,26 @@ def with_rates(df: DataFrame) -> DataFrame:
     return df.withColumn("f1", ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
 
 
+def running(df: DataFrame, order: str, descending: bool, sums: dict[str, str]) -> DataFrame:
+    """df with the running sums of some columns (name -> column) in the order of a unique one.
+
+    Rows are dealt by ranges of the order; a sum is that of the ranges before, a row a
+    partition, and that within the range.
+    """
+    by = F.desc(order) if descending else F.asc(order)
+    part = checkpointed(df.repartitionByRange(by).withColumn("_p", F.spark_partition_id()))
+    totals = part.groupBy("_p").agg(*[F.sum(c).alias(f"_{k}") for k, c in enumerate(sums.values())])
+    earlier = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.select("_p", *[F.coalesce(F.sum(f"_{k}").over(earlier), F.lit(0)).alias(f"_{k}") for k in range(len(sums))])
+    within = Window.partitionBy("_p").orderBy(by).rowsBetween(Window.unboundedPreceding, 0)
+    out = part.join(F.broadcast(before), "_p").select(*df.columns, *[(F.col(f"_{k}") + F.sum(c).over(within)).alias(name) for k, (name, c) in enumerate(sums.items())])
+    return out
+
+
 def curve(pairs: DataFrame) -> DataFrame:
-    """(sim, tp, fp) after each distinct score, from the highest down. One row a score enters the window."""
+    """(sim, p, n, tp, fp) after each distinct score, from the highest down."""
     ties = pairs.groupBy("sim").agg(F.count_if("same").alias("p"), F.count_if(~F.col("same")).alias("n"))
-    w = Window.orderBy(F.desc("sim")).rowsBetween(Window.unboundedPreceding, 0)
-    return ties.select("sim", "p", "n", F.sum("p").over(w).alias("tp"), F.sum("n").over(w).alias("fp"))
+    return running(ties, "sim", True, {"tp": "p", "fp": "n"})
 
 
 def average_precision(pairs: DataFrame) -> DataFrame:
@@ -74,13 +91,12 @@ def roc_auc(pairs: DataFrame) -> DataFrame:
 def threshold_for_fpr(pairs: DataFrame, fprs: Sequence[float]) -> DataFrame:
     """(fpr, threshold): the score of the negative at index n - int(fpr n) - 1 in ascending order, 0 at least.
 
-    Equal scores are counted together, so the window runs over distinct scores.
+    Equal scores are counted together.
     """
     ties = pairs.where(~F.col("same")).groupBy("sim").agg(F.count("*").alias("c"))
     n = pairs.agg(F.count_if(~F.col("same"))).first()[0]
-    upto = F.sum("c").over(Window.orderBy("sim").rowsBetween(Window.unboundedPreceding, 0))
     wanted = pairs.sparkSession.createDataFrame([(float(f), max(0, n - int(f * n) - 1)) for f in fprs], "fpr double, at long")
-    ranked = ties.select("sim", (upto - F.col("c")).alias("from"), upto.alias("upto"))
+    ranked = running(ties, "sim", False, {"upto": "c"}).select("sim", (F.col("upto") - F.col("c")).alias("from"), "upto")
     return F.broadcast(wanted).join(ranked, (F.col("at") >= F.col("from")) & (F.col("at") < F.col("upto"))).select("fpr", F.col("sim").alias("threshold"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -10,20 +10,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shoal.functions.vectors import hamming, unit
-from shoal.operators.people import best_by, carry_names
-from shoal.operators.simjoin import nearest_prototype
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage through the shared checkpoint folder; a new local one only where none is set."""
-    import tempfile
-
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", ""):
-        at = tempfile.mkdtemp(prefix="shoal-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", at)
-        spark.sparkContext.setCheckpointDir(at)
-    return df.checkpoint()
+from shoal.operators.people import best_by
+from shoal.operators.simjoin import carry_names, nearest_prototype
+from shoal.sources.shared import checkpointed
 
 
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
@@ -43,23 +32,42 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     raise RuntimeError(f"components didn't settle in {rounds} rounds")
 
 
-def hamming_join(hashes: DataFrame, most: int, bits: int = 64) -> DataFrame:
-    """(a, b, dist), a < b, of ids whose hashes differ in at most `most` bits. Null hashes never join.
+#: A band of a hash is at least so many bits wide, so that few unlike hashes meet in it.
+BAND_BITS = 12
+
 
-    The hash is cut into most + 1 bands: within the limit one band is equal, so an
-    equi-join on (band, value) finds every pair. Equal hashes meet once, as one row.
+def bands(most: int, bits: int = 64) -> tuple[int, list[int]]:
+    """(radius, cuts): bands of a hash of which one differs in at most `radius` bits if all of them differ in at most `most`."""
+    radius = 0
+    while radius < most and bits // (most // (radius + 1) + 1) < BAND_BITS:
+        radius += 1
+    n = most // (radius + 1) + 1
+    return radius, [round(k * bits / n) for k in range(n + 1)]
+
+
+def hamming_join(hashes: DataFrame, most: int, other: DataFrame | None = None) -> DataFrame:
+    """(a, b, dist) of ids whose 64-bit hashes differ in at most `most` bits: a < b within one table, or a of it and b of the other.
+
+    The hash is cut into wide bands of which one nearly agrees, and one side asks for each
+    band's value and its neighbours: an equi-join on (band, value) that finds every pair.
+    Null hashes never join. Equal hashes meet once, as one row.
     """
-    distinct = hashes.where("h is not null").select("h").distinct()
-    n = most + 1
-    cuts = [round(k * bits / n) for k in range(n + 1)]
-    band = lambda k: F.shiftrightunsigned("h", cuts[k]).bitwiseAND(F.lit((1 << (cuts[k + 1] - cuts[k])) - 1))
-    banded = distinct.select("h", F.posexplode(F.array(*[band(k) for k in range(n)])).alias("band", "value"))
-    x, y = banded.alias("x"), banded.alias("y")
-    near = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.value") == F.col("y.value")) & (F.col("x.h") < F.col("y.h")) & (hamming("x.h", "y.h") <= most))
-    pairs = near.select(F.col("x.h").alias("h1"), F.col("y.h").alias("h2"), hamming("x.h", "y.h").alias("dist")).distinct()
-    same = distinct.select(F.col("h").alias("h1"), F.col("h").alias("h2"), F.lit(0).alias("dist"))
-    one, two = hashes.toDF("a", "h1"), hashes.toDF("b", "h2")
-    met = pairs.unionByName(same).join(one, "h1").join(two, "h2").where("h1 <> h2 or a < b")
+    radius, cuts = bands(most)
+    width = [hi - lo for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)]
+    band = lambda k: F.shiftrightunsigned("h", cuts[k]).bitwiseAND(F.lit((1 << width[k]) - 1)) if width[k] < 64 else F.col("h")
+    flips = lambda n: [sum(1 << b for b in some) for r in range(radius + 1) for some in combinations(range(n), r)]
+    near_values = lambda k: F.transform(F.array(*[F.lit(m).cast("long") for m in flips(width[k])]), lambda m: band(k).bitwiseXOR(m))
+    places = range(len(width))
+    left = hashes.where("h is not null").select("h").distinct()
+    right = left if other is None else other.where("h is not null").select("h").distinct()
+    asked = left.select("h", F.posexplode(F.array(*[near_values(k) for k in places])).alias("band", "values")).select("h", "band", F.explode("values").alias("value"))
+    held = right.select(F.col("h").alias("g"), F.posexplode(F.array(*[band(k) for k in places])).alias("band", "value"))
+    dist = hamming("h", "g")
+    pairs = asked.join(held, ["band", "value"]).where((dist <= most) & (F.col("h") < F.col("g") if other is None else F.lit(True))).select("h", "g", dist.alias("dist")).distinct()
+    if other is not None:
+        return pairs.join(hashes.toDF("a", "h"), "h").join(other.toDF("b", "g"), "g").select("a", "b", "dist")
+    same = left.select("h", F.col("h").alias("g"), F.lit(0).alias("dist"))
+    met = pairs.unionByName(same).join(hashes.toDF("a", "h"), "h").join(hashes.toDF("b", "g"), "g").where("h <> g or a < b")
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "dist")
 
 
@@ -111,7 +119,8 @@ def dbscan(ids: DataFrame, pairs: DataFrame, min_samples: int = 3) -> DataFrame:
     A row with itself and its neighbours counting min_samples is core; cores that are
     neighbours are one cluster, and a border row goes to the earliest cluster beside it.
     """
-    both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    pairs = checkpointed(pairs.select("a", "b"))
+    both = checkpointed(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     core = checkpointed(both.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") + 1 >= min_samples).select(F.col("a").alias("id")))
     if min_samples <= 1:
         core = ids.select("id")
@@ -130,15 +139,23 @@ def prototypes(vectors: DataFrame, labels: DataFrame) -> DataFrame:
     return means.groupBy("label").agg(unit(F.transform(F.array_sort(F.collect_list(F.struct("d", "x"))), lambda s: s["x"])).alias("v"), F.max("n").alias("n"))
 
 
-def centroid_udaf():
-    """K4: a grouped aggregate of vectors (mean, normalised) for users who want it as a function."""
+def total_udaf():
+    """A grouped aggregate that adds vectors up."""
 
     @F.pandas_udf("array<double>")
-    def centroid(v: pd.Series) -> list[float]:
-        m = np.mean(np.stack(v.to_numpy()), axis=0)
-        return (m / np.linalg.norm(m)).tolist()
+    def total(v: pd.Series) -> list[float]:
+        return np.sum(np.stack(v.to_numpy()), axis=0).tolist()
+
+    return total
 
-    return centroid
+
+def centroids(vectors: DataFrame, by: str, v: str = "v", parts: int = 64) -> DataFrame:
+    """K4: (by, m): the normalised mean of each group's vectors, by a user's aggregate.
+
+    A group is summed in parts, so no task holds a whole one; the parts' sums are added.
+    """
+    sums = vectors.groupBy(by, F.pmod(F.xxhash64(v), F.lit(parts)).alias("_part")).agg(total_udaf()(v).alias("s"))
+    return sums.groupBy(by).agg(total_udaf()("s").alias("s")).select(by, unit("s").alias("m"))
 
 
 def merge_prototypes(one: DataFrame, two: DataFrame) -> DataFrame:
@@ -160,10 +177,7 @@ def recluster(faces: DataFrame, pairs: DataFrame, old: DataFrame, min_samples: i
     new = assigned.select("proto").distinct().withColumn("person", F.row_number().over(Window.orderBy("proto")) - 1)
     face_person = assigned.join(new, "proto").select("id", "person", "proto")
     cover = best_by(face_person.join(faces.select("id", "area"), "id"), ["person"], "id", [F.col("area"), -F.col("id")], "cover")
-    from shoal.functions.vectors import dot
-
-    names = old.join(protos.join(new, "proto").select(F.col("person").alias("cluster"), F.col("v").alias("w")))
-    named = carry_names(names.select("cluster", "name", dot("v", "w").alias("sim")), carry)
+    named = carry_names(old, protos.join(new, "proto").select(F.col("person").cast("long").alias("cluster"), "v"), carry)
     sizes = face_person.groupBy("person").agg(F.count("*").alias("faces"))
     people = sizes.join(cover, "person").join(named.select(F.col("cluster").alias("person"), "name"), "person", "left")
     return people, face_person.select("id", "person")
@@ -196,18 +210,12 @@ def online_clusters(faces: DataFrame, least: float = 0.45) -> DataFrame:
 
 
 def simhash_words(docs: DataFrame) -> DataFrame:
-    """(id, h): a 60-bit hash of a text's distinct words by the majority of each bit of the words' md5."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import hashlib
-
-        for pdf in batches:
-            out = []
-            for text in pdf["text"]:
-                words = sorted(set((text or "").split()))
-                h = np.array([int(hashlib.md5(w.encode()).hexdigest()[:15], 16) for w in words], np.int64)
-                votes = [((h >> b) & 1).sum() * 2 > len(h) for b in range(60)] if len(h) else [False] * 60
-                out.append(sum(1 << b for b, up in enumerate(votes) if up))
-            yield pd.DataFrame({"id": pdf["id"], "h": out})
-
-    return docs.mapInPandas(run, "id long, h long")
+    """(id, h): a 60-bit hash of a text's distinct words by the majority of each bit of the words' md5; 0 without words."""
+    words = F.array_distinct(F.filter(F.split(F.coalesce("text", F.lit("")), "\\s+"), lambda w: w != ""))
+    hashed = docs.select("id", F.explode_outer(words).alias("w")).select("id", F.conv(F.substring(F.md5("w"), 1, 15), 16, 10).cast("long").alias("m"))
+    up = [F.sum(F.shiftright("m", b).bitwiseAND(F.lit(1))).alias(f"b{b}") for b in range(60)]
+    sums = hashed.groupBy("id").agg(F.count("m").alias("n"), *up)
+    h = F.lit(0).cast("long")
+    for b in range(60):
+        h = h + F.when(F.col(f"b{b}") * 2 > F.col("n"), F.lit(1 << b).cast("long")).otherwise(F.lit(0).cast("long"))
+    return sums.select("id", h.alias("h"))

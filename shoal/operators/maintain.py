@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shoal.operators.timeline import cell
+from shoal.sources.shared import checkpointed
 
 
 def needs_index(source: DataFrame, index: DataFrame, failures: DataFrame, most: int = 3) -> DataFrame:
@@ -60,13 +61,16 @@ def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     return 2 * 6371.0 * F.asin(F.sqrt(F.least(F.lit(1.0), h)))
 
 
-def nearest_place(points: DataFrame, gazetteer: DataFrame, degrees: float = 5.0) -> DataFrame:
+def nearest_place(points: DataFrame, gazetteer: DataFrame, degrees: float | None = None) -> DataFrame:
     """C17: (id, place, km): the nearest gazetteer row (gid, city, state, cc, glat, glon) of each point (id, lat, lon).
 
     Points meet the places of their own and the eight cells around; those for which that
     can't be the nearest (it lies further off than the cells' rim) take another round with
-    cells twice as wide. Cells are cut in latitude and, wrapped, in longitude.
+    cells twice as wide. Cells are cut in latitude and, wrapped, in longitude. The first
+    are of about a quarter of the room the gazetteer has for a place, so crowded regions are
+    settled among few.
     """
+    degrees = degrees or min(90.0, (180 * 360 / max(1, gazetteer.count())) ** 0.5 / 2)
     found, rest = None, points
     while degrees <= 360:
         n_lon = max(1, int(360 // degrees))
@@ -77,11 +81,14 @@ def nearest_place(points: DataFrame, gazetteer: DataFrame, degrees: float = 5.0)
         places = gazetteer.withColumn("cell", F.struct(y("glat").alias("y"), x("glon").alias("x")))
         km = haversine(F.col("lat"), F.col("lon"), F.col("glat"), F.col("glon"))
         best = near.join(places, "cell").withColumn("km", km).groupBy("id").agg(F.min_by(F.struct("city", "state", "cc", "km", "lat"), F.struct("km", "gid")).alias("b")).select("id", "b.*")
+        best = checkpointed(best)
         # A place outside the nine cells is at least a cell away: in latitude that many degrees, in longitude fewer kilometres by the cosine.
         rim = F.lit(111.0 * min(degrees, 360.0 / n_lon)) * F.greatest(F.lit(0.0), F.cos(F.radians(F.least(F.lit(90.0), F.abs("lat") + degrees))))
         sure = best if degrees > 180 else best.where(F.col("km") <= rim)
         found = sure if found is None else found.unionByName(sure)
-        rest = rest.join(sure.select("id"), "id", "left_anti")
+        rest = checkpointed(rest.join(sure.select("id"), "id", "left_anti"))
+        if rest.isEmpty():
+            break
         degrees *= 2
     name = F.concat_ws(", ", *[F.nullif(F.trim(c), F.lit("")) for c in ("city", "state", "cc")])
     return found.select("id", name.alias("place"), "km")
@@ -123,7 +130,8 @@ def append_rows(base: DataFrame, new: DataFrame, order: str) -> DataFrame:
 
     New rows are range-partitioned; an id is the rows in the partitions before and the place within.
     """
-    start = (base.agg(F.max("id")).first()[0] or -1) + 1 if base.limit(1).count() else 0
+    largest = base.agg(F.max("id")).first()[0]
+    start = 0 if largest is None else largest + 1
     part = new.repartitionByRange(order).sortWithinPartitions(order).withColumn("_m", F.monotonically_increasing_id())
     counts = part.groupBy(F.shiftright("_m", 33).alias("_p")).agg(F.count("*").alias("_n"))
     before = counts.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_s"))

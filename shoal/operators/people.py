@@ -7,6 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shoal.sources.shared import checkpointed
+
+
+#: Letters of an asked name on which names are joined.
+GRAM = 8
+
 
 def resolve_aliases(persons: DataFrame, rounds: int = 32) -> DataFrame:
     """(person_id, canonical_id) by following merged_into to its end, by pointer jumping.
@@ -18,7 +24,7 @@ def resolve_aliases(persons: DataFrame, rounds: int = 32) -> DataFrame:
         hop = now.select(F.col("person_id").alias("k"), F.col("at").alias("next"), F.col("least").alias("least_there"))
         step = now.join(hop, F.col("at") == F.col("k"), "left").select(
             "person_id", "at", F.coalesce("next", "at").alias("next"), F.least("least", F.coalesce("least_there", "least")).alias("least"))
-        step = step.checkpoint()
+        step = checkpointed(step)
         moved = step.where("at <> next").limit(1).count()
         now = step.select("person_id", F.col("next").alias("at"), "least")
         if not moved:
@@ -29,9 +35,16 @@ def resolve_aliases(persons: DataFrame, rounds: int = 32) -> DataFrame:
 
 
 def resolve_names(persons: DataFrame, names: DataFrame) -> DataFrame:
-    """(name, person_id) for each asked name: those equal to it, case ignored; only without any, those that contain it."""
+    """(name, person_id) for each asked name: those equal to it, case ignored; only without any, those that contain it.
+
+    Names meet on the last letters of what is asked, an equi-join of any size.
+    """
     asked, has = F.lower("name"), F.lower("person_name")
-    hits = persons.select("person_id", F.col("name").alias("person_name")).join(F.broadcast(names.select("name")), F.contains(has, asked))
+    ends = names.select("name").distinct().withColumn("gram", F.right(asked, F.lit(GRAM)))
+    sizes = [r["n"] for r in ends.select(F.length("gram").alias("n")).distinct().collect()]  # GRAM + 1 at most
+    pieces = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(has) - n + 1)), lambda i: F.substring(has, i, F.lit(n)))
+    named = persons.select("person_id", F.col("name").alias("person_name")).where("person_name is not null")
+    hits = named.withColumn("gram", F.explode(F.array_distinct(F.flatten(F.array(*map(pieces, sizes or [0])))))).join(ends, "gram").where(F.contains(has, asked))
     kind = F.when(asked == has, 0).otherwise(1)
     return hits.withColumn("kind", kind).withColumn("best", F.min("kind").over(Window.partitionBy("name"))).where("kind = best").select("name", "person_id")
 
@@ -48,12 +61,17 @@ def photos_with_all_names(photo_people: DataFrame, canonical: DataFrame, resolve
     return hits.groupBy("photo_id").agg(F.countDistinct("name").alias("n")).where(F.col("n") == asked).select("photo_id")
 
 
-def photos_of_all(photo_people: DataFrame, canonical: DataFrame, ids: Sequence[int]) -> DataFrame:
-    """Photos that hold all the given people, merged ids resolved on both sides; none for an empty request."""
-    wanted = canonical.where(F.col("person_id").isin(list(ids))).select(F.col("canonical_id").alias("person_id")).distinct()
+def photos_of_all(photos: DataFrame, photo_people: DataFrame, canonical: DataFrame, ids: Sequence[int]) -> DataFrame:
+    """Photos that aren't deleted and hold all the given people, merged ids resolved on both sides, oldest first.
+
+    None for an empty request, nor if an id is no one's.
+    """
+    asked = photo_people.sparkSession.createDataFrame([(int(i),) for i in set(ids)], "person_id long")
+    wanted = asked.join(canonical, "person_id", "left").select(F.coalesce("canonical_id", "person_id").alias("person_id")).distinct()
     n = wanted.count()
-    hits = canonical_photos(photo_people, canonical).join(F.broadcast(wanted), "person_id", "left_semi")
-    return hits.groupBy("photo_id").agg(F.count("*").alias("n")).where((F.col("n") == n) & F.lit(n > 0)).select("photo_id")
+    hits = canonical_photos(photo_people, canonical).join(F.broadcast(wanted), "person_id", "left_semi")  # as many as were asked for
+    held = hits.groupBy("photo_id").agg(F.count("*").alias("n")).where((F.col("n") == n) & F.lit(n > 0))
+    return photos.where(~F.col("is_deleted")).join(held, "photo_id", "left_semi").orderBy(F.asc_nulls_first("ts"), "photo_id")
 
 
 def photos_of_any(photo_people: DataFrame, canonical: DataFrame, ids: DataFrame) -> DataFrame:
@@ -94,9 +112,3 @@ def best_by(rows: DataFrame, group: Sequence[str], value: str, order: Sequence[C
 def size_distribution(members: DataFrame, group: str) -> DataFrame:
     """(size, clusters): how many clusters have each size."""
     return members.groupBy(group).agg(F.count("*").alias("size")).groupBy("size").agg(F.count("*").alias("clusters"))
-
-
-def carry_names(similarities: DataFrame, least: float) -> DataFrame:
-    """C11: (cluster, name, sim): for each new cluster the old name of greatest similarity, from (cluster, name, sim); ties to the smaller name."""
-    w = Window.partitionBy("cluster").orderBy(F.desc("sim"), "name")
-    return similarities.where(F.col("sim") >= least).withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")

@@ -44,7 +44,7 @@ def at_time(photos: DataFrame, when: str) -> DataFrame:
 def place_contains(photos: DataFrame, aliases: DataFrame, q: str) -> DataFrame:
     """Rows whose place, or its alias, contains a phrase, case ignored. No place, no match."""
     q = q.strip().lower()
-    named = photos.join(F.broadcast(aliases), "place", "left")
+    named = photos.join(aliases, "place", "left")
     return named.where(F.contains(F.lower("place"), F.lit(q)) | F.coalesce(F.contains(F.lower("alias"), F.lit(q)), F.lit(False))).drop("alias")
 
 
@@ -90,59 +90,67 @@ def place_vocabulary(places: DataFrame, aliases: DataFrame) -> DataFrame:
     return parts.unionByName(other).where(F.length("phrase") > 2).distinct()
 
 
-def match_phrases(queries: DataFrame, phrases: DataFrame, most_words: int = 6) -> DataFrame:
-    """(q, phrase, start, words): known phrases in each query's tokens, most words first, over free positions only.
+def match_phrases(queries: DataFrame, phrases: DataFrame) -> DataFrame:
+    """(q, phrase, start, words, rank): known phrases in each query's tokens, most words first, over free positions only.
 
-    Windows of tokens meet the phrases by an equi-join; only the few hits of one query are
-    taken in turn.
+    Phrases may have a rank: all of a smaller one come before those of a larger one.
+    Windows of tokens, as long as some phrase is, meet the phrases by an equi-join; only
+    the few hits of one query are taken in turn.
     """
+    rank = F.col("rank").cast("int") if "rank" in phrases.columns else F.lit(0)
+    known = phrases.select("phrase", rank.alias("rank"), F.array_join(T.tokens("phrase"), " ").alias("key"), F.size(T.tokens("phrase")).alias("words")).where("words > 0").distinct()
+    lengths = [r["words"] for r in known.select("words").distinct().collect()]  # a row a length
     words = queries.select("q", F.posexplode(T.tokens("q")).alias("start", "_t"), T.tokens("q").alias("t"))
-    sizes = words.select("q", "start", "t", F.explode(F.sequence(F.lit(1), F.lit(most_words))).alias("words")).where(F.col("start") + F.col("words") <= F.size("t"))
-    spans = sizes.select("q", "start", "words", F.array_join(F.slice("t", F.col("start") + 1, F.col("words")), " ").alias("key"))
-    known = phrases.select("phrase", F.array_join(T.tokens("phrase"), " ").alias("key")).where("key <> ''").distinct()
-    hits = spans.join(known, "key").select("q", "phrase", "start", "words")
+    sizes = words.select("q", "start", "t", F.explode(F.array(*map(F.lit, lengths)).cast("array<int>")).alias("words")).where(F.col("start") + F.col("words") <= F.size("t"))
+    spans = sizes.select("q", "start", F.array_join(F.slice("t", F.col("start") + 1, F.col("words")), " ").alias("key"))
+    hits = spans.join(known, "key").select("q", "phrase", "start", "words", "rank")
 
     def take(pdf: pd.DataFrame) -> pd.DataFrame:
         used: set[int] = set()
         keep = []
-        for row in pdf.sort_values(["words", "phrase", "start"], ascending=[False, True, True]).itertuples(index=False):
+        for row in pdf.sort_values(["rank", "words", "phrase", "start"], ascending=[True, False, True, True]).itertuples(index=False):
             span = range(row.start, row.start + row.words)
             if not used.intersection(span):
                 used.update(span)
                 keep.append(row)
         return pd.DataFrame(keep, columns=pdf.columns)
 
-    return in_turn(hits, "q", take, "q string, phrase string, start int, words int")
+    return in_turn(hits, "q", take, "q string, phrase string, start int, words int, rank int")
 
 
 def parse_queries(queries: DataFrame, names: DataFrame, places: DataFrame) -> DataFrame:
     """(q, names, location, timestamp, caption) of free-text queries.
 
-    Names come first, then the first place; a year, with a month if one is named; the
-    caption is the left-over tokens that aren't stop words, years or a used month.
+    Names come first, then places, of which the longest is the location. What neither uses
+    is free: its first year is the time, with its first month if there is one (a month
+    without a year stays in the caption). The caption is the free tokens left but stop words.
     """
-    kinds = names.select(F.col("name").alias("phrase"), F.lit("name").alias("kind")).unionByName(places.select("phrase", F.lit("place").alias("kind")))
-    hits = match_phrases(queries, kinds.select("phrase").distinct()).join(kinds, "phrase")
+    kinds = names.select(F.col("name").alias("phrase"), F.lit(0).alias("rank")).unionByName(places.select("phrase", F.lit(1).alias("rank")))
+    hits = match_phrases(queries, kinds)
     used = hits.select("q", F.explode(F.sequence("start", F.col("start") + F.col("words") - 1)).alias("pos")).groupBy("q").agg(F.collect_set("pos").alias("used"))
+    place = F.col("rank") == 1
     found = hits.groupBy("q").agg(
-        F.array_join(F.array_sort(F.collect_set(F.when(F.col("kind") == "name", F.col("phrase")))), "|").alias("names"),
-        F.min_by(F.when(F.col("kind") == "place", F.col("phrase")), F.when(F.col("kind") == "place", F.col("start"))).alias("location"))
+        F.array_join(F.array_sort(F.collect_set(F.when(~place, F.col("phrase")))), "|").alias("names"),
+        F.min_by(F.when(place, F.col("phrase")), F.when(place, F.struct(-F.col("words"), F.col("phrase"), F.col("start")))).alias("location"))
     out = queries.select("q").distinct().join(found, "q", "left").join(used, "q", "left")
-    year, month = T.year_of("q"), T.month_of("q")
-    stamp = F.when(year.isNotNull() & month.isNotNull(), F.format_string("%04d-%02d", year, month)).when(year.isNotNull(), year.cast("string"))
     used_at = F.coalesce("used", F.array().cast("array<int>"))
-    free = F.filter(F.transform(T.tokens("q"), lambda t, i: F.when(~F.array_contains(used_at, i), t)), lambda t: t.isNotNull())
-    drop = F.array(*map(F.lit, T.STOP_WORDS))
-    months = F.array(*map(F.lit, T.MONTHS))
-    caption = F.filter(free, lambda t: ~F.array_contains(drop, t) & ~t.rlike("^(19|20)\\d\\d$") & ~(year.isNotNull() & F.array_contains(months, t)))
+    placed = F.transform(T.tokens("q"), lambda t, i: F.struct(t.alias("t"), i.alias("i")))
+    out = out.withColumn("free", F.filter(placed, lambda s: ~F.array_contains(used_at, s["i"])))
+    first = lambda fits: F.try_element_at(F.filter("free", lambda s: fits(s["t"])), F.lit(1))
+    out = out.withColumn("year", first(lambda t: t.rlike("^(19|20)\\d\\d$"))).withColumn("month", first(lambda t: T.month_number(t).isNotNull()))
+    dated = F.col("year").isNotNull()
+    stamp = F.when(dated & F.col("month").isNotNull(), F.concat("year.t", F.lit("-"), F.lpad(T.month_number(F.col("month.t")).cast("string"), 2, "0"))).when(dated, F.col("year.t"))
+    stop = F.array(*map(F.lit, T.STOP_WORDS))
+    spent = lambda s: dated & (s["i"].eqNullSafe(F.col("year.i")) | s["i"].eqNullSafe(F.col("month.i")))
+    caption = F.transform(F.filter("free", lambda s: ~F.array_contains(stop, s["t"]) & ~spent(s)), lambda s: s["t"])
     return out.select("q", F.coalesce("names", F.lit("")).alias("names"), "location", stamp.alias("timestamp"), F.array_join(caption, " ").alias("caption"))
 
 
 def residual_caption(q: str | Column, matched: Column, dated: Column) -> Column:
     """Words of a query that are neither matched words nor years nor stop words, nor months when a month and year matched."""
     words = F.split(F.lower(F.trim(F.col(q) if isinstance(q, str) else q)), "\\s+")
-    stop, months = F.array(*map(F.lit, T.STOP_WORDS)), F.array(*map(F.lit, T.MONTHS))
-    return F.array_join(F.filter(words, lambda w: (w != "") & ~F.array_contains(stop, w) & ~F.array_contains(matched, w) & ~w.rlike("^(19|20)\\d\\d$") & ~(dated & F.array_contains(months, w))), " ")
+    stop = F.array(*map(F.lit, T.STOP_WORDS))
+    return F.array_join(F.filter(words, lambda w: (w != "") & ~F.array_contains(stop, w) & ~F.array_contains(matched, w) & ~w.rlike("^(19|20)\\d\\d$") & ~(dated & T.month_number(w).isNotNull())), " ")
 
 
 def scored(photos: DataFrame, vectors: DataFrame, query: Sequence[float]) -> DataFrame:

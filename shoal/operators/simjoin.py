@@ -7,7 +7,7 @@ holds more than two blocks.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping
 
 import numpy as np
 import pandas as pd
@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shoal.functions.vectors import best_of, cosine, dot
+from shoal.sources.shared import checkpointed
 
 #: Numbers of a side that is broadcast at most (64 MB of doubles).
 BROADCAST_NUMBERS = 8_000_000
@@ -37,26 +38,30 @@ def matrix_of(small: DataFrame, key: str, v: str) -> tuple[list, np.ndarray] | N
     if n * max(1, width or 0) > BROADCAST_NUMBERS:
         return None
     rows = small.select(key, v).orderBy(key).collect()
-    return [r[0] for r in rows], np.array([r[1] for r in rows], np.float64).reshape(len(rows), -1)
+    return [r[0] for r in rows], np.array([r[1] for r in rows], np.float64).reshape(len(rows), width or 0)
 
 
 def nearest_prototype(vectors: DataFrame, protos: DataFrame, least: float, strict: bool = False, last_wins: bool = False) -> DataFrame:
-    """(vec_id, proto, sim): the most similar prototype (proto, v) of each vector, -1 below `least`.
+    """(vec_id, proto, sim): the most similar prototype (proto, v) of each vector, -1 below `least` and without any prototype.
 
-    Ties go to the first prototype, or with last_wins to the last.
+    Ties go to the first prototype, or with last_wins to the last. Prototypes beyond the
+    bound for sending them to all tasks meet the vectors in blocks, of which each yields a
+    vector's best.
     """
     held = matrix_of(protos, "proto", "v")
-    if held is None:  # prototypes by the million: join blocks of both sides, then take the best
-        pairs = block_pairs(vectors, protos.withColumnRenamed("proto", "vec_id"), -2.0, same=False)
-        best = pairs.groupBy(F.col("a").alias("vec_id")).agg(F.max_by(F.struct("b", "sim"), F.struct("sim", F.col("b") * (1 if last_wins else -1))).alias("x"))
+    if held is None:
+        best = met_blocks(vectors, protos.withColumnRenamed("proto", "vec_id"), same=False).mapInPandas(best_of_block(last_wins), "a long, b long, sim double")
+        best = best.groupBy(F.col("a").alias("vec_id")).agg(F.max_by(F.struct("b", "sim"), F.struct("sim", F.col("b") * (1 if last_wins else -1))).alias("x"))
         out = vectors.select("vec_id").join(best, "vec_id", "left").select("vec_id", F.col("x.b").alias("proto"), F.col("x.sim").alias("sim"))
+    elif not held[0]:
+        out = vectors.select("vec_id", F.lit(None).cast("long").alias("proto"), F.lit(None).cast("double").alias("sim"))
     else:
         sent = vectors.sparkSession.sparkContext.broadcast(held)
 
         def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             keys, m = sent.value
             for pdf in batches:
-                if len(pdf) and len(keys):
+                if len(pdf):
                     sims = np.stack(pdf["v"].to_numpy()) @ m.T
                     at = sims.shape[1] - 1 - sims[:, ::-1].argmax(1) if last_wins else sims.argmax(1)
                     yield pd.DataFrame({"vec_id": pdf["vec_id"], "proto": np.array(keys)[at], "sim": sims[np.arange(len(at)), at]})
@@ -70,20 +75,42 @@ def blocks_of(vectors: DataFrame, blocks: int) -> DataFrame:
     """(block, ids, vectors) with a row a block; ids fall into blocks by their hash, blocks being as many as the count asks for."""
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("vec_id")
         return pd.DataFrame({"block": [pdf["block"].iloc[0]], "ids": [pdf["vec_id"].to_numpy(np.int64).tobytes()], "data": [np.stack(pdf["v"].to_numpy()).astype(np.float64).tobytes()]})
 
     rows = vectors.where(F.size("v") > 0).select("vec_id", "v", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"))
     return rows.groupBy("block").applyInPandas(pack, "block int, ids binary, data binary")
 
 
-def block_pairs(left: DataFrame, right: DataFrame, least: float, strict: bool = False, same: bool = True) -> DataFrame:
-    """(a, b, sim) of pairs with an inner product of at least (or above) `least`; a < b within one table (same)."""
+def met_blocks(left: DataFrame, right: DataFrame, same: bool) -> DataFrame:
+    """(p, q, ids_a, data_a, ids_b, data_b): each block of one side with each of the other, or of one table (same) with itself and the later ones."""
     n_left = max(1, -(-left.count() // BLOCK))
     n_right = n_left if same else max(1, -(-right.count() // BLOCK))
-    one = blocks_of(left, n_left).toDF("p", "ids_a", "data_a")
-    two = blocks_of(right, n_right).toDF("q", "ids_b", "data_b")
+    blocks = checkpointed(blocks_of(left, n_left))
+    one = blocks.toDF("p", "ids_a", "data_a")
+    two = (blocks if same else blocks_of(right, n_right)).select(F.col("block").alias("q"), F.col("ids").alias("ids_b"), F.col("data").alias("data_b"))
     first = F.col("p") if same else F.lit(0)
-    met = one.withColumn("q", F.explode(F.sequence(first, F.lit(n_right - 1)))).join(two, "q")
+    return one.withColumn("q", F.explode(F.sequence(first, F.lit(n_right - 1)))).join(two, "q").select("p", "q", "ids_a", "data_a", "ids_b", "data_b")
+
+
+def best_of_block(last_wins: bool) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Pairs of blocks -> (a, b, sim): the most similar row of the second block for each of the first."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for r in pdf.itertuples(index=False):
+                ia, ib = np.frombuffer(r.ids_a, np.int64), np.frombuffer(r.ids_b, np.int64)
+                x, y = np.frombuffer(r.data_a).reshape(len(ia), -1), np.frombuffer(r.data_b).reshape(len(ib), -1)
+                for s in range(0, len(ia), 512):
+                    sims = x[s : s + 512] @ y.T
+                    at = sims.shape[1] - 1 - sims[:, ::-1].argmax(1) if last_wins else sims.argmax(1)
+                    yield pd.DataFrame({"a": ia[s : s + 512], "b": ib[at], "sim": sims[np.arange(len(at)), at]})
+
+    return run
+
+
+def block_pairs(left: DataFrame, right: DataFrame, least: float, strict: bool = False, same: bool = True) -> DataFrame:
+    """(a, b, sim) of pairs with an inner product of at least (or above) `least`; a < b within one table (same)."""
 
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -99,7 +126,24 @@ def block_pairs(left: DataFrame, right: DataFrame, least: float, strict: bool =
                         a, b, sim = np.minimum(a, b)[keep], np.maximum(a, b)[keep], sim[keep]
                     yield pd.DataFrame({"a": a, "b": b, "sim": sim})
 
-    return met.select("p", "q", "ids_a", "data_a", "ids_b", "data_b").mapInPandas(meet, "a long, b long, sim double")
+    return met_blocks(left, right, same).mapInPandas(meet, "a long, b long, sim double")
+
+
+def duplicates(photos: DataFrame, above: float = 0.97) -> DataFrame:
+    """(a, b, sim), a < b, of active photos (vec_id, v, is_video, is_deleted) of one media type more similar than `above`."""
+    live = photos.where(~F.col("is_deleted"))
+    images, videos = (live.where(F.col("is_video") == video) for video in (False, True))
+    return block_pairs(images, images, above, strict=True).unionByName(block_pairs(videos, videos, above, strict=True))
+
+
+def carry_names(old: DataFrame, new: DataFrame, least: float) -> DataFrame:
+    """C11: (cluster, name, sim): for each new cluster (cluster, v) the name of the most similar old one (name, v) of at least `least`; ties to the smaller name."""
+    from shoal.operators.maintain import append_rows
+
+    none = old.sparkSession.createDataFrame([], "id long, name string, v array<double>")
+    named = checkpointed(append_rows(none, old.select("name", "v"), "name"))
+    at = nearest_prototype(new.select(F.col("cluster").alias("vec_id"), "v"), named.select(F.col("id").alias("proto"), "v"), least).where("proto >= 0")
+    return at.join(named.select(F.col("id").alias("proto"), "name"), "proto").select(F.col("vec_id").alias("cluster"), "name", "sim")
 
 
 def frame_pairs(videos: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -156,10 +200,21 @@ def cell_join(vectors: DataFrame, least: float, cells: int | None = None, probe:
 
 
 def zero_shot(vectors: DataFrame, prompts: DataFrame) -> DataFrame:
-    """(category, vec_id, score): categories (category, v, threshold; several prompts each) whose best prompt a vector reaches. Prompts are a short fixed list."""
-    p = F.broadcast(prompts.select("category", F.col("v").alias("p"), "threshold"))
-    best = vectors.join(p).groupBy("category", "vec_id").agg(F.max(dot("v", "p")).alias("score"), F.max("threshold").alias("threshold"))
-    return best.where("score >= threshold").select("category", "vec_id", "score")
+    """(category, vec_id, score): categories (category, v, threshold; several prompts each) whose best prompt a vector reaches."""
+    asked = checkpointed(prompts.select(F.monotonically_increasing_id().alias("vec_id"), "category", "v", "threshold"))
+    reach = asked.groupBy("category").agg(F.max("threshold").alias("threshold"))
+    lowest = reach.agg(F.min("threshold")).first()[0]
+    hits = block_pairs(vectors, asked, 2.0 if lowest is None else lowest, same=False)
+    best = hits.join(asked.select(F.col("vec_id").alias("b"), "category"), "b").groupBy("category", F.col("a").alias("vec_id")).agg(F.max("sim").alias("score"))
+    return best.join(reach, "category").where("score >= threshold").select("category", "vec_id", "score")
+
+
+def folder_members(vectors: DataFrame, saved: DataFrame) -> DataFrame:
+    """(folder, vec_id) of saved searches (folder, q, anchor, floor): vectors at least `floor` like the query, the anchor left out."""
+    lowest = saved.agg(F.min("floor")).first()[0]
+    hits = block_pairs(vectors, saved.select(F.col("folder").alias("vec_id"), F.col("q").alias("v")), 2.0 if lowest is None else lowest, same=False)
+    met = hits.join(saved.select(F.col("folder").alias("b"), "anchor", "floor"), "b").where((F.col("sim") >= F.col("floor")) & ~F.col("a").eqNullSafe(F.col("anchor")))
+    return met.select(F.col("b").alias("folder"), F.col("a").alias("vec_id"))
 
 
 def consistency(one: DataFrame, two: DataFrame) -> DataFrame:

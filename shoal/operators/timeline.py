@@ -87,8 +87,8 @@ def growth_timeline(photos: DataFrame, faces: DataFrame) -> DataFrame:
     """
     rows = photos.join(faces, "photo_id", "left").withColumn("year", F.year("ts"))
     score = F.coalesce("sharpness", F.lit(1.0)) * F.sqrt("area")
-    w = Window.partitionBy("year").orderBy(F.desc_nulls_last("score"), F.desc("ts"), "face_idx", "photo_id")
-    best = rows.withColumn("score", score).withColumn("_r", F.row_number().over(w)).where("_r = 1")
+    first = F.struct("score", "ts", -F.col("face_idx"), -F.col("photo_id"))  # a null score comes last
+    best = rows.withColumn("score", score).groupBy("year").agg(F.max_by(F.struct("photo_id", "face_idx", "score"), first).alias("x")).select("year", "x.*")
     return best.select("year", "photo_id", F.when(F.col("score").isNotNull(), F.col("face_idx")).alias("face_idx"), F.coalesce("score", F.lit(0.0)).alias("score"))
 
 

@@ -74,7 +74,14 @@ def d22_kfold_threshold_accuracy(t: Tables) -> DataFrame:
     return E.kfold_accuracy(pairs(t), GRID).select("fold", "threshold", r("accuracy"))
 
 
-@query()
+#: Pair counts by grid point of rows g (point, truth, label).
+GRID_SQL = " c AS (SELECT point, label, truth, count(*) AS n FROM g WHERE label >= 0 GROUP BY ALL), tp AS (SELECT point, sum(n * (n - 1) / 2) AS tp FROM c GROUP BY point), pr AS (SELECT point, sum(n * (n - 1) / 2) AS pr FROM (SELECT point, label, sum(n) AS n FROM c GROUP BY ALL) GROUP BY point), ac AS (SELECT point, sum(n * (n - 1) / 2) AS ac FROM (SELECT point, truth, count(*) AS n FROM g GROUP BY ALL) GROUP BY point), z AS (SELECT point, count(DISTINCT label) FILTER (WHERE label >= 0) AS clusters, count(*) FILTER (WHERE label < 0) / count(*) AS noise FROM g GROUP BY point)"
+
+
+@query(bound("near") + """, pairs AS (SELECT a.vec_id AS a, b.vec_id AS b, list_dot_product(a.v, b.v) AS sim FROM blocks a JOIN blocks b ON a.vec_id <> b.vec_id WHERE list_dot_product(a.v, b.v) >= 0.55),
+points AS (SELECT * FROM (VALUES ('0.2/2', 0.8, 2), ('0.2/3', 0.8, 3), ('0.4/2', 0.6, 2), ('0.4/3', 0.6, 3)) x(point, least, samples)), w AS (SELECT point, samples, a, b FROM pairs JOIN points ON sim >= least),
+core AS (SELECT point, a AS id FROM w GROUP BY point, a, samples HAVING count(*) + 1 >= samples), root AS (SELECT c.point, c.id, least(c.id, min(w.b)) AS root FROM core c JOIN w ON w.point = c.point AND w.a = c.id JOIN core d ON d.point = c.point AND d.id = w.b GROUP BY c.point, c.id),
+g AS (SELECT points.point, vec_id // 5 AS truth, coalesce(root, -1) AS label FROM points JOIN embeddings ON true LEFT JOIN root ON root.point = points.point AND root.id = vec_id),""" + GRID_SQL + " SELECT point, clusters, round(noise, 6) AS noise, round(tp / pr, 6) AS precision, round(tp / ac, 6) AS recall, round(2 * tp / (pr + ac), 6) AS f1 FROM z JOIN tp USING (point) JOIN pr USING (point) JOIN ac USING (point)")
 def d23_clustering_grid_eval(t: Tables) -> DataFrame:
     near = G.checkpointed(J.block_pairs(t.blocks, t.blocks, 0.55))
     out = None
@@ -83,14 +90,13 @@ def d23_clustering_grid_eval(t: Tables) -> DataFrame:
             labels = G.dbscan(t.blocks.select(F.col("vec_id").alias("id")), near.where(F.col("sim") >= 1 - eps), least)
             rows = labels.join(t.blocks.select(F.col("vec_id").alias("id"), (F.col("vec_id") / 5).cast("long").alias("truth")), "id").select(F.lit(f"{eps}/{least}").alias("point"), "label", "truth")
             out = rows if out is None else out.unionByName(rows)
-    return E.grid_eval(out)
+    return E.grid_eval(out).select("point", "clusters", r("noise"), r("precision"), r("recall"), r("f1"))
 
 
 PROTO = bound("near") + ", p AS (SELECT vec_id // 5 AS proto, v AS pv FROM blocks WHERE vec_id % 5 = 0 AND vec_id % 2 = 0), s AS (SELECT vec_id, vec_id // 5 AS truth, arg_max(proto, (list_dot_product(v, pv), -proto)) AS proto, max(list_dot_product(v, pv)) AS sim FROM blocks, p GROUP BY vec_id), g AS (SELECT point, truth, CASE WHEN sim >= point THEN proto ELSE -1 END AS label FROM s, (SELECT unnest([0.3, 0.5, 0.7]) AS point)),"
-PROTO += " c AS (SELECT point, label, truth, count(*) AS n FROM g WHERE label >= 0 GROUP BY ALL), tp AS (SELECT point, sum(n * (n - 1) / 2) AS tp FROM c GROUP BY point), pr AS (SELECT point, sum(n * (n - 1) / 2) AS pr FROM (SELECT point, label, sum(n) AS n FROM c GROUP BY ALL) GROUP BY point), ac AS (SELECT point, sum(n * (n - 1) / 2) AS ac FROM (SELECT point, truth, count(*) AS n FROM g GROUP BY ALL) GROUP BY point), z AS (SELECT point, count(DISTINCT label) FILTER (WHERE label >= 0) AS clusters, count(*) FILTER (WHERE label < 0) / count(*) AS noise FROM g GROUP BY point)"
 
 
-@query(PROTO + " SELECT CAST(point AS VARCHAR) AS point, clusters, round(noise, 6) AS noise, round(tp / pr, 6) AS precision, round(tp / ac, 6) AS recall, round(2 * tp / (pr + ac), 6) AS f1 FROM z JOIN tp USING (point) JOIN pr USING (point) JOIN ac USING (point)")
+@query(PROTO + GRID_SQL + " SELECT CAST(point AS VARCHAR) AS point, clusters, round(noise, 6) AS noise, round(tp / pr, 6) AS precision, round(tp / ac, 6) AS recall, round(2 * tp / (pr + ac), 6) AS f1 FROM z JOIN tp USING (point) JOIN pr USING (point) JOIN ac USING (point)")
 def d24_prototype_grid_eval(t: Tables) -> DataFrame:
     protos = t.blocks.where("vec_id % 10 = 0").select((F.col("vec_id") / 5).cast("long").alias("proto"), "v")
     at = J.nearest_prototype(t.blocks, protos, -2.0)
@@ -175,8 +181,8 @@ def a7_read_verification_pairs(t: Tables) -> DataFrame:
     path = scratch(t.spark, "pairs")
     k = F.col("o_orderkey")
     line = F.when(k % 2 == 0, F.concat_ws("\t", F.concat(F.lit("n"), k.cast("string")), F.lit("1"), F.lit("2"))).otherwise(F.concat_ws("\t", F.concat(F.lit("n"), k.cast("string")), F.lit("1"), F.lit("m"), F.lit("3")))
-    lines = t.read("orders").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", line.alias("l")))), lambda s: s["l"]), "\n").alias("all"))
-    lines.select(F.concat(F.lit("10\t10\n"), F.col("all"))).write.text(path)  # a pair file is one small text
+    head = t.spark.createDataFrame([(-1, "10\t10")], "o_orderkey long, line string")
+    t.read("orders").select("o_orderkey", line.alias("line")).unionByName(head).orderBy("o_orderkey").select("line").write.text(path)
     return verification_pairs(t.spark, path).groupBy("fold", "same").agg(F.count("*").alias("n"))
 
 
@@ -249,8 +255,7 @@ def j4_stream_dedup(t: Tables) -> DataFrame:
     path = scratch(t.spark, "unique")
     schema = t.read("documents").schema
     docs = t.spark.readStream.schema(schema).parquet(f"{t.sf_dir}/document[s].parquet").select(F.col("doc_id").alias("id"), "text")
-    known = t.spark.createDataFrame([], "id long, h long")
-    R.each_batch(G.simhash_words(docs), R.skip_duplicates(lambda: known, path, 7, 60), f"{path}-at").awaitTermination()
+    R.each_batch(docs, R.skip_duplicates(G.simhash_words, path), f"{path}-at").awaitTermination()
     return t.spark.read.parquet(path).select("id")
 
 

@@ -103,15 +103,13 @@ def c14_new_files_anti_join(t: Tables) -> DataFrame:
     return M.difference(source, known)
 
 
-@query("WITH h AS (SELECT vec_id AS id, list_sum(list_transform(range(1, 61), lambda k: CASE WHEN list_extract(embedding, k) > 0 THEN (1::BIGINT << (60 - k)) ELSE 0 END))::BIGINT AS h FROM embeddings), m AS (SELECT u.id AS upload, i.id, bit_count(xor(u.h, i.h)) AS dist, i.id % 4 = 1 AS is_deleted FROM h u JOIN h i ON u.id % 3 = 0 AND i.id % 3 <> 0 AND bit_count(xor(u.h, i.h)) <= 18) SELECT upload, arg_min(id, (dist, NOT is_deleted, id)) AS \"match\", CASE WHEN arg_min(is_deleted, (dist, NOT is_deleted, id)) THEN 'restore' ELSE 'skip' END AS action FROM m GROUP BY upload")
+@query("WITH h AS (SELECT vec_id AS id, CAST(array_to_string(list_transform(embedding, lambda x: CASE WHEN x > 0 THEN '1' ELSE '0' END), '') AS BIT) AS h FROM embeddings), m AS (SELECT u.id AS upload, i.id, bit_count(xor(u.h, i.h)) AS dist, i.id % 4 = 1 AS is_deleted FROM h u JOIN h i ON u.id % 3 = 0 AND i.id % 3 <> 0 AND bit_count(xor(u.h, i.h)) <= 18) SELECT upload, arg_min(id, (dist, NOT is_deleted, id)) AS \"match\", CASE WHEN arg_min(is_deleted, (dist, NOT is_deleted, id)) THEN 'restore' ELSE 'skip' END AS action FROM m GROUP BY upload")
 def c15_upload_dedup_nearest(t: Tables) -> DataFrame:
     from shoal.functions.vectors import sign_hash
     from shoal.operators.graph import hamming_join
 
     h = t.vectors.select(F.col("vec_id").alias("id"), sign_hash("v").alias("h"))
-    pairs = hamming_join(h, 18, 60)
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "dist"))
-    met = both.where("a % 3 = 0 and b % 3 <> 0").select(F.col("a").alias("upload"), F.col("b").alias("id"), "dist")
+    met = hamming_join(h.where("id % 3 = 0"), 18, h.where("id % 3 <> 0")).toDF("upload", "id", "dist")
     return M.upload_dedup(met, h.where("id % 3 <> 0").select("id", (F.col("id") % 4 == 1).alias("is_deleted")))
 
 

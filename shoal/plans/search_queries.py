@@ -138,15 +138,16 @@ def c2_resolve_name(t: Tables) -> DataFrame:
 HELD = bound("photo_people", "canonical", "photos") + ", held AS (SELECT DISTINCT photo_id, canonical_id AS person_id FROM photo_people JOIN canonical USING (person_id))"
 
 
-@query(HELD + " SELECT photo_id FROM held WHERE person_id IN (3, 5) GROUP BY photo_id HAVING count(*) = 2")
+@query(HELD + """, asked AS (SELECT DISTINCT coalesce(canonical_id, id) AS person_id FROM (SELECT unnest([50, 55, 5]) AS id) LEFT JOIN canonical ON person_id = id)
+SELECT photo_id FROM held JOIN asked USING (person_id) WHERE photo_id NOT IN (SELECT photo_id FROM photos WHERE is_deleted) GROUP BY photo_id HAVING count(*) = (SELECT count(*) FROM asked)""")
 def c3_photos_of_all_people(t: Tables) -> DataFrame:
-    return P.photos_of_all(t.photo_people, canonical(t), [50, 55, 5])
+    return P.photos_of_all(t.photos, t.photo_people, canonical(t), [50, 55, 5]).select("photo_id")
 
 
-@query(HELD + " SELECT photo_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts FROM photos WHERE folder = 'F' AND photo_id IN (SELECT photo_id FROM held WHERE person_id = 4)")
+@query(HELD + " SELECT photo_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts FROM photos WHERE folder = 'F' AND NOT is_deleted AND photo_id IN (SELECT photo_id FROM held WHERE person_id = coalesce((SELECT canonical_id FROM canonical WHERE person_id = 54), 54))")
 def c4_photos_of_person(t: Tables) -> DataFrame:
     held = P.photos_of_any(t.photo_people, canonical(t), t.persons.where("person_id = 54").select("person_id"))
-    return S.newest_first(S.in_folder(t.photos.where("folder = 'F'"), held)).select("photo_id", stamp())
+    return S.newest_first(S.in_folder(S.active(t.photos).where("folder = 'F'"), held)).select("photo_id", stamp())
 
 
 @query(bound("canonical") + " SELECT person_id, canonical_id FROM canonical")
@@ -233,44 +234,43 @@ def h19_city_part(t: Tables) -> DataFrame:
     return t.photos.select("photo_id", X.city_part("place").alias("city"))
 
 
-MONTHLY = "'trip in ' || CASE o_orderkey % 3 WHEN 0 THEN strftime(o_orderdate, '%B %Y') WHEN 1 THEN strftime(o_orderdate, '%Y') ELSE strftime(o_orderdate, '%B') END"
+MONTHLY = "'all pics of a trip in ' || CASE o_orderkey % 4 WHEN 0 THEN strftime(o_orderdate, '%B %Y') WHEN 1 THEN strftime(o_orderdate, '%Y') WHEN 2 THEN strftime(o_orderdate, '%B') ELSE strftime(o_orderdate, '%b %Y') END"
 
 
 def monthly(t: Tables) -> DataFrame:
-    k, d = F.col("o_orderkey") % 3, F.col("o_orderdate")
-    said = F.when(k == 0, F.date_format(d, "MMMM yyyy")).when(k == 1, F.date_format(d, "yyyy")).otherwise(F.date_format(d, "MMMM"))
-    return t.read("orders").select("o_orderkey", F.concat(F.lit("trip in "), said).alias("q"))
+    k, d = F.col("o_orderkey") % 4, F.col("o_orderdate")
+    said = F.when(k == 0, F.date_format(d, "MMMM yyyy")).when(k == 1, F.date_format(d, "yyyy")).when(k == 2, F.date_format(d, "MMMM")).otherwise(F.date_format(d, "MMM yyyy"))
+    return t.read("orders").select("o_orderkey", F.concat(F.lit("all pics of a trip in "), said).alias("q"))
 
 
-@query(f"SELECT o_orderkey, {MONTHLY} AS q, CASE WHEN o_orderkey % 3 <> 2 THEN year(o_orderdate) END AS year, CASE WHEN o_orderkey % 3 <> 1 THEN month(o_orderdate) END AS month FROM orders")
+@query(f"SELECT o_orderkey, {MONTHLY} AS q, CASE WHEN o_orderkey % 4 IN (0, 3) THEN year(o_orderdate) END AS year, CASE WHEN o_orderkey % 4 IN (0, 3) THEN month(o_orderdate) END AS month FROM orders")
 def h20_parse_month_year(t: Tables) -> DataFrame:
-    return monthly(t).select("o_orderkey", "q", X.year_of("q").alias("year"), X.month_of("q").alias("month"))
+    return monthly(t).withColumn("at", X.month_year("q")).select("o_orderkey", "q", "at.year", "at.month")
 
 
-@query(f"SELECT o_orderkey, {MONTHLY} AS q, CASE o_orderkey % 3 WHEN 2 THEN lower(strftime(o_orderdate, '%B')) ELSE '' END AS caption FROM orders")
+@query(f"SELECT o_orderkey, {MONTHLY} AS q, CASE o_orderkey % 4 WHEN 2 THEN lower(strftime(o_orderdate, '%B')) ELSE '' END AS caption FROM orders")
 def h21_residual_caption(t: Tables) -> DataFrame:
-    dated = X.year_of("q").isNotNull() & X.month_of("q").isNotNull()
-    return monthly(t).select("o_orderkey", "q", S.residual_caption("q", F.array(F.lit("trip")), dated).alias("caption"))
+    return monthly(t).select("o_orderkey", "q", S.residual_caption("q", F.array(F.lit("trip")), X.month_year("q").isNotNull()).alias("caption"))
 
 
 def asked(t: Tables) -> DataFrame:
     """A query for each customer: a supplier's name, a nation, and words."""
     c = t.read("customer")
     name = F.format_string("supplier %09d", F.col("c_custkey") % 10)
-    return c.select("c_custkey", F.concat(F.lit("photos of "), name, F.lit(" at nation "), F.col("c_nationkey").cast("string"), F.lit(" beach sunset march 1999")).alias("q"))
+    return c.select("c_custkey", F.concat(F.lit("photos of "), name, F.lit(" at nation "), F.col("c_nationkey").cast("string"), F.lit(" all beach pics taken march 1999 sunset 2001")).alias("q"))
 
 
-ASKED = """asked AS (SELECT c_custkey, 'photos of supplier ' || printf('%09d', c_custkey % 10) || ' at nation ' || c_nationkey || ' beach sunset march 1999' AS q, c_custkey % 10 AS s, c_nationkey AS n FROM customer)"""
+ASKED = """asked AS (SELECT c_custkey, 'photos of supplier ' || printf('%09d', c_custkey % 10) || ' at nation ' || c_nationkey || ' all beach pics taken march 1999 sunset 2001' AS q, c_custkey % 10 AS s, c_nationkey AS n FROM customer)"""
 
 
 @query("WITH " + ASKED + """ SELECT DISTINCT q, phrase, start, words FROM (
 SELECT q, 'Supplier#' || printf('%09d', s) AS phrase, 2 AS start, 2 AS words FROM asked WHERE s IN (SELECT s_suppkey FROM supplier) UNION ALL SELECT q, 'NATION_' || n, 5, 2 FROM asked)""")
 def h16_match_phrases(t: Tables) -> DataFrame:
     phrases = t.persons.select(F.col("name").alias("phrase")).union(t.read("nation").select("n_name"))
-    return S.match_phrases(asked(t).select("q").distinct(), phrases)
+    return S.match_phrases(asked(t).select("q").distinct(), phrases).drop("rank")
 
 
-@query("WITH " + ASKED + """ SELECT DISTINCT q, 'Supplier#' || printf('%09d', s) AS names, 'NATION_' || n AS location, '1999-03' AS "timestamp", 'beach sunset' AS caption FROM asked WHERE s IN (SELECT s_suppkey FROM supplier)""")
+@query("WITH " + ASKED + """ SELECT DISTINCT q, 'Supplier#' || printf('%09d', s) AS names, 'NATION_' || n AS location, '1999-03' AS "timestamp", 'beach sunset 2001' AS caption FROM asked WHERE s IN (SELECT s_suppkey FROM supplier)""")
 def h17_parse_nl_query(t: Tables) -> DataFrame:
     return S.parse_queries(asked(t).select("q").distinct(), t.persons.select("name"), t.read("nation").select(F.col("n_name").alias("phrase"))).where("names <> ''")
 

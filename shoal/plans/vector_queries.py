@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from shoal.functions import vectors as V
 from shoal.operators import graph as G
 from shoal.operators import simjoin as J
-from shoal.operators.people import carry_names
 from shoal.plans.registry import query
 from shoal.sources.bindings import Tables, bound
 
@@ -70,7 +69,7 @@ def h5_composite_query_vector(t: Tables) -> DataFrame:
     return t.vectors.select("vec_id", F.round(V.dot("v", F.array(*map(F.lit, q))), 6).alias("score"))
 
 
-@query(VE + ", s AS (SELECT vec_id, list_sum(list_transform(range(1, 61), lambda k: CASE WHEN list_extract(v, k) > 0 THEN (1::BIGINT << (60 - k)) ELSE 0 END))::BIGINT AS h FROM vectors) SELECT a.vec_id, CAST(bit_count(xor(a.h, b.h)) AS INT) AS dist FROM s a JOIN s b ON b.vec_id = a.vec_id + 1")
+@query(VE + ", s AS (SELECT vec_id, CAST(array_to_string(list_transform(v, lambda x: CASE WHEN x > 0 THEN '1' ELSE '0' END), '') AS BIT) AS h FROM vectors) SELECT a.vec_id, CAST(bit_count(xor(a.h, b.h)) AS INT) AS dist FROM s a JOIN s b ON b.vec_id = a.vec_id + 1")
 def h6_hamming_distance(t: Tables) -> DataFrame:
     s = t.vectors.select("vec_id", V.sign_hash("v").alias("h"))
     return s.join(s.select((F.col("vec_id") - 1).alias("vec_id"), F.col("h").alias("g")), "vec_id").select("vec_id", V.hamming("h", "g").alias("dist"))
@@ -81,15 +80,14 @@ def c6_nearest_prototype(t: Tables) -> DataFrame:
     return J.nearest_prototype(t.vectors, protos(t), 0.2).select("vec_id", "proto", r6("sim"))
 
 
-@query(VE + PROTOS + ", s AS (SELECT vec_id, arg_max(proto, (list_dot_product(v, pv), -proto)) AS proto, max(list_dot_product(v, pv)) AS sim FROM vectors, protos GROUP BY vec_id) SELECT CASE WHEN sim >= 0.3 THEN proto ELSE -1 END AS person, string_agg(printf('%06d', vec_id), ',' ORDER BY vec_id) AS photos FROM s GROUP BY 1")
+@query(VE + PROTOS + ", s AS (SELECT vec_id, arg_max(proto, (list_dot_product(v, pv), -proto)) AS proto, max(list_dot_product(v, pv)) AS sim FROM vectors, protos GROUP BY vec_id) SELECT CASE WHEN sim >= 0.3 THEN proto ELSE -1 END AS person, vec_id AS photo FROM s")
 def c7_photos_by_person_index(t: Tables) -> DataFrame:
-    at = J.nearest_prototype(t.vectors, protos(t), 0.3)
-    return at.groupBy(F.col("proto").alias("person")).agg(F.array_join(F.array_sort(F.collect_set(F.format_string("%06d", "vec_id"))), ",").alias("photos"))
+    return J.nearest_prototype(t.vectors, protos(t), 0.3).select(F.col("proto").alias("person"), F.col("vec_id").alias("photo"))
 
 
-@query(VE + ", s AS (SELECT vec_id, list_sum(list_transform(range(1, 61), lambda k: CASE WHEN list_extract(v, k) > 0 THEN (1::BIGINT << (60 - k)) ELSE 0 END))::BIGINT AS h FROM vectors) SELECT a.vec_id AS a, b.vec_id AS b, CAST(bit_count(xor(a.h, b.h)) AS INT) AS dist FROM s a JOIN s b ON a.vec_id < b.vec_id WHERE bit_count(xor(a.h, b.h)) <= 14")
+@query(VE + ", s AS (SELECT vec_id, CAST(array_to_string(list_transform(v, lambda x: CASE WHEN x > 0 THEN '1' ELSE '0' END), '') AS BIT) AS h FROM vectors) SELECT a.vec_id AS a, b.vec_id AS b, CAST(bit_count(xor(a.h, b.h)) AS INT) AS dist FROM s a JOIN s b ON a.vec_id < b.vec_id WHERE bit_count(xor(a.h, b.h)) <= 14")
 def c8_hamming_join(t: Tables) -> DataFrame:
-    return G.hamming_join(t.vectors.select(F.col("vec_id").alias("id"), V.sign_hash("v").alias("h")), 14, 60)
+    return G.hamming_join(t.vectors.select(F.col("vec_id").alias("id"), V.sign_hash("v").alias("h")), 14)
 
 
 def text_hashes(t: Tables) -> DataFrame:
@@ -120,9 +118,10 @@ def g5_group_union(t: Tables) -> DataFrame:
     return G.group_union(threes.unionByName(twos))
 
 
-@query(NEAR + " SELECT a, b, round(sim, 6) AS sim FROM pairs WHERE sim > 0.97")
+@query(NEAR + " SELECT a, b, round(sim, 6) AS sim FROM pairs WHERE sim > 0.9 AND (a % 2 = 0) = (b % 2 = 0) AND a % 17 <> 0 AND b % 17 <> 0")
 def c9_cosine_join(t: Tables) -> DataFrame:
-    return J.block_pairs(t.blocks, t.blocks, 0.97, strict=True).select("a", "b", r6("sim"))
+    photos = t.blocks.withColumn("is_video", F.col("vec_id") % 2 == 0).withColumn("is_deleted", F.col("vec_id") % 17 == 0)
+    return J.duplicates(photos, 0.9).select("a", "b", r6("sim"))
 
 
 @query(FRAMES + ", p AS (SELECT DISTINCT video AS a, video + 1 AS b FROM frames WHERE video + 1 IN (SELECT video FROM frames)) SELECT p.a, p.b, round(max(list_dot_product(x.v, y.v)), 6) AS sim FROM p JOIN frames x ON x.video = p.a JOIN frames y ON y.video = p.b GROUP BY p.a, p.b")
@@ -132,11 +131,11 @@ def c10_frame_pair_similarity(t: Tables) -> DataFrame:
     return J.frame_pairs(videos, pairs).select("a", "b", r6("sim"))
 
 
-@query(VE + ", old AS (SELECT 'name ' || (vec_id // 50 % 4) AS name, v FROM vectors WHERE vec_id % 50 = 1), fresh AS (SELECT vec_id AS cluster, v AS w FROM vectors WHERE vec_id % 20 = 2), s AS (SELECT cluster, name, list_dot_product(v, w) AS sim FROM old, fresh) SELECT cluster, name, round(sim, 6) AS sim FROM s WHERE sim >= 0.1 QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY sim DESC, name) = 1")
+@query(VE + ", old AS (SELECT 'name ' || (vec_id // 50 % 4) AS name, v FROM vectors WHERE vec_id % 2 = 1), fresh AS (SELECT vec_id AS cluster, v AS w FROM vectors WHERE vec_id % 2 = 0), s AS (SELECT cluster, name, list_dot_product(v, w) AS sim FROM old, fresh) SELECT cluster, name, round(sim, 6) AS sim FROM s WHERE sim >= 0.1 QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY sim DESC, name) = 1")
 def c11_carry_names(t: Tables) -> DataFrame:
-    old = t.vectors.where("vec_id % 50 = 1").select(F.concat(F.lit("name "), ((F.col("vec_id") / 50).cast("long") % 4).cast("string")).alias("name"), "v")
-    new = t.vectors.where("vec_id % 20 = 2").select(F.col("vec_id").alias("cluster"), F.col("v").alias("w"))
-    return carry_names(F.broadcast(old).join(new).select("cluster", "name", V.dot("v", "w").alias("sim")), 0.1).select("cluster", "name", r6("sim"))
+    old = t.vectors.where("vec_id % 2 = 1").select(F.concat(F.lit("name "), ((F.col("vec_id") / 50).cast("long") % 4).cast("string")).alias("name"), "v")
+    new = t.vectors.where("vec_id % 2 = 0").select(F.col("vec_id").alias("cluster"), "v")
+    return J.carry_names(old, new, 0.1).select("cluster", "name", r6("sim"))
 
 
 @query(NEAR + " SELECT a.vec_id AS a, b.vec_id AS b, round(list_dot_product(a.v, b.v), 6) AS sim, a.label = b.label AS same FROM blocks a JOIN blocks b ON a.vec_id < b.vec_id WHERE list_dot_product(a.v, b.v) >= 0.3")
@@ -193,7 +192,7 @@ def d7_cluster_prototypes(t: Tables) -> DataFrame:
 
 @query(VE + ", m AS (SELECT label, k, avg(list_extract(v, k)) AS x FROM vectors, (SELECT unnest(range(1, 65)) AS k) GROUP BY label, k) SELECT label, round(max(x) FILTER (WHERE k = 1) / sqrt(sum(x * x)), 6) AS first FROM m GROUP BY label")
 def k4_centroid_udaf(t: Tables) -> DataFrame:
-    p = t.vectors.groupBy("label").agg(G.centroid_udaf()("v").alias("m"))
+    p = G.centroids(t.vectors, "label")
     return p.select("label", F.round(F.col("m")[0], 6).alias("first"))
 
 
@@ -203,7 +202,12 @@ def d8_weighted_prototype_merge(t: Tables) -> DataFrame:
     return G.merge_prototypes(*half).select("label", "n", F.round(F.col("v")[0], 6).alias("first"))
 
 
-@query()
+@query(DENSE + """, m AS (SELECT root, k, avg(list_extract(v, k)) AS x FROM blocks JOIN root ON id = vec_id, (SELECT unnest(range(1, 65)) AS k) GROUP BY root, k), raw AS (SELECT root, list(x ORDER BY k) AS raw FROM m GROUP BY root),
+pr AS (SELECT root, list_transform(raw, lambda x: x / sqrt(list_dot_product(raw, raw))) AS pv FROM raw), s AS (SELECT vec_id, arg_max(root, (list_dot_product(v, pv), -root)) AS proto, max(list_dot_product(v, pv)) AS sim FROM blocks, pr GROUP BY vec_id),
+a AS (SELECT vec_id AS id, proto FROM s WHERE sim > 0.42), person AS (SELECT proto, row_number() OVER (ORDER BY proto) - 1 AS person FROM (SELECT DISTINCT proto FROM a)),
+cover AS (SELECT person, count(*) AS faces, arg_max(id, ((id * 7 % 31) / 31.0, -id)) AS cover FROM a JOIN person USING (proto) GROUP BY person),
+named AS (SELECT person, 'name ' || vec_id AS name FROM person JOIN pr ON root = proto, blocks WHERE vec_id % 50 = 0 AND list_dot_product(v, pv) >= 0.42 QUALIFY row_number() OVER (PARTITION BY person ORDER BY list_dot_product(v, pv) DESC, vec_id) = 1)
+SELECT person, faces, cover, name FROM cover LEFT JOIN named USING (person)""")
 def i4_recluster_people(t: Tables) -> DataFrame:
     faces = t.blocks.select(F.col("vec_id").alias("id"), "v", ((F.col("vec_id") * 7 % 31) / 31.0).alias("area"))
     old = t.blocks.where("vec_id % 50 = 0").select(F.concat(F.lit("name "), F.col("vec_id").cast("string")).alias("name"), "v")
@@ -213,7 +217,7 @@ def i4_recluster_people(t: Tables) -> DataFrame:
 
 @query()
 def i5_cell_range_join(t: Tables) -> DataFrame:
-    return J.cell_join(t.blocks, 0.6, probe=8)
+    return J.cell_join(t.blocks, 0.6)
 
 
 @query()
@@ -244,11 +248,10 @@ def i9_embedding_search(t: Tables) -> DataFrame:
 @query(VE + ", f AS (SELECT vec_id % 20 AS folder, v AS qv, vec_id AS anchor, 0.1 + (vec_id % 2) * 0.05 AS floor FROM vectors WHERE vec_id < 20) SELECT folder, vec_id FROM vectors, f WHERE vec_id <> anchor AND list_dot_product(v, qv) >= floor")
 def i13_smart_folder_members(t: Tables) -> DataFrame:
     saved = t.vectors.where("vec_id < 20").select((F.col("vec_id") % 20).alias("folder"), F.col("v").alias("q"), F.col("vec_id").alias("anchor"), (0.1 + F.col("vec_id") % 2 * 0.05).alias("floor"))
-    met = t.vectors.join(F.broadcast(saved), F.col("vec_id") != F.col("anchor"))  # the saved searches of one library: twenty rows
-    return met.where(V.dot("v", "q") >= F.col("floor")).select("folder", "vec_id")
+    return J.folder_members(t.vectors, saved)
 
 
-@query(FRAMES + ", q AS (SELECT v AS qv FROM vectors WHERE vec_id = 9), s AS (SELECT video, pos, list_dot_product(v, qv) AS score FROM frames, q), b AS (SELECT video, arg_max(pos, (score, -pos)) AS frame, max(score) AS score FROM s GROUP BY video) SELECT b.video, CAST(frame AS INT) AS frame, round(score, 6) AS score, round(duration * (frame + 0.5) / 8, 6) AS t FROM b JOIN (SELECT o_orderkey AS video, o_orderdate AS ts, CAST(o_orderkey * 7 % 900 AS DOUBLE) / 10 AS duration FROM orders) p ON p.video = b.video WHERE score >= 0.15 ORDER BY ts NULLS FIRST, b.video LIMIT 60")
+@query(FRAMES + ", q AS (SELECT v AS qv FROM vectors WHERE vec_id = 9), s AS (SELECT video, pos, list_dot_product(v, qv) AS score FROM frames, q), b AS (SELECT video, arg_max(pos, (score, -pos)) AS frame, max(score) AS score FROM s GROUP BY video) SELECT b.video, CAST(frame AS INT) AS frame, round(score, 6) AS score, round(duration * (frame + 0.5) / n, 6) AS t FROM b JOIN (SELECT vec_id // 8 AS video, count(*) AS n FROM vectors GROUP BY 1) k ON k.video = b.video JOIN (SELECT o_orderkey AS video, o_orderdate AS ts, CAST(o_orderkey * 7 % 900 AS DOUBLE) / 10 AS duration FROM orders) p ON p.video = b.video WHERE score >= 0.15 ORDER BY ts NULLS FIRST, b.video LIMIT 60")
 def i14_video_moments(t: Tables) -> DataFrame:
     q = t.vectors.where("vec_id = 9").first()["v"]
     videos = frames(t).join(t.photos.select(F.col("photo_id").alias("video"), "ts", "duration"), "video")

@@ -2,24 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .shared import shared_dir
+
 PHOTO = "photo_id long, path string, timestamp string, location string, lat double, lon double, person_ids array<long>, phash long, asset_id string, device_id string"
 SIDECAR = "asset_id string, device_id string, created string, lat double, lon double"
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder all executors share; a new local one only where none is set."""
-    at = spark.conf.get("spark.checkpoint.dir", "") or ""
-    if not at:
-        at = tempfile.mkdtemp(prefix="shoal-tables-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return f"{at.rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+    """A new path in the folder all executors share."""
+    return f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
 
 
 def round_trip(df: DataFrame, name: str) -> DataFrame:
@@ -73,12 +70,21 @@ def split_bad_records(lines: DataFrame, schema: str) -> tuple[DataFrame, DataFra
     return got.where(~bad).select("r.*").drop("_bad"), got.where(bad).select("value")
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(pos, line) of a text file or of the ordered files of a folder: a line's number is the lines of the splits before its own and its place there."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"))
+    splits = lines.groupBy("file", "start").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    before = F.sum("n").over(Window.orderBy("file", "start").rowsBetween(Window.unboundedPreceding, -1))
+    starts = splits.select("file", "start", "first", F.coalesce(before, F.lit(0)).alias("before"))  # a row a split
+    return lines.join(F.broadcast(starts), ["file", "start"]).select((F.col("before") + F.col("at") - F.col("first")).alias("pos"), F.col("value").alias("line"))
+
+
 def verification_pairs(spark: SparkSession, path: str) -> DataFrame:
     """(fold, same, name1, n1, name2, n2) of a pair file: a header of folds and size, then lines of three or four columns.
 
     A line's fold is its number over twice the size; its label is what its own columns say.
     """
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\\r?\\n")).alias("pos", "line"))
+    lines = numbered_lines(spark, path).withColumn("line", F.regexp_replace("line", "\\r$", ""))
     head = lines.where("pos = 0").select(F.split("line", "\t")[1].cast("int")).first()
     per = head[0] if head else 1
     c = F.split("line", "\t")

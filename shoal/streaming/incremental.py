@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from shoal.operators.graph import hamming_join
 from shoal.operators.simjoin import nearest_prototype
 from shoal.operators.timeline import cell
+from shoal.sources.shared import checkpointed
 
 
 def debounced(uploads: DataFrame, device: str, gap: str = "45 seconds", late: str = "10 minutes", ts: str = "ts") -> DataFrame:
@@ -51,18 +53,28 @@ def recluster_when(enough: int, recluster: Callable[[int], None]) -> Callable[[D
     return do
 
 
-def skip_duplicates(read: Callable[[], DataFrame], path: str, most: int = 7, bits: int = 64) -> Callable[[DataFrame, int], None]:
-    """Append the rows of a batch (id, h) that are within `most` bits of no stored row and of no earlier row of the batch."""
+def stored(spark: SparkSession, path: str, number: int, schema: str) -> DataFrame:
+    """What batches other than one have written below a path."""
+    try:
+        return spark.read.schema(f"{schema}, batch long").parquet(path).where(F.col("batch") != number).drop("batch")
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def skip_duplicates(hashed: Callable[[DataFrame], DataFrame], path: str, most: int = 7) -> Callable[[DataFrame, int], None]:
+    """Append (id, h) of the rows of a batch that are within `most` bits of no stored row and of no earlier row of the batch.
+
+    `hashed` makes (id, h) of a batch. The batch meets the store and itself; stored rows
+    don't meet each other. A batch run again overwrites its own folder.
+    """
 
     def do(batch: DataFrame, number: int) -> None:
-        batch = batch.persist()
-        known = read()
-        met = batch.select(F.col("id"), "h", F.lit(True).alias("new")).unionByName(known.select("id", "h").withColumn("new", F.lit(False)))
-        pairs = hamming_join(met.select("id", "h"), most, bits)
-        new = batch.select("id")
-        later = pairs.select(F.greatest("a", "b").alias("id"), F.least("a", "b").alias("other"))
-        # Ids grow with time: a row within the limit of a smaller id comes second, whether that is stored or in the batch.
-        batch.join(later.select("id").join(new, "id", "left_semi"), "id", "left_anti").write.mode("overwrite").parquet(f"{path}/batch={number}")
-        batch.unpersist()
+        rows = checkpointed(hashed(batch).select("id", "h"))
+        known = stored(batch.sparkSession, path, number, "id long, h long")
+        late = hamming_join(rows, most).select(F.col("b").alias("id"))
+        there = hamming_join(rows, most, known).select(F.col("a").alias("id"))
+        rows.join(late.unionByName(there), "id", "left_anti").write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return do

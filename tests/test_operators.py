@@ -36,10 +36,13 @@ def test_all_people_and_merges(spark):
     people = spark.createDataFrame([(1, "a", None), (2, "b", None), (3, "a2", 1)], "person_id long, name string, merged_into long")
     held = spark.createDataFrame([(10, 1), (10, 2), (11, 1), (12, 3), (12, 2), (13, 2)], "photo_id long, person_id long")
     c = P.resolve_aliases(people)
-    of = lambda ids: [r[0] for r in rows(P.photos_of_all(held, c, ids))]
-    assert of([1, 2]) == [10, 12] == of([3, 2])
-    assert of([1]) == [10, 11, 12]
-    assert of([]) == []
+    day = lambda k: dt.datetime(2020, 1, k)
+    photos = spark.createDataFrame([(10, day(3), False), (11, day(2), False), (12, day(1), False), (13, day(4), False), (14, day(1), True)], "photo_id long, ts timestamp_ntz, is_deleted boolean")
+    held = held.union(spark.createDataFrame([(14, 1), (14, 2)], held.schema))
+    of = lambda ids: [r["photo_id"] for r in P.photos_of_all(photos, held, c, ids).collect()]
+    assert of([1, 2]) == [12, 10] == of([3, 2])  # oldest first, none that is deleted
+    assert of([1]) == [12, 11, 10]
+    assert of([]) == [] == of([1, 999])
 
 
 def test_alias_chains_and_cycles(spark):
@@ -108,6 +111,8 @@ def test_composite_vector(spark):
 def test_mean_skips_empty_frames(spark):
     frames = F.array(F.array(F.lit(1.0), F.lit(0.0)), F.array().cast("array<double>"), F.array(F.lit(0.0), F.lit(1.0)))
     assert one(spark, V.mean_renormalised(frames)) == pytest.approx([0.5**0.5, 0.5**0.5])
+    many = F.transform(F.sequence(F.lit(0), F.lit(10_049)), lambda i: F.array(F.when(i < 10_000, 1.0).otherwise(0.0), F.when(i < 10_000, 0.0).otherwise(1.0)))
+    assert one(spark, V.mean_renormalised(many)) == pytest.approx([10_000 / (10_000**2 + 50**2) ** 0.5, 50 / (10_000**2 + 50**2) ** 0.5])
 
 
 def test_hamming_join_is_exact(spark):
@@ -115,7 +120,12 @@ def test_hamming_join_is_exact(spark):
     base = [random.getrandbits(64) for _ in range(40)]
     data = [(i, (b ^ sum(1 << k for k in random.sample(range(64), random.randint(0, 9)))) - (1 << 63)) for i, b in enumerate(base * 4)] + [(900, None)]
     want = sorted((a, b, bin(x ^ y).count("1") if (x ^ y) >= 0 else bin((x ^ y) & (2**64 - 1)).count("1")) for a, x in data for b, y in data if x is not None and y is not None and a < b and bin((x ^ y) & (2**64 - 1)).count("1") <= 7)
-    assert rows(G.hamming_join(spark.createDataFrame(data, "id long, h long"), 7)) == want
+    df = spark.createDataFrame(data, "id long, h long")
+    assert rows(G.hamming_join(df, 7)) == want
+    wide = {(a, b) for a, x in data for b, y in data if None not in (x, y) and a % 2 == 0 and b % 2 and bin((x ^ y) & (2**64 - 1)).count("1") <= 15}
+    assert {r[:2] for r in rows(G.hamming_join(df.where("id % 2 = 0"), 15, df.where("id % 2 = 1")))} == wide
+    assert {r[:2] for r in rows(G.hamming_join(df, 0))} == {w[:2] for w in want if w[2] == 0}
+    assert all(cuts[0] == 0 and cuts[-1] == 64 and (radius + 1) * (len(cuts) - 1) > most for most in range(40) for radius, cuts in [G.bands(most)])
 
 
 @pytest.mark.parametrize("seed", range(3))
@@ -168,6 +178,9 @@ def test_nearest_prototype_by_blocks_is_the_same(spark, monkeypatch):
     assert dict((a, b) for a, b, _ in small)[0] == 0 and dict((a, b) for a, b, _ in rows(J.nearest_prototype(v, p, 0.5, last_wins=True)))[0] == 7
     monkeypatch.setattr(J, "BROADCAST_NUMBERS", 0)
     assert rows(J.nearest_prototype(v, p, 0.5)) == small
+    assert {r[1] for r in J.nearest_prototype(v, p.where("proto < 0"), 0.5).collect()} == {-1}
+    monkeypatch.undo()
+    assert {tuple(r)[1:] for r in J.nearest_prototype(v, p.where("proto < 0"), 0.5).collect()} == {(-1, None)}
 
 
 def test_phrases_take_the_longest_first(spark):
@@ -177,6 +190,42 @@ def test_phrases_take_the_longest_first(spark):
     assert (r["names"], r["location"], r["timestamp"], r["caption"]) == ("Anna", "New York City", "2020-05", "")
 
 
+@pytest.mark.parametrize("q, want", [
+    ("beach jan 2020", ("", None, "2020-01", "beach")),
+    ("all pics taken in 2019", ("", None, "2019", "")),
+    ("Anna may 2019", ("Anna|May", None, "2019", "")),
+    ("may flowers in sept", ("May", None, None, "flowers sept")),
+    ("the seven seas of rhye and more waters 2001 to 2003", ("", "The Seven Seas of Rhye and More", "2001", "waters 2003")),
+])
+def test_free_text_to_filters(spark, q, want):
+    names = spark.createDataFrame([("Anna",), ("May",)], "name string")
+    places = spark.createDataFrame([("The Seven Seas of Rhye and More",), ("Seas",)], "phrase string")
+    r = S.parse_queries(spark.createDataFrame([(q,)], "q string"), names, places).first()
+    assert (r["names"], r["location"], r["timestamp"], r["caption"]) == want
+
+
+def test_ids_go_on_from_zero(spark):
+    base = spark.createDataFrame([(0, "a")], "id long, path string")
+    assert rows(M.append_rows(base, spark.createDataFrame([("c",), ("b",)], "path string"), "path")) == [(0, "a"), (1, "b"), (2, "c")]
+    assert rows(M.append_rows(base.where("id > 0"), spark.createDataFrame([("c",)], "path string"), "path")) == [(0, "c")]
+
+
+def test_names_without_any_prototype(spark):
+    old, new = spark.createDataFrame([("x", axis(0)), ("w", axis(0))], "name string, v array<double>"), spark.createDataFrame([(5, axis(0)), (6, axis(1))], "cluster long, v array<double>")
+    assert rows(J.carry_names(old, new, 0.4)) == [(5, "w", 1.0)]
+    assert rows(J.carry_names(old.where("name = ''"), new, 0.4)) == []
+
+
+def test_uploads_meet_what_earlier_batches_stored(spark, tmp_path):
+    from shoal.streaming import incremental as R
+
+    do = R.skip_duplicates(lambda b: b, str(tmp_path / "unique"))
+    do(spark.createDataFrame([(1, 0), (2, 7), (3, 0xFFFF << 40)], "id long, h long"), 0)
+    do(spark.createDataFrame([(4, (0xFFFF << 40) + 3), (5, 0x7FFF_0000), (6, 0x7FFF_0001)], "id long, h long"), 1)
+    do(spark.createDataFrame([(4, (0xFFFF << 40) + 3), (5, 0x7FFF_0000), (6, 0x7FFF_0001)], "id long, h long"), 1)
+    assert [r["id"] for r in spark.read.parquet(str(tmp_path / "unique")).orderBy("id").collect()] == [1, 3, 5]
+
+
 def test_patch_and_set_tests(spark):
     base = spark.createDataFrame([(1, "a", None), (2, "b", 2.0)], "id long, p string, q double")
     new = spark.createDataFrame([(1, None, 5.0), (2, "b", None)], "id long, p string, q double")
