@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -31,15 +33,17 @@ def norm(v: str | Column) -> Column:
 
 def l2_normalize(v: str | Column) -> Column:
     """H2: divide by the norm plus 1e-10."""
-    v = col(v)
-    length = norm(v) + 1e-10
-    return F.transform(v, lambda x: x / length)
+    return divided(v, lambda w: norm(w) + 1e-10)
 
 
 def unit(v: str | Column) -> Column:
-    v = col(v)
-    length = norm(v)
-    return F.transform(v, lambda x: x / length)
+    return divided(v, norm)
+
+
+def divided(v: str | Column, by: Callable[[Column], Column]) -> Column:
+    """A vector over a number made of it. Both are bound to a variable, so they are made once and not anew for each component."""
+    both = F.transform(F.array(col(v)), lambda w: F.struct(w.alias("w"), by(w).alias("n")))
+    return F.transform(both, lambda s: F.transform(s["w"], lambda x: x / s["n"]))[0]
 
 
 def cosine(a: str | Column, b: str | Column) -> Column:

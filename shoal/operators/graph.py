@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
@@ -15,20 +16,42 @@ from shoal.operators.simjoin import carry_names, nearest_prototype
 from shoal.sources.shared import checkpointed
 
 
+def contracted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The edges (a, b) of a partition -> an edge from each node to the least one that it reaches there."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for pdf in batches:
+        for a, b in zip(pdf["a"].tolist(), pdf["b"].tolist(), strict=True):
+            a, b = find(root.setdefault(a, a)), find(root.setdefault(b, b))
+            root[max(a, b)] = min(a, b)
+    rows = [(x, r) for x in root if (r := find(x)) != x]
+    for start in range(0, len(rows), 100_000):
+        yield pd.DataFrame(rows[start : start + 100_000], columns=["a", "b"])
+
+
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """(node, component = least node) of undirected edges (a, b): large and small stars in turn, a checkpoint a round."""
-    now = checkpointed(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    sign = None
+    """(node, component = least node) of undirected edges (a, b).
+
+    Partitions contract their own edges, then large and small stars alternate, a checkpoint
+    a round, until each node that isn't a root has one edge, to a root.
+    """
+    now = checkpointed(edges.where("a <> b").select("a", "b").mapInPandas(contracted, "a long, b long"))
     for _ in range(rounds):
+        ends = now.select(F.col("a").alias("node"), F.lit(1).alias("child")).unionByName(now.select(F.col("b").alias("node"), F.lit(0).alias("child")))
+        if ends.groupBy("node").agg(F.sum("child").alias("roots"), F.min("child").alias("only_child")).where("roots > 1 or (roots = 1 and only_child = 0)").isEmpty():
+            return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(down, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(down.select("a", F.col("m").alias("b")))
-        now = checkpointed(small.where("a <> b").distinct())
-        was, sign = sign, tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.bit_xor(F.xxhash64("b", "a"))).first())
-        if sign == was:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+        now = checkpointed(small.where("a <> b").distinct().mapInPandas(contracted, "a long, b long"))
     raise RuntimeError(f"components didn't settle in {rounds} rounds")
 
 
@@ -73,7 +96,7 @@ def hamming_join(hashes: DataFrame, most: int, other: DataFrame | None = None) -
 
 def hash_links(hashes: DataFrame, most: int) -> DataFrame:
     """Edges (a, b) that connect what hamming_join would, with one row for each further copy of a hash."""
-    reps = hashes.where("h is not null").groupBy("h").agg(F.min("id").alias("rep"))
+    reps = checkpointed(hashes.where("h is not null").groupBy("h").agg(F.min("id").alias("rep")))
     copies = hashes.join(reps, "h").where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     return copies.unionByName(hamming_join(reps.select("rep", "h").toDF("id", "h"), most).select("a", "b"))
 
@@ -83,6 +106,7 @@ def near_duplicate_groups(hashes: DataFrame, most: int, not_duplicate: DataFrame
 
     Rows of not_duplicate (id) give no automatic edge; manual edges (a, b) come on top.
     """
+    hashes = checkpointed(hashes)
     free = hashes if not_duplicate is None else hashes.join(not_duplicate, "id", "left_anti")
     edges = hash_links(free, most)
     if manual is not None:

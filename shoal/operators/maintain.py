@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,37 +64,33 @@ def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     return 2 * 6371.0 * F.asin(F.sqrt(F.least(F.lit(1.0), h)))
 
 
-def nearest_place(points: DataFrame, gazetteer: DataFrame, degrees: float | None = None) -> DataFrame:
-    """C17: (id, place, km): the nearest gazetteer row (gid, city, state, cc, glat, glon) of each point (id, lat, lon).
+def nearest_place(points: DataFrame, gazetteer: DataFrame, chord: float | None = None) -> DataFrame:
+    """C17: (id, place, km): the nearest gazetteer row (gid, city, state, cc, glat, glon) of each located point (id, lat, lon).
 
-    Points meet the places of their own and the eight cells around; those for which that
-    can't be the nearest (it lies further off than the cells' rim) take another round with
-    cells twice as wide. Cells are cut in latitude and, wrapped, in longitude. The first
-    are of about a quarter of the room the gazetteer has for a place, so crowded regions are
-    settled among few.
+    The sphere lies in a grid of cubes, so poles and the date line are like any other place.
+    A point meets the places of its own and the cubes around; one whose nearest lies further
+    off than a cube is wide takes another round with cubes twice as wide. The first are as
+    wide as the room that the gazetteer has for a place (of radius 1).
     """
-    degrees = degrees or min(90.0, (180 * 360 / max(1, gazetteer.count())) ** 0.5 / 2)
-    found, rest = None, points
-    while degrees <= 360:
-        n_lon = max(1, int(360 // degrees))
-        x = lambda c: F.floor((F.col(c) + 180) / F.lit(360.0 / n_lon)).cast("long") % n_lon
-        y = lambda c: F.floor((F.col(c) + 90) / degrees).cast("long")
-        around = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1)]
-        near = rest.withColumn("cell", F.explode(F.array_distinct(F.array(*[F.struct((y("lat") + a).alias("y"), F.pmod(x("lon") + b, F.lit(n_lon)).alias("x")) for a, b in around]))))
-        places = gazetteer.withColumn("cell", F.struct(y("glat").alias("y"), x("glon").alias("x")))
+    chord = chord or min(2.0, (4 * math.pi / max(1, gazetteer.count())) ** 0.5)
+    name = F.concat_ws(", ", *[F.nullif(F.trim(c), F.lit("")) for c in ("city", "state", "cc")])
+    found, rest = None, points.where("lat is not null and lon is not null")
+    around = F.array(*[F.array(*map(F.lit, step)) for step in itertools.product((-1, 0, 1), repeat=3)])
+    while True:
+        cube = lambda lat, lon: F.array(*[F.floor(c / chord) for c in (F.cos(F.radians(lat)) * F.cos(F.radians(lon)), F.cos(F.radians(lat)) * F.sin(F.radians(lon)), F.sin(F.radians(lat)))])  # noqa: E731, B023
+        near = rest.withColumn("_own", cube("lat", "lon")).withColumn("_step", F.explode(around)).withColumn("cell", F.zip_with("_own", "_step", lambda x, y: x + y))
+        places = gazetteer.withColumn("cell", cube("glat", "glon"))
         km = haversine(F.col("lat"), F.col("lon"), F.col("glat"), F.col("glon"))
-        best = near.join(places, "cell").withColumn("km", km).groupBy("id").agg(F.min_by(F.struct("city", "state", "cc", "km", "lat"), F.struct("km", "gid")).alias("b")).select("id", "b.*")
-        best = checkpointed(best)
-        # A place outside the nine cells is at least a cell away: in latitude that many degrees, in longitude fewer kilometres by the cosine.
-        rim = F.lit(111.0 * min(degrees, 360.0 / n_lon)) * F.greatest(F.lit(0.0), F.cos(F.radians(F.least(F.lit(90.0), F.abs("lat") + degrees))))
-        sure = best if degrees > 180 else best.where(F.col("km") <= rim)
-        found = sure if found is None else found.unionByName(sure)
-        rest = checkpointed(rest.join(sure.select("id"), "id", "left_anti"))
+        best = near.join(places, "cell").withColumn("km", km).groupBy("id").agg(F.min_by(F.struct(name.alias("place"), "km"), F.struct("km", "gid")).alias("b")).select("id", "b.*")
+        if chord < 2:  # a place beyond the cubes around is a cube's width away at least
+            best = checkpointed(best.where(F.col("km") <= 2 * 6371.0 * math.asin(chord / 2) * (1 - 1e-9)))
+        found = best if found is None else found.unionByName(best)
+        if chord >= 2:
+            return found
+        rest = checkpointed(rest.join(best.select("id"), "id", "left_anti"))
         if rest.isEmpty():
-            break
-        degrees *= 2
-    name = F.concat_ws(", ", *[F.nullif(F.trim(c), F.lit("")) for c in ("city", "state", "cc")])
-    return found.select("id", name.alias("place"), "km")
+            return found
+        chord = min(2.0, 2 * chord)
 
 
 def folder_summary(members: DataFrame, photos: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from shoal.operators import graph as G
 from shoal.operators import simjoin as J
 from shoal.plans.registry import query
 from shoal.sources.bindings import Tables, bound
+from shoal.sources.shared import checkpointed
 
 VE, BL = bound("vectors"), bound("near")
 #: Neighbour pairs of the block vectors.
@@ -104,7 +105,7 @@ m AS (SELECT a, b FROM e UNION SELECT id, id + 10 FROM hashes WHERE id % 100 = 3
 reach(id, other) AS (SELECT id, id FROM hashes UNION SELECT r.id, m.b FROM reach r JOIN m ON m.a = r.other)
 SELECT id, min(other) AS rep FROM reach GROUP BY id""")
 def i1_near_duplicate_groups(t: Tables) -> DataFrame:
-    h = text_hashes(t)
+    h = checkpointed(text_hashes(t))
     known = h.select((F.col("id") - 10).alias("id"))
     manual = h.where("id % 100 = 33").join(known, "id", "left_semi").select(F.col("id").alias("a"), (F.col("id") + 10).alias("b"))
     return G.near_duplicate_groups(h, 7, h.where("id % 11 = 0").select("id"), manual)

@@ -1,6 +1,7 @@
 """Small cases with known answers, and random graphs against sequential forms."""
 
 import datetime as dt
+import math
 import random
 
 import pytest
@@ -157,6 +158,16 @@ def test_clusters_equal_the_sequential_forms(spark, seed):
     assert dict(rows(G.dbscan(ids, pairs))) == {i: label.get(i, -1) for i in range(n)}
 
 
+def test_components_over_many_partitions(spark):
+    random.seed(8)
+    chain = [(i, i + 1) for i in range(300)]
+    edges = chain + [(1000 + i, 1000 + random.randrange(i)) for i in range(1, 300)] + [(2000, 2000), (3001, 3000), (3000, 3001)]
+    random.shuffle(edges)
+    found = dict(rows(G.components(spark.createDataFrame(edges, "a long, b long").repartition(16))))
+    assert found == {**{i: 0 for i in range(301)}, **{1000 + i: 1000 for i in range(300)}, 3000: 3000, 3001: 3000}
+    assert rows(G.components(spark.createDataFrame([], "a long, b long"))) == []
+
+
 def test_cell_join_recall(spark):
     import numpy as np
 
@@ -234,6 +245,21 @@ def test_patch_and_set_tests(spark):
     assert {(r["op"], r["value"]) for r in M.fold_edits(edits).collect()} == {("rename", "x"), ("merge", None)}
 
 
+def test_nearest_places_at_poles_and_the_date_line(spark):
+    random.seed(17)
+    at = lambda: (random.choice([random.uniform(-90, 90), random.uniform(85, 90), -90.0]), random.choice([random.uniform(-180, 180), random.uniform(179, 180), -180.0]))
+    places = [(k, f"p{k}", "", "X", *at()) for k in range(60)] + [(100 + k, f"q{k}", "", "X", 40 + random.random() / 10, 10 + random.random() / 10) for k in range(60)]
+    points = [(k, *at()) for k in range(80)] + [(200, None, 3.0)]
+    gazetteer = spark.createDataFrame(places, "gid long, city string, state string, cc string, glat double, glon double")
+    got = {r["id"]: r["km"] for r in M.nearest_place(spark.createDataFrame(points, "id long, lat double, lon double"), gazetteer).collect()}
+
+    def km(a, b, c, d):
+        a, b, c, d = (math.radians(x) for x in (a, b, c, d))
+        return 2 * 6371 * math.asin(min(1, math.sqrt(math.sin((c - a) / 2) ** 2 + math.cos(a) * math.cos(c) * math.sin((d - b) / 2) ** 2)))
+
+    assert got == pytest.approx({k: min(km(a, b, *p[4:]) for p in places) for k, a, b in points[:-1]}, abs=1e-6)
+
+
 def test_auc_and_thresholds(spark):
     pairs = spark.createDataFrame([(0.9, True), (0.8, True), (0.8, False), (0.1, False)], "sim double, same boolean")
     assert E.roc_auc(pairs).first()["auc"] == pytest.approx(0.875)
