@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 import uuid
 from collections.abc import Sequence
 from typing import Any
@@ -12,14 +11,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or (only where it is unset) a new one."""
-    at = spark.conf.get("spark.checkpoint.dir", "") or ""
-    if not at:
-        at = tempfile.mkdtemp(prefix="shoal-shared-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
+from shoal.sources.shared import shared_dir
 
 
 def new_path(spark: SparkSession, name: str) -> str:
