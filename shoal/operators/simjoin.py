@@ -179,6 +179,7 @@ def cell_join(vectors: DataFrame, least: float, cells: int | None = None, probe:
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
+    vectors = checkpointed(vectors.select("vec_id", "v"))
     n = vectors.count()
     cells = min(n, cells or int(np.clip(4 * np.sqrt(n), 64, 8192)))
     if n < 2:
@@ -192,7 +193,7 @@ def cell_join(vectors: DataFrame, least: float, cells: int | None = None, probe:
         far = (c * c).sum(1)[None, :] - 2 * x @ c.T
         return pd.Series(list(np.argsort(far, axis=1)[:, :probe].astype(np.int32)))
 
-    at = vectors.select("vec_id", "v", nearest("v").alias("near"))
+    at = checkpointed(vectors.select("vec_id", "v", nearest("v").alias("near")))
     homes = at.select(F.col("vec_id").alias("b"), F.col("v").alias("w"), F.col("near")[0].alias("cell"))
     met = at.select(F.col("vec_id").alias("a"), "v", F.explode("near").alias("cell")).join(homes, "cell").where("a <> b")
     hits = met.withColumn("sim", dot("v", "w")).where(F.col("sim") >= least)
