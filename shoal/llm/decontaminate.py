@@ -12,6 +12,7 @@ tokens (counted first), each broadcast in turn against all documents.
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections.abc import Callable, Iterator
 
@@ -25,8 +26,11 @@ from .common import share, shared
 
 WORD = re.compile(r"\w+")
 BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so windows of a product hash differ in their last tokens too
+INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 #: Rows turned into token arrays at once.
 SLICE = 256
+#: Pairs of equal windows looked at at once; a window that repeats more often in a text takes as many more.
+PAIRS = 1 << 20
 
 
 def tokens(text: str) -> list[str]:
@@ -34,22 +38,27 @@ def tokens(text: str) -> list[str]:
 
 
 def windows(ids: np.ndarray, width: int) -> np.ndarray:
-    """Rolling hash of every run of `width` ids (modulo 2**64)."""
+    """Rolling hash of every run of `width` ids (modulo 2**64): differences of running sums, whatever the width."""
     n = len(ids) - width + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    out = np.zeros(n, np.uint64)
     mixed = ids.astype(np.uint64)
     mixed = (mixed ^ (mixed << np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    for k in range(width):
-        out = out * BASE + mixed[k : k + n]
-    return out
+    down = np.full(len(ids), INVERSE)
+    down[0] = 1
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed * np.cumprod(down))])
+    up = np.full(n, BASE)
+    up[0] = np.uint64(pow(int(BASE), width - 1, 1 << 64))
+    return (sums[width:] - sums[:-width]) * np.cumprod(up)
 
 
 def tile(item: np.ndarray, text: np.ndarray, min_match: int) -> list[tuple[int, int, int]]:
     """Greedy string tiling of two id arrays: (start in item, start in text, length) of each tile.
 
-    Id 0 is no token and matches nothing. Ties go to the earliest start in the item, then the text.
+    Each tile is the longest common run that is still unmarked in both. Id 0 is no token
+    and matches nothing. Ties go to the earliest start in the item, then the text. Spans
+    halve, so that the long runs are found among few windows; what an earlier tile leaves
+    of a run goes back among the others.
     """
     used_i, used_t = item == 0, text == 0
     out: list[tuple[int, int, int]] = []
@@ -57,15 +66,19 @@ def tile(item: np.ndarray, text: np.ndarray, min_match: int) -> list[tuple[int,
     while span * 2 <= len(item):
         span *= 2
     while True:
-        found = True
-        while found:
-            found = False
-            matches = _matches(item, text, used_i, used_t, span)
-            for length, i, j in sorted(matches, key=lambda m: (-m[0], m[1], m[2])):
-                if not used_i[i : i + length].any() and not used_t[j : j + length].any():
-                    used_i[i : i + length] = used_t[j : j + length] = True
-                    out.append((i, j, length))
-                    found = True
+        runs = [(-n, i, j) for n, i, j in _matches(item, text, used_i, used_t, span)]
+        heapq.heapify(runs)
+        while runs:
+            n, i, j = heapq.heappop(runs)
+            taken = used_i[i : i - n] | used_t[j : j - n]
+            if not taken.any():
+                used_i[i : i - n] = used_t[j : j - n] = True
+                out.append((i, j, -n))
+                continue
+            edges = np.flatnonzero(np.diff(np.concatenate([[True], taken, [True]])))
+            for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+                if b - a >= span:
+                    heapq.heappush(runs, (a - b, i + a, j + a))
         if span == min_match:
             return out
         span = max(min_match, span // 2)
@@ -78,7 +91,11 @@ def _free(used: np.ndarray, span: int) -> np.ndarray:
 
 
 def _matches(item: np.ndarray, text: np.ndarray, used_i: np.ndarray, used_t: np.ndarray, span: int) -> list[tuple[int, int, int]]:
-    """Maximal unmarked common runs of at least `span`: (length, start in item, start in text)."""
+    """Maximal unmarked common runs of at least `span`: (length, start in item, start in text).
+
+    Pairs of equal windows are laid out PAIRS at a time; only those at either end of a
+    run are kept, and ends follow their starts along each diagonal.
+    """
     hi, ht = windows(item, span), windows(text, span)
     if not len(hi) or not len(ht):
         return []
@@ -87,18 +104,26 @@ def _matches(item: np.ndarray, text: np.ndarray, used_i: np.ndarray, used_t: np.
     if not len(at_t):
         return []
     at_t = at_t[np.argsort(ht[at_t], kind="stable")]
-    keys = ht[at_t]
-    out = []
-    for i in at_i:
-        for j in at_t[np.searchsorted(keys, hi[i], "left") : np.searchsorted(keys, hi[i], "right")]:
-            if i and j and not used_i[i - 1] and not used_t[j - 1] and item[i - 1] == text[j - 1]:
-                continue  # the run began earlier
-            most = min(len(item) - i, len(text) - j)
-            differ = np.flatnonzero((item[i : i + most] != text[j : j + most]) | used_i[i : i + most] | used_t[j : j + most])
-            length = int(differ[0]) if len(differ) else most
-            if length >= span:
-                out.append((length, int(i), int(j)))
-    return out
+    low, high = (np.searchsorted(ht[at_t], hi[at_i], side) for side in ("left", "right"))
+    # The token before the first and after the last place is marked, so runs end there.
+    free_i, free_t = (np.concatenate([[False], ~used, [False]]) for used in (used_i, used_t))
+    ids_i, ids_t = (np.concatenate([[0], ids, [0]]) for ids in (item, text))
+    goes_on = lambda i, j: free_i[i + 1] & free_t[j + 1] & (ids_i[i + 1] == ids_t[j + 1])
+    starts, ends = [], []
+    upto = np.cumsum(high - low)
+    first = 0
+    while first < len(at_i):
+        last = max(first + 1, int(np.searchsorted(upto, (upto[first - 1] if first else 0) + PAIRS, "right")))
+        n = (high - low)[first:last]
+        i = np.repeat(at_i[first:last], n)
+        j = at_t[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low[first:last], n)]
+        for found, edge in ((starts, ~goes_on(i - 1, j - 1)), (ends, ~goes_on(i + span, j + span))):
+            found.append(np.stack([j[edge] - i[edge], i[edge]]))
+        first = last
+    starts, ends = (x[:, np.lexsort(x[::-1])] for x in (np.concatenate(starts, 1), np.concatenate(ends, 1)))
+    if starts.shape != ends.shape or (starts[0] != ends[0]).any():
+        raise ValueError("two windows of unlike tokens have one hash")
+    return [(e - i + span, i, d + i) for d, i, e in zip(starts[0].tolist(), starts[1].tolist(), ends[1].tolist(), strict=True)]
 
 
 class Seeds:

@@ -134,8 +134,8 @@ def test_token_counts(spark, docs, odd):
 
 
 def brute_tiles(item, text, least):
-    """Greedy tiling by looking at all pairs of places."""
-    used_i, used_t, out = set(), set(), 0
+    """Greedy tiling by looking at all pairs of places: (start in item, start in text, length) of each tile."""
+    used_i, used_t, out = set(), set(), []
     while True:
         best = (0, 0, 0)
         for i in range(len(item)):
@@ -149,18 +149,60 @@ def brute_tiles(item, text, least):
             return out
         used_i |= set(range(i, i + k))
         used_t |= set(range(j, j + k))
-        out += k
+        out.append((i, j, k))
 
 
-def test_tiles_equal_brute_force():
+@pytest.mark.parametrize("pairs", [1 << 20, 3])
+def test_tiles_equal_brute_force(monkeypatch, pairs):
+    monkeypatch.setattr(decontaminate, "PAIRS", pairs)
     random.seed(2)
-    for _ in range(60):
-        item = [random.randint(1, 4) for _ in range(random.randint(3, 14))]
-        text = [random.randint(0, 4) for _ in range(random.randint(0, 25))]
-        tiles = decontaminate.tile(np.array(item), np.array(text, np.int64), 3)
-        for i, j, n in tiles:
-            assert item[i : i + n] == text[j : j + n] and n >= 3
-        assert abs(sum(t[2] for t in tiles) - brute_tiles(item, text, 3)) <= 2  # ties may be cut differently
+    for _ in range(150):
+        kinds = random.randint(1, 4)
+        item = [random.randint(1, kinds) for _ in range(random.randint(0, 24))]
+        text = [random.randint(0, kinds) for _ in range(random.randint(0, 40))]
+        assert decontaminate.tile(np.array(item, np.int64), np.array(text, np.int64), 3) == brute_tiles(item, text, 3)
+
+
+def test_windows_roll():
+    ids = np.array([3, 1, 4, 1, 5, 3, 1, 4, 1, 5, 9])
+    for width in range(1, 12):
+        h = decontaminate.windows(ids, width)
+        for a in range(len(h)):
+            for b in range(len(h)):
+                assert (h[a] == h[b]) == (ids[a : a + width] == ids[b : b + width]).all()
+    assert len(decontaminate.windows(ids, 12)) == 0
+
+
+def test_tiles_of_repeated_phrases():
+    phrase = np.arange(1, 9)
+    tiles = decontaminate.tile(np.tile(phrase, 50), np.tile(phrase, 2000), 5)
+    assert tiles == [(0, 0, 400)]
+
+
+def test_leaks_counts_equal_tiling(spark):
+    """n_covered and n_tiles of reordered, cut and interleaved passages are those of the brute force."""
+    random.seed(5)
+    words = [f"w{k}" for k in range(12)]
+    items = {k: [random.choice(words) for _ in range(random.randint(5, 30))] for k in range(4)}
+    texts = {}
+    for d in range(40):
+        source, out = random.choice(list(items.values())), []
+        for _ in range(random.randint(1, 5)):
+            a = random.randrange(len(source))
+            out += source[a : a + random.randint(3, 20)] + ["other"] * random.randint(0, 2)
+        texts[d] = out
+    docs = spark.createDataFrame([(d, " ".join(x)) for d, x in texts.items()], "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(x)) for k, x in items.items()], "item_id long, text string")
+    number = {w: k + 1 for k, w in enumerate(words)}
+    want = {}
+    for d, text in texts.items():
+        for k, item in items.items():
+            tiles = brute_tiles([number[w] for w in item], [number.get(w, 0) for w in text], 5)
+            covered = sum(t[2] for t in tiles)
+            if 2 * covered >= len(item):
+                want[d, k] = (len(item), covered, len(tiles))
+    got = {(r["doc_id"], r["item_id"]): (r["n_tokens"], r["n_covered"], r["n_tiles"]) for r in decontaminate.leaks(docs, bench).collect()}
+    assert got == want and len(want) > 5
 
 
 def test_leaks(spark, docs, odd):
