@@ -121,53 +121,55 @@ def near_vectors(df: DataFrame, threshold: float = 0.9, id_col: str = "vec_id",
     """(id_col long, n_links long, component_id long, kept boolean) of each row of df.
 
     Rows link at a cosine of `threshold` or more in double precision. Vectors that are
-    null, empty, zero or hold null or non-finite components, and those of another length
-    than the commonest one, link with nothing. Ids are whole numbers; a repeated id is
-    one vector more that others link to and its rows each have their own class's links;
-    a row without an id links with nothing. n_links counts other rows. Other columns are
-    ignored, whatever their names. An empty table gives an empty result.
+    null, empty, zero or hold null or non-finite components link with nothing, and only
+    vectors of one length link with each other. Ids are whole numbers; a repeated id is
+    one vector more that others link to, and its rows each have the links and component
+    of their own vector; a row without an id links with nothing. n_links counts other
+    rows. Other columns are ignored, whatever their names. An empty table gives an empty
+    result.
     """
     short = dict(df.dtypes)[vector] == "array<float>"  # then blocks carry the vectors as they are, in four bytes a component
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
     fine = F.coalesce((F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0), F.lit(False)) & F.col("id").isNotNull()
     rows = rows.withColumn("fine", fine)
-    widths = rows.where("fine").groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    fits = F.col("fine") & (F.size("v") == (widths["d"] if widths else 0))
-    alone = rows.where(~fits).select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
-    if not widths:
+    alone = rows.where(~F.col("fine")).select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
+    good = rows.where("fine")
+    classes = table(good.groupBy("v").agg(F.min("id").alias("rep"), F.count("*").alias("size")).withColumn("d", F.size("v")), "vectors")
+    widest = classes.agg(F.max("d")).first()[0]
+    if not widest:
         return alone.withColumn("kept", F.col(id_col).isNotNull())
-    good = rows.where(fits)
-    classes = table(good.groupBy("v").agg(F.min("id").alias("rep"), F.count("*").alias("size")), "vectors")
-    plan = calibrate(widths["d"], threshold, projections, recall)
+    # The first d components of a random direction are one for vectors of length d.
+    plan = calibrate(widest, threshold, projections, recall)
     sent = classes.sparkSession.sparkContext.broadcast(tuple(plan))
-    first, window, count, gap = plan.directions[0], plan.window, plan.count, plan.gap
+    window, count, gap = plan.window, plan.count, plan.gap
 
     @F.pandas_udf("double")
     def along(v: pd.Series) -> pd.Series:
-        x = np.stack(v.to_numpy())
-        return pd.Series((x / np.linalg.norm(x, axis=1)[:, None]) @ first)
+        first = sent.value[0][0]
+        return pd.Series([x @ first[: len(x)] / np.linalg.norm(x) for x in v.to_numpy()])
 
-    ranked = global_rank(classes.withColumn("at", along("v")), ["at", "rep"], "rank", "by-projection")
-    n = ranked.count()
-    n_blocks = -(-n // BLOCK)
-    blocked = ranked.withColumn("block", (F.col("rank") * n_blocks / n).cast("int"))
+    # A class goes by its rank; equal places are told apart by the vector itself.
+    ranked = global_rank(classes.withColumn("at", along("v")), ["d", "at", "rep", "v"], "class", "by-projection")
+    widths = ranked.groupBy("d").agg(F.min("class").alias("_from"), F.count("*").alias("_n"))
+    blocked = ranked.join(widths, "d").withColumn("block", (F.col("class") - F.col("_from")) * F.ceil(F.col("_n") / BLOCK) / F.col("_n"))
+    blocked = blocked.withColumn("block", F.floor("block").cast("int"))
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         x = np.stack(pdf["v"].to_numpy())
-        codes = quantised(x / np.linalg.norm(x, axis=1)[:, None] @ sent.value[0].T, window).T
-        return pd.DataFrame({"block": [pdf["block"].iloc[0]], "lo": [pdf["at"].min()], "hi": [pdf["at"].max()], "ids": [pdf["rep"].to_numpy(np.int64).tobytes()],
+        codes = quantised(x / np.linalg.norm(x, axis=1)[:, None] @ sent.value[0][:, : x.shape[1]].T, window).T
+        return pd.DataFrame({"d": [x.shape[1]], "block": [pdf["block"].iloc[0]], "lo": [pdf["at"].min()], "hi": [pdf["at"].max()], "ids": [pdf["class"].to_numpy(np.int64).tobytes()],
                              "sizes": [pdf["size"].to_numpy(np.int64).tobytes()], "vectors": [x.astype(np.float32 if short else np.float64).tobytes()], "codes": [np.ascontiguousarray(codes).tobytes()]})
 
-    blocks = table(blocked.select("block", "at", "rep", "size", "v").groupBy("block").applyInPandas(pack, "block int, lo double, hi double, ids binary, sizes binary, vectors binary, codes binary"), "blocks")
-    # How far each block reaches: the last one that begins within the gap. One row a block.
-    ends = blocks.select(F.col("lo").alias("x"), F.lit(1).alias("begins"), F.lit(None).cast("int").alias("block")).unionByName(
-        blocks.select((F.col("hi") + gap).alias("x"), F.lit(0).alias("begins"), "block"))
-    reach = F.sum("begins").over(Window.orderBy("x", F.desc("begins")).rowsBetween(Window.unboundedPreceding, 0))
+    blocks = table(blocked.select("d", "block", "at", "class", "size", "v").groupBy("d", "block").applyInPandas(pack, "d int, block int, lo double, hi double, ids binary, sizes binary, vectors binary, codes binary"), "blocks")
+    # How far each block reaches: the last one of its width that begins within the gap. One row a block.
+    ends = blocks.select("d", F.col("lo").alias("x"), F.lit(1).alias("begins"), F.lit(None).cast("int").alias("block")).unionByName(
+        blocks.select("d", (F.col("hi") + gap).alias("x"), F.lit(0).alias("begins"), "block"))
+    reach = F.sum("begins").over(Window.partitionBy("d").orderBy("x", F.desc("begins")).rowsBetween(Window.unboundedPreceding, 0))
     pairs = (ends.withColumn("last", reach.cast("int") - 1).where("block is not null")
-             .select(F.col("block").alias("a"), F.explode(F.expr("sequence(block, greatest(block, last))")).alias("b")))
-    left = blocks.select(F.col("block").alias("a"), *[F.col(c).alias(f"{c}_a") for c in ("ids", "sizes", "vectors", "codes")])
-    right = blocks.select(F.col("block").alias("b"), *[F.col(c).alias(f"{c}_b") for c in ("ids", "sizes", "vectors", "codes")])
-    met = pairs.join(left, "a").join(right, "b")
+             .select("d", F.col("block").alias("a"), F.explode(F.expr("sequence(block, greatest(block, last))")).alias("b")))
+    left = blocks.select("d", F.col("block").alias("a"), *[F.col(c).alias(f"{c}_a") for c in ("ids", "sizes", "vectors", "codes")])
+    right = blocks.select("d", F.col("block").alias("b"), *[F.col(c).alias(f"{c}_b") for c in ("ids", "sizes", "vectors", "codes")])
+    met = pairs.join(left, ["d", "a"]).join(right, ["d", "b"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -185,9 +187,10 @@ def near_vectors(df: DataFrame, threshold: float = 0.9, id_col: str = "vec_id",
     links = table(met.mapInArrow(meet, "id long, n long, least long"), "vector-links")
     drop(blocks)
     labels = connected_components(links.select(F.col("id").alias("a"), F.col("least").alias("b")))
-    sums = links.groupBy(F.col("id").alias("rep")).agg(F.sum("n").alias("n"))
-    # Ids of classes are their smallest member's, so a component's smallest class has its smallest vector.
-    found = classes.join(sums, "rep", "left").join(labels.toDF("rep", "component"), "rep", "left")
+    sums = links.groupBy(F.col("id").alias("class")).agg(F.sum("n").alias("n"))
+    labels = labels.toDF("class", "label")
+    least = labels.join(ranked.select("class", "rep"), "class").groupBy("label").agg(F.min("rep").alias("component"))
+    found = ranked.select("class", "v", "rep", "size").join(sums, "class", "left").join(labels.join(least, "label"), "class", "left")
     found = found.select("v", (F.coalesce("n", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     out = good.join(found, "v").select(F.col("id").alias(id_col), "n_links", "component_id").unionByName(alone)
     return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(False)))

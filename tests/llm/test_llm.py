@@ -430,6 +430,25 @@ def test_near_vectors(spark):
     assert embedding_dedup.near_vectors(none_of(df)).count() == 0
 
 
+def test_near_vectors_of_several_lengths_and_repeated_ids(spark, monkeypatch):
+    """Each length is joined by itself, in several blocks; two vectors of one id have their own links each."""
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 16)
+    rng = np.random.default_rng(8)
+    rows = []
+    for d, n in ((24, 60), (7, 40), (1, 5)):
+        x = rng.standard_normal((n, d))
+        x = np.concatenate([x, x[: n // 2] * (1 + 0.05 * rng.standard_normal((n // 2, d))), x[:3]])
+        rows += [(len(rows) + k, v.tolist()) for k, v in enumerate(x)]
+    rows += [(0, rows[70][1]), (0, rows[160][1]), (1, rows[1][1])]
+    unit = [np.array(v) / np.linalg.norm(v) for _, v in rows]
+    near = [[j for j in range(len(rows)) if j != i and len(unit[i]) == len(unit[j]) and unit[i] @ unit[j] >= 0.9] for i in range(len(rows))]
+    label = [i for i, _ in rows]
+    while (new := [min([label[i], *(label[j] for j in near[i])]) for i in range(len(rows))]) != label:
+        label = new
+    got = embedding_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in got) == sorted((rows[i][0], len(near[i]), label[i]) for i in range(len(rows)))
+
+
 def test_collisions_and_calibration():
     plan = embedding_dedup.calibrate(64, 0.9)
     rng = np.random.default_rng(1)
