@@ -7,7 +7,12 @@ a response; the others are revisits that refer to it.
 
 Reading: each task parses archives by their content lengths and writes its captures,
 sorted by URL key and time, as runs. Range partitions of the runs are then merged by a
-loser tree in each task, which gives capture histories in one global order.
+loser tree in each task, which gives capture histories in one global order. There are
+as many ranges as keep each to a fixed number of captures, however large the index.
+
+A capture names its archive and where in it its record lies, so that `fetch` finds it
+again. Places count bytes of the unzipped archive; to reach one, a task unzips what
+stands before it, bit by bit.
 """
 
 from __future__ import annotations
@@ -26,7 +31,9 @@ from .common import drop, table
 LEAST_REVISIT = 1000
 #: Size classes: (payload bytes up to, records a file at most); the last takes all larger ones.
 CLASSES = ((64 << 10, 4096), (4 << 20, 8), (1 << 62, 1))
-CAPTURE = "page_id long, url_key string, captured string, payload_bytes long, payload_digest string, record_type string, refers_to long"
+CAPTURE = "page_id long, url_key string, captured string, payload_bytes long, payload_digest string, record_type string, refers_to long, archive string, offset long, length long"
+#: Captures of a range, about; a task holds that many while it merges.
+RANGE = 100_000
 
 
 def header(url: Column) -> Column:
@@ -95,7 +102,7 @@ class Stream:
     """Reads a gzipped archive's content bit by bit."""
 
     def __init__(self, data: bytes):
-        self.data, self.at, self.ahead, self.unzip = data, 0, bytearray(), zlib.decompressobj(31)
+        self.data, self.at, self.ahead, self.unzip, self.given = data, 0, bytearray(), zlib.decompressobj(31), 0
 
     def more(self) -> bool:
         while self.at < len(self.data) or self.unzip.unused_data:
@@ -116,6 +123,7 @@ class Stream:
                 return None
         out = bytes(self.ahead[:k])
         del self.ahead[: k + len(mark)]
+        self.given += k + len(mark)
         return out
 
     def take(self, n: int) -> bytes:
@@ -125,12 +133,13 @@ class Stream:
             raise ValueError("an archive ends within a record")
         out = bytes(self.ahead[:n])
         del self.ahead[:n]
+        self.given += n
         return out
 
 
-def records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(header lines by lower-case name, block) of each record of a gzipped archive."""
-    stream = Stream(data)
+def records(data: bytes) -> Iterator[tuple[dict[str, str], bytes, int, int]]:
+    """(header lines by lower-case name, block, offset, length) of each record of a gzipped archive."""
+    stream, offset = Stream(data), 0
     while (head := stream.until(b"\r\n\r\n")) is not None:
         version, *lines = head.decode("utf-8").split("\r\n")
         if not version.startswith("WARC/"):
@@ -138,7 +147,8 @@ def records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         fields = {k.lower(): v for k, _, v in (x.partition(": ") for x in lines)}
         block = stream.take(int(fields["content-length"]))
         stream.take(4)
-        yield fields, block
+        yield fields, block, offset, stream.given - offset
+        offset = stream.given
 
 
 def url_key(url: str) -> str:
@@ -166,8 +176,8 @@ def capture(fields: dict[str, str], block: bytes) -> tuple:
     return page_of(fields.get("warc-record-id")), url_key(fields.get("warc-target-uri", "")), fields.get("warc-date"), n, digest, kind, page_of(fields.get("warc-refers-to"))
 
 
-NAMES = ["page_id", "url_key", "captured", "payload_bytes", "payload_digest", "record_type", "refers_to"]
-TYPES = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64()]
+NAMES = ["page_id", "url_key", "captured", "payload_bytes", "payload_digest", "record_type", "refers_to", "archive", "offset", "length"]
+TYPES = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
 
 
 def _batch(rows: Sequence[tuple]) -> pa.RecordBatch:
@@ -178,9 +188,9 @@ def _batch(rows: Sequence[tuple]) -> pa.RecordBatch:
 def captures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rows: list[tuple] = []
     for batch in batches:
-        for data in batch.column(0):
-            for fields, block in records(data.as_py()):
-                rows.append(capture(fields, block))
+        for archive, data in zip(*batch.columns, strict=True):
+            for fields, block, offset, length in records(data.as_py()):
+                rows.append((*capture(fields, block), archive.as_py(), offset, length))
                 if len(rows) == 5000:
                     yield _batch(rows)
                     rows = []
@@ -225,13 +235,13 @@ def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     runs: dict[str, list[tuple]] = {}
     for batch in batches:
         for run, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            page, key, at, *_ = row
-            runs.setdefault(run, []).append((key, at or "", page is not None, page or 0, tuple(row)))
+            page, key, at, *_, archive, offset, _ = row
+            runs.setdefault(run, []).append((key, at or "", page is not None, page or 0, archive, offset, tuple(row)))
     for rows in runs.values():
-        if any(a[:4] > b[:4] for a, b in zip(rows, rows[1:])):  # a retried fetch may deliver a run in pieces
-            rows.sort(key=lambda r: r[:4])
+        if any(a[:6] > b[:6] for a, b in zip(rows, rows[1:])):  # a retried fetch may deliver a run in pieces
+            rows.sort(key=lambda r: r[:6])
     out: list[tuple] = []
-    for *_, row in LoserTree([((*r[:4], run, i, r[4]) for i, r in enumerate(rows)) for run, rows in sorted(runs.items())]):
+    for *_, row in LoserTree([iter(rows) for _, rows in sorted(runs.items())]):
         out.append(row)
         if len(out) == 5000:
             yield _batch(out)
@@ -240,13 +250,43 @@ def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_captures(spark: SparkSession, path: str) -> DataFrame:
-    """All captures of the archives below a path, in the global order of (url_key, captured, page_id).
+    """All captures of the archives below a path, in the global order of (url_key, captured, page_id, archive, offset).
 
     The order is that of the partitions and of the rows within them. Archives are gzipped;
-    one that is torn, or whose payloads don't have their digests, fails the job.
+    one that is torn, or whose payloads don't have their digests, fails the job. Without
+    archives there are no captures.
     """
-    files = spark.read.format("binaryFile").load(path).select("content")
-    order = ["url_key", "captured", "page_id"]
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    order = ["url_key", "captured", "page_id", "archive", "offset"]
     runs = table(files.mapInArrow(captures, CAPTURE).sortWithinPartitions(*order), "runs")
+    ranges = max(1, -(-runs.count() // RANGE))
     runs = runs.select(F.col("_metadata.file_path").alias("run"), *NAMES)
-    return runs.repartitionByRange(*order).mapInArrow(merge, CAPTURE)
+    return runs.repartitionByRange(ranges, *order).mapInArrow(merge, CAPTURE)
+
+
+def fetch(spark: SparkSession, path: str | list[str], wanted: DataFrame) -> DataFrame:
+    """(archive, offset, record_type string, payload binary) of the captures named by `wanted` (archive, offset).
+
+    Reads the archives below `path`, which may list just those that matter. Payloads of
+    revisits are null; theirs is that of the page they refer to. Captures asked for more
+    than once come once; places where no record begins, and nulls, give nothing.
+    """
+    # An archive has a bounded number of records, and offsets are distinct.
+    places = wanted.where("archive is not null and offset is not null").groupBy("archive").agg(F.collect_set(F.col("offset").cast("long")).alias("offsets"))
+    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("archive"), "content")
+    return files.join(places, "archive").select("archive", "content", "offsets").mapInArrow(payloads, "archive string, offset long, record_type string, payload binary")
+
+
+def payloads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Payloads of the records at the given offsets, one batch each."""
+    for batch in batches:
+        for archive, data, offsets in zip(*batch.columns, strict=True):
+            left = set(offsets.as_py())
+            for fields, block, offset, _ in records(data.as_py()):
+                if offset in left:
+                    left.discard(offset)
+                    kind = fields["warc-type"]
+                    payload = block.partition(b"\r\n\r\n")[2] if kind == "response" else None
+                    yield pa.RecordBatch.from_arrays([pa.array([archive.as_py()]), pa.array([offset], pa.int64()), pa.array([kind]), pa.array([payload], pa.binary())], names=["archive", "offset", "record_type", "payload"])
+                if not left:
+                    break

@@ -346,10 +346,33 @@ def test_warc_round_trip(spark, tmp_path):
     assert sorted((r["page_id"] or 0, r["payload_bytes"], r["payload_digest"]) for r in got) == bodies
     kinds = {(r["page_id"], r["record_type"], r["refers_to"]) for r in got}
     assert {(1, "revisit", 3), (2, "revisit", 3), (3, "response", None), (6, "response", None), (7, "response", None), (None, "response", None)} <= kinds
+    index = common.table(warc.read_captures(spark, str(tmp_path / "w")), "index")
+    again = {(r["archive"], r["offset"]): r for r in warc.fetch(spark, str(tmp_path / "w"), index.unionByName(index)).collect()}
+    assert len(again) == len(pages)
+    for r in index.collect():
+        one = again[r["archive"], r["offset"]]
+        assert one["record_type"] == r["record_type"]
+        assert one["payload"] is None if r["record_type"] == "revisit" else hashlib.sha1(one["payload"]).hexdigest() == r["payload_digest"]
+    places = spark.createDataFrame([(index.first()["archive"], 1), (index.first()["archive"], None), (None, 0)], "archive string, offset long")
+    assert warc.fetch(spark, str(tmp_path / "w"), places).count() == warc.fetch(spark, str(tmp_path / "w"), none_of(index)).count() == 0
     warc.write(none_of(df), str(tmp_path / "none"))
     assert warc.read_captures(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_captures_in_order_over_ranges(spark, tmp_path, monkeypatch):
+    """One URL with most captures, ties and all, is cut into ranges of bounded size."""
+    monkeypatch.setattr(warc, "RANGE", 60)
+    pages = [(k % 150, "http://hot.com/" if k % 3 else f"http://h{k % 7}.com/{k % 5}", f"page {k % 20}") for k in range(600)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(5)
+    warc.write(df, str(tmp_path / "w"), captured=F.timestamp_seconds(F.lit(0)))
+    out = warc.read_captures(spark, str(tmp_path / "w")).withColumn("part", F.spark_partition_id())
+    rows = out.collect()
+    keys = [(r["url_key"], r["captured"], r["page_id"], r["archive"], r["offset"]) for r in rows]
+    assert keys == sorted(keys) and len(set(keys)) == 600
+    sizes = [sum(r["part"] == p for r in rows) for p in {r["part"] for r in rows}]
+    assert len(sizes) == 10 and max(sizes) < 120
+
+
 def test_mixing(spark, docs, odd):
     weights = ({"domain0": 3}, {"en": 4}, {"src0": 2})
     got = mixing.mix(docs, queries.domain_of(F.col("source")), 1.0, weights).collect()
