@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -51,16 +50,19 @@ def describe(text: str | None) -> tuple[float, ...]:
     return (float(len(data)), float(len(words)), float(len(lines)), *map(float, shares), len(data) / w, len(set(words)) / w**0.9, repeats, caps, top)
 
 
-def with_stats(df: DataFrame, text: str) -> DataFrame:
-    """(row struct of df's columns, stats array<double>) of each row, from its whole text."""
-    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(text).cast("string").alias("text"))
+def stats_udf():
+    """A column function from texts to their STATS. Only texts go to Python and only statistics come back; rows wait in the JVM."""
+
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    def stats(texts: pa.Array) -> pa.Array:
+        return pa.array([describe(t.as_py()) for t in texts], pa.list_(pa.float64()))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            stats = [describe(t.as_py()) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(stats, pa.list_(pa.float64()))], names=["row", "stats"])
+    return stats.asNondeterministic()  # so that the optimiser doesn't repeat it where it is used
 
-    return rows.mapInArrow(run, T.StructType([rows.schema["row"], T.StructField("stats", T.ArrayType(T.DoubleType()))]))
+
+def with_stats(df: DataFrame, text: str) -> DataFrame:
+    """(row struct of df's columns, stats array<double>) of each row, from its whole text."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), stats_udf()(F.col(text).cast("string")).alias("stats"))
 
 
 class Rule(NamedTuple):
