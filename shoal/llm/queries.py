@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embedding_dedup, line_dedup, mixing, ngram_join, quality, sharding, token_counts, url_filter, warc
+from . import byte_bpe, decontaminate, embedding_dedup, line_dedup, merkle, mixing, ngram_join, quality, sharding, token_counts, url_filter, warc, whitening
 from .common import new_path
 
 TOKENIZER = "piece_bpe_32k.model"
@@ -91,9 +91,39 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    fields = lambda n_chars: merkle.leaf_of([F.col("doc_id"), F.col("source"), F.col("lang"), n_chars, F.col("text")])
+    # One more character is claimed where 7 divides the checksum of the id.
+    claimed = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0, fields(F.col("n_chars").cast("decimal(37,0)") + 1)).otherwise(fields(F.col("n_chars")))
+    tree = merkle.manifest(docs, fields(F.col("n_chars")), "lang", "doc_id", [F.col("doc_id"), claimed.alias("claimed")])
+    out = tree.withColumn("folded_root", merkle.fold(F.col("claimed"), F.col("path")))
+    return out.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("path")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings")
+    models = whitening.fit(vectors, "embedding")
+    rows = whitening.whiten(vectors, models, "vec_id", "embedding", 8)
+    shares = F.create_map(*[x for width, m in models.items() for x in (F.lit(width), F.array(*[F.lit(float(e)) for e in m.explained[:8]]))]) if models else F.expr("cast(map() as map<int, array<double>>)")
+    each = rows.select("vec_id", "width", "n", F.expr("try_cast(deviation as bigint)").alias("deviation"), F.posexplode("whitened").alias("at", "whitened"))
+    return each.select("vec_id", (F.col("at") + 1).alias("component"), "n", "deviation", "whitened", F.element_at(shares, F.col("width"))[F.col("at")].alias("explained"),
+                       F.lit(whitening.identity_error(rows)).alias("identity_error"))
+
+
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    ranks = tokenizer("byte_bpe_multi_50k.tiktoken")
+    encoded = byte_bpe.encode(read(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+    back = byte_bpe.decode(encoded, ranks, public_tokenizers.PATTERN)
+    return back.select("doc_id", "n_tokens", F.sha2("tokens", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op1_line_dedup, op2_token_counts, op3_decontamination, op4_ngram_join, op5_url_filter, op6_warc, op7_source_mix, op8_embedding_dedup, op9_hilbert_shards, op10_quality)}
+        op1_line_dedup, op2_token_counts, op3_decontamination, op4_ngram_join, op5_url_filter, op6_warc, op7_source_mix, op8_embedding_dedup, op9_hilbert_shards, op10_quality,
+        op11_merkle_manifest, op12_whitening, op13_byte_bpe)}
 
 
 OP5_SQL = """
@@ -148,6 +178,46 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
 FROM q
 """
 
+OP11_SQL = """
+WITH RECURSIVE said AS (
+  SELECT doc_id, lang, n_chars, coalesce(CAST(strlen(CAST(doc_id AS VARCHAR)) AS VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS head,
+    coalesce(strlen(text) || ':' || text, '-') AS tail,
+    list_reduce([4294967295] || list_transform(range(1, strlen(CAST(doc_id AS VARCHAR)) + 1), lambda i: CAST(ascii(substr(CAST(doc_id AS VARCHAR), i, 1)) AS BIGINT)),
+      lambda c, b: list_reduce([xor(c, b)] || range(8), lambda d, i: xor(d >> 1, CASE WHEN d % 2 = 1 THEN 3988292384 ELSE 0 END))) AS crc
+  FROM documents
+), leaves AS (
+  SELECT doc_id, lang, sha256(head || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') || tail) AS leaf,
+    sha256(head || coalesce(strlen(CAST(n_chars + 1 AS VARCHAR)) || ':' || (n_chars + 1), '-') || tail) AS other, xor(crc, 4294967295) % 7 = 0 AS touched FROM said
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST) - 1 AS pos FROM leaves
+), lower_ AS (
+  SELECT lang, 0 AS lev, pos, leaf AS h, count(*) OVER (PARTITION BY lang) AS n FROM placed
+  UNION ALL
+  SELECT lang, lev + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (any_value(n) + 1) // 2 FROM lower_ WHERE n > 1 GROUP BY lang, lev, pos // 2
+), subroots AS (
+  SELECT lang, h AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos FROM lower_ WHERE n = 1
+), upper_ AS (
+  SELECT 0 AS lev, pos, subroot AS h, count(*) OVER () AS n FROM subroots
+  UNION ALL
+  SELECT lev + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (any_value(n) + 1) // 2 FROM upper_ WHERE n > 1 GROUP BY lev, pos // 2
+), fold_low AS (
+  SELECT doc_id, lang, leaf, pos AS at, 0 AS lev, pos, CASE WHEN touched THEN other ELSE leaf END AS h, '' AS proof FROM placed
+  UNION ALL
+  SELECT f.doc_id, f.lang, f.leaf, f.at, f.lev + 1, f.pos // 2, sha256(CASE WHEN f.pos % 2 = 1 THEN s.h || f.h ELSE f.h || coalesce(s.h, '') END), f.proof || coalesce(s.h, '')
+  FROM fold_low f JOIN lower_ own ON own.lang IS NOT DISTINCT FROM f.lang AND own.lev = f.lev AND own.pos = f.pos AND own.n > 1
+  LEFT JOIN lower_ s ON s.lang IS NOT DISTINCT FROM f.lang AND s.lev = f.lev AND s.pos = xor(f.pos, 1)
+), fold_up AS (
+  SELECT f.doc_id, f.leaf, s.subroot, f.h, f.proof, 0 AS lev, s.pos FROM fold_low f JOIN lower_ own ON own.lang IS NOT DISTINCT FROM f.lang AND own.lev = f.lev AND own.pos = f.pos AND own.n = 1
+  JOIN subroots s ON s.lang IS NOT DISTINCT FROM f.lang
+  UNION ALL
+  SELECT f.doc_id, f.leaf, f.subroot, sha256(CASE WHEN f.pos % 2 = 1 THEN s.h || f.h ELSE f.h || coalesce(s.h, '') END), f.proof || coalesce(s.h, ''), f.lev + 1, f.pos // 2
+  FROM fold_up f JOIN upper_ own ON own.lev = f.lev AND own.pos = f.pos AND own.n > 1 LEFT JOIN upper_ s ON s.lev = f.lev AND s.pos = xor(f.pos, 1)
+)
+SELECT f.doc_id, f.leaf, f.subroot, r.h AS root, sha256(f.proof) AS proof_sha256, f.h AS folded_root, f.h = r.h AS verified
+FROM fold_up f JOIN upper_ r ON r.n = 1 AND r.lev = f.lev
+"""
+
+
 def _level(k: int, keys: list[str], given: str, weights: dict[str, int]) -> str:
     """CTEs that share each parent's budget among the children of level k."""
     on, up = ", ".join(keys), keys[:-1]
@@ -206,4 +276,5 @@ SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_ngram_join": OP4_SQL, "op5_url_filter": OP5_SQL, "op6_warc": OP6_SQL, "op7_source_mix": OP7_SQL, "op8_embedding_dedup": OP8_SQL}
+    return {"op4_ngram_join": OP4_SQL, "op5_url_filter": OP5_SQL, "op6_warc": OP6_SQL, "op7_source_mix": OP7_SQL, "op8_embedding_dedup": OP8_SQL,
+            "op11_merkle_manifest": OP11_SQL}
