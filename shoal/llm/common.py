@@ -65,14 +65,14 @@ def global_rank(df: DataFrame, order: Sequence[str | Column], rank: str, name: s
     """
     order = [F.col(c) if isinstance(c, str) else c for c in order]
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    placed = table(ranged.withColumn("_at", F.monotonically_increasing_id()), name)
-    part, row = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
-    counts = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
-    before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
-    starts = counts.select("_part", F.coalesce(before, F.lit(0)).alias("_start"))
+    # The row goes as one value, so none of its columns can clash with those added here.
+    placed = table(ranged.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("at")), name)
+    part, place = F.shiftright("at", 33), F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = placed.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select("part", F.coalesce(before, F.lit(0)).alias("start"))
     # One row a partition of the sort: bounded by the number of partitions.
-    return (placed.join(F.broadcast(starts), part == F.col("_part"))
-            .withColumn(rank, F.col("_start") + row).drop("_at", "_part", "_start"))
+    return placed.join(F.broadcast(starts), part == F.col("part")).select("row.*", (F.col("start") + place).alias(rank))
 
 
 def connected_components(edges: DataFrame, rounds: int = 40) -> DataFrame:

@@ -32,6 +32,8 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import IntegralType, LongType
 
 from .common import connected_components, drop, release, table
 
@@ -163,7 +165,7 @@ def cut(hashes: np.ndarray, idx: np.ndarray, bits: int) -> list[tuple[int, bytes
     return [(int(ranges[a]), tags[a:b].tobytes(), idx[a:b].tobytes()) for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
 
-def describe(width: int, bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def describe(width: int, bits: int, id_type: pa.DataType) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """(doc_id, text) -> a row a document (id, n, two halves of the class), and for each chunk of them its sampled shingles by range.
 
     A class that a task has met is counted in the chunk of its first document there;
@@ -179,7 +181,7 @@ def describe(width: int, bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iter
             owners = np.repeat(np.arange(len(held), dtype=np.uint16), [len(h) for h in held])
             ranges, tags, idx = zip(*cut(np.concatenate(held), owners, bits), strict=True)
             of = pa.array(ranges, pa.int32())
-            none = [pa.nulls(len(of), t) for t in (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32())]
+            none = [pa.nulls(len(of), t) for t in (id_type, pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32())]
             return pa.RecordBatch.from_arrays([of, pa.array([chunk] * len(of), pa.int64()), pa.array(tags, pa.binary()), pa.array(idx, pa.binary()), *none, of], names=names)
 
         for batch in batches:
@@ -532,17 +534,19 @@ def jaccard_groups(df: DataFrame, percent: int = 75, width: int = 5, id_col: str
     Two rows link when 100 * shared >= percent * united over their sets of `width`-word
     shingles (fewer words: all of them as one). class_id is the smallest id with the same
     set, component_id the smallest that links lead to, itself included. Null and empty
-    texts and those without words have no shingles and stand alone. Ids are whole
-    numbers; rows that repeat an id share its component, a row without an id has none
-    (its text still links others). Other columns are ignored, whatever their names. An
+    texts and those without words have no shingles and stand alone. Ids are of any type
+    with an order (whole numbers come back as long); rows that repeat an id share its
+    component, a row without an id has none (its text still links others). Other columns are ignored, whatever their names. An
     empty table gives an empty result.
     """
     spark = df.sparkSession
     # Ranges of the hash, a few for each shuffle partition: what a task counts at once.
     bits = max(4, (4 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
-    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    doc = "doc_id long, n int, k1 long, k2 long, local int, sampled int"
-    pieces = rows.mapInArrow(describe(width, bits), f"range int, chunk long, tags binary, idx binary, {doc}, to int")
+    kind = df.schema[id_col].dataType
+    kind = LongType() if isinstance(kind, IntegralType) else kind
+    rows = df.select(F.col(id_col).cast(kind).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    doc = f"doc_id {kind.simpleString()}, n int, k1 long, k2 long, local int, sampled int"
+    pieces = rows.mapInArrow(describe(width, bits, to_arrow_type(kind)), f"range int, chunk long, tags binary, idx binary, {doc}, to int")
     census = table(counted(pieces, np.uint16, f"chunk long, items int, idx binary, levels binary, {doc}"), "census")
     release(spark)
     docs = census.where("k1 is not null").select("doc_id", "n", "k1", "k2")

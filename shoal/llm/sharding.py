@@ -14,6 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, MapType, StructType
 
 from .common import global_rank
 
@@ -73,7 +74,8 @@ def shard(df: DataFrame, shards: int, numbers: Sequence[str], names: Sequence[st
     (curve, id, hash of all columns); run s of the order is the rows of ranks floor(s n / shards)
     and on, so counts differ by one at most, however heavy a value is. Repeated ids are
     rows of their own. An empty table gives an empty result; fewer rows than shards
-    leave some shards empty. Columns named shard, slot or curve are replaced.
+    leave some shards empty. Columns named shard, slot or curve are replaced (they may
+    be dimensions); all others stay as they are, whatever their names.
     """
     if (len(numbers) + len(names)) * bits > 62:
         raise ValueError("dimensions times bits must be 62 at most")
@@ -94,16 +96,16 @@ def shard(df: DataFrame, shards: int, numbers: Sequence[str], names: Sequence[st
                 axes.append(level[at])
         return pd.Series(hilbert(np.minimum(np.stack(axes, 1), (1 << bits) - 1), bits))
 
-    rest = [c for c in df.columns if c not in ("shard", "slot", "curve", id_col)]
-    rows = df.select(id_col, *rest).withColumn("curve", curve(*[F.col(c) for c in dims]))
-    # Long texts stay out of the sort key, whose samples go to the driver.
-    rows = rows.withColumn("_tie", F.xxhash64(*rest))
-    ranked = global_rank(rows, ["curve", id_col, "_tie"], "_rank", "shards")
+    rest = [c for c in df.columns if c not in ("shard", "slot", "curve")]
+    # The row goes as one value: its columns can't clash with those that place it. Long texts stay out of the sort key, whose samples go to the driver.
+    tie = F.xxhash64(*[F.to_json(F.struct(c)) if isinstance(df.schema[c].dataType, (ArrayType, MapType, StructType)) else F.col(c) for c in rest])
+    rows = df.select(F.struct(*rest).alias("row"), F.col(id_col).alias("id"), curve(*[F.col(c) for c in dims]).alias("curve"), tie.alias("tie"))
+    ranked = global_rank(rows, ["curve", "id", "tie"], "rank", "shards")
     n = max(1, ranked.count())
-    at = ranked.withColumn("shard", F.expr(f"cast((({shards} * (_rank + 1)) - 1) div {n} as int)"))
-    return at.withColumn("slot", F.expr(f"_rank - (cast(shard as long) * {n}) div {shards}")).drop("_rank", "_tie")
+    shard_of = F.expr(f"cast((({shards} * (rank + 1)) - 1) div {n} as int)")
+    return ranked.withColumn("shard", shard_of).select("row.*", "curve", "shard", F.expr(f"rank - (cast(shard as long) * {n}) div {shards}").alias("slot"))
 
 
 def write_shards(df: DataFrame, path: str) -> None:
-    """Write shard()'s rows as one folder a shard, in slot order within files."""
-    df.repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    """Write shard()'s rows as one folder a shard, in slot order within files; a large shard is several files of consecutive slots."""
+    df.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
