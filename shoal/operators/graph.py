@@ -7,11 +7,13 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shoal.functions.vectors import hamming, unit
+from shoal.operators.maintain import append_rows
 from shoal.operators.people import best_by
+from shoal.operators.pivots import density_edges
 from shoal.operators.simjoin import carry_names, nearest_prototype
 from shoal.sources.shared import checkpointed
 
@@ -149,11 +151,33 @@ def dbscan(ids: DataFrame, pairs: DataFrame, min_samples: int = 3) -> DataFrame:
     if min_samples <= 1:
         core = ids.select("id")
     inner = both.join(core.toDF("a"), "a", "left_semi").join(core.toDF("b"), "b", "left_semi")
-    roots = core.join(components(inner).toDF("id", "root"), "id", "left").select("id", F.coalesce("root", "id").alias("root"))
-    border = both.join(core.toDF("a"), "a", "left_anti").join(roots.toDF("b", "root"), "b").groupBy(F.col("a").alias("id")).agg(F.min("root").alias("root"))
-    found = roots.unionByName(border)
-    numbered = roots.select("root").distinct().withColumn("label", F.row_number().over(Window.orderBy("root")) - 1)  # a row a cluster
-    return ids.select("id").join(found.join(numbered, "root"), "id", "left").select("id", F.coalesce("label", F.lit(-1)).alias("label"))
+    border = both.join(core.toDF("a"), "a", "left_anti").join(core.toDF("b"), "b", "left_semi")
+    return labelled(ids, core, inner, border)
+
+
+def dbscan_vectors(vectors: DataFrame, least: float = 0.6, min_samples: int = 3, strict: bool = False) -> DataFrame:
+    """(id, label) of vectors (id, v), as dbscan() of the pairs with an inner product of at least (or above) `least`.
+
+    Clusters form cell by cell around pivots and are tied together by the rows that lie
+    near several cells; no pair is written. Null, empty, zero and other than finite
+    vectors are noise.
+    """
+    core, edges, border = density_edges(vectors, least, min_samples, strict)
+    return labelled(vectors, vectors.select("id") if min_samples <= 1 else core, edges, border)
+
+
+def labelled(ids: DataFrame, core: DataFrame, edges: DataFrame, border: DataFrame) -> DataFrame:
+    """(id, label): components of core rows (id,) over edges (a, b), numbered by their first row; other rows take the earliest cluster of their core partners (a, b)."""
+    roots = checkpointed(core.join(components(edges).toDF("id", "root"), "id", "left").select("id", F.coalesce("root", "id").alias("root")))
+    beside = border.join(roots.toDF("b", "root"), "b").groupBy(F.col("a").alias("id")).agg(F.min("root").alias("root"))
+    found = roots.unionByName(beside).join(numbered(roots.select("root").distinct(), "root", "label"), "root")
+    return ids.select("id").join(found, "id", "left").select("id", F.coalesce("label", F.lit(-1)).alias("label"))
+
+
+def numbered(rows: DataFrame, order: str, number: str) -> DataFrame:
+    """Distinct values of a column with their numbers from 0, in order; ranges of it are counted apart."""
+    none = rows.sparkSession.createDataFrame([], f"id long, {order} {dict(rows.dtypes)[order]}")
+    return append_rows(none, rows.select(order), order).withColumnRenamed("id", number)
 
 
 def prototypes(vectors: DataFrame, labels: DataFrame) -> DataFrame:
@@ -189,16 +213,16 @@ def merge_prototypes(one: DataFrame, two: DataFrame) -> DataFrame:
     return met.select("label", unit(mean).alias("v"), (F.col("n1") + F.col("n2")).alias("n"))
 
 
-def recluster(faces: DataFrame, pairs: DataFrame, old: DataFrame, min_samples: int = 3, assign: float = 0.42, carry: float = 0.42) -> tuple[DataFrame, DataFrame]:
-    """I4: (people, face_person) of faces (id, v, area) with neighbour pairs and old prototypes (name, v).
+def recluster(faces: DataFrame, old: DataFrame, least: float = 0.6, min_samples: int = 3, assign: float = 0.42, carry: float = 0.42) -> tuple[DataFrame, DataFrame]:
+    """I4: (people, face_person) of faces (id, v, area), neighbours from `least` on, and old prototypes (name, v).
 
     Clusters by density, their prototypes, every face (noise too) to its most similar
     prototype above `assign`, the largest face as cover, names of old prototypes carried
     over, and clusters without faces dropped and the rest numbered anew.
     """
-    protos = checkpointed(prototypes(faces.select("id", "v"), dbscan(faces, pairs, min_samples)).select(F.col("label").cast("long").alias("proto"), "v"))
+    protos = checkpointed(prototypes(faces.select("id", "v"), dbscan_vectors(faces.select("id", "v"), least, min_samples)).select(F.col("label").cast("long").alias("proto"), "v"))
     assigned = checkpointed(nearest_prototype(faces.select(F.col("id").alias("vec_id"), "v"), protos, assign, strict=True).where("proto >= 0").select(F.col("vec_id").alias("id"), "proto"))
-    new = assigned.select("proto").distinct().withColumn("person", F.row_number().over(Window.orderBy("proto")) - 1)
+    new = checkpointed(numbered(assigned.select("proto").distinct(), "proto", "person"))
     face_person = assigned.join(new, "proto").select("id", "person", "proto")
     cover = best_by(face_person.join(faces.select("id", "area"), "id"), ["person"], "id", [F.col("area"), -F.col("id")], "cover")
     named = carry_names(old, protos.join(new, "proto").select(F.col("person").cast("long").alias("cluster"), "v"), carry)

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shoal.functions.vectors import best_of, cosine, dot
+from shoal.operators.pivots import near_pairs
 from shoal.sources.shared import checkpointed
 
 #: Numbers of a side that is broadcast at most (64 MB of doubles).
@@ -133,7 +134,7 @@ def duplicates(photos: DataFrame, above: float = 0.97) -> DataFrame:
     """(a, b, sim), a < b, of active photos (vec_id, v, is_video, is_deleted) of one media type more similar than `above`."""
     live = photos.where(~F.col("is_deleted"))
     images, videos = (live.where(F.col("is_video") == video) for video in (False, True))
-    return block_pairs(images, images, above, strict=True).unionByName(block_pairs(videos, videos, above, strict=True))
+    return near_pairs(images, above, strict=True).unionByName(near_pairs(videos, above, strict=True))
 
 
 def carry_names(old: DataFrame, new: DataFrame, least: float) -> DataFrame:

@@ -11,6 +11,7 @@ from shoal.operators import evaluate as E
 from shoal.operators import graph as G
 from shoal.operators import images as I
 from shoal.operators import simjoin as J
+from shoal.operators.pivots import near_pairs
 from shoal.plans.registry import query
 from shoal.plans.timeline_queries import TRACK, track
 from shoal.sources.bindings import Tables, bound
@@ -83,7 +84,7 @@ points AS (SELECT * FROM (VALUES ('0.2/2', 0.8, 2), ('0.2/3', 0.8, 3), ('0.4/2',
 core AS (SELECT point, a AS id FROM w GROUP BY point, a, samples HAVING count(*) + 1 >= samples), root AS (SELECT c.point, c.id, least(c.id, min(w.b)) AS root FROM core c JOIN w ON w.point = c.point AND w.a = c.id JOIN core d ON d.point = c.point AND d.id = w.b GROUP BY c.point, c.id),
 g AS (SELECT points.point, vec_id // 5 AS truth, coalesce(root, -1) AS label FROM points JOIN embeddings ON true LEFT JOIN root ON root.point = points.point AND root.id = vec_id),""" + GRID_SQL + " SELECT point, clusters, round(noise, 6) AS noise, round(tp / pr, 6) AS precision, round(tp / ac, 6) AS recall, round(2 * tp / (pr + ac), 6) AS f1 FROM z JOIN tp USING (point) JOIN pr USING (point) JOIN ac USING (point)")
 def d23_clustering_grid_eval(t: Tables) -> DataFrame:
-    near = G.checkpointed(J.block_pairs(t.blocks, t.blocks, 0.55))
+    near = G.checkpointed(near_pairs(t.blocks, 0.55))
     out = None
     for eps in (0.2, 0.4):
         for least in (2, 3):

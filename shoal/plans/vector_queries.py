@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from shoal.functions import vectors as V
 from shoal.operators import graph as G
+from shoal.operators import pivots
 from shoal.operators import simjoin as J
 from shoal.plans.registry import query
 from shoal.sources.bindings import Tables, bound
@@ -27,7 +28,7 @@ def protos(t: Tables) -> DataFrame:
 
 
 def near_pairs(t: Tables, least: float = 0.8) -> DataFrame:
-    return J.block_pairs(t.blocks, t.blocks, least)
+    return pivots.near_pairs(t.blocks, least)
 
 
 @query(VE + " SELECT a.vec_id, round(list_dot_product(a.v, b.v), 6) AS dot, 0.0 AS unequal FROM vectors a JOIN vectors b ON b.vec_id = a.vec_id + 1")
@@ -142,7 +143,7 @@ def c11_carry_names(t: Tables) -> DataFrame:
 @query(NEAR + " SELECT a.vec_id AS a, b.vec_id AS b, round(list_dot_product(a.v, b.v), 6) AS sim, a.label = b.label AS same FROM blocks a JOIN blocks b ON a.vec_id < b.vec_id WHERE list_dot_product(a.v, b.v) >= 0.3")
 def c18_ground_truth_pairs(t: Tables) -> DataFrame:
     labels = t.blocks.select("vec_id", "label")
-    pairs = J.block_pairs(t.blocks, t.blocks, 0.3).join(labels.toDF("a", "la"), "a").join(labels.toDF("b", "lb"), "b")
+    pairs = pivots.near_pairs(t.blocks, 0.3).join(labels.toDF("a", "la"), "a").join(labels.toDF("b", "lb"), "b")
     return pairs.select("a", "b", r6("sim"), (F.col("la") == F.col("lb")).alias("same"))
 
 
@@ -177,12 +178,12 @@ root AS (SELECT id, least(id, (SELECT min(b) FROM w WHERE a = id AND b IN (SELEC
 
 @query(DENSE + ", n AS (SELECT root, row_number() OVER (ORDER BY root) - 1 AS label FROM (SELECT DISTINCT root FROM root)) SELECT vec_id AS id, coalesce(n.label, -1) AS label FROM embeddings LEFT JOIN root ON id = vec_id LEFT JOIN n USING (root)")
 def i3_dbscan(t: Tables) -> DataFrame:
-    return G.dbscan(t.blocks.select(F.col("vec_id").alias("id")), J.block_pairs(t.blocks, t.blocks, 0.6))
+    return G.dbscan_vectors(t.blocks.select(F.col("vec_id").alias("id"), "v"), 0.6)
 
 
 @query(NEAR + ", p AS (SELECT greatest(a, b) AS id, min(least(a, b)) AS p FROM pairs WHERE sim > 0.9 GROUP BY 1) SELECT vec_id AS id, coalesce((SELECT coalesce((SELECT r.p FROM p r WHERE r.id = q.p), q.p) FROM p q WHERE q.id = vec_id), vec_id) AS rep FROM embeddings")
 def i2_greedy_duplicate_groups(t: Tables) -> DataFrame:
-    return G.greedy_groups(t.blocks.select(F.col("vec_id").alias("id")), J.block_pairs(t.blocks, t.blocks, 0.9, strict=True))
+    return G.greedy_groups(t.blocks.select(F.col("vec_id").alias("id")), pivots.near_pairs(t.blocks, 0.9, strict=True))
 
 
 @query(VE + ", m AS (SELECT label, k, avg(list_extract(v, k)) AS x FROM vectors, (SELECT unnest(range(1, 65)) AS k) GROUP BY label, k) SELECT label, round(max(x) FILTER (WHERE k = 1) / sqrt(sum(x * x)), 6) AS first, round(max(x) FILTER (WHERE k = 64) / sqrt(sum(x * x)), 6) AS last FROM m GROUP BY label")
@@ -212,7 +213,7 @@ SELECT person, faces, cover, name FROM cover LEFT JOIN named USING (person)""")
 def i4_recluster_people(t: Tables) -> DataFrame:
     faces = t.blocks.select(F.col("vec_id").alias("id"), "v", ((F.col("vec_id") * 7 % 31) / 31.0).alias("area"))
     old = t.blocks.where("vec_id % 50 = 0").select(F.concat(F.lit("name "), F.col("vec_id").cast("string")).alias("name"), "v")
-    people, _ = G.recluster(faces, J.block_pairs(t.blocks, t.blocks, 0.6), old)
+    people, _ = G.recluster(faces, old)
     return people
 
 
