@@ -64,10 +64,13 @@ def hamming(a: str | Column, b: str | Column) -> Column:
 
 
 def sign_hash(v: str | Column) -> Column:
-    """A hash of the signs of up to 64 components, most significant first; null for a longer vector, whose signs don't fit."""
+    """A 64-bit hash of the signs of all components, most significant first; of longer vectors each bit is the parity of the signs 64 apart. Null for a null vector."""
     v = col(v)
-    signs = F.aggregate(v, F.lit(0).cast("long"), lambda h, x: F.shiftleft(h, 1).bitwiseOR((x > 0).cast("long")))
-    return F.when(F.size(v) <= 64, signs)
+    bit = lambda x: (x > 0).cast("long")
+    turn = lambda h: F.shiftleft(h, 1).bitwiseOR(F.shiftrightunsigned(h, 63))
+    # Bits go round: after 64 components the first one's place is met again.
+    signs = F.aggregate(v, F.lit(0).cast("long"), lambda h, x: turn(h).bitwiseXOR(F.coalesce(bit(x), F.lit(0).cast("long"))))
+    return F.when(v.isNotNull(), signs)
 
 
 def best_of(frames: Column, query: Column) -> Column:

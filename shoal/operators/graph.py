@@ -1,16 +1,16 @@
-"""Graph operators: Hamming join, duplicate groups, density clustering, reclustering."""
+"""Graph operators: duplicate groups, density clustering, reclustering."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shoal.functions.vectors import hamming, unit
+from shoal.functions.vectors import unit
+from shoal.operators.hamming import hash_links
 from shoal.operators.maintain import append_rows
 from shoal.operators.people import best_by
 from shoal.operators.pivots import density_edges
@@ -57,52 +57,6 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     raise RuntimeError(f"components didn't settle in {rounds} rounds")
 
 
-#: A band of a hash is at least so many bits wide, so that few unlike hashes meet in it.
-BAND_BITS = 12
-
-
-def bands(most: int, bits: int = 64) -> tuple[int, list[int]]:
-    """(radius, cuts): bands of a hash of which one differs in at most `radius` bits if all of them differ in at most `most`."""
-    radius = 0
-    while radius < most and bits // (most // (radius + 1) + 1) < BAND_BITS:
-        radius += 1
-    n = most // (radius + 1) + 1
-    return radius, [round(k * bits / n) for k in range(n + 1)]
-
-
-def hamming_join(hashes: DataFrame, most: int, other: DataFrame | None = None) -> DataFrame:
-    """(a, b, dist) of ids whose 64-bit hashes differ in at most `most` bits: a < b within one table, or a of it and b of the other.
-
-    The hash is cut into wide bands of which one nearly agrees, and one side asks for each
-    band's value and its neighbours: an equi-join on (band, value) that finds every pair.
-    Null hashes never join. Equal hashes meet once, as one row.
-    """
-    radius, cuts = bands(most)
-    width = [hi - lo for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)]
-    band = lambda k: F.shiftrightunsigned("h", cuts[k]).bitwiseAND(F.lit((1 << width[k]) - 1)) if width[k] < 64 else F.col("h")
-    flips = lambda n: [sum(1 << b for b in some) for r in range(radius + 1) for some in combinations(range(n), r)]
-    near_values = lambda k: F.transform(F.array(*[F.lit(m).cast("long") for m in flips(width[k])]), lambda m: band(k).bitwiseXOR(m))
-    places = range(len(width))
-    left = hashes.where("h is not null").select("h").distinct()
-    right = left if other is None else other.where("h is not null").select("h").distinct()
-    asked = left.select("h", F.posexplode(F.array(*[near_values(k) for k in places])).alias("band", "values")).select("h", "band", F.explode("values").alias("value"))
-    held = right.select(F.col("h").alias("g"), F.posexplode(F.array(*[band(k) for k in places])).alias("band", "value"))
-    dist = hamming("h", "g")
-    pairs = asked.join(held, ["band", "value"]).where((dist <= most) & (F.col("h") < F.col("g") if other is None else F.lit(True))).select("h", "g", dist.alias("dist")).distinct()
-    if other is not None:
-        return pairs.join(hashes.toDF("a", "h"), "h").join(other.toDF("b", "g"), "g").select("a", "b", "dist")
-    same = left.select("h", F.col("h").alias("g"), F.lit(0).alias("dist"))
-    met = pairs.unionByName(same).join(hashes.toDF("a", "h"), "h").join(hashes.toDF("b", "g"), "g").where("h <> g or a < b")
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "dist")
-
-
-def hash_links(hashes: DataFrame, most: int) -> DataFrame:
-    """Edges (a, b) that connect what hamming_join would, with one row for each further copy of a hash."""
-    reps = checkpointed(hashes.where("h is not null").groupBy("h").agg(F.min("id").alias("rep")))
-    copies = hashes.join(reps, "h").where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    return copies.unionByName(hamming_join(reps.select("rep", "h").toDF("id", "h"), most).select("a", "b"))
-
-
 def near_duplicate_groups(hashes: DataFrame, most: int, not_duplicate: DataFrame | None = None, manual: DataFrame | None = None) -> DataFrame:
     """(id, rep) for every row: groups within `most` bits, transitively; rep is the least id.
 

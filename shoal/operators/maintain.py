@@ -8,6 +8,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shoal.operators.hamming import first_come, near_hashes
 from shoal.operators.timeline import cell
 from shoal.sources.shared import checkpointed
 
@@ -36,15 +37,28 @@ def picked(items: DataFrame, known: DataFrame) -> DataFrame:
     return met.agg(F.count_if("is_deleted").alias("restore"), F.count_if(F.col("is_deleted").isNull()).alias("new"), F.count_if(~F.col("is_deleted")).alias("present"))
 
 
-def upload_dedup(candidates: DataFrame, index: DataFrame) -> DataFrame:
-    """(upload, match, action) from (upload, id, dist) pairs within the limit and the index (id, is_deleted).
+def upload_dedup(uploads: DataFrame, index: DataFrame, most: int = 5) -> DataFrame:
+    """(upload, match, action) for each of the uploads (id, h), which come in the order of their ids, against the index (id, h, is_deleted).
 
-    The nearest match counts; at equal distance a deleted one (which is restored), then the
-    least id. Uploads without a pair aren't here: they are added.
+    An upload is added if nothing within `most` bits is in the index or was added before it
+    in the batch. Others are skipped for the nearest match: at equal distance a deleted row
+    comes first (by the state before the batch), then the least id. A deleted match is
+    restored by its first upload. Uploads without a hash are added.
     """
-    met = candidates.join(index.select("id", "is_deleted"), "id")
-    best = met.groupBy("upload").agg(F.min_by(F.struct("id", "is_deleted"), F.struct(F.col("dist"), (~F.col("is_deleted")).cast("int"), F.col("id"))).alias("x"))
-    return best.select("upload", F.col("x.id").alias("match"), F.when(F.col("x.is_deleted"), "restore").otherwise("skip").alias("action"))
+    hashed = uploads.where("h is not null").select(F.col("id").alias("upload"), "h")
+    # One row of each hash stands for the index: a deleted one if there is one, of the least id.
+    held = index.where("h is not null").groupBy(F.col("h").alias("g")).agg(F.min(F.struct((~F.col("is_deleted")).alias("active"), "id")).alias("of"))
+    near = near_hashes(hashed, most, held).join(held, "g")
+    best = checkpointed(near.groupBy("h").agg(F.min(F.struct("dist", "of.active", "of.id")).alias("best")))
+    fresh = hashed.join(best, "h", "left_anti").select(F.col("upload").alias("id"), "h")
+    added = checkpointed(first_come(fresh, most).join(fresh, "id"))
+    mine = near_hashes(hashed, most, added.select(F.col("h").alias("g"))).join(added.select(F.col("id"), F.col("h").alias("g")), "g")
+    inside = hashed.join(mine, "h").where("id < upload").select("upload", F.struct("dist", F.lit(True).alias("active"), "id").alias("best"))
+    found = hashed.join(best, "h").select("upload", "best").unionByName(inside).join(added.select(F.col("id").alias("upload")), "upload", "left_anti")
+    found = found.groupBy("upload").agg(F.min("best").alias("best")).select("upload", F.col("best.id").alias("match"), F.col("best.active").alias("active"))
+    first = found.where("not active").groupBy("match").agg(F.min("upload").alias("first"))
+    acted = found.join(first, "match", "left").select("upload", "match", F.when(~F.col("active") & (F.col("upload") == F.col("first")), "restore").otherwise("skip").alias("action"))
+    return uploads.select(F.col("id").alias("upload")).join(acted, "upload", "left").select("upload", "match", F.coalesce("action", F.lit("add")).alias("action"))
 
 
 def geocode_cells(photos: DataFrame, resolved: DataFrame, by: int = 100) -> DataFrame:

@@ -103,14 +103,20 @@ def c14_new_files_anti_join(t: Tables) -> DataFrame:
     return M.difference(source, known)
 
 
-@query("WITH h AS (SELECT vec_id AS id, CAST(array_to_string(list_transform(embedding, lambda x: CASE WHEN x > 0 THEN '1' ELSE '0' END), '') AS BIT) AS h FROM embeddings), m AS (SELECT u.id AS upload, i.id, bit_count(xor(u.h, i.h)) AS dist, i.id % 4 = 1 AS is_deleted FROM h u JOIN h i ON u.id % 3 = 0 AND i.id % 3 <> 0 AND bit_count(xor(u.h, i.h)) <= 18) SELECT upload, arg_min(id, (dist, NOT is_deleted, id)) AS \"match\", CASE WHEN arg_min(is_deleted, (dist, NOT is_deleted, id)) THEN 'restore' ELSE 'skip' END AS action FROM m GROUP BY upload")
+@query("""WITH RECURSIVE s AS (SELECT vec_id AS id, CAST(array_to_string(list_transform(embedding, lambda x: CASE WHEN x > 0 THEN '1' ELSE '0' END), '') AS BIT) AS h FROM embeddings),
+up AS (SELECT id, h, row_number() OVER (ORDER BY id) AS k FROM s WHERE id % 3 = 0), ix AS (SELECT id, h, id % 4 = 1 AS is_deleted FROM s WHERE id % 3 <> 0),
+hit AS (SELECT up.id AS upload, ix.id, bit_count(xor(up.h, ix.h)) AS dist, NOT is_deleted AS active FROM up JOIN ix ON bit_count(xor(up.h, ix.h)) <= 18),
+turn AS (SELECT CAST(0 AS BIGINT) AS k, CAST([] AS STRUCT(id BIGINT, h BIT)[]) AS added UNION ALL
+  SELECT up.k, CASE WHEN up.id IN (SELECT upload FROM hit) OR len(list_filter(added, lambda a: bit_count(xor(a.h, up.h)) <= 18)) > 0 THEN added ELSE list_append(added, {'id': up.id, 'h': up.h}) END FROM turn JOIN up ON up.k = turn.k + 1),
+fresh AS (SELECT a.id, a.h FROM (SELECT unnest(added) AS a FROM turn ORDER BY k DESC LIMIT (SELECT len(added) FROM turn ORDER BY k DESC LIMIT 1))),
+met AS (SELECT * FROM hit UNION ALL SELECT up.id, f.id, bit_count(xor(up.h, f.h)), true FROM up JOIN fresh f ON f.id < up.id AND bit_count(xor(up.h, f.h)) <= 18),
+best AS (SELECT upload, arg_min(id, (dist, active, id)) AS m, arg_min(active, (dist, active, id)) AS active FROM met WHERE upload NOT IN (SELECT id FROM fresh) GROUP BY upload)
+SELECT up.id AS upload, m AS "match", CASE WHEN m IS NULL THEN 'add' WHEN NOT active AND up.id = min(up.id) OVER (PARTITION BY m) THEN 'restore' ELSE 'skip' END AS action FROM up LEFT JOIN best ON upload = up.id""")
 def c15_upload_dedup_nearest(t: Tables) -> DataFrame:
     from shoal.functions.vectors import sign_hash
-    from shoal.operators.graph import hamming_join
 
     h = t.vectors.select(F.col("vec_id").alias("id"), sign_hash("v").alias("h"))
-    met = hamming_join(h.where("id % 3 = 0"), 18, h.where("id % 3 <> 0")).toDF("upload", "id", "dist")
-    return M.upload_dedup(met, h.where("id % 3 <> 0").select("id", (F.col("id") % 4 == 1).alias("is_deleted")))
+    return M.upload_dedup(h.where("id % 3 = 0"), h.where("id % 3 <> 0").withColumn("is_deleted", F.col("id") % 4 == 1), 18)
 
 
 @query(f"WITH {TRACK}, c AS (SELECT event_id, CASE WHEN lat IS NOT NULL THEN CAST(trunc(lat * 100) AS INT) || '_' || CAST(trunc(lon * 100) AS INT) END AS cell FROM track) SELECT event_id, cell, CASE WHEN length(cell) % 2 = 0 THEN 'town ' || cell END AS place FROM c WHERE cell IS NOT NULL")

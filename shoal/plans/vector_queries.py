@@ -9,6 +9,7 @@ from shoal.functions import vectors as V
 from shoal.operators import graph as G
 from shoal.operators import pivots
 from shoal.operators import simjoin as J
+from shoal.operators.hamming import hamming_join
 from shoal.plans.registry import query
 from shoal.sources.bindings import Tables, bound
 from shoal.sources.shared import checkpointed
@@ -89,7 +90,7 @@ def c7_photos_by_person_index(t: Tables) -> DataFrame:
 
 @query(VE + ", s AS (SELECT vec_id, CAST(array_to_string(list_transform(v, lambda x: CASE WHEN x > 0 THEN '1' ELSE '0' END), '') AS BIT) AS h FROM vectors) SELECT a.vec_id AS a, b.vec_id AS b, CAST(bit_count(xor(a.h, b.h)) AS INT) AS dist FROM s a JOIN s b ON a.vec_id < b.vec_id WHERE bit_count(xor(a.h, b.h)) <= 14")
 def c8_hamming_join(t: Tables) -> DataFrame:
-    return G.hamming_join(t.vectors.select(F.col("vec_id").alias("id"), V.sign_hash("v").alias("h")), 14)
+    return hamming_join(t.vectors.select(F.col("vec_id").alias("id"), V.sign_hash("v").alias("h")), 14)
 
 
 def text_hashes(t: Tables) -> DataFrame:

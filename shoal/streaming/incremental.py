@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from shoal.operators.graph import hamming_join
+from shoal.operators.hamming import first_come
 from shoal.operators.simjoin import nearest_prototype
 from shoal.operators.timeline import cell
 from shoal.sources.shared import checkpointed
@@ -64,17 +64,17 @@ def stored(spark: SparkSession, path: str, number: int, schema: str) -> DataFram
 
 
 def skip_duplicates(hashed: Callable[[DataFrame], DataFrame], path: str, most: int = 7) -> Callable[[DataFrame, int], None]:
-    """Append (id, h) of the rows of a batch that are within `most` bits of no stored row and of no earlier row of the batch.
+    """Append (id, h) of the rows of a batch that are within `most` bits of no stored row and of no row of the batch stored before them.
 
-    `hashed` makes (id, h) of a batch. The batch meets the store and itself; stored rows
-    don't meet each other. A batch run again overwrites its own folder.
+    `hashed` makes (id, h) of a batch, whose rows come in the order of their ids. What is
+    stored is what taking rows in turn would store, however they are cut into batches:
+    a row near one that was dropped itself is kept. A batch run again overwrites its own
+    folder.
     """
 
     def do(batch: DataFrame, number: int) -> None:
         rows = checkpointed(hashed(batch).select("id", "h"))
-        known = stored(batch.sparkSession, path, number, "id long, h long")
-        late = hamming_join(rows, most).select(F.col("b").alias("id"))
-        there = hamming_join(rows, most, known).select(F.col("a").alias("id"))
-        rows.join(late.unionByName(there), "id", "left_anti").write.mode("overwrite").parquet(f"{path}/batch={number}")
+        known = stored(batch.sparkSession, path, number, "id long, h long").where("h is not null")
+        rows.join(first_come(rows, most, known.select("h")), "id", "left_semi").write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return do

@@ -12,6 +12,7 @@ from shoal.functions import text as X
 from shoal.functions import vectors as V
 from shoal.operators import evaluate as E
 from shoal.operators import graph as G
+from shoal.operators import hamming as H
 from shoal.operators import images as I
 from shoal.operators import maintain as M
 from shoal.operators import people as P
@@ -122,11 +123,15 @@ def test_hamming_join_is_exact(spark):
     data = [(i, (b ^ sum(1 << k for k in random.sample(range(64), random.randint(0, 9)))) - (1 << 63)) for i, b in enumerate(base * 4)] + [(900, None)]
     want = sorted((a, b, bin(x ^ y).count("1") if (x ^ y) >= 0 else bin((x ^ y) & (2**64 - 1)).count("1")) for a, x in data for b, y in data if x is not None and y is not None and a < b and bin((x ^ y) & (2**64 - 1)).count("1") <= 7)
     df = spark.createDataFrame(data, "id long, h long")
-    assert rows(G.hamming_join(df, 7)) == want
+    assert rows(H.hamming_join(df, 7)) == want
     wide = {(a, b) for a, x in data for b, y in data if None not in (x, y) and a % 2 == 0 and b % 2 and bin((x ^ y) & (2**64 - 1)).count("1") <= 15}
-    assert {r[:2] for r in rows(G.hamming_join(df.where("id % 2 = 0"), 15, df.where("id % 2 = 1")))} == wide
-    assert {r[:2] for r in rows(G.hamming_join(df, 0))} == {w[:2] for w in want if w[2] == 0}
-    assert all(cuts[0] == 0 and cuts[-1] == 64 and (radius + 1) * (len(cuts) - 1) > most for most in range(40) for radius, cuts in [G.bands(most)])
+    assert {r[:2] for r in rows(H.hamming_join(df.where("id % 2 = 0"), 15, df.where("id % 2 = 1")))} == wide
+    assert {r[:2] for r in rows(H.hamming_join(df, 0))} == {w[:2] for w in want if w[2] == 0}
+    for most in range(40):
+        for n in (10, 10_000, 10**9):
+            plan = H.bands(most, n)
+            # What the radii leave undone adds up to more than the limit.
+            assert not plan or sum(radius + 1 for _, _, radius in plan) > most and sum(width for _, width, _ in plan) <= 64
 
 
 @pytest.mark.parametrize("seed", range(3))
