@@ -178,17 +178,6 @@ def change_feed(before: DataFrame, after: DataFrame) -> DataFrame:
     return ins.unionByName(before.select("id").join(after.select("id"), "id", "left_anti").select("id", F.lit("removed").alias("change")))
 
 
-def fold_edits(edits: DataFrame) -> DataFrame:
-    """(entity, key, op, value): the last value of each kind of edit of a key, from an append-only log (seq, entity, key, op, value).
-
-    merge and unmerge are one kind, as are hide and show, delete and restore: the later one holds.
-    """
-    pairs = {"unmerge": "merge", "show": "hide", "restore": "delete"}
-    kind = F.coalesce(F.create_map(*[F.lit(x) for kv in pairs.items() for x in kv])[F.col("op")], F.col("op"))
-    value = F.when(F.col("op").isin(*pairs), F.lit(None)).otherwise(F.col("value"))
-    return edits.withColumn("kind", kind).groupBy("entity", "key", "kind").agg(F.max_by(F.struct(value.alias("value")), "seq").alias("x")).select("entity", "key", F.col("kind").alias("op"), F.col("x.value").alias("value"))
-
-
 def patch(base: DataFrame, changes: DataFrame, key: str) -> DataFrame:
     """Base with the non-null columns of a patch over its own, and changed, whether a row differs now."""
     columns = [c for c in changes.columns if c != key]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -207,14 +209,50 @@ def g4_membership_union_minus(t: Tables) -> DataFrame:
     return M.remove_members(more, m.where("photo_id % 9 = 4").select("folder", "photo_id"))
 
 
-@query("""WITH e AS (SELECT event_id AS seq, CASE WHEN user_id % 2 = 0 THEN 'person' ELSE 'photo' END AS entity, user_id AS key, CASE event_type WHEN 'signup' THEN 'rename' WHEN 'error' THEN 'hide' WHEN 'click' THEN 'show' WHEN 'view' THEN 'merge' ELSE 'unmerge' END AS op, printf('v%d', event_id) AS value FROM events),
-f AS (SELECT *, CASE op WHEN 'show' THEN 'hide' WHEN 'unmerge' THEN 'merge' ELSE op END AS kind, CASE WHEN op IN ('show', 'unmerge') THEN NULL ELSE value END AS v FROM e)
-SELECT entity, key, kind AS op, v AS value FROM f QUALIFY seq = max(seq) OVER (PARTITION BY entity, key, kind)""")
+#: Edits of all kinds, made of the events.
+EDITS = """said AS (SELECT event_id AS seq, event_id % 29 AS k, user_id AS u, event_id * 7 % 211 AS photo FROM events), every AS (SELECT seq,
+  CASE WHEN k < 6 THEN 'rename' WHEN k = 6 THEN 'hide' WHEN k < 9 THEN 'merge' WHEN k = 9 THEN 'unmerge' WHEN k < 12 THEN 'alias' WHEN k < 14 THEN 'create_folder' WHEN k = 14 THEN 'smart_folder' WHEN k = 15 THEN 'rename_folder'
+    WHEN k = 16 THEN CASE WHEN u % 31 > 24 THEN 'delete_folder' ELSE 'other' END WHEN k < 21 THEN 'add_to_folder' WHEN k = 21 THEN 'remove_from_folder' WHEN k < 24 THEN 'delete' WHEN k = 24 THEN 'restore' WHEN k = 25 THEN 'prune' WHEN k < 28 THEN 'keep' ELSE 'not_duplicate' END AS op,
+  CASE WHEN k < 10 THEN u WHEN k < 12 THEN NULL WHEN k < 22 THEN u % 31 WHEN k < 26 THEN photo ELSE photo - photo % 4 END AS id,
+  CASE WHEN k < 10 THEN u * 7 % 150 WHEN k BETWEEN 17 AND 21 THEN photo WHEN k = 26 THEN photo END AS member, CASE WHEN k BETWEEN 10 AND 11 THEN 'place ' || (u % 20) END AS name,
+  CASE WHEN k = 16 THEN CASE WHEN seq % 2 = 0 THEN 'photos' END WHEN seq % 5 = 0 THEN ' ' ELSE 'v' || seq END AS text FROM said), edits AS (SELECT * FROM every WHERE NOT (op = 'merge' AND id = member))"""
+
+
+@query(f"""WITH RECURSIVE {EDITS},
+named AS (SELECT *, row_number() OVER (ORDER BY seq) AS k FROM edits WHERE op IN ('rename', 'hide', 'merge')),
+turn AS (SELECT CAST(0 AS BIGINT) AS k, MAP([CAST(-1 AS BIGINT)], ['']) AS held UNION ALL
+  SELECT n.k, map_concat(held, CASE n.op WHEN 'rename' THEN MAP([n.id], [trim(n.text)]) WHEN 'hide' THEN MAP([n.id], [''])
+    ELSE CASE WHEN n.id <> n.member AND coalesce(held[n.id], '') <> '' AND coalesce(held[n.member], '') = '' THEN MAP([n.member, n.id], [held[n.id], '']) ELSE MAP([n.id], ['']) END END) FROM turn JOIN named n ON n.k = turn.k + 1),
+names AS (SELECT unnest(map_keys(held)) AS id, unnest(map_values(held)) AS v FROM turn WHERE k = (SELECT max(k) FROM turn)),
+lives AS (SELECT c.id AS folder, c.made, d.ended, d.photos FROM (SELECT id, min(seq) AS made FROM edits WHERE op = 'create_folder' GROUP BY id) c
+  LEFT JOIN (SELECT x.id, min(x.seq) AS ended, arg_min(text IS NOT NULL, x.seq) AS photos FROM edits x WHERE op = 'delete_folder' AND x.seq > (SELECT min(seq) FROM edits m WHERE m.op = 'create_folder' AND m.id = x.id) GROUP BY x.id) d ON d.id = c.id),
+live AS (SELECT e.*, l.* FROM edits e JOIN lives l ON l.folder = e.id WHERE op IN ('create_folder', 'rename_folder', 'smart_folder', 'add_to_folder', 'remove_from_folder') AND seq >= made AND (ended IS NULL OR seq < ended)),
+pairs AS (SELECT folder, member AS photo, arg_max(op, seq) AS op, max(seq) AS added, any_value(ended) AS ended, any_value(photos) AS photos FROM live WHERE op IN ('add_to_folder', 'remove_from_folder') GROUP BY folder, member),
+held AS (SELECT * FROM pairs p WHERE op = 'add_to_folder' AND NOT EXISTS (SELECT 1 FROM edits e WHERE e.op = 'prune' AND e.id = p.photo AND e.seq > p.added AND (p.ended IS NULL OR e.seq < p.ended))),
+groups AS (SELECT photo - photo % 4 AS rep, photo FROM (SELECT unnest(range(211)) AS photo)),
+writes AS (SELECT seq, id AS photo, op <> 'restore' AS gone FROM edits WHERE op IN ('delete', 'restore', 'prune') UNION ALL SELECT ended, photo, true FROM held WHERE photos
+  UNION ALL SELECT e.seq, g.photo, true FROM edits e JOIN groups g ON g.rep = e.id WHERE e.op = 'keep' AND e.member IS DISTINCT FROM g.photo)
+SELECT 'person name' AS entity, CAST(id AS VARCHAR) AS key, v AS value FROM names WHERE v <> ''
+UNION ALL SELECT 'person hidden', CAST(id AS VARCHAR), NULL FROM (SELECT id, arg_max(op, seq) AS op FROM edits WHERE op IN ('hide', 'merge') GROUP BY id) WHERE op = 'hide'
+UNION ALL SELECT 'person merged', CAST(id AS VARCHAR), CAST(member AS VARCHAR) FROM (SELECT id, arg_max(op, seq) AS op, arg_max(member, seq) AS member FROM edits WHERE op IN ('merge', 'unmerge') GROUP BY id) WHERE op = 'merge'
+UNION ALL SELECT 'alias', name, v FROM (SELECT name, arg_max(trim(text), seq) AS v FROM edits WHERE op = 'alias' GROUP BY name) WHERE v <> ''
+UNION ALL SELECT 'folder name', CAST(folder AS VARCHAR), (SELECT arg_max(trim(text), seq) FROM live v WHERE v.folder = l.folder AND op IN ('create_folder', 'rename_folder') AND trim(text) <> '') FROM lives l WHERE ended IS NULL
+UNION ALL SELECT 'folder query', CAST(folder AS VARCHAR), q FROM (SELECT folder, arg_max(trim(text), seq) AS q FROM live WHERE op = 'smart_folder' AND ended IS NULL GROUP BY folder) WHERE q <> ''
+UNION ALL SELECT 'member', CAST(folder AS VARCHAR), CAST(photo AS VARCHAR) FROM held WHERE ended IS NULL
+UNION ALL SELECT 'photo deleted', CAST(photo AS VARCHAR), NULL FROM (SELECT photo, arg_max(gone, seq) AS gone FROM writes GROUP BY photo) WHERE gone
+UNION ALL SELECT 'not duplicate', CAST(g.photo AS VARCHAR), NULL FROM groups g WHERE g.rep IN (SELECT id FROM edits WHERE op = 'not_duplicate')""")
 def i17_edit_log_fold(t: Tables) -> DataFrame:
-    ops = {"signup": "rename", "error": "hide", "click": "show", "view": "merge"}
-    op = F.coalesce(F.create_map(*[F.lit(x) for kv in ops.items() for x in kv])[F.col("event_type")], F.lit("unmerge"))
-    edits = t.events.select(F.col("event_id").alias("seq"), F.when(F.col("user_id") % 2 == 0, "person").otherwise("photo").alias("entity"), F.col("user_id").alias("key"), op.alias("op"), F.format_string("v%d", "event_id").alias("value"))
-    return M.fold_edits(edits)
+    from shoal.operators.edits import fold
+
+    t.events.createOrReplaceTempView("shoal_events")
+    edits = t.spark.sql(f"WITH {EDITS} SELECT * FROM edits".replace("FROM events", "FROM shoal_events"))
+    photos = t.events.select((F.col("event_id") * 7 % 211).alias("photo_id")).distinct()
+    out = fold(edits, photos.select((F.col("photo_id") - F.col("photo_id") % 4).alias("rep"), "photo_id"))
+    said = lambda df, entity, key, value=None: df.select(F.lit(entity).alias("entity"), F.col(key).cast("string").alias("key"), (F.col(value).cast("string") if value else F.lit(None).cast("string")).alias("value"))
+    parts = [said(out.persons.where("name is not null"), "person name", "person_id", "name"), said(out.persons.where("hidden"), "person hidden", "person_id"), said(out.persons.where("merged_into is not null"), "person merged", "person_id", "merged_into"),
+             said(out.aliases, "alias", "place", "alias"), said(out.folders, "folder name", "folder", "name"), said(out.folders.where("query is not null"), "folder query", "folder", "query"), said(out.members, "member", "folder", "photo_id"),
+             said(out.photos.where("is_deleted"), "photo deleted", "photo_id"), said(out.not_duplicate, "not duplicate", "photo_id")]
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query(PH + " SELECT photo_id, CASE WHEN photo_id % 4 = 0 AND photo_id % 8 <> 0 THEN 'moved' ELSE place END AS place, CASE WHEN photo_id % 4 = 0 AND photo_id % 3 <> 0 THEN 9.5 ELSE duration END AS duration, (photo_id % 4 = 0 AND photo_id % 8 <> 0) OR (photo_id % 4 = 0 AND photo_id % 3 <> 0 AND duration <> 9.5) AS changed FROM photos")

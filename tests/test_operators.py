@@ -246,8 +246,6 @@ def test_patch_and_set_tests(spark):
     base = spark.createDataFrame([(1, "a", None), (2, "b", 2.0)], "id long, p string, q double")
     new = spark.createDataFrame([(1, None, 5.0), (2, "b", None)], "id long, p string, q double")
     assert rows(M.patch(base, new, "id")) == [(1, "a", 5.0, True), (2, "b", 2.0, False)]
-    edits = spark.createDataFrame([(1, "person", 4, "rename", "x"), (2, "person", 4, "merge", "9"), (3, "person", 4, "unmerge", "9")], "seq long, entity string, key long, op string, value string")
-    assert {(r["op"], r["value"]) for r in M.fold_edits(edits).collect()} == {("rename", "x"), ("merge", None)}
 
 
 def test_nearest_places_at_poles_and_the_date_line(spark):
