@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import multiprocessing
 from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
@@ -41,27 +42,57 @@ def detect(df: DataFrame, key: str, item: str, load: Callable[[], Callable[[Any]
     return df.select(key, item).mapInPandas(run, f"{key} long, face_idx int, score double, x double, y double, w double, h double, v array<double>")
 
 
-def extract(df: DataFrame, key: str, item: str, load: Callable[[], Callable[[Any], list[float]]]) -> DataFrame:
+def extract(df: DataFrame, key: str, item: str, load: Callable[[], Callable[[Any], list[float]]], block: int = 256) -> DataFrame:
     """K3: (key, v, error): a user's function on each item; one that fails gives its error and leaves its neighbours alone.
 
-    Split df into short partitions and turn spark.python.worker.reuse off when the
-    function leaks; Spark runs a failed partition again.
+    A block of items runs in a process of its own, which ends with it and so gives back
+    what the function leaks. A block whose process dies is halved until the item that kills
+    it is alone, which then has that as its error.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        f = load()
         for pdf in batches:
-            rows = []
-            for k, it in zip(pdf[key], pdf[item], strict=True):
-                try:
-                    rows.append((k, list(map(float, f(it))), None))
-                except Exception as e:  # any error of the user's function belongs to its item
-                    rows.append((k, None, f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(rows, columns=[key, "v", "error"])
+            for s in range(0, len(pdf), block):
+                part = pdf.iloc[s : s + block]
+                v, error = zip(*isolated(load, part[item].tolist()), strict=True)
+                yield pd.DataFrame({key: part[key].to_numpy(), "v": pd.Series(list(v), dtype=object), "error": pd.Series(list(error), dtype=object)})
 
     return df.select(key, item).mapInPandas(run, f"{key} long, v array<double>, error string")
 
 
+def isolated(load: Callable[[], Callable[[Any], list[float]]], items: list) -> list[tuple[list[float] | None, str | None]]:
+    """(result, error) of each item, worked on in a child process; of halves if it dies."""
+    receive, send = FORK.Pipe(duplex=False)
+    child = FORK.Process(target=worked, args=(send, load, items))
+    child.start()
+    send.close()
+    try:
+        return receive.recv()
+    except EOFError:  # the child ended without an answer
+        child.join()
+        if len(items) == 1:
+            return [(None, f"the worker ended with code {child.exitcode}")]
+        half = len(items) // 2
+        return isolated(load, items[:half]) + isolated(load, items[half:])
+    finally:
+        child.join()
+        receive.close()
+
+
+FORK = multiprocessing.get_context("fork")
+
+
+def worked(send: Any, load: Callable[[], Callable[[Any], list[float]]], items: list) -> None:
+    f, out = load(), []
+    for it in items:
+        try:
+            out.append((list(map(float, f(it))), None))
+        except Exception as e:  # any error of the user's function belongs to its item
+            out.append((None, f"{type(e).__name__}: {e}"))
+    send.send(out)
+    send.close()
+
+
 def hashing_encoder(width: int = 16) -> Encoder:
     """A stand-in encoder for tests: words fall into places by their hash."""
     import zlib

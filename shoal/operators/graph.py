@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from shoal.functions.vectors import unit
 from shoal.operators.hamming import hash_links
 from shoal.operators.maintain import append_rows
+from shoal.operators.online import Clusters
 from shoal.operators.people import best_by
 from shoal.operators.pivots import density_edges
 from shoal.operators.simjoin import carry_names, nearest_prototype
@@ -185,30 +186,23 @@ def recluster(faces: DataFrame, old: DataFrame, least: float = 0.6, min_samples:
     return people, face_person.select("id", "person")
 
 
-def online_clusters(faces: DataFrame, least: float = 0.45) -> DataFrame:
-    """(owner, id, cluster): faces (owner, id, v) in id order join the most similar cluster above `least`, moving its centroid, or open one.
+def online_clusters(faces: DataFrame, least: float = 0.45, larger: float = 1.3) -> DataFrame:
+    """(owner, id, cluster, photos, cover): faces (owner, id, photo, v, area) in id order join the most similar cluster above `least`, moving its centroid by the weight of its photos, or open one.
 
-    The order matters within an owner, so an owner is one group; owners run in parallel.
+    photos and cover are the cluster's after the face; a face more than `larger` times the
+    cover's area takes its place. The order matters within an owner, so an owner is one
+    group; owners run in parallel.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        centres, sizes, out = np.zeros((0, 0)), [], []
+        state, out = Clusters(least, larger), []
         for r in pdf.sort_values("id").itertuples(index=False):
-            v = np.asarray(r.v, float)
-            sims = centres @ v if len(sizes) else np.zeros(0)
-            best = int(sims.argmax()) if len(sims) else -1
-            if best >= 0 and sims[best] > least:
-                moved = centres[best] * sizes[best] + v
-                centres[best] = moved / (np.linalg.norm(moved) + 1e-10)
-                sizes[best] += 1
-            else:
-                best = len(sizes)
-                centres = np.vstack([centres, v]) if best else v[None, :]
-                sizes.append(1)
-            out.append((r.owner, r.id, best))
-        return pd.DataFrame(out, columns=["owner", "id", "cluster"])
-
-    return faces.select("owner", "id", "v").groupBy("owner").applyInPandas(run, "owner long, id long, cluster long")
+            c, _ = state.add(np.asarray(r.v, float), r.photo, r.area)
+            out.append((r.owner, r.id, c, state.clusters[c][1], state.clusters[c][2]))
+        return pd.DataFrame(out, columns=["owner", "id", "cluster", "photos", "cover"])
+
+    rows = faces.select("owner", F.col("id").cast("long").alias("id"), F.col("photo").cast("long").alias("photo"), "v", F.col("area").cast("double").alias("area"))
+    return rows.groupBy("owner").applyInPandas(run, f"owner {dict(rows.dtypes)['owner']}, id long, cluster int, photos int, cover long")
 
 
 def simhash_words(docs: DataFrame) -> DataFrame:

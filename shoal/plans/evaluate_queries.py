@@ -12,11 +12,13 @@ from shoal.operators import graph as G
 from shoal.operators import images as I
 from shoal.operators import simjoin as J
 from shoal.operators.pivots import near_pairs
-from shoal.plans.registry import query
+from shoal.plans.registry import SQL, query
 from shoal.plans.timeline_queries import TRACK, track
+from shoal.plans.vector_queries import clustered_faces
 from shoal.sources.bindings import Tables, bound
 from shoal.sources.tables import scratch
 from shoal.streaming import incremental as R
+from shoal.streaming import stateful as W
 
 #: Scored pairs: consecutive vectors up to ten apart, scores cut to four places.
 PAIRS = bound("vectors") + ", pairs AS (SELECT a.vec_id AS a, b.vec_id AS b, round(list_dot_product(a.v, b.v), 4) AS sim, a.label = b.label AS same, a.vec_id % 10 AS fold FROM vectors a JOIN vectors b ON b.vec_id BETWEEN a.vec_id + 1 AND a.vec_id + 10)"
@@ -218,12 +220,12 @@ def uploads(t: Tables, table: str = "event[s]") -> DataFrame:
     return t.spark.readStream.schema(schema).parquet(f"{t.sf_dir}/{table}.parquet")
 
 
-@query()
+@query("""WITH e AS (SELECT event_type AS device, epoch_us(ts) / 1e6 AS x FROM events), f AS (SELECT *, coalesce(x - lag(x) OVER (PARTITION BY device ORDER BY x) >= 45, true) AS opens FROM e),
+s AS (SELECT device, x, sum(CAST(opens AS INT)) OVER (PARTITION BY device ORDER BY x ROWS UNBOUNDED PRECEDING) AS number FROM f) SELECT device, min(x) AS "first", max(x) AS "last", count(*) AS n FROM s GROUP BY device, number""")
 def j1_debounced_batches(t: Tables) -> DataFrame:
     path = scratch(t.spark, "batches")
-    rows = uploads(t).withColumn("ts", F.col("ts").cast("timestamp"))
-    R.debounced(rows, "event_type").writeStream.format("parquet").option("path", path).option("checkpointLocation", f"{path}-at").trigger(availableNow=True).start().awaitTermination()
-    return t.spark.read.parquet(path)
+    R.each_batch(W.debounced(uploads(t), "event_type"), R.appended(path), f"{path}-at").awaitTermination()
+    return R.latest(t.spark.read.parquet(path), "device", "number").where("n > 0").select("device", "first", "last", "n")
 
 
 def vector_stream(t: Tables) -> DataFrame:
@@ -231,24 +233,26 @@ def vector_stream(t: Tables) -> DataFrame:
     return t.spark.readStream.schema(schema).parquet(f"{t.sf_dir}/embedding[s].parquet").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
 
 
-@query(bound("vectors") + ", protos AS (SELECT vec_id // 50 AS proto, v AS pv FROM vectors WHERE vec_id % 50 = 0), s AS (SELECT vec_id, arg_max(proto, (list_dot_product(v, pv), -proto)) AS proto, max(list_dot_product(v, pv)) AS sim FROM vectors, protos GROUP BY vec_id) SELECT vec_id, CASE WHEN sim >= 0.2 THEN proto ELSE -1 END AS proto FROM s")
+@query(bound("vectors") + ", protos AS (SELECT vec_id // 50 AS proto, v AS pv FROM vectors WHERE vec_id % 50 = 0), s AS (SELECT vec_id, arg_max(proto, (list_dot_product(v, pv), -proto)) AS proto, max(list_dot_product(v, pv)) AS sim FROM vectors, protos GROUP BY vec_id), a AS (SELECT vec_id, CASE WHEN sim >= 0.2 THEN proto ELSE -1 END AS proto FROM s) SELECT vec_id, proto, CASE WHEN proto >= 0 THEN count(*) OVER (PARTITION BY proto) END AS n FROM a")
 def j2_incremental_assign_stream(t: Tables) -> DataFrame:
     path = scratch(t.spark, "assigned")
     protos = t.vectors.where("vec_id % 50 = 0").select((F.col("vec_id") / 50).cast("long").alias("proto"), "v")
     R.each_batch(vector_stream(t), R.assign_and_append(protos, path, 0.2), f"{path}-at").awaitTermination()
-    return t.spark.read.parquet(path).select("vec_id", "proto")
+    return t.spark.read.parquet(f"{path}/faces").join(R.refreshed_counts(t.spark, path), "proto", "left").select("vec_id", "proto", "n")
 
 
-@query()
+@query(SQL["i4_recluster_people"])
 def j3_recluster_trigger(t: Tables) -> DataFrame:
     path = scratch(t.spark, "people")
 
     def again(epoch: int) -> None:
-        labels = G.dbscan(t.blocks.select(F.col("vec_id").alias("id")), J.block_pairs(t.blocks, t.blocks, 0.6))
-        labels.withColumn("epoch", F.lit(epoch)).write.mode("overwrite").parquet(path)
+        faces, old = clustered_faces(t)
+        people, _ = G.recluster(faces, old)
+        people.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
 
-    R.each_batch(vector_stream(t), R.recluster_when(25, again), f"{path}-at").awaitTermination()
-    return t.spark.read.parquet(path)
+    runs = R.Reclustering(t.spark, f"{path}-runs", again)
+    R.each_batch(vector_stream(t), runs.after(25), f"{path}-at").awaitTermination()
+    return t.spark.read.parquet(f"{path}/epoch={runs.epoch()}")
 
 
 @query()
@@ -260,10 +264,15 @@ def j4_stream_dedup(t: Tables) -> DataFrame:
     return t.spark.read.parquet(path).select("id")
 
 
-@query(f"WITH {TRACK} SELECT DISTINCT CAST(trunc(lat * 100) AS INT) || '_' || CAST(trunc(lon * 100) AS INT) AS cell FROM track WHERE lat IS NOT NULL")
+def town(lat: float, lon: float) -> str:
+    """A stand-in lookup, alike all over a cell; it has no answer for some."""
+    return f"town {int(lat * 100)}" if int(lon * 100) % 3 else ""
+
+
+@query(f"WITH {TRACK} SELECT DISTINCT CAST(trunc(lat * 100) AS INT) || '_' || CAST(trunc(lon * 100) AS INT) AS cell, CASE WHEN CAST(trunc(lon * 100) AS INT) % 3 <> 0 THEN 'town ' || CAST(trunc(lat * 100) AS INT) ELSE '' END AS place FROM track WHERE lat IS NOT NULL")
 def j8_geocode_queue(t: Tables) -> DataFrame:
     path = scratch(t.spark, "cells")
     live = Tables(t.spark, t.sf_dir)
     live.__dict__["events"] = uploads(t)
-    R.pending_cells(track(live)).writeStream.format("parquet").option("path", path).option("checkpointLocation", f"{path}-at").trigger(availableNow=True).start().awaitTermination()
-    return t.spark.read.parquet(path)
+    R.each_batch(W.geocode_queue(R.located_cells(track(live)), lambda: town), R.appended(path), f"{path}-at").awaitTermination()
+    return t.spark.read.parquet(path).select("cell", "place")

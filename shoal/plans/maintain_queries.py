@@ -293,8 +293,17 @@ def h11_parse_iso(t: Tables) -> DataFrame:
 
 @query("WITH ok AS (SELECT user_id, max(event_id) AS ok FROM events WHERE event_type = 'purchase' GROUP BY 1) SELECT e.user_id AS item, count(*) AS attempts FROM events e LEFT JOIN ok USING (user_id) WHERE event_type = 'error' AND event_id > coalesce(ok, -1) GROUP BY 1")
 def j5_failure_ledger(t: Tables) -> DataFrame:
+    """The ledger as a stream, item by item; maintain.open_failures is its batch form."""
+    from shoal.sources.tables import scratch
+    from shoal.streaming import incremental as R
+    from shoal.streaming import stateful as W
+
+    path = scratch(t.spark, "failures")
     kind: Column = F.when(F.col("event_type") == "purchase", "success").when(F.col("event_type") == "error", "failure").otherwise("cancelled")
-    return M.open_failures(t.events.select(F.col("user_id").alias("item"), F.col("event_id").alias("seq"), kind.alias("outcome")))
+    events = t.spark.readStream.schema(t.events.schema).parquet(f"{t.sf_dir}/event[s].parquet")
+    outcomes = events.select(F.col("user_id").alias("item"), F.col("event_id").alias("seq"), kind.alias("outcome"))
+    R.each_batch(W.failure_ledger(outcomes), R.appended(path), f"{path}-at").awaitTermination()
+    return R.latest(t.spark.read.parquet(path), "item").where("attempts > 0").select("item", "attempts")
 
 
 @query("SELECT event_id FROM events WHERE event_id % 3 = user_id % 3")

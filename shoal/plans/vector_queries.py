@@ -212,12 +212,16 @@ cover AS (SELECT person, count(*) AS faces, arg_max(id, ((id * 7 % 31) / 31.0, -
 named AS (SELECT person, 'name ' || vec_id AS name FROM person JOIN pr ON root = proto, blocks WHERE vec_id % 50 = 0 AND list_dot_product(v, pv) >= 0.42 QUALIFY row_number() OVER (PARTITION BY person ORDER BY list_dot_product(v, pv) DESC, vec_id) = 1)
 SELECT person, faces, cover, name FROM cover LEFT JOIN named USING (person)""")
 def i4_recluster_people(t: Tables) -> DataFrame:
-    faces = t.blocks.select(F.col("vec_id").alias("id"), "v", ((F.col("vec_id") * 7 % 31) / 31.0).alias("area"))
-    old = t.blocks.where("vec_id % 50 = 0").select(F.concat(F.lit("name "), F.col("vec_id").cast("string")).alias("name"), "v")
-    people, _ = G.recluster(faces, old)
+    people, _ = G.recluster(*clustered_faces(t))
     return people
 
 
+def clustered_faces(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Faces (id, v, area) and old prototypes (name, v)."""
+    faces = t.blocks.select(F.col("vec_id").alias("id"), "v", ((F.col("vec_id") * 7 % 31) / 31.0).alias("area"))
+    return faces, t.blocks.where("vec_id % 50 = 0").select(F.concat(F.lit("name "), F.col("vec_id").cast("string")).alias("name"), "v")
+
+
 @query()
 def i5_cell_range_join(t: Tables) -> DataFrame:
     return J.cell_join(t.blocks, 0.6)
@@ -225,7 +229,8 @@ def i5_cell_range_join(t: Tables) -> DataFrame:
 
 @query()
 def i6_online_face_clusters(t: Tables) -> DataFrame:
-    return G.online_clusters(t.blocks.select((F.col("vec_id") % 10).alias("owner"), F.col("vec_id").alias("id"), "v"))
+    k = F.col("vec_id")
+    return G.online_clusters(t.blocks.select((k % 10).alias("owner"), k.alias("id"), (k / 20).cast("long").alias("photo"), "v", (k * 7 % 31 / 31).alias("area")))
 
 
 @query(VE + ", p AS (SELECT 'category ' || (vec_id // 100) AS category, v AS pv, 0.2 + 0.01 * (vec_id // 100 % 3) AS threshold FROM vectors WHERE vec_id % 100 IN (3, 4)) SELECT category, vec_id, round(max(list_dot_product(v, pv)), 6) AS score FROM vectors, p GROUP BY category, vec_id HAVING max(list_dot_product(v, pv)) >= max(threshold)")

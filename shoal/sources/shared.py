@@ -23,3 +23,21 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """Cut lineage through the shared folder."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def _place(spark: SparkSession, path: str) -> tuple:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def touch(spark: SparkSession, path: str) -> None:
+    """Make an empty file in any file system that Spark reaches; one that is there stays."""
+    at, fs = _place(spark, path)
+    fs.mkdirs(at.getParent())
+    fs.createNewFile(at)
+
+
+def listed(spark: SparkSession, path: str) -> list[str]:
+    """Names below a folder; none if there is no folder."""
+    at, fs = _place(spark, path)
+    return sorted(s.getPath().getName() for s in fs.listStatus(at)) if fs.exists(at) else []
