@@ -38,8 +38,14 @@ def latest(rows: DataFrame, *key: str) -> DataFrame:
 
 
 def each_batch(stream: DataFrame, do: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
-    """Run `do` on each micro-batch of what there is, then stop."""
-    return stream.writeStream.outputMode("update").foreachBatch(do).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Run `do` on each micro-batch of what there is, then stop. Timers of keyed state wait for a run that stays."""
+    spark, key = stream.sparkSession, "spark.sql.streaming.noDataMicroBatches.enabled"
+    was = spark.conf.get(key)
+    spark.conf.set(key, "false")  # else timers call for one batch after the other, without an end
+    try:
+        return stream.writeStream.outputMode("update").foreachBatch(do).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    finally:
+        spark.conf.set(key, was)
 
 
 def assign_and_append(protos: DataFrame, path: str, least: float = 0.42) -> Callable[[DataFrame, int], None]:
