@@ -14,11 +14,32 @@ from shoal.sources.shared import checkpointed
 GRAM = 8
 
 
+#: Merges that the driver follows at most.
+MERGES = 100_000
+
+
+def followed(persons: DataFrame, into: dict[int, int]) -> DataFrame:
+    """Canonical ids by merges that fit into a small table."""
+    ends = []
+    for start in into:
+        at, passed = start, {start}
+        while at in into and into[at] not in passed:
+            at = into[at]
+            passed.add(at)
+        ends.append((start, min(passed) if at in into else at))
+    small = persons.sparkSession.createDataFrame(ends, "person_id long, end long")
+    return persons.select("person_id").join(F.broadcast(small), "person_id", "left").select("person_id", F.coalesce("end", "person_id").alias("canonical_id"))
+
+
 def resolve_aliases(persons: DataFrame, rounds: int = 32) -> DataFrame:
     """(person_id, canonical_id) by following merged_into to its end, by pointer jumping.
 
-    A cycle resolves to its smallest id: ids on it keep the least they have passed.
+    A cycle resolves to its smallest id: ids on it keep the least they have passed. Merges
+    are counted first: up to MERGES of them are followed by the driver.
     """
+    merges = persons.where("merged_into <> person_id").select("person_id", "merged_into").limit(MERGES + 1).collect()
+    if len(merges) <= MERGES:
+        return followed(persons, {r[0]: r[1] for r in merges})
     now = persons.select("person_id", F.coalesce("merged_into", "person_id").alias("at"), F.least("person_id", F.coalesce("merged_into", "person_id")).alias("least"))
     for _ in range(min(rounds, persons.count().bit_length() + 1)):  # a chain is passed in doublings
         hop = now.select(F.col("person_id").alias("k"), F.col("at").alias("next"), F.col("least").alias("least_there"))

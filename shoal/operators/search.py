@@ -59,13 +59,15 @@ def by_score(df: DataFrame, floor: float) -> DataFrame:
 
 
 def page(df: DataFrame, order: Sequence[Column | str], offset: int = 0, limit: int = 200) -> DataFrame:
-    """a page in an order, each row with the total and the number of pages.
+    """a page in an order, each row with its rank (from 1), the total and the number of pages.
 
     The total is an aggregate of its own, so the page stays a bounded top-k.
     """
     total = df.count()
     pages = -(-total // limit)
-    return df.orderBy(*order).offset(offset).limit(limit).withColumn("total", F.lit(total).cast("long")).withColumn("pages", F.lit(pages).cast("long"))
+    shown = df.orderBy(*order).offset(offset).limit(limit)
+    rank = F.row_number().over(Window.orderBy(*order)) + offset  # a page of rows
+    return shown.withColumn("rank", rank.cast("long")).withColumn("total", F.lit(total).cast("long")).withColumn("pages", F.lit(pages).cast("long"))
 
 
 def collapse(df: DataFrame, group: str, order: Sequence[Column | str]) -> DataFrame:
@@ -74,13 +76,14 @@ def collapse(df: DataFrame, group: str, order: Sequence[Column | str]) -> DataFr
     return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
 
-def payload(df: DataFrame, people: DataFrame, base_url: str = "/api/photo/") -> DataFrame:
-    """Id, urls, time, place, score to three places and the sorted distinct names of a photo's people, joined by `, `."""
+def payload(df: DataFrame, people: DataFrame, dup_counts: DataFrame | None = None, more: Sequence[str] = (), base_url: str = "/api/photo/") -> DataFrame:
+    """Id, urls, time, place, score to three places, the sorted distinct names of a photo's people, joined by `, `, and dup_count, how many photos it stands for (photo_id, dup_count; 1 where there is none)."""
     names = people.groupBy("photo_id").agg(F.array_join(F.array_sort(F.collect_set("name")), ", ").alias("people"))
     url = F.concat(F.lit(base_url), F.col("photo_id").cast("string"))
-    return df.join(names, "photo_id", "left").select(
+    counted = df.withColumn("dup_count", F.lit(1).cast("long")) if dup_counts is None else df.join(dup_counts, "photo_id", "left")
+    return counted.join(names, "photo_id", "left").select(
         "photo_id", url.alias("url"), F.concat(url, F.lit("/thumb")).alias("thumb_url"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("timestamp"), "place",
-        F.round("score", 3).alias("score"), F.coalesce("people", F.lit("")).alias("people"))
+        F.round("score", 3).alias("score"), F.coalesce("people", F.lit("")).alias("people"), F.coalesce("dup_count", F.lit(1)).cast("long").alias("dup_count"), *more)
 
 
 def place_vocabulary(places: DataFrame, aliases: DataFrame) -> DataFrame:

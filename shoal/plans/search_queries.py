@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shoal.functions import text as X
+from shoal.operators import api as A
 from shoal.operators import people as P
 from shoal.operators import search as S
 from shoal.plans.registry import query
@@ -18,11 +19,6 @@ def stamp(c: str = "ts") -> Column:
     return F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
 
 
-def texts(t: Tables, *values: str) -> DataFrame:
-    """Fixed query texts, met with every photo's place."""
-    return t.photos.select("photo_id", "place").join(F.broadcast(t.spark.createDataFrame([(v,) for v in values], "q string")))
-
-
 @query(PH + " SELECT photo_id, place FROM photos WHERE NOT is_deleted")
 def b1_active_filter(t: Tables) -> DataFrame:
     return S.active(t.photos).select("photo_id", "place")
@@ -110,10 +106,12 @@ def b13_facet_filter(t: Tables) -> DataFrame:
 
 
 @query(bound("photos", "photo_people", "persons") + """ SELECT p.photo_id, '/api/photo/' || p.photo_id AS url, '/api/photo/' || p.photo_id || '/thumb' AS thumb_url, strftime(ts, '%Y-%m-%d %H:%M:%S') AS "timestamp", place,
-  round(duration / 7, 3) AS score, coalesce((SELECT string_agg(name, ', ' ORDER BY name) FROM (SELECT DISTINCT name FROM photo_people x JOIN persons USING (person_id) WHERE x.photo_id = p.photo_id)), '') AS people FROM photos p""")
+  round(duration / 7, 3) AS score, coalesce((SELECT string_agg(name, ', ' ORDER BY name) FROM (SELECT DISTINCT name FROM photo_people x JOIN persons USING (person_id) WHERE x.photo_id = p.photo_id)), '') AS people,
+  greatest(1, count(*) FILTER (WHERE NOT is_deleted) OVER (PARTITION BY owner)) AS dup_count FROM photos p""")
 def b12_result_projection(t: Tables) -> DataFrame:
     named = t.photo_people.join(t.persons.select("person_id", "name"), "person_id")
-    return S.payload(t.photos.withColumn("score", F.col("duration") / 7), named)
+    counts = A.dup_counts(t.photos, t.photos.select("photo_id", F.col("owner").alias("rep")), t.photos.select("photo_id"))
+    return S.payload(t.photos.withColumn("score", F.col("duration") / 7), named, counts)
 
 
 NAMES = ["Supplier#000000003", "supplier#00000000"]
@@ -281,31 +279,67 @@ def h26_pretokenize_pad(t: Tables) -> DataFrame:
     return t.read("documents").select("doc_id", F.array_join(S.pretokenize("text"), "|").alias("padded"))
 
 
-@query(bound("photos", "photo_people", "canonical") + """, v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), q AS (SELECT v AS qv FROM v WHERE vec_id = 7),
-named AS (SELECT photo_id FROM photo_people JOIN canonical USING (person_id) WHERE canonical_id = 3)
-SELECT photo_id, round(list_dot_product(v, qv), 6) AS score FROM photos JOIN v ON vec_id = photo_id, q WHERE NOT is_deleted AND folder IN ('F', 'P') AND list_dot_product(v, qv) >= 0.05 AND (photo_id IN (SELECT photo_id FROM named) OR ts >= TIMESTAMP '1998-01-01')""")
+def library(t: Tables) -> A.Library:
+    """The bound tables as a library: photos of one owner are duplicates, each status is a folder."""
+    return A.Library(t.photos, t.photo_people, t.persons, t.aliases, t.photos.select("folder", "photo_id"), t.photos.select("photo_id", F.col("owner").alias("rep")), t.vectors.select(F.col("vec_id").alias("photo_id"), "v"))
+
+
+def encoder(t: Tables) -> A.Encode:
+    """A stand-in for a text encoder: every caption means the vector of id 7."""
+    return lambda caption: t.vectors.where("vec_id = 7").first()["v"]
+
+
+VECTOR = ", vecs AS (SELECT vec_id AS photo_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), q AS (SELECT v AS qv FROM vecs WHERE photo_id = 7)"
+OF_3 = "photo_id IN (SELECT photo_id FROM photo_people JOIN canonical USING (person_id) WHERE canonical_id = 3)"
+
+
+@query(bound("photos", "photo_people", "canonical") + VECTOR + f", ok AS (SELECT photo_id, ts, place FROM photos WHERE NOT is_deleted AND folder = 'F' AND year(ts) = 1997 AND {OF_3}) SELECT photo_id, 0.0 AS score FROM ok")
 def i10_structured_search(t: Tables) -> DataFrame:
-    q = t.vectors.where("vec_id = 7").first()["v"]
-    named = P.photos_of_any(t.photo_people, canonical(t), t.persons.where("person_id = 3").select("person_id")).withColumn("named", F.lit(True))
-    rows = S.active(t.photos).where(F.col("folder").isin("F", "P")).join(named, "photo_id", "left").where(F.coalesce("named", F.lit(False)) | (F.col("ts") >= F.lit("1998-01-01").cast("timestamp_ntz")))
-    ranked = S.by_score(S.scored(rows, t.vectors.select(F.col("vec_id").alias("photo_id"), "v"), q), 0.05)
-    return ranked.select("photo_id", F.round("score", 6).alias("score"))
+    return A.structured_search(library(t), "photos of Supplier#000000003 all from 1997", "F", encoder(t), 0.0).select("photo_id", "score")
+
 
+@query(bound("photos", "aliases") + VECTOR + """, near AS (SELECT place FROM aliases WHERE place LIKE 'NATION_3,%' OR alias = 'Home 6')
+SELECT photo_id, round(list_dot_product(v, qv), 6) AS score FROM photos JOIN vecs USING (photo_id), q WHERE NOT is_deleted AND place IN (SELECT place FROM near) AND ts >= TIMESTAMP '1996-01-01' AND list_dot_product(v, qv) >= -0.2""")
+def i10_structured_caption(t: Tables) -> DataFrame:
+    """Places by city and by alias, no month, as none has a year next to it but 1996 in the filter itself."""
+    rows = A.structured_search(library(t), "Beach at nation_3 or home 6", None, encoder(t), -0.2).where("ts >= timestamp_ntz'1996-01-01'")
+    return rows.select("photo_id", F.round("score", 6).alias("score"))
 
-@query(bound("photos", "photo_people", "canonical") + """, ok AS (SELECT p.* FROM photos p WHERE NOT is_deleted AND year(ts) = 1997 AND photo_id IN (SELECT photo_id FROM photo_people JOIN canonical USING (person_id) WHERE canonical_id = 3)),
-one AS (SELECT *, row_number() OVER (PARTITION BY owner ORDER BY ts DESC NULLS LAST, photo_id) AS rn FROM ok)
-SELECT photo_id, (SELECT count(*) FROM one WHERE rn = 1) AS total FROM one WHERE rn = 1 ORDER BY ts DESC NULLS LAST, photo_id LIMIT 50""")
+
+def api_sql(where: str, order: str, limit: int, offset: int = 0, more: str = "", score: str = "0.0", source: str = "photos") -> str:
+    """The SQL of a page of api_search, by what is filtered and the order."""
+    return bound("photos", "photo_people", "canonical", "persons", "aliases") + more + f""", ok AS (SELECT p.*, {score} AS score FROM {source} p WHERE NOT is_deleted AND {where}),
+one AS (SELECT *, row_number() OVER (PARTITION BY owner ORDER BY {order}) AS rn FROM ok), sizes AS (SELECT owner, count(*) AS dup_count FROM photos WHERE NOT is_deleted GROUP BY owner),
+shown AS (SELECT *, row_number() OVER (ORDER BY {order}) AS "rank", (SELECT count(*) FROM one WHERE rn = 1) AS total FROM one WHERE rn = 1 ORDER BY {order} LIMIT {limit} OFFSET {offset})
+SELECT photo_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS "timestamp", place, round(score, 3) AS score, "rank", total, dup_count,
+  coalesce((SELECT string_agg(name, ', ' ORDER BY name) FROM (SELECT DISTINCT c.name FROM photo_people x JOIN canonical k USING (person_id) JOIN persons c ON c.person_id = k.canonical_id WHERE x.photo_id = s.photo_id)), '') AS people
+FROM shown s JOIN sizes USING (owner)"""
+
+
+NEWEST = "ts DESC NULLS LAST, photo_id"
+SHOWN = ["photo_id", "timestamp", "place", "score", "rank", "total", "dup_count", "people"]
+
+
+@query(api_sql(f"year(ts) = 1997 AND {OF_3}", NEWEST, 50))
 def i11_api_search(t: Tables) -> DataFrame:
-    return api_search(t, ["Supplier#000000003"], "1997", 50).select("photo_id", "total")
+    return api_search(t, ["Supplier#000000003"], "1997", 50).select(*SHOWN)
 
 
 def api_search(t: Tables, names: list[str], when: str, limit: int) -> DataFrame:
-    """Delete, time and name filters, newest first, collapsed by owner, one page."""
-    asked_names = t.spark.createDataFrame([(n,) for n in names], "name string")
-    held = P.photos_with_all_names(t.photo_people, canonical(t), P.resolve_names(t.persons, asked_names), len(names))
-    rows = S.in_folder(S.at_time(S.active(t.photos), when), held)
-    order = [F.desc_nulls_last("ts"), "photo_id"]
-    return S.page(S.collapse(rows, "owner", order), order, 0, limit)
+    """I11 with explicit names and time."""
+    return A.api_search(library(t), A.Request(names=names, timestamp=when, limit=limit))
+
+
+@query(api_sql(f"year(ts) = 1998 AND month(ts) = 3 AND contains(lower(place), 'nation_7') AND device_id = '1-URGENT' AND (photo_id >= 0 OR {OF_3})", NEWEST, 20, 1))
+def i11_place_search(t: Tables) -> DataFrame:
+    """Device and folder-less, place and month by explicit values that win over the text's year."""
+    return A.api_search(library(t), A.Request(q="all photos 1996", timestamp="1998-03", location="Nation_7", device="1-URGENT", limit=20, offset=1)).select(*SHOWN)
+
+
+@query(api_sql("folder = 'F' AND year(ts) >= 1996 AND year(ts) < 1997 AND list_dot_product(v, qv) >= -0.1", "score DESC, photo_id", 30, 0, VECTOR, "list_dot_product(v, qv)", "(SELECT * FROM photos JOIN vecs USING (photo_id), q)"))
+def i11_text_search(t: Tables) -> DataFrame:
+    """Free text: a year and a caption, ranked, in a folder."""
+    return A.api_search(library(t), A.Request(q="pictures of a sunny beach in 1996", folder="F", limit=30), encoder(t), -0.1).select(*SHOWN)
 
 
 @query(bound("photos") + """, v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), q AS (SELECT list_transform(range(1, 65), lambda k: list_extract(a.v, k) + list_extract(b.v, k) - 0.8 * list_extract(c.v, k)) AS r FROM v a, v b, v c WHERE a.vec_id = 3 AND b.vec_id = 11 AND c.vec_id = 5)

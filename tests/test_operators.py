@@ -47,7 +47,9 @@ def test_all_people_and_merges(spark):
     assert of([]) == [] == of([1, 999])
 
 
-def test_alias_chains_and_cycles(spark):
+@pytest.mark.parametrize("most", [100_000, -1], ids=["by the driver", "by doubling"])
+def test_alias_chains_and_cycles(spark, monkeypatch, most):
+    monkeypatch.setattr(P, "MERGES", most)
     links = [(1, None), (2, 1), (3, 2), (4, 3), (5, 6), (6, 7), (7, 5), (8, 5), (9, 9)]
     found = dict(rows(P.resolve_aliases(spark.createDataFrame(links, "person_id long, merged_into long"))))
     assert found == {1: 1, 2: 1, 3: 1, 4: 1, 5: 5, 6: 5, 7: 5, 8: 5, 9: 9}
