@@ -101,7 +101,7 @@ def threshold_for_fpr(pairs: DataFrame, fprs: Sequence[float]) -> DataFrame:
 
 
 def kfold_accuracy(pairs: DataFrame, thresholds: Sequence[float], strict: bool = False) -> DataFrame:
-    """(fold, threshold, accuracy) of pairs (fold, sim, same): the first best threshold on the other folds, scored on its own.
+    """(fold, threshold, accuracy, mean, std) of pairs (fold, sim, same): the first best threshold on the other folds, scored on its own; mean and population deviation are those of the folds' accuracies.
 
     Right answers are counted once by fold and threshold; a training count is the total less the fold.
     """
@@ -114,7 +114,8 @@ def kfold_accuracy(pairs: DataFrame, thresholds: Sequence[float], strict: bool =
     train = long.withColumn("train", (total[0] - F.col("right")) / F.nullif(total[1] - F.col("n"), F.lit(0)))
     best = train.groupBy("fold").agg(F.max_by(F.struct("k", "right", "n"), F.struct("train", -F.col("k"))).alias("x"))
     threshold = F.element_at(F.array(*[F.lit(float(x)) for x in grid]), F.col("x.k") + 1)
-    return best.select("fold", threshold.alias("threshold"), (F.col("x.right") / F.col("x.n")).alias("accuracy"))
+    folds = best.select("fold", threshold.alias("threshold"), (F.col("x.right") / F.col("x.n")).alias("accuracy"))
+    return folds.crossJoin(F.broadcast(folds.agg(F.avg("accuracy").alias("mean"), F.stddev_pop("accuracy").alias("std"))))  # one row
 
 
 def pair_counts(labels: DataFrame) -> DataFrame:

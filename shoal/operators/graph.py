@@ -14,7 +14,7 @@ from shoal.operators.hamming import hash_links
 from shoal.operators.maintain import append_rows
 from shoal.operators.online import Clusters
 from shoal.operators.people import best_by
-from shoal.operators.pivots import density_edges
+from shoal.operators.pivots import density_edges, finite
 from shoal.operators.simjoin import carry_names, nearest_prototype
 from shoal.sources.shared import checkpointed
 
@@ -156,9 +156,14 @@ def centroids(vectors: DataFrame, by: str, v: str = "v", parts: int = 64) -> Dat
     """K4: (by, m): the normalised mean of each group's vectors, by a user's aggregate.
 
     A group is summed in parts, so no task holds a whole one; the parts' sums are added.
+    Null and empty vectors and those with other than finite numbers are left out, and of
+    unlike lengths the commonest in a group counts (of equals the longer).
     """
-    sums = vectors.groupBy(by, F.pmod(F.xxhash64(v), F.lit(parts)).alias("_part")).agg(total_udaf()(v).alias("s"))
-    return sums.groupBy(by).agg(total_udaf()("s").alias("s")).select(by, unit("s").alias("m"))
+    whole = vectors.where(finite(v)).withColumn("_width", F.size(v))
+    sums = whole.groupBy(by, "_width", F.pmod(F.xxhash64(v), F.lit(parts)).alias("_part")).agg(total_udaf()(v).alias("s"))
+    sums = sums.groupBy(by, "_width").agg(total_udaf()("s").alias("s"))
+    common = whole.groupBy(by, "_width").agg(F.count("*").alias("_n")).groupBy(by).agg(F.max_by("_width", F.struct("_n", "_width")).alias("_width"))
+    return sums.join(common, [by, "_width"], "left_semi").select(by, unit("s").alias("m"))
 
 
 def merge_prototypes(one: DataFrame, two: DataFrame) -> DataFrame:
@@ -168,6 +173,11 @@ def merge_prototypes(one: DataFrame, two: DataFrame) -> DataFrame:
     return met.select("label", unit(mean).alias("v"), (F.col("n1") + F.col("n2")).alias("n"))
 
 
+def merge_members(members: DataFrame, into: DataFrame) -> DataFrame:
+    """(label, photo_id): the photos of clusters, those of a merged one (label, target) with its target's, each once."""
+    return members.join(into, "label", "left").select(F.coalesce("target", "label").alias("label"), "photo_id").distinct()
+
+
 def recluster(faces: DataFrame, old: DataFrame, least: float = 0.6, min_samples: int = 3, assign: float = 0.42, carry: float = 0.42) -> tuple[DataFrame, DataFrame]:
     """I4: (people, face_person) of faces (id, v, area), neighbours from `least` on, and old prototypes (name, v).
 

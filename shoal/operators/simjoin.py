@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shoal.functions.vectors import best_of, cosine, dot
-from shoal.operators.pivots import near_pairs
+from shoal.operators.pivots import finite, near_pairs
 from shoal.sources.shared import checkpointed
 
 #: Numbers of a side that is broadcast at most (64 MB of doubles).
@@ -33,65 +33,77 @@ def composite(terms: DataFrame, weights: Mapping[int, float]) -> list[float] | N
     return (q / (np.linalg.norm(q) + 1e-10)).tolist()
 
 
-def matrix_of(small: DataFrame, key: str, v: str) -> tuple[list, np.ndarray] | None:
-    """(keys, rows) of a small side in key order, or None when it is too large to broadcast."""
-    n, width = small.agg(F.count("*"), F.max(F.size(v))).first()
+def matrices_of(small: DataFrame, key: str, v: str) -> dict[int, tuple[list, np.ndarray]] | None:
+    """(keys, rows) of a small side's finite vectors in key order, by their length; None when it is too large to broadcast."""
+    rows = small.where(finite(v))
+    n, width = rows.agg(F.count("*"), F.max(F.size(v))).first()
     if n * max(1, width or 0) > BROADCAST_NUMBERS:
         return None
-    rows = small.select(key, v).orderBy(key).collect()
-    return [r[0] for r in rows], np.array([r[1] for r in rows], np.float64).reshape(len(rows), width or 0)
+    held: dict[int, tuple[list, list]] = {}
+    for r in rows.select(key, v).orderBy(key).collect():
+        keys, vectors = held.setdefault(len(r[1]), ([], []))
+        keys.append(r[0])
+        vectors.append(r[1])
+    return {w: (keys, np.array(vectors, np.float64)) for w, (keys, vectors) in held.items()}
 
 
 def nearest_prototype(vectors: DataFrame, protos: DataFrame, least: float, strict: bool = False, last_wins: bool = False) -> DataFrame:
     """(vec_id, proto, sim): the most similar prototype (proto, v) of each vector, -1 below `least` and without any prototype.
 
-    Ties go to the first prototype, or with last_wins to the last. Prototypes beyond the
-    bound for sending them to all tasks meet the vectors in blocks, of which each yields a
-    vector's best.
+    Ties go to the first prototype, or with last_wins to the last. Vectors and prototypes of
+    unlike length don't match, nor do null and empty ones or those with other than finite
+    numbers: such a vector gets -1 and no sim. Prototypes beyond the bound for sending them
+    to all tasks meet the vectors in blocks, of which each yields a vector's best.
     """
-    held = matrix_of(protos, "proto", "v")
+    held = matrices_of(protos, "proto", "v")
     if held is None:
         best = met_blocks(vectors, protos.withColumnRenamed("proto", "vec_id"), same=False).mapInPandas(best_of_block(last_wins), "a long, b long, sim double")
         best = best.groupBy(F.col("a").alias("vec_id")).agg(F.max_by(F.struct("b", "sim"), F.struct("sim", F.col("b") * (1 if last_wins else -1))).alias("x"))
         out = vectors.select("vec_id").join(best, "vec_id", "left").select("vec_id", F.col("x.b").alias("proto"), F.col("x.sim").alias("sim"))
-    elif not held[0]:
+    elif not held:
         out = vectors.select("vec_id", F.lit(None).cast("long").alias("proto"), F.lit(None).cast("double").alias("sim"))
     else:
         sent = vectors.sparkSession.sparkContext.broadcast(held)
 
         def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            keys, m = sent.value
             for pdf in batches:
-                if len(pdf):
-                    sims = np.stack(pdf["v"].to_numpy()) @ m.T
+                width = pdf["v"].map(lambda v: 0 if v is None else len(v)).to_numpy(int) if len(pdf) else np.zeros(0, int)
+                for w in np.unique(width).tolist():
+                    rows = pdf[width == w]
+                    if w not in sent.value:
+                        yield pd.DataFrame({"vec_id": rows["vec_id"], "proto": pd.array([None] * len(rows), "Int64"), "sim": None})
+                        continue
+                    keys, m = sent.value[w]
+                    sims = np.stack(rows["v"].to_numpy()) @ m.T
                     at = sims.shape[1] - 1 - sims[:, ::-1].argmax(1) if last_wins else sims.argmax(1)
-                    yield pd.DataFrame({"vec_id": pdf["vec_id"], "proto": np.array(keys)[at], "sim": sims[np.arange(len(at)), at]})
+                    yield pd.DataFrame({"vec_id": rows["vec_id"], "proto": np.array(keys)[at], "sim": sims[np.arange(len(at)), at]})
 
-        out = vectors.select("vec_id", "v").mapInPandas(assign, "vec_id long, proto long, sim double")
+        # A vector with a number missing goes as none.
+        out = vectors.select("vec_id", F.when(finite("v"), F.col("v")).alias("v")).mapInPandas(assign, "vec_id long, proto long, sim double")
     fits = F.col("sim") > least if strict else F.col("sim") >= least
     return out.withColumn("proto", F.when(fits, F.col("proto")).otherwise(F.lit(-1).cast("long")))
 
 
 def blocks_of(vectors: DataFrame, blocks: int) -> DataFrame:
-    """(block, ids, vectors) with a row a block; ids fall into blocks by their hash, blocks being as many as the count asks for."""
+    """(block, width, ids, vectors) with a row a block and length of vectors; ids fall into blocks by their hash, blocks being as many as the count asks for."""
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("vec_id")
-        return pd.DataFrame({"block": [pdf["block"].iloc[0]], "ids": [pdf["vec_id"].to_numpy(np.int64).tobytes()], "data": [np.stack(pdf["v"].to_numpy()).astype(np.float64).tobytes()]})
+        return pd.DataFrame({"block": [pdf["block"].iloc[0]], "width": [pdf["width"].iloc[0]], "ids": [pdf["vec_id"].to_numpy(np.int64).tobytes()], "data": [np.stack(pdf["v"].to_numpy()).astype(np.float64).tobytes()]})
 
-    rows = vectors.where(F.size("v") > 0).select("vec_id", "v", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"))
-    return rows.groupBy("block").applyInPandas(pack, "block int, ids binary, data binary")
+    rows = vectors.where(finite("v")).select("vec_id", "v", F.size("v").alias("width"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"))
+    return rows.groupBy("block", "width").applyInPandas(pack, "block int, width int, ids binary, data binary")
 
 
 def met_blocks(left: DataFrame, right: DataFrame, same: bool) -> DataFrame:
-    """(p, q, ids_a, data_a, ids_b, data_b): each block of one side with each of the other, or of one table (same) with itself and the later ones."""
+    """(p, q, ids_a, data_a, ids_b, data_b): each block of one side with each of the other, or of one table (same) with itself and the later ones; vectors of one length meet."""
     n_left = max(1, -(-left.count() // BLOCK))
     n_right = n_left if same else max(1, -(-right.count() // BLOCK))
     blocks = checkpointed(blocks_of(left, n_left))
-    one = blocks.toDF("p", "ids_a", "data_a")
-    two = (blocks if same else blocks_of(right, n_right)).select(F.col("block").alias("q"), F.col("ids").alias("ids_b"), F.col("data").alias("data_b"))
+    one = blocks.toDF("p", "width", "ids_a", "data_a")
+    two = (blocks if same else blocks_of(right, n_right)).select(F.col("block").alias("q"), "width", F.col("ids").alias("ids_b"), F.col("data").alias("data_b"))
     first = F.col("p") if same else F.lit(0)
-    return one.withColumn("q", F.explode(F.sequence(first, F.lit(n_right - 1)))).join(two, "q").select("p", "q", "ids_a", "data_a", "ids_b", "data_b")
+    return one.withColumn("q", F.explode(F.sequence(first, F.lit(n_right - 1)))).join(two, ["q", "width"]).select("p", "q", "ids_a", "data_a", "ids_b", "data_b")
 
 
 def best_of_block(last_wins: bool) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:

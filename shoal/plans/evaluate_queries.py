@@ -72,9 +72,9 @@ def d21_threshold_for_fpr(t: Tables) -> DataFrame:
     return E.threshold_for_fpr(pairs(t), [0.001, 0.01, 0.1, 1.0])
 
 
-@query(PAIRS + f", c AS (SELECT fold, threshold, count(*) FILTER (WHERE (sim >= threshold) = same) AS ok, count(*) AS n FROM pairs, {STEPS} GROUP BY ALL), t AS (SELECT *, (sum(ok) OVER w - ok) / (sum(n) OVER w - n) AS train FROM c WINDOW w AS (PARTITION BY threshold)) SELECT fold, threshold, round(ok / n, 6) AS accuracy FROM t QUALIFY row_number() OVER (PARTITION BY fold ORDER BY train DESC, threshold) = 1")
+@query(PAIRS + f", c AS (SELECT fold, threshold, count(*) FILTER (WHERE (sim >= threshold) = same) AS ok, count(*) AS n FROM pairs, {STEPS} GROUP BY ALL), t AS (SELECT *, (sum(ok) OVER w - ok) / (sum(n) OVER w - n) AS train FROM c WINDOW w AS (PARTITION BY threshold)), u AS (SELECT fold, threshold, ok / n AS a FROM t QUALIFY row_number() OVER (PARTITION BY fold ORDER BY train DESC, threshold) = 1) SELECT fold, threshold, round(a, 6) AS accuracy, round(avg(a) OVER (), 6) AS mean, round(stddev_pop(a) OVER (), 6) AS std FROM u")
 def d22_kfold_threshold_accuracy(t: Tables) -> DataFrame:
-    return E.kfold_accuracy(pairs(t), GRID).select("fold", "threshold", r("accuracy"))
+    return E.kfold_accuracy(pairs(t), GRID).select("fold", "threshold", r("accuracy"), r("mean"), r("std"))
 
 
 #: Pair counts by grid point of rows g (point, truth, label).

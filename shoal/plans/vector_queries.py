@@ -199,10 +199,14 @@ def k4_centroid_udaf(t: Tables) -> DataFrame:
     return p.select("label", F.round(F.col("m")[0], 6).alias("first"))
 
 
-@query(VE + ", g AS (SELECT label, vec_id % 2 AS half, k, avg(list_extract(v, k)) AS x, count(*) AS n FROM vectors, (SELECT unnest(range(1, 65)) AS k) GROUP BY ALL), u AS (SELECT label, half, k, n, x / sqrt(sum(x * x) OVER (PARTITION BY label, half)) AS x FROM g), m AS (SELECT label, k, sum(x * n) / sum(n) AS x, sum(n) AS n FROM u GROUP BY label, k) SELECT label, CAST(max(n) AS BIGINT) AS n, round(max(x) FILTER (WHERE k = 1) / sqrt(sum(x * x)), 6) AS first FROM m GROUP BY label HAVING (SELECT count(DISTINCT half) FROM u WHERE u.label = m.label) = 2")
+@query(VE + ", g AS (SELECT label, vec_id % 2 AS half, k, avg(list_extract(v, k)) AS x, count(*) AS n FROM vectors, (SELECT unnest(range(1, 65)) AS k) GROUP BY ALL), u AS (SELECT label, half, k, n, x / sqrt(sum(x * x) OVER (PARTITION BY label, half)) AS x FROM g), m AS (SELECT label, k, sum(x * n) / sum(n) AS x, sum(n) AS n FROM u GROUP BY label, k) SELECT label, CAST(max(n) AS BIGINT) AS n, round(max(x) FILTER (WHERE k = 1) / sqrt(sum(x * x)), 6) AS first, (SELECT count(DISTINCT vec_id // 3) FROM vectors v WHERE v.label = m.label) AS photos FROM m GROUP BY label HAVING (SELECT count(DISTINCT half) FROM u WHERE u.label = m.label) = 2")
 def d8_weighted_prototype_merge(t: Tables) -> DataFrame:
     half = [G.prototypes(t.vectors.where(f"vec_id % 2 = {k}").select(F.col("vec_id").alias("id"), "v"), t.vectors.select(F.col("vec_id").alias("id"), "label")).select("label", "v", "n") for k in (0, 1)]
-    return G.merge_prototypes(*half).select("label", "n", F.round(F.col("v")[0], 6).alias("first"))
+    cluster = F.col("label") * 2 + F.col("vec_id") % 2  # halves of a label, the odd one merged into the even one
+    held = t.vectors.select(cluster.alias("label"), (F.col("vec_id") / 3).cast("long").alias("photo_id"))
+    into = held.where("label % 2 = 1").select("label", (F.col("label") - 1).alias("target")).distinct()
+    photos = G.merge_members(held, into).groupBy((F.col("label") / 2).cast("int").alias("label")).agg(F.count("*").alias("photos"))
+    return G.merge_prototypes(*half).join(photos, "label").select("label", "n", F.round(F.col("v")[0], 6).alias("first"), "photos")
 
 
 @query(DENSE + """, m AS (SELECT root, k, avg(list_extract(v, k)) AS x FROM blocks JOIN root ON id = vec_id, (SELECT unnest(range(1, 65)) AS k) GROUP BY root, k), raw AS (SELECT root, list(x ORDER BY k) AS raw FROM m GROUP BY root),

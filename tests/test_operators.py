@@ -201,6 +201,34 @@ def test_nearest_prototype_by_blocks_is_the_same(spark, monkeypatch):
     assert {tuple(r)[1:] for r in J.nearest_prototype(v, p.where("proto < 0"), 0.5).collect()} == {(-1, None)}
 
 
+@pytest.mark.parametrize("most", [8_000_000, 0], ids=["broadcast", "blocks"])
+def test_odd_vectors_match_nothing(spark, monkeypatch, most):
+    monkeypatch.setattr(J, "BROADCAST_NUMBERS", most)
+    odd = [(1, None), (2, []), (3, [1.0, None]), (4, [float("nan"), 1.0]), (5, [float("inf"), 0.0]), (6, [1.0, 0.0, 0.0]), (7, [0.0, 2.0]), (8, [3.0])]
+    v = spark.createDataFrame(odd, "vec_id long, v array<double>")
+    p = spark.createDataFrame([(20, [0.0, 1.0]), (21, [1.0, 0.0]), (22, None), (23, [1.0, 0.0, 0.0]), (24, [None]), (25, [])], "proto long, v array<double>")
+    want = {i: (-1, None) for i in range(1, 9)} | {6: (23, 1.0), 7: (20, 2.0)}
+    assert {r["vec_id"]: (r["proto"], r["sim"]) for r in J.nearest_prototype(v, p, 0.5).collect()} == want
+
+
+def test_centroids_of_odd_vectors(spark):
+    odd = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (1, [1.0, 0.0, 0.0]), (1, None), (1, []), (2, [float("nan"), 1.0]), (3, [1.0]), (3, [2.0, 0.0])]
+    got = dict(tuple(r) for r in G.centroids(spark.createDataFrame(odd, "g int, v array<double>"), "g").collect())
+    assert got == {1: pytest.approx([0.5**0.5, 0.5**0.5]), 3: [1.0, 0.0]}
+
+
+def test_cell_join_recall_of_the_query(spark):
+    """I5 as it is registered, at its threshold, against all pairs."""
+    from shoal.plans.registry import QUERIES
+    from shoal.sources.bindings import Tables
+
+    sf = "/root/testdata/sf0.01"
+    found = {r[:2] for r in rows(QUERIES["i5_cell_range_join"](spark, sf).select("a", "b"))}
+    blocks = Tables(spark, sf).blocks
+    exact = {r[:2] for r in rows(J.block_pairs(blocks, blocks, 0.6).select("a", "b"))}
+    assert found <= exact and len(found) >= 0.9 * len(exact) > 500
+
+
 def test_phrases_take_the_longest_first(spark):
     q = spark.createDataFrame([("anna at new york city in may 2020",)], "q string")
     names, places = spark.createDataFrame([("Anna",)], "name string"), spark.createDataFrame([("New York",), ("York City",), ("New York City",)], "phrase string")
