@@ -13,7 +13,7 @@ from shoal.functions.vectors import best_of
 from shoal.operators import people as P
 from shoal.operators import search as S
 from shoal.operators.simjoin import composite
-from shoal.sources.shared import written
+from shoal.sources.shared import checkpointed
 
 Encode = Callable[[str], Sequence[float]]
 
@@ -104,7 +104,7 @@ def api_search(library: Library, request: Request, encode: Encode | None = None,
         rows, order = ranked_by(rows, library, encode(request.caption.strip()), floor), [F.desc("score"), F.col("photo_id")]
     else:
         rows, order = rows.withColumn("score", F.lit(0.0)), [F.desc_nulls_last("ts"), F.col("photo_id")]
-    found = written(S.collapse(rows.join(library.groups, "photo_id", "left"), "rep", order))
+    found = checkpointed(S.collapse(rows.join(library.groups, "photo_id", "left"), "rep", order))
     shown = S.page(found, order, request.offset, request.limit)
     counts = dup_counts(library.photos, library.groups, shown.select("photo_id"))
     named = canonical_names(library, canonical, shown.select("photo_id"))
@@ -147,8 +147,8 @@ def structured(library: Library, query: str, folder: object = None) -> tuple[Dat
     words = F.array(*[F.lit(w) for w in q.split()])
     used = lambda *texts: F.array_distinct(F.flatten(F.collect_set(F.array_intersect(F.split(F.concat_ws(" ", *texts), " "), words))))  # noqa: E731  as many as the query has
     known = library.photos.where("place is not null").select("place").distinct().join(library.aliases, "place", "left").select("place", F.lower("alias").alias("alias"), T.city_part("place").alias("city"))
-    places = written(known.where(T.has_word(F.lit(q), F.col("city")) | T.has_word(F.lit(q), F.col("alias"))))
-    by_name = written(library.persons.where("trim(name) <> ''").where(T.has_word(F.lit(q), F.lower("name"))).select("person_id", F.lower("name").alias("name")))
+    places = checkpointed(known.where(T.has_word(F.lit(q), F.col("city")) | T.has_word(F.lit(q), F.col("alias"))))
+    by_name = checkpointed(library.persons.where("trim(name) <> ''").where(T.has_word(F.lit(q), F.lower("name"))).select("person_id", F.lower("name").alias("name")))
     at, who = places.agg(F.count("*").alias("n"), used("city", "alias").alias("words")).first(), by_name.agg(F.count("*").alias("n"), used("name").alias("words")).first()
     if at["n"]:
         rows = rows.join(places.select("place"), "place", "left_semi")

@@ -77,8 +77,10 @@ def canonical_photos(photo_people: DataFrame, canonical: DataFrame) -> DataFrame
 
 def photos_with_all_names(photo_people: DataFrame, canonical: DataFrame, resolved: DataFrame, asked: int) -> DataFrame:
     """Photos that hold, for each of `asked` names, a person it resolves to. A name of no one gives no photos."""
-    ids = resolved.join(canonical, "person_id").select("name", F.col("canonical_id").alias("person_id")).distinct()
-    hits = canonical_photos(photo_people, canonical).join(ids, "person_id")
+    ids = resolved.join(canonical, "person_id").select("name", "canonical_id").distinct()
+    # All original ids of who is asked for: a written table, whose size lets Spark filter the photos as they are read.
+    wanted = checkpointed(canonical.join(ids, "canonical_id").select("person_id", "name").distinct())
+    hits = photo_people.join(wanted.select("person_id"), "person_id", "left_semi").join(wanted, "person_id")
     return hits.groupBy("photo_id").agg(F.countDistinct("name").alias("n")).where(F.col("n") == asked).select("photo_id")
 
 
@@ -97,8 +99,9 @@ def photos_of_all(photos: DataFrame, photo_people: DataFrame, canonical: DataFra
 
 def photos_of_any(photo_people: DataFrame, canonical: DataFrame, ids: DataFrame) -> DataFrame:
     """Photos that hold any of the given people (person_id)."""
-    wanted = ids.join(canonical, "person_id").select(F.col("canonical_id").alias("person_id")).distinct()
-    return canonical_photos(photo_people, canonical).join(wanted, "person_id", "left_semi").select("photo_id").distinct()
+    asked = ids.join(canonical, "person_id").select("canonical_id").distinct()
+    wanted = checkpointed(canonical.join(asked, "canonical_id", "left_semi").select("person_id"))
+    return photo_people.join(wanted, "person_id", "left_semi").select("photo_id").distinct()
 
 
 def people_counts(photo_people: DataFrame, canonical: DataFrame, deleted: DataFrame) -> DataFrame:

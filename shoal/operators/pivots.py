@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from shoal.sources.shared import checkpointed
 
 #: Rows of a block at most, and of a cell as far as the number of pivots allows.
-BLOCK, CELL = 2048, 1024
+BLOCK, CELL = 2048, 4096
 #: Pivots at most, the numbers that they hold at most, and sampled rows a pivot.
 PIVOTS, PIVOT_NUMBERS, SAMPLE = 2048, 4_000_000, 4
 #: Angles are widened by the rounding of an arc cosine.
@@ -121,20 +122,15 @@ def visiting(rows: DataFrame, cells: Cells, homes: bool) -> DataFrame:
     return rows.select("cell", "vec_id", "v").mapInArrow(run, "cell int, at double, vec_id long, v array<double>")
 
 
-def placed(vectors: DataFrame, least: float, other: DataFrame | None = None) -> tuple[DataFrame, float]:
+def placed(vectors: DataFrame, least: float, shape: Shape, other: DataFrame | None = None) -> tuple[DataFrame, float]:
     """((cell, side, at, vec_id, v), reach): home rows (side 0) and visitors (side 1) of vectors of one length, none of them zero.
 
     With another table its rows have the homes and all of `vectors` visit them.
     """
     own = vectors if other is None else other
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
-    n, width, longest = own.agg(F.count("*"), F.max(F.size("v")), F.max(norm)).first()
-    if other is not None:
-        longest = (longest or 0) * (vectors.agg(F.max(norm)).first()[0] or 0)
-    else:
-        longest = (longest or 0) ** 2
-    reach = float(np.arccos(np.clip(least / longest, -1, 1))) + SLACK if longest else 0.0
-    k = min(PIVOTS, max(1, PIVOT_NUMBERS // max(1, width or 1)), -(-n // CELL))
+    n, longest, width = shape.rows, shape.longest, shape.width
+    reach = float(np.arccos(np.clip(least / longest, -1, 1))) + SLACK
+    k = min(PIVOTS, max(1, PIVOT_NUMBERS // width), -(-n // CELL))
     if k <= 1:
         one = lambda df, side: df.select(F.lit(0).alias("cell"), F.lit(side).alias("side"), F.lit(0.0).alias("at"), "vec_id", F.col("v").cast("array<double>").alias("v"))
         return (one(own, 0) if other is None else one(own, 0).unionByName(one(vectors, 1))), reach
@@ -208,9 +204,21 @@ def partners(own: bool, x: np.ndarray, y: np.ndarray, least: float, strict: bool
         yield s, sims, near
 
 
-def widths(vectors: DataFrame) -> list[int]:
-    """Lengths of the vectors there are: those of unlike length are no partners."""
-    return [r[0] for r in vectors.select(F.size("v")).distinct().orderBy(F.size("v")).collect()]
+class Shape(NamedTuple):
+    """Of the vectors of a length: how many have homes, and the largest product of two norms that may meet."""
+
+    width: int
+    rows: int
+    longest: float
+
+
+def shapes(own: DataFrame, other: DataFrame | None = None) -> list[Shape]:
+    """For each length of the vectors that have homes; those of unlike length are no partners."""
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x))
+    of = lambda df: {r[0]: (r[1], r[2]) for r in df.groupBy(F.size("v")).agg(F.count("*"), F.max(norm)).collect()}  # noqa: E731  a row a length
+    home = of(own)
+    guests = home if other is None else of(other)
+    return [Shape(w, n, longest * guests[w][1]) for w, (n, longest) in sorted(home.items()) if w in guests]
 
 
 def usable(vectors: DataFrame, key: str = "vec_id") -> DataFrame:
@@ -242,9 +250,9 @@ def near_pairs(left: DataFrame, least: float, strict: bool = False, right: DataF
                     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(sims[i, j])], names=["a", "b", "sim"])
 
     out = left.sparkSession.createDataFrame([], "a long, b long, sim double")
-    for width in widths(left if right is None else right):
-        of = lambda df, width=width: None if df is None else df.where(F.size("v") == width)
-        rows, reach = placed(of(left), least, of(right))
+    for shape in shapes(left) if right is None else shapes(right, left):
+        of = lambda df, width=shape.width: None if df is None else df.where(F.size("v") == width)
+        rows, reach = placed(of(left), least, shape, of(right))
         out = out.unionByName(meets(rows, reach, both).mapInArrow(run, "a long, b long, sim double"))
     return out
 
@@ -253,8 +261,8 @@ def work(left: DataFrame, least: float) -> tuple[int, int, int]:
     """(rows, visits, pairs of rows compared) of near_pairs within a table, for a look at what the cells save."""
     left = usable(left)
     total = [0, 0, 0]
-    for width in widths(left):
-        rows, reach = placed(left.where(F.size("v") == width), least)
+    for shape in shapes(left):
+        rows, reach = placed(left.where(F.size("v") == shape.width), least, shape)
         n, visits = rows.agg(F.count_if(F.col("side") == 0), F.count_if(F.col("side") == 1)).first()
         size = lambda c: F.octet_length(c) / 8
         met = meets(rows, reach).agg(F.sum(F.when(F.col("own"), size("ids_a") * (size("ids_a") - 1) / 2).otherwise(size("ids_a") * size("ids_b")))).first()[0]
@@ -317,11 +325,11 @@ def density_edges(vectors: DataFrame, least: float, min_samples: int, strict: bo
     together: no table of pairs is made, edges grow with the rows. A row with its partners
     counting min_samples is core, so another one has fewer core partners than that.
     """
-    vectors = usable(vectors, "id")
+    vectors = checkpointed(usable(vectors, "id"))
     spark = vectors.sparkSession
     core, edges = spark.createDataFrame([], "id long"), spark.createDataFrame([], "a long, b long, core boolean")
-    for width in widths(vectors):
-        rows, reach = placed(vectors.where(F.size("v") == width), least)
+    for shape in shapes(vectors):
+        rows, reach = placed(vectors.where(F.size("v") == shape.width), least, shape)
         count = meets(rows, reach).mapInArrow(degrees(least, strict), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
         here = checkpointed(count.where(F.col("n") + 1 >= min_samples).select("id"))
         flagged = rows.join(here.select(F.col("id").alias("vec_id"), F.lit(True).alias("flag")), "vec_id", "left").withColumn("flag", F.coalesce("flag", F.lit(False)))

@@ -1,4 +1,4 @@
-"""The folder that all executors share, and checkpoints in it."""
+"""The folder that all executors share, and tables and marks in it."""
 
 from __future__ import annotations
 
@@ -21,13 +21,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage through the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
-def written(df: DataFrame) -> DataFrame:
-    """df as Parquet in the shared folder, read again: it runs once, and plans know its size."""
+    """Cut lineage: df as Parquet in the shared folder, read again. It runs once (checkpoint() runs a plan twice), and later plans know its size."""
     path = f"{shared_dir(df.sparkSession)}/shoal/rows-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
