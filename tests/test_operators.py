@@ -219,9 +219,11 @@ def test_centroids_of_odd_vectors(spark):
 
 def test_cell_join_recall_of_the_query(spark):
     """I5 as it is registered, at its threshold, against all pairs."""
+    from shoal.plans import vector_queries
     from shoal.plans.registry import QUERIES
     from shoal.sources.bindings import Tables
 
+    assert vector_queries  # registers them
     sf = "/root/testdata/sf0.01"
     found = {r[:2] for r in rows(QUERIES["i5_cell_range_join"](spark, sf).select("a", "b"))}
     blocks = Tables(spark, sf).blocks
