@@ -1,11 +1,11 @@
 """Removal of repeated passages in chunks with content-defined borders.
 
-A text is a row of parts: its lines, long ones cut where a word's hash is below those of
-the words beside it. A chunk ends after a part whose hash is below those of the parts
-beside it. So a border depends on a few words around it and on nothing before them, and a
-passage is cut alike wherever it stands, but for its ends. Hashes find chunks that occur
-more than once anywhere; their bytes are compared before any but the first occurrence (by
-document, then place) is removed.
+A text is a row of parts: its lines, cut where a word's hash is below those of the words
+beside it. A hash rolls over the hashes of the parts, WINDOW at a time; where it is below
+both of its neighbours, a chunk begins in the middle of the window. So a border depends on
+a few words around it and on nothing before them, and a passage is cut alike wherever it
+stands, but for its ends. Hashes find chunks that may occur more than once anywhere; those
+are grouped by their bytes, and all but the first of a group (by document, then place) go.
 """
 
 from __future__ import annotations
@@ -21,14 +21,13 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, table
 
-#: A chunk is so many parts at least, about three on average.
+#: A chunk is so many parts at least, about three on average; so is a part in words.
 LEAST = 2
+#: The rolling hash spans so many parts.
+WINDOW = 2
 #: A line that stands many times in a row has a border after each so many.
 RUN = 4
-#: Lines of more bytes than this are cut, into parts of 2 words at least, about three on average.
-LONG_LINE = 40
 #: Bytes up to this one are blanks.
 BLANK = 32
 #: Bytes of text in work at once, unless one text is longer.
@@ -58,12 +57,12 @@ def powers(n: int) -> list[np.ndarray]:
 
 
 class Rolling:
-    """Hashes of any runs of bytes of `data`: the same for the same bytes, wherever they stand."""
+    """Hashes of any runs of `values` (hashes of bytes or of parts): the same for the same values, wherever they stand."""
 
-    def __init__(self, data: np.ndarray):
-        up, self.down = powers(len(data) + 1)
-        self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(LETTERS[data] * up[: len(data)], out=self.sums[1:])
+    def __init__(self, values: np.ndarray):
+        up, self.down = powers(len(values) + 1)
+        self.sums = np.zeros(len(values) + 1, np.uint64)
+        np.cumsum(values * up[: len(values)], out=self.sums[1:])
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mixed((self.sums[end] - self.sums[start]) * self.down[start])
@@ -90,16 +89,23 @@ def firsts(owner: np.ndarray) -> np.ndarray:
     return ~alike(owner, -1)
 
 
+def borders(h: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Which entries a piece begins at: the first of an owner, and where the hash is below both neighbours', with LEAST entries of the owner on either side."""
+    return firsts(owner) | below(h) & alike(owner, -LEAST) & alike(owner, LEAST - 1)
+
+
 def chunk_starts(h: np.ndarray, owner: np.ndarray, whole: np.ndarray) -> np.ndarray:
     """Which parts begin a chunk, by the hashes and texts of the parts and which are whole lines; no chunk is of one part, unless its text is."""
-    ends = below(h) & alike(owner, -1) & alike(owner, 2)
-    out = firsts(owner)
-    out[1:] |= ends[:-1]
+    rolled = np.zeros(len(h), np.uint64)
+    at = np.arange(len(h))
+    half = WINDOW // 2
+    mid = at[half : len(h) - (WINDOW - half) + 1]
+    rolled[mid] = Rolling(h).of(mid - half, mid - half + WINDOW)
     again = ~firsts(h) & ~firsts(owner) & whole
     again[1:] &= whole[:-1]
-    at = np.arange(len(h))
     turn = at - np.maximum.accumulate(np.where(again, 0, at))
-    return out | again & (turn % RUN == 0) & alike(owner, 1)
+    again[:-1] &= again[1:].copy()  # the part after a border is alike too, so that no chunk is of one part
+    return borders(rolled, owner) | again & (turn % RUN == 0) & alike(owner, 1)
 
 
 class Layout(NamedTuple):
@@ -127,14 +133,11 @@ def layout(data: np.ndarray, ends: np.ndarray) -> Layout:
     if not len(start):
         none = np.zeros(0, np.int64)
         return Layout(none, none, none, none, none, none, none)
-    rolling = Rolling(data)
+    rolling = Rolling(LETTERS[data])
     text = np.searchsorted(ends, start, "right")
     line = np.searchsorted(np.flatnonzero(data == 10), start) + text  # grows with lines and texts
     fresh = firsts(line)
-    at = np.flatnonzero(fresh)
-    length = end[np.append(at[1:], len(start)) - 1] - start[at]
-    cut = below(rolling.of(start, end)) & alike(line, -2) & alike(line, 1) & (length > LONG_LINE)[np.cumsum(fresh) - 1]
-    word = np.flatnonzero(fresh | cut)
+    word = np.flatnonzero(borders(rolling.of(start, end), line))
     part_end = end[np.append(word[1:], len(start)) - 1]
     part_start, part_text = start[word], text[word]
     whole = fresh[word] & np.append(fresh[word][1:], True)
@@ -143,31 +146,6 @@ def layout(data: np.ndarray, ends: np.ndarray) -> Layout:
     return Layout(part_start, part_text, part_text[part], part, size, part_start[part], part_end[part + size - 1])
 
 
-def encoded(text: str) -> bytes:
-    return text.encode("utf-8", "surrogatepass")
-
-
-def lines_of(text: str) -> list[str]:
-    """A text's parts, each with the blanks that follow it. The parts joined give the text."""
-    data = encoded(text)
-    at = [0, *layout(np.frombuffer(data, np.uint8), np.array([len(data)])).part_start[1:].tolist(), len(data)]
-    return [data[a:b].decode("utf-8", "surrogatepass") for a, b in zip(at, at[1:], strict=False)] if data else []
-
-
-def chunks(lines: list[str]) -> list[tuple[int, int]]:
-    """(first part, part after the last) of the chunks of a text's parts."""
-    if not lines:
-        return []
-    bare = [encoded(x).strip(bytes(range(BLANK + 1))) for x in lines]
-    ends = np.cumsum([len(x) for x in bare])
-    h = Rolling(np.frombuffer(b"".join(bare), np.uint8)).of(np.append(0, ends[:-1]), ends)
-    breaks = np.array(["\n" in x for x in lines])
-    breaks[-1] = True
-    whole = breaks & np.append(True, breaks[:-1])
-    at = [*np.flatnonzero(chunk_starts(h, np.zeros(len(lines), int), whole)).tolist(), len(lines)]
-    return list(zip(at, at[1:], strict=False))
-
-
 def bit_of(h: np.ndarray) -> np.ndarray:
     """A hash's place in the bitmap: its highest BITMAP_BITS bits."""
     return (h.view(np.uint64) >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)
@@ -208,30 +186,43 @@ def places(text: np.ndarray) -> np.ndarray:
     return np.arange(len(text)) - np.flatnonzero(fresh)[np.cumsum(fresh) - 1] if len(text) else text
 
 
+def hashed(data: np.ndarray, found: Layout) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    """(which, bytes, hash) of the chunks of LEAST parts or more."""
+    which = np.flatnonzero(found.size >= LEAST)
+    raw = data.tobytes()
+    texts = [raw[a:b] for a, b in zip(found.start[which].tolist(), found.end[which].tolist(), strict=True)]
+    return which, texts, np.array([xxhash.xxh64_intdigest(x) for x in texts], np.uint64).view(np.int64)
+
+
 def cut(sent: Broadcast | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(id, text) -> the hashes of the chunks of LEAST parts or more, or with a bitmap (id, place, hash, bytes) of those that may be repeated."""
+    """(id, text) -> the hashes of the chunks, or with a bitmap (id, place, hash, bytes) of those that may be repeated."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, data, ends in slices(batch.column(1)):
                 found = layout(data, ends)
-                ok = found.size >= LEAST
-                raw, spans = data.tobytes(), list(zip(found.start[ok].tolist(), found.end[ok].tolist(), strict=True))
-                h = np.array([xxhash.xxh64_intdigest(raw[a:b]) for a, b in spans], np.uint64).view(np.int64)
+                which, texts, h = hashed(data, found)
                 if sent is None:
                     yield pa.RecordBatch.from_arrays([pa.array(h)], names=["hash"])
                     continue
                 keep = np.flatnonzero(may_repeat(sent.value, h))
-                docs = batch.column(0).take(pa.array(row + found.text[ok][keep]))
-                at = pa.array(places(found.text)[ok][keep], pa.int32())
-                texts = pa.array([raw[a:b] for a, b in (spans[k] for k in keep.tolist())], pa.binary())
-                yield pa.RecordBatch.from_arrays([docs, at, pa.array(h[keep]), texts], names=["doc", "place", "hash", "chunk"])
+                docs = batch.column(0).take(pa.array(row + found.text[which[keep]]))
+                at = pa.array(places(found.text)[which[keep]], pa.int32())
+                yield pa.RecordBatch.from_arrays([docs, at, pa.array(h[keep]), pa.array([texts[k] for k in keep.tolist()], pa.binary())], names=["doc", "place", "hash", "chunk"])
 
     return run
 
 
-def rebuild(names: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(id, text, removed places) -> the text that is left, and counts."""
+def later(kept: pa.Array, row: np.ndarray, place: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Which chunks (row, place, hash) aren't among the kept (place, hash) of their row."""
+    of = np.repeat(np.arange(len(kept)), kept.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+    held = kept.flatten()
+    first = np.rec.fromarrays([of, held.field(0).to_numpy(zero_copy_only=False).astype(np.int64), held.field(1).to_numpy(zero_copy_only=False).astype(np.int64)])
+    return ~np.isin(np.rec.fromarrays([row, place, h]).view("V24"), first.view("V24"))
+
+
+def rebuild(sent: Broadcast, names: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(id, text, kept) -> the text that is left, and counts. Of the chunks that may be repeated all go but those kept: first ones, and such as occur once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -239,13 +230,12 @@ def rebuild(names: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
                 n = len(ends)
                 found = layout(data, ends)
                 n_chunks = np.bincount(found.text, minlength=n)
-                gone = batch.column(2).slice(row, n)
-                # Rows that share an id share its places, of which a row with another text may have fewer.
-                of = np.repeat(np.arange(n), gone.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
-                place = gone.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-                fits = place < n_chunks[of]
-                of, place = of[fits], place[fits]
-                k = (np.cumsum(n_chunks) - n_chunks)[of] + place
+                k, _, h = hashed(data, found)
+                known = batch.column(0).slice(row, n).is_valid().to_numpy(zero_copy_only=False)
+                may = may_repeat(sent.value, h) & known[found.text[k]]
+                k, h = k[may], h[may]
+                k = k[later(batch.column(2).slice(row, n), found.text[k], places(found.text)[k], h)]
+                of = found.text[k]
                 # A chunk goes with the blanks after it, a text's first one also with those before it.
                 heads = ends - np.diff(ends, prepend=0)
                 begin = np.where(firsts(found.text), heads[found.text], found.start)
@@ -268,15 +258,14 @@ def rebuild(names: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
 def dedup(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(id_col, text, n_lines, n_chunks, removed_chunks, removed_lines) of each row of df.
 
-    Lines are counted in parts: lines of up to LONG_LINE bytes whole, others as they are
-    cut. Of every chunk of at least LEAST parts that occurs more than once, over all texts,
-    the occurrence of the smallest (id, place) stays and the others go; chunks are the
-    same when their bytes are, blanks at their two ends aside. What is repeated stays only
-    near the ends of a passage, where chunks hold words of its neighbours, and where whole
-    lines of up to LONG_LINE bytes give it few parts. A line of a few words over and over
-    has no borders and is one piece; words are what stands between blanks (bytes up to 32).
-    Null and empty texts stay as they are. Ids are whole numbers; rows that repeat an id
-    are one document of which every row keeps its firsts; rows without an id neither lose
+    Lines are counted in parts, as they are cut. Of every chunk of at least LEAST parts
+    that occurs more than once, over all texts, the occurrence of the smallest (id, place)
+    stays and the others go; chunks are the same when their bytes are, blanks at their two
+    ends aside. What is repeated stays only near the ends of a passage, where chunks hold
+    words of its neighbours. A word over and over within a line has no borders and is one
+    piece; words are what stands between blanks (bytes up to 32). Null and empty texts
+    stay as they are. Ids are whole numbers; rows that repeat an id are one document of
+    which every row keeps its firsts; rows without an id neither lose
     nor cost anything. Other columns are ignored, whatever their names. An empty table
     gives an empty result.
     """
@@ -285,12 +274,11 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFram
     at = F.struct("doc", "place")
     repeated = known.mapInArrow(cut(None), "hash long").groupBy("hash").agg(F.count("*").alias("n")).where("n > 1")
     sent = df.sparkSession.sparkContext.broadcast(bitmap(repeated))
-    texts = table(known.mapInArrow(cut(sent), "doc long, place int, hash long, chunk binary"), "repeated-chunks")
-    first = texts.groupBy("hash", "chunk").agg(F.min(at).alias("first"), F.max(at).alias("final")).where("first <> final")
-    gone = texts.join(first.select("hash", "chunk", "first"), ["hash", "chunk"]).where(at != F.col("first"))
-    gone = table(gone.groupBy("doc").agg(F.sort_array(F.collect_set("place")).alias("gone")), "removed-chunks")
-    drop(texts)
+    texts = known.mapInArrow(cut(sent), "doc long, place int, hash long, chunk binary")
+    # Partial minima: however common a chunk is, a task sends it once. Only the first ones go back, by document.
+    first = texts.groupBy("hash", "chunk").agg(F.min(F.struct("doc", "place")).alias("at"))
+    kept = first.groupBy("at.doc").agg(F.collect_set(F.struct("at.place", "hash")).alias("kept"))
     names = [id_col, "text", "n_lines", "n_chunks", "removed_chunks", "removed_lines"]
-    # Rows without an id meet no removed chunks.
-    others = rows.where("doc is null").withColumn("gone", F.lit(None).cast("array<int>"))
-    return known.join(gone, "doc", "left").unionByName(others).mapInArrow(rebuild(names), f"`{id_col}` long, text string, n_lines int, n_chunks int, removed_chunks int, removed_lines int")
+    # Rows without an id meet no kept chunks, and lose none.
+    others = rows.where("doc is null").withColumn("kept", F.lit(None).cast("array<struct<place: int, hash: bigint>>"))
+    return known.join(kept, "doc", "left").unionByName(others).mapInArrow(rebuild(sent, names), f"`{id_col}` long, text string, n_lines int, n_chunks int, removed_chunks int, removed_lines int")

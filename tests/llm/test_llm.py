@@ -2,6 +2,7 @@
 
 import collections
 import random
+import re
 import zlib
 
 import numpy as np
@@ -56,29 +57,95 @@ def test_components(spark):
     assert common.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def brute_hash(values):
+    """Polynomial in the odd base, modulo 2**64, and its bits mixed."""
+    mix = lambda h: (lambda x: x ^ (x >> 29))((h ^ (h >> 32)) * 0xBF58476D1CE4E5B9 % 2**64)
+    return mix(sum(v * pow(0x9E3779B97F4A7C15, k, 2**64) for k, v in enumerate(values)) % 2**64), mix
+
+
+def brute_chunks(text):
+    """(bytes but for blanks at the ends, bytes with the blanks after them, number of parts) of a text's chunks, one word, line and window after the other."""
+    data, mix = (text or "").encode(), brute_hash([])[1]
+    letters = [mix((x + 1) * 0x9E3779B97F4A7C15 % 2**64) for x in range(256)]
+    hash_of = lambda piece: brute_hash([letters[x] for x in piece])[0]
+    parts, at = [], 0  # (start, end, hash, line, whole line)
+    for number, line in enumerate(data.split(b"\n")):
+        words = [(at + m.start(), at + m.end()) for m in re.finditer(rb"[^\x00-\x20]+", line)]
+        h = [hash_of(data[i:j]) for i, j in words]
+        cuts = [0] + [k for k in range(2, len(words) - 1) if h[k] < h[k - 1] and h[k] < h[k + 1]] + [len(words)]
+        spans = [(words[i][0], words[j - 1][1]) for i, j in zip(cuts, cuts[1:]) if i < j]
+        parts += [(i, j, hash_of(data[i:j]), number, len(spans) == 1) for i, j in spans]
+        at += len(line) + 1
+    h, rolled, run, starts = [p[2] for p in parts], [0], 0, [0]
+    rolled += [brute_hash([h[k - 1], h[k]])[0] for k in range(1, len(h))]
+    same = [k > 0 and h[k] == h[k - 1] and parts[k][4] and parts[k - 1][4] for k in range(len(h))]
+    for k in range(1, len(parts)):
+        run = run if same[k] else k
+        if 2 <= k < len(parts) - 1 and rolled[k] < rolled[k - 1] and rolled[k] < rolled[k + 1] or same[k] and k + 1 < len(parts) and same[k + 1] and (k - run) % 4 == 0:
+            starts.append(k)
+    starts.append(len(parts))
+    heads = [0] + [parts[k][0] for k in starts[1:-1]] + [len(data)]
+    return [(data[parts[i][0] : parts[j - 1][1]], data[heads[c] : heads[c + 1]], j - i) for c, (i, j) in enumerate(zip(starts, starts[1:])) if i < j]
+
+
+def brute_dedup(rows):
+    """(text, removed chunks, removed parts) of each document of unlike ids, which are taken in order."""
+    seen, out = set(), {}
+    for doc, text in sorted(rows):
+        pieces = brute_chunks(text)
+        gone = []
+        for chunk, _, size in pieces:
+            gone.append(size >= 2 and chunk in seen)
+            seen |= {chunk} if size >= 2 else set()
+        left = b"".join(p[1] for p, g in zip(pieces, gone) if not g).decode() if pieces else text
+        out[doc] = (left, sum(gone), sum(p[2] for p, g in zip(pieces, gone) if g))
+    return out
+
+
 def test_line_dedup(spark, docs, odd):
     lines = lambda *k: "\n".join(f"line number {i} of the passage" for i in k)
-    more = [(900_001, lines(*range(20))), (900_002, "intro\n" + lines(*range(20)) + "\nend"), (900_003, lines(*range(20, 40)))]
+    more = [(900_001, lines(*range(20))), (900_002, "intro\n" + lines(*range(20)) + "\nend"), (900_003, lines(*range(20, 40))), (900_004, None), (900_005, ""), (900_006, " \n\t "), (900_007, "\n\n a b\n" + "spam\n" * 9)]
     rows = docs.select("doc_id", "text").union(spark.createDataFrame(more, "doc_id long, text string"))
-    got = {r["doc_id"]: (r["text"], r["removed_chunks"]) for r in line_dedup.dedup(rows).collect()}
-    seen: set[str] = set()
-    for doc, text in sorted(tuple(r) for r in rows.collect()):
-        parts = line_dedup.lines_of(text)
-        assert "".join(parts) == text
-        left, gone = [], 0
-        for a, b in line_dedup.chunks(parts):
-            chunk = "".join(parts[a:b]).strip()
-            if b - a >= line_dedup.LEAST and chunk in seen:
-                gone += 1
-            else:
-                left += parts[a:b]
-                seen |= {chunk} if b - a >= line_dedup.LEAST else set()
-        assert got[doc] == ("".join(left), gone)
-    assert got[900_001][1] == 0 and got[900_003][1] == 0 and got[900_002][1] >= 3  # a shifted passage is cut alike
+    got = {r["doc_id"]: (r["text"], r["removed_chunks"], r["removed_lines"]) for r in line_dedup.dedup(rows).collect()}
+    want = brute_dedup([tuple(r) for r in rows.collect()])
+    assert got == want and sum(w[1] for w in want.values()) > 100
+    assert got[900_001][1] == 0 and got[900_002][1] >= 3  # a shifted passage is cut alike
     assert sorted(str(r["text"]) for r in line_dedup.dedup(odd).collect()) == sorted(str(r[1]) for r in ODD)
     assert line_dedup.dedup(none_of(docs)).count() == 0
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_line_dedup_of_few_words(spark, seed):
+    """Lines of any length out of few words: ties of hashes, runs of equal lines, blanks of all kinds."""
+    rng = random.Random(seed)
+    rows = [(k, "".join(rng.choice(["a", "b", "cc", "é"][: rng.randint(1, 4)]) + rng.choice([" ", "  ", "\n", "\n", "\t\n ", "\r\n"]) for _ in range(rng.randint(0, 60)))) for k in range(150)]
+    got = {r["doc_id"]: (r["text"], r["removed_chunks"], r["removed_lines"]) for r in line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    assert got == brute_dedup(rows)
+
+
+def test_line_dedup_borders_know_no_line_length():
+    """Two lines of 8 words that recur between others lose as many chunks with words of 3 letters (31 bytes a line) as of 4 (39), 5 (47) or 9 (79)."""
+    rng = random.Random(7)
+    gone = {}
+    for size in (3, 4, 5, 9):
+        line = lambda: " ".join("".join(rng.choices("abcdefghij", k=size)) for _ in range(8))
+        found = 0
+        for _ in range(400):
+            passage = f"{line()}\n{line()}"
+            one, two = ({c[0] for c in brute_chunks(f"{line()}\n{passage}\n{line()}") if c[2] >= 2} for _ in "ab")
+            found += bool(one & two)
+        gone[size] = found / 400
+    assert min(gone.values()) > 0.4 and max(gone.values()) - min(gone.values()) < 0.1, gone
+
+
+def test_line_dedup_of_rows_that_share_an_id(spark):
+    """A first occurrence stays although another row of its document holds a later one at the same place."""
+    one, two = ("\n".join(f"{w} {k} of some words here" for k in range(12)) for w in ("first", "second"))
+    rows = [(1, one), (5, one), (5, two), (9, two), (None, two)]
+    got = sorted(((r["doc_id"] or 0, r["text"]) for r in line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert (1, one) in got and (5, two) in got and (5, "") in got and (9, "") in got and (0, two) in got
+
+
 def test_line_dedup_compares_bytes(spark, monkeypatch):
     class Same:
         @staticmethod
