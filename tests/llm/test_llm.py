@@ -181,7 +181,8 @@ def test_line_dedup_rows_without_borders(spark):
     assert len(got) == len(rows)
     left = {(r["doc_id"], r["n_lines"]): r["text"] for r in got}
     assert left[(1, 40)].count("spam") <= 12 and left[(2, 41)].count("spam") <= 12 and left[(None, 40)] == "spam\n" * 40
-    assert left[(3, 1)] == rows[2][1] and left[(4, 0)] is None and left[(5, 1)] == "  "
+    assert [r["text"] for r in got if r["doc_id"] == 3] == [rows[2][1]]  # a short line is cut like others, so it may be several parts
+    assert left[(4, 0)] is None and left[(5, 1)] == "  "
 
 
 def test_token_counts(spark, docs, odd):
