@@ -115,9 +115,11 @@ def folder_summary(members: DataFrame, photos: DataFrame) -> DataFrame:
 
 
 def keep_newest(groups: DataFrame) -> DataFrame:
-    """E5: (photo_id, is_deleted) of grouped photos (gid, photo_id, ts): all but the newest of a group (ties to the least id) go."""
+    """E5: (photo_id, is_deleted) of grouped photos (gid, photo_id, ts): all but the newest of a group (ties to the least id) go. The newest are found task by task and joined, so large groups stay split; rows without a group are one group."""
     w = Window.partitionBy("gid").orderBy(F.desc_nulls_last("ts"), "photo_id")
-    return groups.select("photo_id", (F.row_number().over(w) > 1).alias("is_deleted"))
+    newest = groups.select("gid", F.col("photo_id").alias("newest"), F.row_number().over(w).alias("_r")).where("_r = 1")  # each task sends one row a group
+    both = groups.alias("g").join(newest.alias("n"), F.col("g.gid").eqNullSafe(F.col("n.gid")))
+    return both.select("g.photo_id", (F.col("g.photo_id") != F.col("newest")).alias("is_deleted"))
 
 
 def duplicate_groups(groups: DataFrame) -> DataFrame:

@@ -155,7 +155,12 @@ def h7_difference_hash(t: Tables) -> DataFrame:
     return p.select("vec_id", F.col("h").bitwiseAND(F.lit(2**63 - 1)).alias("low"), (F.col("h") < 0).alias("top"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {BOXES}, f AS (SELECT *, row_number() OVER (PARTITION BY image ORDER BY score DESC, box_id) AS k FROM boxes WHERE score >= 0.5),
+t AS (SELECT image, CAST(1 AS BIGINT) AS k, [{{'id': box_id, 'x': x, 'y': y, 'w': w, 'h': h}}] AS kept FROM f WHERE k = 1 UNION ALL
+  SELECT f.image, f.k, CASE WHEN len(list_filter(kept, lambda c: greatest(0.0, least(c.x + c.w, f.x + f.w) - greatest(c.x, f.x)) * greatest(0.0, least(c.y + c.h, f.y + f.h) - greatest(c.y, f.y)) > 0.4 * (c.w * c.h + f.w * f.h
+    - greatest(0.0, least(c.x + c.w, f.x + f.w) - greatest(c.x, f.x)) * greatest(0.0, least(c.y + c.h, f.y + f.h) - greatest(c.y, f.y)) + 1e-7))) > 0 THEN kept ELSE list_append(kept, {{'id': f.box_id, 'x': f.x, 'y': f.y, 'w': f.w, 'h': f.h}}) END
+  FROM t JOIN f ON f.image = t.image AND f.k = t.k + 1)
+SELECT image, unnest(list_transform(arg_max(kept, k), lambda c: c.id)) AS box_id FROM t GROUP BY image""")
 def i15_non_max_suppression(t: Tables) -> DataFrame:
     return I.non_max_suppression(boxes(t))
 
