@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shoal.functions.groups import in_turn
+from shoal.functions.groups import edges, whole_groups
 
 
 def good_faces(faces: DataFrame, score: float = 0.65, side: float = 80, yaw: float = 40) -> DataFrame:
@@ -42,18 +44,21 @@ def sharpness(pixels: DataFrame) -> DataFrame:
 def non_max_suppression(boxes: DataFrame, score: float = 0.5, overlap: float = 0.4) -> DataFrame:
     """The kept (image, box_id) of detections (image, box_id, score, x, y, w, h): best first, those that overlap a kept one go."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["score", "box_id"], ascending=[False, True])
-        x, y, w, h = (pdf[c].to_numpy(float) for c in "xywh")
-        left, kept = np.ones(len(pdf), bool), []
-        for k in range(len(pdf)):
-            if left[k]:
-                kept.append(k)
-                both = np.maximum(0, np.minimum(x[k] + w[k], x + w) - np.maximum(x[k], x)) * np.maximum(0, np.minimum(y[k] + h[k], y + h) - np.maximum(y[k], y))
-                left &= both / (w[k] * h[k] + w * h - both + 1e-7) <= overlap
-        return pdf.iloc[kept][["image", "box_id"]]
-
-    return in_turn(boxes.where(F.col("score") >= score), "image", run, "image long, box_id long")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in whole_groups(batches, "image"):
+            at = edges(pdf["image"].to_numpy())
+            end = np.repeat(at[1:], np.diff(at))
+            x, y, w, h = (pdf[c].to_numpy(float) for c in "xywh")
+            left = np.ones(len(pdf), bool)
+            for k in range(len(pdf)):
+                if left[k] and k + 1 < end[k]:
+                    rest = slice(k + 1, end[k])
+                    both = np.maximum(0, np.minimum(x[k] + w[k], x[rest] + w[rest]) - np.maximum(x[k], x[rest])) * np.maximum(0, np.minimum(y[k] + h[k], y[rest] + h[rest]) - np.maximum(y[k], y[rest]))
+                    left[rest] &= both / (w[k] * h[k] + w[rest] * h[rest] - both + 1e-7) <= overlap
+            yield pdf[left][["image", "box_id"]]
+
+    best = boxes.select("image", "box_id", F.col("score").cast("double").alias("score"), *"xywh").where(F.col("score") >= score)
+    return best.repartition("image").sortWithinPartitions("image", F.isnan("score"), F.desc("score"), "box_id").mapInPandas(run, "image long, box_id long")
 
 
 def similarity_transform(points: DataFrame) -> DataFrame:

@@ -231,7 +231,15 @@ def i5_cell_range_join(t: Tables) -> DataFrame:
     return J.cell_join(t.blocks, 0.6)
 
 
-@query()
+@query("WITH RECURSIVE " + BL.removeprefix("WITH ") + """, f AS (SELECT vec_id % 10 AS owner, vec_id AS id, vec_id // 20 AS photo, v, vec_id * 7 % 31 / 31 AS area, row_number() OVER (PARTITION BY vec_id % 10 ORDER BY vec_id) AS k FROM blocks),
+t AS (SELECT owner, k, id, CAST(1 AS BIGINT) AS hit, [{'c': list_transform(v, lambda x: x / (sqrt(list_sum(list_transform(v, lambda y: y * y))) + 1e-10)), 'photos': [photo], 'cover': photo, 'held': area}] AS st FROM f WHERE k = 1 UNION ALL
+  SELECT owner, k, id, hit, CASE WHEN hit > len(st) THEN list_append(st, {'c': list_transform(v, lambda x: x / (sqrt(list_sum(list_transform(v, lambda y: y * y))) + 1e-10)), 'photos': [photo], 'cover': photo, 'held': area})
+    ELSE list_transform(st, lambda c, i: CASE WHEN i = hit THEN {'c': list_transform(m, lambda x: x / (sqrt(list_sum(list_transform(m, lambda y: y * y))) + 1e-10)), 'photos': list_distinct(list_append(c.photos, photo)),
+      'cover': CASE WHEN area > 1.3 * c.held THEN photo ELSE c.cover END, 'held': CASE WHEN area > 1.3 * c.held THEN area ELSE c.held END} ELSE c END) END AS st
+  FROM (SELECT *, CASE WHEN hit <= len(st) THEN list_transform(v, lambda x, j: coalesce(st[hit].c[j] * len(st[hit].photos), 0) + x) END AS m
+    FROM (SELECT *, CASE WHEN list_max(sims) > 0.45 THEN list_position(sims, list_max(sims)) ELSE len(st) + 1 END AS hit
+      FROM (SELECT f.owner, f.k, f.id, f.photo, f.v, f.area, t.st, list_transform(t.st, lambda c: list_sum(list_transform(c.c, lambda x, j: x * f.v[j]))) AS sims FROM t JOIN f ON f.owner = t.owner AND f.k = t.k + 1))))
+SELECT owner, id, CAST(hit - 1 AS INT) AS cluster, len(st[hit].photos) AS photos, st[hit].cover AS cover FROM t""")
 def i6_online_face_clusters(t: Tables) -> DataFrame:
     k = F.col("vec_id")
     return G.online_clusters(t.blocks.select((k % 10).alias("owner"), k.alias("id"), (k / 20).cast("long").alias("photo"), "v", (k * 7 % 31 / 31).alias("area")))
