@@ -81,9 +81,11 @@ def d22_kfold_threshold_accuracy(t: Tables) -> DataFrame:
 GRID_SQL = " c AS (SELECT point, label, truth, count(*) AS n FROM g WHERE label >= 0 GROUP BY ALL), tp AS (SELECT point, sum(n * (n - 1) / 2) AS tp FROM c GROUP BY point), pr AS (SELECT point, sum(n * (n - 1) / 2) AS pr FROM (SELECT point, label, sum(n) AS n FROM c GROUP BY ALL) GROUP BY point), ac AS (SELECT point, sum(n * (n - 1) / 2) AS ac FROM (SELECT point, truth, count(*) AS n FROM g GROUP BY ALL) GROUP BY point), z AS (SELECT point, count(DISTINCT label) FILTER (WHERE label >= 0) AS clusters, count(*) FILTER (WHERE label < 0) / count(*) AS noise FROM g GROUP BY point)"
 
 
-@query(bound("near") + """, pairs AS (SELECT a.vec_id AS a, b.vec_id AS b, list_dot_product(a.v, b.v) AS sim FROM blocks a JOIN blocks b ON a.vec_id <> b.vec_id WHERE list_dot_product(a.v, b.v) >= 0.55),
+@query(bound("near").replace("WITH ", "WITH RECURSIVE ", 1) + """, pairs AS (SELECT a.vec_id AS a, b.vec_id AS b, list_dot_product(a.v, b.v) AS sim FROM blocks a JOIN blocks b ON a.vec_id <> b.vec_id WHERE list_dot_product(a.v, b.v) >= 0.55),
 points AS (SELECT * FROM (VALUES ('0.2/2', 0.8, 2), ('0.2/3', 0.8, 3), ('0.4/2', 0.6, 2), ('0.4/3', 0.6, 3)) x(point, least, samples)), w AS (SELECT point, samples, a, b FROM pairs JOIN points ON sim >= least),
-core AS (SELECT point, a AS id FROM w GROUP BY point, a, samples HAVING count(*) + 1 >= samples), root AS (SELECT c.point, c.id, least(c.id, min(w.b)) AS root FROM core c JOIN w ON w.point = c.point AND w.a = c.id JOIN core d ON d.point = c.point AND d.id = w.b GROUP BY c.point, c.id),
+core AS (SELECT point, a AS id FROM w GROUP BY point, a, samples HAVING count(*) + 1 >= samples), links AS (SELECT w.point, w.a, w.b FROM w JOIN core c ON c.point = w.point AND c.id = w.a JOIN core d ON d.point = w.point AND d.id = w.b),
+reach(point, id, other) AS (SELECT point, id, id FROM core UNION SELECT r.point, r.id, l.b FROM reach r JOIN links l ON l.point = r.point AND l.a = r.other), cores AS (SELECT point, id, min(other) AS root FROM reach GROUP BY point, id),
+root AS (SELECT * FROM cores UNION ALL SELECT w.point, w.a, min(c.root) FROM w JOIN cores c ON c.point = w.point AND c.id = w.b WHERE NOT EXISTS (SELECT 1 FROM core k WHERE k.point = w.point AND k.id = w.a) GROUP BY w.point, w.a),
 g AS (SELECT points.point, vec_id // 5 AS truth, coalesce(root, -1) AS label FROM points JOIN embeddings ON true LEFT JOIN root ON root.point = points.point AND root.id = vec_id),""" + GRID_SQL + " SELECT point, clusters, round(noise, 6) AS noise, round(tp / pr, 6) AS precision, round(tp / ac, 6) AS recall, round(2 * tp / (pr + ac), 6) AS f1 FROM z JOIN tp USING (point) JOIN pr USING (point) JOIN ac USING (point)")
 def d23_clustering_grid_eval(t: Tables) -> DataFrame:
     near = G.checkpointed(near_pairs(t.blocks, 0.55))
