@@ -173,8 +173,9 @@ def f4_top_k_similar(t: Tables) -> DataFrame:
     return J.top_similar(t.vectors, 7, 60, 0.1).select("vec_id", r6("sim"))
 
 
-DENSE = NEAR.replace(">= 0.8", ">= 0.6") + """, w AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs), core AS (SELECT a AS id FROM w GROUP BY a HAVING count(*) + 1 >= 3),
-root AS (SELECT id, least(id, (SELECT min(b) FROM w WHERE a = id AND b IN (SELECT id FROM core))) AS root FROM core)"""
+DENSE = NEAR.replace("WITH ", "WITH RECURSIVE ", 1).replace(">= 0.8", ">= 0.6") + """, w AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs), core AS (SELECT a AS id FROM w GROUP BY a HAVING count(*) + 1 >= 3),
+links AS (SELECT w.a, w.b FROM w JOIN core x ON x.id = w.a JOIN core y ON y.id = w.b), reach(id, other) AS (SELECT id, id FROM core UNION SELECT r.id, l.b FROM reach r JOIN links l ON l.a = r.other),
+cores AS (SELECT id, min(other) AS root FROM reach GROUP BY id), root AS (SELECT id, root FROM cores UNION ALL SELECT w.a, min(c.root) FROM w JOIN cores c ON c.id = w.b WHERE w.a NOT IN (SELECT id FROM core) GROUP BY w.a)"""
 
 
 @query(DENSE + ", n AS (SELECT root, row_number() OVER (ORDER BY root) - 1 AS label FROM (SELECT DISTINCT root FROM root)) SELECT vec_id AS id, coalesce(n.label, -1) AS label FROM embeddings LEFT JOIN root ON id = vec_id LEFT JOIN n USING (root)")
@@ -213,7 +214,7 @@ def d8_weighted_prototype_merge(t: Tables) -> DataFrame:
 pr AS (SELECT root, list_transform(raw, lambda x: x / sqrt(list_dot_product(raw, raw))) AS pv FROM raw), s AS (SELECT vec_id, arg_max(root, (list_dot_product(v, pv), -root)) AS proto, max(list_dot_product(v, pv)) AS sim FROM blocks, pr GROUP BY vec_id),
 a AS (SELECT vec_id AS id, proto FROM s WHERE sim > 0.42), person AS (SELECT proto, row_number() OVER (ORDER BY proto) - 1 AS person FROM (SELECT DISTINCT proto FROM a)),
 cover AS (SELECT person, count(*) AS faces, arg_max(id, ((id * 7 % 31) / 31.0, -id)) AS cover FROM a JOIN person USING (proto) GROUP BY person),
-named AS (SELECT person, 'name ' || vec_id AS name FROM person JOIN pr ON root = proto, blocks WHERE vec_id % 50 = 0 AND list_dot_product(v, pv) >= 0.42 QUALIFY row_number() OVER (PARTITION BY person ORDER BY list_dot_product(v, pv) DESC, vec_id) = 1)
+named AS (SELECT person, 'name ' || vec_id AS name FROM person JOIN pr ON root = proto, blocks WHERE vec_id % 50 = 0 AND list_dot_product(v, pv) >= 0.42 QUALIFY row_number() OVER (PARTITION BY person ORDER BY list_dot_product(v, pv) DESC, 'name ' || vec_id) = 1)
 SELECT person, faces, cover, name FROM cover LEFT JOIN named USING (person)""")
 def i4_recluster_people(t: Tables) -> DataFrame:
     people, _ = G.recluster(*clustered_faces(t))
