@@ -147,7 +147,8 @@ def append_rows(base: DataFrame, new: DataFrame, order: str) -> DataFrame:
     """
     largest = base.agg(F.max("id")).first()[0]
     start = 0 if largest is None else largest + 1
-    part = new.repartitionByRange(order).sortWithinPartitions(order).withColumn("_m", F.monotonically_increasing_id())
+    # Written once: a plan that is run anew with fewer columns may be cut into other partitions, and its counts then fit no row.
+    part = checkpointed(new.repartitionByRange(order).sortWithinPartitions(order).withColumn("_m", F.monotonically_increasing_id()))
     counts = part.groupBy(F.shiftright("_m", 33).alias("_p")).agg(F.count("*").alias("_n"))
     before = counts.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_s"))
     placed = part.join(F.broadcast(before), F.shiftright("_m", 33) == F.col("_p"))  # a row a partition
