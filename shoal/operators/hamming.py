@@ -1,10 +1,17 @@
-"""Hamming joins of 64-bit hashes by a multi-index whose bands fit the number of hashes, and first-come deduplication on top."""
+"""Hamming joins of 64-bit hashes by a multi-index whose bands fit the number of hashes, and first-come deduplication on top.
+
+Limits so wide that a band's value is near many hashes, or so many lookups that comparing
+is less work, are met by blocks of hashes: all pairs of them, a word's operation a pair.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 from math import comb
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +22,10 @@ from shoal.sources.shared import checkpointed
 HOT = 512
 #: Hot values that are sent to all tasks at most; more of them are joined by a shuffle.
 BROADCAST_VALUES = 500_000
+#: Pairs that blocks compare in the time of one lookup or candidate of the bands.
+RATIO = 250
+#: Hashes of a block, pairs of blocks of a task once there are many, and results of a step that compares.
+BLOCK, PAIRS, STEP = 32_768, 64, 1 << 18
 
 #: (first bit, width, radius) of a band.
 Band = tuple[int, int, int]
@@ -69,13 +80,32 @@ def other_bits(h: str, band: str, plan: list[Band]) -> Column:
     return turned
 
 
+def compared(left: DataFrame, right: DataFrame, most: int) -> DataFrame:
+    """(h, g) of all near pairs of two tables of distinct hashes (h,) and (g,): each block of one meets each of the other, a pair of blocks about a task."""
+    many = [max(1, -(-df.count() // BLOCK)) for df in (left, right)]
+    one, two = (df.groupBy(F.pmod(F.xxhash64(c), F.lit(k)).alias(f"_{c}")).agg(F.collect_list(c).alias(c)) for df, c, k in zip((left, right), "hg", many, strict=True))
+    met = one.crossJoin(two).select("h", "g")
+    pairs = many[0] * many[1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x, y in zip(batch.column(0), batch.column(1), strict=True):
+                x, y = (c.values.to_numpy(zero_copy_only=False).astype(np.int64) for c in (x, y))
+                rows = max(1, STEP // len(y))
+                for s in range(0, len(x), rows):
+                    part = x[s : s + rows]
+                    i, j = np.divmod(np.flatnonzero(np.bitwise_count((part[:, None] ^ y).view(np.uint64)) <= most), len(y))
+                    if len(i):
+                        yield pa.RecordBatch.from_arrays([pa.array(part[i]), pa.array(y[j])], names=["h", "g"])
+
+    return met.repartition(max(min(pairs, 4096), -(-pairs // PAIRS))).mapInArrow(run, "h long, g long")
+
+
 def candidates(left: DataFrame, right: DataFrame, most: int, n: int) -> DataFrame:
     """Pairs (h, g) of distinct hashes of two tables (h,) and (g,) that may be near; all that are, some several times."""
     plan = bands(most, n)
-    if not plan:  # so few hashes or so wide a limit that all pairs are the least work
-        parts = max(1, -(-n // 4096))
-        asked = left.select("h", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
-        return asked.join(right.select("g", F.pmod(F.xxhash64("g"), F.lit(parts)).cast("int").alias("part")), "part").select("h", "g")
+    if not plan or RATIO * sum(probes(w, r) * (1 + n / 2**w) for _, w, r in plan) > n:
+        return compared(left, right, most)
     asked, held = indexed(left, "h", plan, True, "v"), indexed(right, "g", plan, False, "v")
     key = ["v_band", "v"]
     hot = checkpointed(held.groupBy(*key).agg(F.count("*").alias("c")).where(F.col("c") > HOT))
