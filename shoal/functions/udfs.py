@@ -11,6 +11,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Things found that a task holds at once.
+FOUND = 4096
+
 Encoder = Callable[[Sequence[Any]], Sequence[Sequence[float]]]
 
 
@@ -33,11 +36,19 @@ def encoder_udf(load: Callable[[], Encoder], batch: int = 64) -> Callable[[str |
 def detect(df: DataFrame, key: str, item: str, load: Callable[[], Callable[[Any], list[tuple[float, float, float, float, float, list[float]]]]]) -> DataFrame:
     """K2: one row for each thing a user's detector finds in an item: (key, face_idx, score, x, y, w, h, v)."""
 
+    columns = [key, "face_idx", "score", "x", "y", "w", "h", "v"]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         find = load()
         for pdf in batches:
-            rows = [(k, i, float(s), float(x), float(y), float(w), float(h), list(map(float, v))) for k, it in zip(pdf[key], pdf[item], strict=True) for i, (s, x, y, w, h, v) in enumerate(find(it))]
-            yield pd.DataFrame(rows, columns=[key, "face_idx", "score", "x", "y", "w", "h", "v"])
+            rows = []
+            for k, it in zip(pdf[key], pdf[item], strict=True):
+                for i, (s, x, y, w, h, v) in enumerate(find(it)):
+                    rows.append((k, i, float(s), float(x), float(y), float(w), float(h), list(map(float, v))))
+                    if len(rows) == FOUND:
+                        yield pd.DataFrame(rows, columns=columns)
+                        rows = []
+            yield pd.DataFrame(rows, columns=columns)
 
     return df.select(key, item).mapInPandas(run, f"{key} long, face_idx int, score double, x double, y double, w double, h double, v array<double>")
 

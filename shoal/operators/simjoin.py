@@ -21,6 +21,8 @@ from shoal.sources.shared import checkpointed
 #: Numbers of a side that is broadcast at most (64 MB of doubles).
 BROADCAST_NUMBERS = 8_000_000
 BLOCK = 2048
+#: Rows and prototypes that are multiplied at once.
+STRIP, PROTOS = 512, 4096
 
 
 def composite(terms: DataFrame, weights: Mapping[int, float]) -> list[float] | None:
@@ -47,6 +49,20 @@ def matrices_of(small: DataFrame, key: str, v: str) -> dict[int, tuple[list, np.
     return {w: (keys, np.array(vectors, np.float64)) for w, (keys, vectors) in held.items()}
 
 
+def most_similar(x: np.ndarray, m: np.ndarray, last_wins: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(at, sim): the row of m with the largest inner product for each row of x, the first or last of equal ones; a strip at a time, so many prototypes cost no memory."""
+    place, best = np.zeros(len(x), np.int64), np.full(len(x), -np.inf)
+    for r in range(0, len(x), STRIP):
+        for s in range(0, len(m), PROTOS):
+            sims = x[r : r + STRIP] @ m[s : s + PROTOS].T
+            at = sims.shape[1] - 1 - sims[:, ::-1].argmax(1) if last_wins else sims.argmax(1)
+            sim = sims[np.arange(len(at)), at]
+            held, where = best[r : r + STRIP], place[r : r + STRIP]
+            better = (sim >= held) if last_wins else (sim > held)
+            held[better], where[better] = sim[better], s + at[better]
+    return place, best
+
+
 def nearest_prototype(vectors: DataFrame, protos: DataFrame, least: float, strict: bool = False, last_wins: bool = False) -> DataFrame:
     """(vec_id, proto, sim): the most similar prototype (proto, v) of each vector, -1 below `least` and without any prototype.
 
@@ -74,9 +90,8 @@ def nearest_prototype(vectors: DataFrame, protos: DataFrame, least: float, stric
                         yield pd.DataFrame({"vec_id": rows["vec_id"], "proto": pd.array([None] * len(rows), "Int64"), "sim": None})
                         continue
                     keys, m = sent.value[w]
-                    sims = np.stack(rows["v"].to_numpy()) @ m.T
-                    at = sims.shape[1] - 1 - sims[:, ::-1].argmax(1) if last_wins else sims.argmax(1)
-                    yield pd.DataFrame({"vec_id": rows["vec_id"], "proto": np.array(keys)[at], "sim": sims[np.arange(len(at)), at]})
+                    at, sim = most_similar(np.stack(rows["v"].to_numpy()), m, last_wins)
+                    yield pd.DataFrame({"vec_id": rows["vec_id"], "proto": np.array(keys)[at], "sim": sim})
 
         # A vector with a number missing goes as none.
         out = vectors.select("vec_id", F.when(finite("v"), F.col("v")).alias("v")).mapInPandas(assign, "vec_id long, proto long, sim double")
