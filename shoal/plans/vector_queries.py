@@ -143,9 +143,8 @@ def c11_carry_names(t: Tables) -> DataFrame:
 
 @query(NEAR + " SELECT a.vec_id AS a, b.vec_id AS b, round(list_dot_product(a.v, b.v), 6) AS sim, a.label = b.label AS same FROM blocks a JOIN blocks b ON a.vec_id < b.vec_id WHERE list_dot_product(a.v, b.v) >= 0.3")
 def c18_ground_truth_pairs(t: Tables) -> DataFrame:
-    labels = t.blocks.select("vec_id", "label")
-    pairs = pivots.near_pairs(t.blocks, 0.3).join(labels.toDF("a", "la"), "a").join(labels.toDF("b", "lb"), "b")
-    return pairs.select("a", "b", r6("sim"), (F.col("la") == F.col("lb")).alias("same"))
+    pairs = pivots.near_pairs(t.blocks, 0.3, mark="label")
+    return pairs.select("a", "b", r6("sim"), (F.col("mark_a") == F.col("mark_b")).alias("same"))
 
 
 @query(VE + PROTOS + ", s AS (SELECT vec_id, arg_max(proto, (list_dot_product(v, pv), proto)) AS proto, max(list_dot_product(v, pv)) AS sim FROM vectors, protos WHERE proto % 3 <> 0 GROUP BY vec_id) SELECT vec_id, CASE WHEN sim >= 0.25 THEN proto END AS proto FROM s")
