@@ -11,11 +11,12 @@ from collections.abc import Callable, Iterator, Mapping
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shoal.functions.vectors import best_of, cosine, dot
-from shoal.operators.pivots import finite, near_pairs
+from shoal.operators.pivots import finite, meets, near_pairs, partners, unpacked
 from shoal.sources.shared import checkpointed
 
 #: Numbers of a side that is broadcast at most (64 MB of doubles).
@@ -23,6 +24,8 @@ BROADCAST_NUMBERS = 8_000_000
 BLOCK = 2048
 #: Rows and prototypes that are multiplied at once.
 STRIP, PROTOS = 512, 4096
+#: Vectors that k-means cells are fitted on at most.
+FIT = 65_536
 
 
 def composite(terms: DataFrame, weights: Mapping[int, float]) -> list[float] | None:
@@ -202,7 +205,8 @@ def cell_join(vectors: DataFrame, least: float, cells: int | None = None, probe:
     """(a, b, sim), a < b, approximately: each vector meets those in its nearest `probe` k-means cells.
 
     Cells are 4 times the root of the count, between 64 and 8192 (but no more than
-    vectors); recall against block_pairs is for the caller to measure.
+    vectors), fitted on FIT of them at most; all vectors are indexed and met, block by
+    block. Recall against block_pairs is for the caller to measure.
     """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
@@ -212,20 +216,31 @@ def cell_join(vectors: DataFrame, least: float, cells: int | None = None, probe:
     cells = min(n, cells or int(np.clip(4 * np.sqrt(n), 64, 8192)))
     if n < 2:
         return vectors.sparkSession.createDataFrame([], "a long, b long, sim double")
-    fit = KMeans(k=cells, seed=seed, maxIter=5).fit(vectors.select(array_to_vector("v").alias("features")))
+    some = checkpointed(vectors if n <= FIT else vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(FIT).repartition(FIT // 2048))
+    fit = KMeans(k=cells, seed=seed, maxIter=5, initMode="k-means||" if n <= FIT else "random").fit(some.select(array_to_vector("v").alias("features")))
     sent = vectors.sparkSession.sparkContext.broadcast(np.array([c for c in fit.clusterCenters()]))
 
     @F.pandas_udf("array<int>")
     def nearest(v: pd.Series) -> pd.Series:
-        x, c = np.stack(v.to_numpy()), sent.value
-        far = (c * c).sum(1)[None, :] - 2 * x @ c.T
-        return pd.Series(list(np.argsort(far, axis=1)[:, :probe].astype(np.int32)))
+        c, out = sent.value, []
+        for s in range(0, len(v), STRIP):
+            x = np.stack(v.iloc[s : s + STRIP].to_numpy())
+            out += list(np.argsort((c * c).sum(1)[None, :] - 2 * x @ c.T, axis=1)[:, :probe].astype(np.int32))
+        return pd.Series(out)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, ids_a, x, _, ids_b, y, _ in unpacked(batch):
+                for s, sims, near in partners(False, x, y, least, False):
+                    i, j = np.nonzero(near)
+                    a, b, sim = ids_a[s + i], ids_b[j], sims[i, j]
+                    keep = a != b
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)[keep]), pa.array(np.maximum(a, b)[keep]), pa.array(sim[keep])], names=["a", "b", "sim"])
 
     at = checkpointed(vectors.select("vec_id", "v", nearest("v").alias("near")))
-    homes = at.select(F.col("vec_id").alias("b"), F.col("v").alias("w"), F.col("near")[0].alias("cell"))
-    met = at.select(F.col("vec_id").alias("a"), "v", F.explode("near").alias("cell")).join(homes, "cell").where("a <> b")
-    hits = met.withColumn("sim", dot("v", "w")).where(F.col("sim") >= least)
-    return hits.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "sim").dropDuplicates(["a", "b"])
+    homes = at.select(F.col("near")[0].alias("cell"), F.lit(0).alias("side"), F.lit(0.0).alias("at"), "vec_id", "v")
+    guests = at.select(F.explode("near").alias("cell"), F.lit(1).alias("side"), F.lit(0.0).alias("at"), "vec_id", "v")
+    return meets(homes.unionByName(guests), 1.0, guests_only=True).mapInArrow(compare, "a long, b long, sim double").dropDuplicates(["a", "b"])
 
 
 def zero_shot(vectors: DataFrame, prompts: DataFrame) -> DataFrame:
