@@ -104,10 +104,14 @@ def photos_of_any(photo_people: DataFrame, canonical: DataFrame, ids: DataFrame)
     return photo_people.join(wanted, "person_id", "left_semi").select("photo_id").distinct()
 
 
-def people_counts(photo_people: DataFrame, canonical: DataFrame, deleted: DataFrame) -> DataFrame:
-    """(person_id, count) of photos that aren't deleted, by canonical person."""
-    live = canonical_photos(photo_people, canonical).join(deleted.select("photo_id"), "photo_id", "left_anti")
-    return live.groupBy("person_id").agg(F.countDistinct("photo_id").alias("count"))
+def people_counts(photo_people: DataFrame, canonical: DataFrame, deleted: DataFrame, parts: int | None = None) -> DataFrame:
+    """(person_id, count) of photos that aren't deleted, by canonical person. Rows may repeat; with `parts` they are dealt by photo into so many, so a task's share is the caller's choice."""
+    rows = photo_people.join(canonical, "person_id").select("photo_id", F.col("canonical_id").alias("person_id"))
+    gone = deleted.select("photo_id")
+    if parts:
+        rows, gone = rows.repartition(parts, "photo_id"), gone.repartition(parts, "photo_id")
+    live = rows.join(gone, "photo_id", "left_anti").distinct()
+    return live.groupBy("person_id").agg(F.count("*").alias("count"))
 
 
 def raw_counts(photo_people: DataFrame, canonical: DataFrame) -> DataFrame:
