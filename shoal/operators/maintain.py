@@ -12,6 +12,9 @@ from shoal.operators.hamming import first_come, near_hashes
 from shoal.operators.timeline import cell
 from shoal.sources.shared import checkpointed
 
+#: Of nearest_place: places a task puts into cubes, points a task looks up, and places of a cube's list on average, at most.
+SPREAD, POINTS, PLACES = 16_384, 65_536, 1024
+
 
 def needs_index(source: DataFrame, index: DataFrame, failures: DataFrame, most: int = 3) -> DataFrame:
     """Source rows not in the index that have failed fewer than `most` times."""
@@ -84,18 +87,19 @@ def nearest_place(points: DataFrame, gazetteer: DataFrame, chord: float | None =
     The sphere lies in a grid of cubes, so poles and the date line are like any other place.
     A point meets the places of its own and the cubes around; one whose nearest lies further
     off than a cube is wide takes another round with cubes twice as wide. The first are as
-    wide as the room that the gazetteer has for a place (of radius 1).
+    wide as the room that the gazetteer has for a place (of radius 1). Places, not points,
+    go to the cubes around and wait there in bounded lists, so no row is made for a pair,
+    and tasks that make rows get bounded shares.
     """
-    chord = chord or min(2.0, (4 * math.pi / max(1, gazetteer.count())) ** 0.5)
     name = F.concat_ws(", ", *[F.nullif(F.trim(c), F.lit("")) for c in ("city", "state", "cc")])
-    found, rest = None, points.where("lat is not null and lon is not null")
-    around = F.array(*[F.array(*map(F.lit, step)) for step in itertools.product((-1, 0, 1), repeat=3)])
+    places = gazetteer.where("glat is not null and glon is not null").select("gid", name.alias("place"), "glat", "glon")
+    rest = points.where("lat is not null and lon is not null").select("id", "lat", "lon")
+    n = places.count()
+    chord = chord or min(2.0, (4 * math.pi / max(1, n)) ** 0.5)
+    places, rest = places.repartition(max(1, -(-n // SPREAD))), rest.repartition(max(1, -(-rest.count() // POINTS)))
+    found = None
     while True:
-        cube = lambda lat, lon: F.array(*[F.floor(c / chord) for c in (F.cos(F.radians(lat)) * F.cos(F.radians(lon)), F.cos(F.radians(lat)) * F.sin(F.radians(lon)), F.sin(F.radians(lat)))])  # noqa: E731, B023
-        near = rest.withColumn("_own", cube("lat", "lon")).withColumn("_step", F.explode(around)).withColumn("cell", F.zip_with("_own", "_step", lambda x, y: x + y))
-        places = gazetteer.withColumn("cell", cube("glat", "glon"))
-        km = haversine(F.col("lat"), F.col("lon"), F.col("glat"), F.col("glon"))
-        best = near.join(places, "cell").withColumn("km", km).groupBy("id").agg(F.min_by(F.struct(name.alias("place"), "km"), F.struct("km", "gid")).alias("b")).select("id", "b.*")
+        best = nearest_in_cubes(rest, places, chord, found is not None)
         if chord < 2:  # a place beyond the cubes around is a cube's width away at least
             best = checkpointed(best.where(F.col("km") <= 2 * 6371.0 * math.asin(chord / 2) * (1 - 1e-9)))
         found = best if found is None else found.unionByName(best)
@@ -107,6 +111,25 @@ def nearest_place(points: DataFrame, gazetteer: DataFrame, chord: float | None =
         chord = min(2.0, 2 * chord)
 
 
+def nearest_in_cubes(points: DataFrame, places: DataFrame, chord: float, few: bool) -> DataFrame:
+    """(id, place, km): the nearest place (gid, place, glat, glon) to a point (id, lat, lon) of those in its cube and the cubes around. Only cubes of points get lists where points are few."""
+    cube = lambda lat, lon: [F.floor(c / chord) for c in (F.cos(F.radians(lat)) * F.cos(F.radians(lon)), F.cos(F.radians(lat)) * F.sin(F.radians(lon)), F.sin(F.radians(lat)))]
+    around = F.array(*[F.array(*map(F.lit, step)) for step in itertools.product((-1, 0, 1), repeat=3)])
+    own = places.withColumn("_own", F.array(*cube("glat", "glon")))
+    fullest = own.groupBy("_own").count().agg(F.max("count")).first()[0] or 0
+    # Cubes with one hash share their lists, which are places somewhat further off.
+    there = own.withColumn("_step", F.explode(around)).select("gid", "place", "glat", "glon", F.xxhash64(*[F.col("_own")[k] + F.col("_step")[k] for k in range(3)]).alias("cell"))
+    asked = points.withColumn("cell", F.xxhash64(*cube("lat", "lon")))
+    if few:
+        there = there.join(asked.select("cell").distinct(), "cell", "left_semi")
+    parts = max(1, -(-27 * fullest // PLACES))
+    lists = there.groupBy("cell", *([F.pmod(F.xxhash64("gid"), F.lit(parts)).alias("part")] if parts > 1 else [])).agg(F.collect_list(F.struct("gid", "place", "glat", "glon")).alias("places"))
+    km = lambda p: haversine(F.col("lat"), F.col("lon"), p["glat"], p["glon"])
+    least = F.array_min(F.transform("places", lambda p: F.struct(km(p).alias("km"), p["gid"].alias("gid"), p["place"].alias("place"))))
+    # A merge join: the plan knows nothing of the 27 cubes and would broadcast the lists.
+    return asked.join(lists.hint("merge"), "cell").select("id", least.alias("b")).groupBy("id").agg(F.min("b").alias("b")).select("id", "b.place", "b.km")
+
+
 def folder_summary(members: DataFrame, photos: DataFrame) -> DataFrame:
     """(folder, count, cover) of members (folder, photo_id, pos): active ones, the last as cover; 0 and null without any."""
     live = members.join(photos.where(~F.col("is_deleted")).select("photo_id"), "photo_id")
