@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +20,9 @@ from shoal.operators.pivots import density_edges, finite
 from shoal.operators.simjoin import carry_names, nearest_prototype
 from shoal.sources.shared import checkpointed
 
+#: Words whose bits simhash_words counts at once, at most.
+PART = 1 << 16
+
 
 def contracted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The edges (a, b) of a partition -> an edge from each node to the least one that it reaches there."""
@@ -215,13 +220,40 @@ def online_clusters(faces: DataFrame, least: float = 0.45, larger: float = 1.3)
     return rows.groupBy("owner").applyInPandas(run, f"owner {dict(rows.dtypes)['owner']}, id long, cluster int, photos int, cover long")
 
 
+def bit_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, text as bytes) -> (id, n, b0 to b59): distinct words, and how many md5s of them have each bit; long texts in several rows."""
+    md5 = hashlib.md5
+
+    def counted(kind: pa.DataType, ids: list, words: list[bytes], ends: list[int]) -> pa.RecordBatch:
+        sums = np.zeros((60, len(ids)), np.int32)
+        if words:
+            bits = np.unpackbits(np.frombuffer(b"".join([md5(w).digest() for w in words]), np.uint8).reshape(-1, 16)[:, :8], axis=1)[:, 59::-1]
+            sums = np.ascontiguousarray(np.add.reduceat(bits, [0, *ends[:-1]], axis=0, dtype=np.int32).T)
+        return pa.RecordBatch.from_arrays([pa.array(ids, kind), pa.array(np.diff([0, *ends]), pa.int64()), *map(pa.array, sums)], names=["id", "n", *[f"b{b}" for b in range(60)]])
+
+    for batch in batches:
+        kind, (ids, words, ends), blank = batch.schema.field(0).type, ([], [], []), []
+        for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            some = list(set((text.as_py() or b"").split()))  # at the six characters of the regular expression \s
+            if not some:
+                blank.append(i)
+            for start in range(0, len(some), PART):
+                if words and len(words) + len(some) - start > PART:
+                    yield counted(kind, ids, words, ends)
+                    ids, words, ends = [], [], []
+                words += some[start : start + PART]
+                ids.append(i)
+                ends.append(len(words))
+        for some in ((ids, words, ends), (blank, [], [0] * len(blank))):
+            if some[0]:
+                yield counted(kind, *some)
+
+
 def simhash_words(docs: DataFrame) -> DataFrame:
     """(id, h): a 60-bit hash of a text's distinct words by the majority of each bit of the words' md5; 0 without words."""
-    words = F.array_distinct(F.filter(F.split(F.coalesce("text", F.lit("")), "\\s+"), lambda w: w != ""))
-    hashed = docs.select("id", F.explode_outer(words).alias("w")).select("id", F.conv(F.substring(F.md5("w"), 1, 15), 16, 10).cast("long").alias("m"))
-    up = [F.sum(F.shiftright("m", b).bitwiseAND(F.lit(1))).alias(f"b{b}") for b in range(60)]
-    sums = hashed.groupBy("id").agg(F.count("m").alias("n"), *up)
+    kind = dict(docs.dtypes)["id"]
+    counts = docs.select("id", F.col("text").cast("binary").alias("text")).mapInArrow(bit_counts, f"id {kind}, n long, " + ", ".join(f"b{b} int" for b in range(60)))
     h = F.lit(0).cast("long")
     for b in range(60):
         h = h + F.when(F.col(f"b{b}") * 2 > F.col("n"), F.lit(1 << b).cast("long")).otherwise(F.lit(0).cast("long"))
-    return sums.select("id", h.alias("h"))
+    return counts.groupBy("id").agg(F.sum("n").alias("n"), *[F.sum(f"b{b}").alias(f"b{b}") for b in range(60)]).select("id", h.alias("h"))

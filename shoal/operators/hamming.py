@@ -27,6 +27,9 @@ RATIO = 250
 #: Hashes of a block, pairs of blocks of a task once there are many, and results of a step that compares.
 BLOCK, PAIRS, STEP = 32_768, 64, 1 << 18
 
+#: Pairs that are compared in the time in which one row goes to a group, keys a hash has and rows of a bucket of groups, at most or about.
+COPY, KEYS, BUCKET = 500, 256, 65_536
+
 #: (first bit, width, radius) of a band.
 Band = tuple[int, int, int]
 
@@ -123,12 +126,79 @@ def candidates(left: DataFrame, right: DataFrame, most: int, n: int) -> DataFram
     return cold.unionByName(deeper(asked, "h", True).join(deeper(held, "g", False), [*key, "w_band", "w"]).select("h", "g"))
 
 
+def agreeing(most: int, n: int, varying: int) -> list[int]:
+    """Masks of which hashes at most `most` bits apart agree in one at least, by the bits that vary; those with the fewest copies and comparisons a hash. None if comparing all pairs is less work.
+
+    Of m segments at least m - most are alike, so each choice of as many is a mask.
+    """
+    at = [b for b in range(64) if varying >> b & 1]
+    best, least = [], float(n)
+    for m in range(most + 1, len(at) + 1):
+        keys = comb(m, most)
+        if keys > KEYS:
+            break
+        cost = keys * (COPY + n / 2 ** (len(at) * (m - most) / m))
+        if cost < least:
+            cuts = [round(k * len(at) / m) for k in range(m + 1)]
+            parts = [sum(1 << b for b in at[lo:hi]) for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)]
+            best, least = [sum(some) for some in combinations(parts, m - most)], cost
+    return best
+
+
+def grouped(left: DataFrame, right: DataFrame | None, most: int, n: int, varying: int) -> DataFrame | None:
+    """(h, g) of near pairs of two tables (h,) and (g,), or of one (h < g): hashes that agree in a mask meet in arrays; some pairs several times. None where that is more work than other ways, or a group is larger than a block."""
+    plan = agreeing(most, n, varying)
+    if not plan:
+        return None
+    sides = left.select("h", F.lit(0).alias("side"))
+    if right is not None:
+        sides = sides.unionByName(right.select(F.col("g").alias("h"), F.lit(1).alias("side")))
+    mask = F.explode(F.expr(f"array({', '.join(f'struct({k} AS k, {signed(m)}L AS m)' for k, m in enumerate(plan))})"))
+    tasks = max(1, -(-n * len(plan) // (64 * BUCKET)))
+    rows = sides.repartition(tasks).select("h", "side", mask.alias("p")).select("h", "side", F.xxhash64("p.k", F.col("h").bitwiseAND(F.col("p.m"))).alias("key"))
+    if (rows.groupBy("key", "side").count().agg(F.max("count")).first()[0] or 0) > BLOCK:
+        return None
+    alone = right is None
+
+    def meet(table: pa.Table) -> pa.Table:
+        h, side, key = (table.column(c).to_numpy() for c in ("h", "side", "key"))
+        order = np.lexsort((side, key))
+        h, side, key = h[order], side[order], key[order]
+        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        ends = np.r_[starts[1:], len(key)]
+        some = []
+        for start, end in zip(starts[ends - starts > 1].tolist(), ends[ends - starts > 1].tolist(), strict=True):
+            two = start + int(np.searchsorted(side[start:end], 1))
+            x, y = (h[start:end],) * 2 if alone else (h[start:two], h[two:end])
+            step = max(1, STEP // max(1, len(y)))
+            for s in range(0, len(x), step):
+                part, rest = x[s : s + step], y[s:] if alone else y
+                near = np.flatnonzero(np.bitwise_count((part[:, None] ^ rest).view(np.uint64)) <= most)
+                i, j = np.divmod(near, max(1, len(rest)))
+                if alone:
+                    i, j = i[i < j], j[i < j]
+                if len(i):
+                    some.append((part[i], rest[j]))
+        one, two = (np.concatenate([p[k] for p in some]) if some else np.zeros(0, np.int64) for k in range(2))
+        return pa.table({"h": np.minimum(one, two), "g": np.maximum(one, two)} if alone else {"h": one, "g": two})
+
+    buckets = max(1, -(-n * len(plan) // BUCKET))
+    return rows.groupBy(F.pmod("key", F.lit(buckets)).alias("bucket")).applyInArrow(meet, "h long, g long")
+
+
 def near_hashes(left: DataFrame, most: int, right: DataFrame | None = None) -> DataFrame:
     """(h, g, dist) of distinct hashes at most `most` bits apart: h < g within one table (h,), or h of it and g of the other (g,). Nulls never join."""
     left = checkpointed(left.where("h is not null").select("h").distinct())
     other = left.select(F.col("h").alias("g")) if right is None else checkpointed(right.where("g is not null").select("g").distinct())
     dist = hamming("h", "g")
-    met = candidates(left, other, most, other.count())
+    ones = [df.agg(F.count("*"), F.bit_or(c), F.bit_and(c)).first() for df, c in ((left, "h"), (other, "g"))]
+    varying = 0
+    if ones[0][0] and ones[1][0]:
+        varying = (ones[0][1] | ones[1][1]) & ~(ones[0][2] & ones[1][2]) & (1 << 64) - 1
+    n = ones[1][0]
+    met = grouped(left, None if right is None else other, most, max(n, ones[0][0]), varying)
+    if met is None:
+        met = candidates(left, other, most, n)
     return met.where((dist <= most) & (F.col("h") < F.col("g") if right is None else F.lit(True))).select("h", "g", dist.alias("dist")).distinct()
 
 
