@@ -45,3 +45,18 @@ def test_masks_that_must_agree():
         random.seed(n)
         assert masks and all(any(not d & m for m in masks) for d in (sum(1 << b for b in random.sample(range(60), most)) for _ in range(300)))
     assert H.agreeing(7, 1000, (1 << 60) - 1) == [] and H.agreeing(18, 10**6, (1 << 60) - 1) == []
+
+
+def test_first_come_in_groups(spark, monkeypatch):
+    """A batch against itself and what is stored, without a row for a candidate; kept as rows taken in turn."""
+    monkeypatch.setattr(H, "COPY", 0, raising=False)
+    monkeypatch.setattr(H, "candidates", lambda *_: 1 / 0)
+    random.seed(8)
+    hashes = around(60, 8, 60)
+    random.shuffle(hashes)
+    known, kept = hashes[:40], []
+    for i, h in enumerate(hashes[40:]):
+        if all(near(h, k) > 7 for k in [*known, *[x for _, x in kept]]):
+            kept.append((i, h))
+    got = H.first_come(spark.createDataFrame(list(enumerate(hashes[40:])), "id long, h long"), 7, spark.createDataFrame([(h,) for h in known], "h long"))
+    assert sorted(r[0] for r in got.collect()) == [i for i, _ in kept] and kept
