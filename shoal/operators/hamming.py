@@ -7,6 +7,7 @@ is less work, are met by blocks of hashes: all pairs of them, a word's operation
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 from math import comb
 
@@ -29,6 +30,10 @@ BLOCK, PAIRS, STEP = 32_768, 64, 1 << 18
 
 #: Pairs that are compared in the time in which one row goes to a group, keys a hash has and rows of a bucket of groups, at most or about.
 COPY, KEYS, BUCKET = 500, 256, 65_536
+#: Buckets of groups that a task compares, about, and sets of groups that are counted as one to see that none is large.
+BUCKETS, SETS = 4, 65_536
+#: Rounds after which what they kept is written anew as one table.
+TABLES = 16
 
 #: (first bit, width, radius) of a band.
 Band = tuple[int, int, int]
@@ -156,7 +161,12 @@ def grouped(left: DataFrame, right: DataFrame | None, most: int, n: int, varying
     mask = F.explode(F.expr(f"array({', '.join(f'struct({k} AS k, {signed(m)}L AS m)' for k, m in enumerate(plan))})"))
     tasks = max(1, -(-n * len(plan) // (64 * BUCKET)))
     rows = sides.repartition(tasks).select("h", "side", mask.alias("p")).select("h", "side", F.xxhash64("p.k", F.col("h").bitwiseAND(F.col("p.m"))).alias("key"))
-    if (rows.groupBy("key", "side").count().agg(F.max("count")).first()[0] or 0) > BLOCK:
+    # Few rows of sums a task, whatever the number of hashes; a set of groups is seldom larger than a block, else its groups are counted.
+    for some in (F.pmod("key", F.lit(SETS)), F.col("key")):
+        largest = rows.groupBy(some.alias("some"), "side").count().agg(F.max("count")).first()[0] or 0
+        if largest <= BLOCK:
+            break
+    else:
         return None
     alone = right is None
 
@@ -182,8 +192,10 @@ def grouped(left: DataFrame, right: DataFrame | None, most: int, n: int, varying
         one, two = (np.concatenate([p[k] for p in some]) if some else np.zeros(0, np.int64) for k in range(2))
         return pa.table({"h": np.minimum(one, two), "g": np.maximum(one, two)} if alone else {"h": one, "g": two})
 
+    # Rows are few bytes and much work: a number of tasks is said, as tasks by size would be one or two.
     buckets = max(1, -(-n * len(plan) // BUCKET))
-    return rows.groupBy(F.pmod("key", F.lit(buckets)).alias("bucket")).applyInArrow(meet, "h long, g long")
+    dealt = rows.withColumn("bucket", F.pmod("key", F.lit(buckets))).repartition(-(-buckets // BUCKETS), "bucket")
+    return dealt.groupBy("bucket").applyInArrow(meet, "h long, g long")
 
 
 def near_hashes(left: DataFrame, most: int, right: DataFrame | None = None) -> DataFrame:
@@ -192,10 +204,10 @@ def near_hashes(left: DataFrame, most: int, right: DataFrame | None = None) -> D
     other = left.select(F.col("h").alias("g")) if right is None else checkpointed(right.where("g is not null").select("g").distinct())
     dist = hamming("h", "g")
     ones = [df.agg(F.count("*"), F.bit_or(c), F.bit_and(c)).first() for df, c in ((left, "h"), (other, "g"))]
-    varying = 0
-    if ones[0][0] and ones[1][0]:
-        varying = (ones[0][1] | ones[1][1]) & ~(ones[0][2] & ones[1][2]) & (1 << 64) - 1
     n = ones[1][0]
+    if not n or not ones[0][0]:
+        return left.crossJoin(other).where("false").select("h", "g", dist.alias("dist"))
+    varying = (ones[0][1] | ones[1][1]) & ~(ones[0][2] & ones[1][2]) & (1 << 64) - 1
     met = grouped(left, None if right is None else other, most, max(n, ones[0][0]), varying)
     if met is None:
         met = candidates(left, other, most, n)
@@ -243,18 +255,20 @@ def first_come(hashes: DataFrame, most: int, known: DataFrame | None = None, rou
     ids = first.select("h", F.col("id").alias("x"))
     pairs = near_hashes(first, most).join(ids, "h").join(first.select(F.col("h").alias("g"), F.col("id").alias("y")), "g")
     edges = checkpointed(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
-    kept = first.join(edges.select(F.col("b").alias("id")), "id", "left_anti").select("id")  # no earlier neighbour
-    settled = kept
+    settled = checkpointed(first.join(edges.select(F.col("b").alias("id")), "id", "left_anti").select("id"))  # no earlier neighbour
+    kept = [settled]
     for _ in range(rounds):
         # What the rows settled last are near to is dropped, with its edges; who has no earlier neighbour left is kept.
         gone = edges.join(settled.select(F.col("id").alias("a")), "a", "left_semi").select(F.col("b").alias("id")).distinct()
         gone = checkpointed(gone)
         if gone.isEmpty():
-            return blank.unionByName(kept)
+            return reduce(DataFrame.unionByName, kept, blank)
         waiting = edges.join(gone.select(F.col("id").alias("b")), "b", "left_anti")
         left = checkpointed(waiting.join(gone.select(F.col("id").alias("a")), "a", "left_anti"))
         was = edges.select("b").union(edges.select("a")).distinct().toDF("id")
         settled = checkpointed(was.join(gone, "id", "left_anti").join(settled, "id", "left_anti").join(left.select(F.col("b").alias("id")), "id", "left_anti"))
         # Rows that were settled before have no edges left but to what is gone.
-        kept, edges = checkpointed(kept.unionByName(settled)), left
+        kept, edges = [*kept, settled], left
+        if len(kept) > TABLES:
+            kept = [checkpointed(reduce(DataFrame.unionByName, kept))]
     raise RuntimeError(f"first-come deduplication didn't settle in {rounds} rounds")
