@@ -16,7 +16,7 @@ from shoal.operators.hamming import hash_links
 from shoal.operators.maintain import append_rows
 from shoal.operators.online import Clusters
 from shoal.operators.people import best_by
-from shoal.operators.pivots import density_edges, finite
+from shoal.operators.pivots import density_edges, finite, least_reached
 from shoal.operators.simjoin import carry_names, nearest_prototype
 from shoal.sources.shared import checkpointed
 
@@ -28,19 +28,7 @@ ONES = np.uint64(0x0101010101010101)
 
 def contracted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The edges (a, b) of a partition -> an edge from each node to the least one that it reaches there."""
-    root: dict[int, int] = {}
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    for pdf in batches:
-        for a, b in zip(pdf["a"].tolist(), pdf["b"].tolist(), strict=True):
-            a, b = find(root.setdefault(a, a)), find(root.setdefault(b, b))
-            root[max(a, b)] = min(a, b)
-    rows = [(x, r) for x in root if (r := find(x)) != x]
+    rows = least_reached(p for pdf in batches for p in zip(pdf["a"].tolist(), pdf["b"].tolist(), strict=True))
     for start in range(0, len(rows), 100_000):
         yield pd.DataFrame(rows[start : start + 100_000], columns=["a", "b"])
 
