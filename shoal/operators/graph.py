@@ -180,6 +180,7 @@ def recluster(faces: DataFrame, old: DataFrame, least: float = 0.6, min_samples:
     prototype above `assign`, the largest face as cover, names of old prototypes carried
     over, and clusters without faces dropped and the rest numbered anew.
     """
+    faces = checkpointed(faces.select("id", "v", "area"))
     protos = checkpointed(prototypes(faces.select("id", "v"), dbscan_vectors(faces.select("id", "v"), least, min_samples)).select(F.col("label").cast("long").alias("proto"), "v"))
     assigned = checkpointed(nearest_prototype(faces.select(F.col("id").alias("vec_id"), "v"), protos, assign, strict=True).where("proto >= 0").select(F.col("vec_id").alias("id"), "proto"))
     new = checkpointed(numbered(assigned.select("proto").distinct(), "proto", "person"))

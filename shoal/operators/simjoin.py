@@ -7,7 +7,7 @@ holds more than two blocks.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Mapping
+from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pandas as pd
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shoal.functions.vectors import best_of, cosine, dot
-from shoal.operators.pivots import finite, meets, near_pairs, partners, unpacked
+from shoal.operators.pivots import dealt, finite, meets, near_pairs, partners, unpacked
 from shoal.sources.shared import checkpointed
 
 #: Numbers of a side that is broadcast at most (64 MB of doubles).
@@ -72,11 +72,12 @@ def nearest_prototype(vectors: DataFrame, protos: DataFrame, least: float, stric
     Ties go to the first prototype, or with last_wins to the last. Vectors and prototypes of
     unlike length don't match, nor do null and empty ones or those with other than finite
     numbers: such a vector gets -1 and no sim. Prototypes beyond the bound for sending them
-    to all tasks meet the vectors in blocks, of which each yields a vector's best.
+    to all tasks meet the vectors in large blocks, which are written once; each pair of
+    blocks yields a vector's best.
     """
     held = matrices_of(protos, "proto", "v")
     if held is None:
-        best = met_blocks(vectors, protos.withColumnRenamed("proto", "vec_id"), same=False).mapInPandas(best_of_block(last_wins), "a long, b long, sim double")
+        best = best_of_blocks(vectors, protos.select(F.col("proto").alias("vec_id"), "v"), last_wins)
         best = best.groupBy(F.col("a").alias("vec_id")).agg(F.max_by(F.struct("b", "sim"), F.struct("sim", F.col("b") * (1 if last_wins else -1))).alias("x"))
         out = vectors.select("vec_id").join(best, "vec_id", "left").select("vec_id", F.col("x.b").alias("proto"), F.col("x.sim").alias("sim"))
     elif not held:
@@ -124,20 +125,22 @@ def met_blocks(left: DataFrame, right: DataFrame, same: bool) -> DataFrame:
     return one.withColumn("q", F.explode(F.sequence(first, F.lit(n_right - 1)))).join(two, ["q", "width"]).select("p", "q", "ids_a", "data_a", "ids_b", "data_b")
 
 
-def best_of_block(last_wins: bool) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """Pairs of blocks -> (a, b, sim): the most similar row of the second block for each of the first."""
+def best_of_blocks(vectors: DataFrame, protos: DataFrame, last_wins: bool) -> DataFrame:
+    """(a, b, sim): the most similar row of each block of prototypes (vec_id, v) for each vector (vec_id, v) of the same length."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for r in pdf.itertuples(index=False):
-                ia, ib = np.frombuffer(r.ids_a, np.int64), np.frombuffer(r.ids_b, np.int64)
-                x, y = np.frombuffer(r.data_a).reshape(len(ia), -1), np.frombuffer(r.data_b).reshape(len(ib), -1)
-                for s in range(0, len(ia), 512):
-                    sims = x[s : s + 512] @ y.T
-                    at = sims.shape[1] - 1 - sims[:, ::-1].argmax(1) if last_wins else sims.argmax(1)
-                    yield pd.DataFrame({"a": ia[s : s + 512], "b": ib[at], "sim": sims[np.arange(len(at)), at]})
-
-    return run
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, ids_a, x, _, ids_b, y, _ in unpacked(batch):
+                at, sim = most_similar(x, y, last_wins)
+                yield pa.RecordBatch.from_arrays([pa.array(ids_a), pa.array(ids_b[at]), pa.array(sim)], names=["a", "b", "sim"])
+
+    out = vectors.sparkSession.createDataFrame([], "a long, b long, sim double")
+    vectors, protos = (checkpointed(df.where(finite("v")).select("vec_id", "v")) for df in (vectors, protos))
+    guests, homes = ({r[0]: r[1] for r in df.groupBy(F.size("v")).agg(F.count("*")).collect()} for df in (vectors, protos))  # a row a length
+    for width in sorted(homes.keys() & guests.keys()):
+        of = lambda df, width=width: df.where(F.size("v") == width)
+        out = out.unionByName(meets(dealt(of(protos), of(vectors), homes[width], guests[width]), float("inf"), guests_only=True).mapInArrow(run, out.schema))
+    return out
 
 
 def block_pairs(left: DataFrame, right: DataFrame, least: float, strict: bool = False, same: bool = True) -> DataFrame:
